@@ -1,0 +1,4 @@
+"""Queries over the test tables, and the same as SQL."""
+
+QUERIES: dict = {}
+SQL: dict = {}

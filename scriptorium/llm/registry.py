@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import toxicity, url_filter
+from . import decontaminate, jaccard_join, substring_dedup, toxicity, url_filter
 
-_MODULES = (url_filter, toxicity)
+_MODULES = (jaccard_join, substring_dedup, url_filter, toxicity, decontaminate)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, importance, jaccard_join, language_id, packing, quality_rules, substring_dedup, toxicity, url_filter
+from . import decontaminate, html_text, importance, jaccard_join, language_id, packing, quality_rules, substring_dedup, toxicity, url_filter
 
-_MODULES = (quality_rules, packing, language_id, jaccard_join, substring_dedup, url_filter, toxicity, importance, decontaminate)
+_MODULES = (quality_rules, packing, language_id, jaccard_join, substring_dedup, url_filter, toxicity, html_text, importance, decontaminate)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}

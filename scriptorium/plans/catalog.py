@@ -1,4 +1,486 @@
-"""Queries over the test tables, and the same as SQL."""
+"""Queries over the test tables, each with its SQL where SQL can express it.
+
+The tables hold no dictionary pages, so operators run on analogues: parts against a noisy copy of themselves as gold
+and extracted records, events as positioned lines (time is the vertical place, users are pages)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geometry, text
+from ..functions.similarity import edit_ratio, ratio
+from ..operators import experiments, layout, matching, metrics, segment
+from ..operators.storage import stored
+from ..sources import readers, writers
+from ..schemas import FIELDS
 
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+_MAP = "translate(coalesce({0}, ''), 'Bpə', 'Врә')"
+_NORM = "translate(lower(regexp_replace(" + _MAP + r", '^\s+|\s+$', '', 'g')), ',', ';')"
+
+
+# --- scalar functions -------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, length({_NORM.format('text')}) AS n, md5({_NORM.format('text')}) AS digest FROM documents")
+def normalize_text(spark, d):
+    return _t(spark, d, "documents").select("doc_id", text.normalize_text("text").alias("t")).select("doc_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("digest"))
+
+
+@query(r"SELECT conv_id, turn, CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '')) AS BIGINT) AS n_tokens, CAST(length(text) AS BIGINT) AS n_chars FROM conversations")
+def tokenize_counts(spark, d):
+    return _t(spark, d, "conversations").select("conv_id", "turn", F.size(text.tokens("text")).cast("long").alias("n_tokens"), F.length("text").cast("long").alias("n_chars"))
+
+
+@query("""SELECT d.doc_id, CASE WHEN coalesce(d.source, '') = '' THEN 'word' ELSE d.source END AS entry_type,
+CASE WHEN l.quality IS NULL THEN 'none' ELSE CAST(l.quality AS VARCHAR) END AS quality
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE d.text IS NOT NULL AND d.text <> ''""")
+def default_and_filter_entries(spark, d):
+    rows = _t(spark, d, "documents").join(_t(spark, d, "labels"), "doc_id", "left").where(F.col("text") != "")
+    return rows.select("doc_id", text.default_if_empty("source", "word").alias("entry_type"), text.default_if_empty(F.col("quality").cast("string"), "none").alias("quality"))
+
+
+@query("SELECT lang, count(*) FILTER (WHERE n_chars >= 500) AS kept, count(*) FILTER (WHERE NOT n_chars >= 500) AS dropped FROM documents GROUP BY lang")
+def kept_and_dropped(spark, d):
+    return metrics.kept_and_dropped(_t(spark, d, "documents"), F.col("n_chars") >= 500, ["lang"])
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def strip_fence_parse_json(spark, d):
+    fenced = F.concat(F.lit(" ```json\n"), "props", F.lit("\n```\n"))
+    return _t(spark, d, "events").select("event_id", F.get_json_object(text.strip_code_fence(fenced), "$.k").cast("long").alias("k"))
+
+
+@query("SELECT p_partkey, CAST(0 AS BIGINT) AS seq, p_name AS headword_phrase, CASE WHEN p_size % 2 = 0 THEN 'word' ELSE p_type END AS entry_type FROM part WHERE p_name <> ''")
+def parse_records_dispatch(spark, d):
+    """Answers of three shapes: an array, an object with entries, one object."""
+    kind = F.when(F.col("p_size") % 2 == 0, "").otherwise(F.col("p_type"))
+    one = F.struct(F.col("p_name").alias("headword_phrase"), kind.alias("entry_type"))
+    shape = F.col("p_partkey") % 3
+    answer = F.when(shape == 0, F.to_json(F.array(one))).when(shape == 1, F.to_json(F.struct(F.array(one).alias("entries")))).otherwise(F.to_json(one))
+    rows = _t(spark, d, "part").select("p_partkey", F.concat(F.lit("```json\n"), answer, F.lit("\n```")).alias("answer"))
+    return readers.records_of_answers(rows).select("p_partkey", F.col("seq").cast("long").alias("seq"), "headword_phrase", "entry_type")
+
+
+_TAGGED = "CASE WHEN p_size % 3 = 0 THEN p_name || ' (' || p_type || '.)' WHEN p_size % 3 = 1 THEN p_name || ' (' || p_type || ' 1)' ELSE '12. ' || p_name END"
+
+
+@query(f"SELECT p_partkey, regexp_matches({_TAGGED}, '\\([а-яА-Яa-zA-Z]+\\.?\\)') AS tagged, p_size % 3 = 0 AS starts FROM part")
+def pos_tag_match(spark, d):
+    t = F.when(F.col("p_size") % 3 == 0, F.concat("p_name", F.lit(" ("), "p_type", F.lit(".)"))).when(F.col("p_size") % 3 == 1, F.concat("p_name", F.lit(" ("), "p_type", F.lit(" 1)"))).otherwise(F.concat(F.lit("12. "), "p_name"))
+    return _t(spark, d, "part").select("p_partkey", text.has_pos_tag(t).alias("tagged"), text.is_entry_start(t).alias("starts"))
+
+
+@query("SELECT event_id, value > (SELECT median(value) FROM events) * 1.1 AND (event_id % 10) / 10.0 > 0.7 AS bold FROM events")
+def bold_headword(spark, d):
+    rows = _t(spark, d, "events").withColumn("_all", F.lit(0))
+    mid = rows.groupBy("_all").agg(F.median("value").alias("mid"))
+    return rows.join(mid, "_all").select("event_id", text.is_bold_headword("value", "mid", F.col("event_id") % 10 / 10.0).alias("bold"))
+
+
+@query("SELECT label, count(*) AS n, CASE label % 3 WHEN 0 THEN 'green' WHEN 1 THEN 'purple' ELSE 'black' END AS colour, CASE label % 6 WHEN 0 THEN 'red' WHEN 1 THEN 'green' WHEN 2 THEN 'blue' WHEN 3 THEN 'orange' WHEN 4 THEN 'purple' ELSE 'brown' END AS cycle, CASE label % 3 WHEN 0 THEN 'text [' || label || ']' WHEN 1 THEN 'table' ELSE 'other [' || label || ']' END AS caption FROM embeddings GROUP BY label")
+def label_colours(spark, d):
+    kind = F.element_at(F.array(F.lit("text"), F.lit("table"), F.lit("other")), (F.col("label") % 3 + 1).cast("int"))
+    order = F.when(F.col("label") % 3 != 1, F.col("label"))
+    rows = _t(spark, d, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select("label", "n", text.label_colour(kind).alias("colour"), text.cycle_colour("label").alias("cycle"), text.block_caption(kind, order).alias("caption"))
+
+
+_MODEL = "CASE p_partkey % 5 WHEN 0 THEN 'openrouter/GPT-x' WHEN 1 THEN 'Gemini-pro' WHEN 2 THEN 'anthropic/c' WHEN 3 THEN 'gpt-x' ELSE p_name END"
+
+
+@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'OPENROUTER_API_KEY' WHEN 1 THEN 'GEMINI_API_KEY' WHEN 2 THEN 'ANTHROPIC_API_KEY' WHEN 3 THEN 'OPENAI_API_KEY' END AS variable FROM part")
+def model_key_lookup(spark, d):
+    return _t(spark, d, "part").select("p_partkey", text.key_variable(F.expr(_MODEL)).alias("variable"))
+
+
+@query("SELECT page_id, base64(CAST(url AS BLOB)) AS encoded FROM pages")
+def base64_encode(spark, d):
+    return _t(spark, d, "pages").select("page_id", text.base64_text(F.col("url").cast("binary")).alias("encoded"))
+
+
+@query("SELECT p_partkey, 'L' || lpad(CAST(p_size AS VARCHAR), 3, '0') AS entry_id, 'block_' || lpad(CAST(p_size AS VARCHAR), 3, '0') AS block_id FROM part")
+def format_ids(spark, d):
+    return _t(spark, d, "part").select("p_partkey", text.entry_id(F.lit("L"), "p_size").alias("entry_id"), text.block_id("p_size").alias("block_id"))
+
+
+@query("SELECT page_id, regexp_extract(u, '([^/]*)/*$', 1) AS name, regexp_replace(regexp_extract(u, '([^/]*)/*$', 1), '(.)\\.[^.]*$', '\\1') AS stem FROM (SELECT page_id, regexp_extract(url, '^[^?#]*') AS u FROM pages)")
+def path_functions(spark, d):
+    path = F.regexp_extract("url", "^[^?#]*", 0)
+    return _t(spark, d, "pages").select("page_id", text.name(path).alias("name"), text.stem(path).alias("stem"))
+
+
+@query("SELECT c_mktsegment, CASE WHEN count(*) FILTER (WHERE c_acctbal < 0) > 0 THEN CAST(count(*) AS DOUBLE) / count(*) FILTER (WHERE c_acctbal < 0) ELSE 0.0 END AS ratio FROM customer GROUP BY c_mktsegment")
+def guarded_ratio(spark, d):
+    rows = _t(spark, d, "customer").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("c_acctbal") < 0).alias("m"))
+    return rows.select("c_mktsegment", text.ratio_or_zero("n", "m").alias("ratio"))
+
+
+# --- geometry ---------------------------------------------------------------------------------------------------
+
+
+@query("SELECT vec_id, CAST(list_min(list_transform(range(0, 4), lambda i: embedding[2 * i + 1])) AS DOUBLE) AS x_min, CAST(list_min(list_transform(range(0, 4), lambda i: embedding[2 * i + 2])) AS DOUBLE) AS y_min, CAST(list_max(list_transform(range(0, 4), lambda i: embedding[2 * i + 1])) AS DOUBLE) AS x_max, CAST(list_max(list_transform(range(0, 4), lambda i: embedding[2 * i + 2])) AS DOUBLE) AS y_max FROM embeddings")
+def polygon_bbox(spark, d):
+    poly = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.array(*(F.element_at("embedding", i * 2 + k).cast("double") for k in (1, 2))))
+    return _t(spark, d, "embeddings").select("vec_id", geometry.polygon_box(poly).alias("b")).select("vec_id", "b.*")
+
+
+@query("""SELECT l_orderkey, l_linenumber, greatest(0, CAST(trunc(l_quantity - 20) AS INTEGER)) AS x_min, least(60, CAST(trunc(l_quantity + 10 + 20) AS INTEGER)) AS x_max,
+l_quantity + 5.0 AS cx, 10.0 AS width FROM lineitem""")
+def crop_clamp(spark, d):
+    q = F.col("l_quantity")
+    box = F.struct(q.alias("x_min"), q.alias("y_min"), (q + 10).alias("x_max"), (q + 10).alias("y_max"))
+    rows = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", box.alias("bbox"))
+    measures = geometry.box_measures("bbox")
+    return rows.select("l_orderkey", "l_linenumber", geometry.crop_box("bbox", F.lit(60), F.lit(60)).alias("c"), measures[0], measures[2]).select("l_orderkey", "l_linenumber", "c.x_min", "c.x_max", "cx", "width")
+
+
+@query("SELECT l_orderkey, count(*) AS n_blocks, count(*) FILTER (WHERE l_linestatus = 'F' AND l_returnflag <> 'N') AS n_text_blocks FROM lineitem GROUP BY l_orderkey")
+def block_filter_counts(spark, d):
+    box = F.when(F.col("l_returnflag") != "N", F.array(*(F.lit(0.0) for _ in range(4)))).otherwise(F.array(F.lit(0.0)))
+    block = F.struct(F.when(F.col("l_linestatus") == "F", "text").otherwise("table").alias("block_label"), box.alias("block_bbox"))
+    rows = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(block).alias("parsing_res_list"))
+    return layout.block_counts(rows.withColumnRenamed("l_orderkey", "input_path")).withColumnRenamed("input_path", "l_orderkey")
+
+
+# --- character and word errors ----------------------------------------------------------------------------------
+
+#: Parts and a copy with swapped vowels, a lost sign and an added one.
+_PAIRS = """(SELECT p_partkey AS pair_seq, 0 AS field_no, 'name' AS field, p_name AS gt, translate(p_name, 'aeo', '{0}') AS ext FROM part
+UNION ALL SELECT p_partkey, 1, 'brand', p_brand, replace(p_brand, '#', '') FROM part
+UNION ALL SELECT p_partkey, 2, 'type', p_type, p_type || '!' FROM part)"""
+
+
+def _pairs(spark, d, swap: str) -> DataFrame:
+    cells = [("name", F.col("p_name"), F.translate("p_name", "aeo", swap)), ("brand", F.col("p_brand"), F.regexp_replace("p_brand", "#", "")), ("type", F.col("p_type"), F.concat("p_type", F.lit("!")))]
+    struct = [F.struct(F.lit(i).alias("field_no"), F.lit(n).alias("field"), a.alias("gt"), b.alias("ext")) for i, (n, a, b) in enumerate(cells)]
+    rows = _t(spark, d, "part").select(F.col("p_partkey").alias("pair_seq"), F.explode(F.array(*struct)).alias("x")).select("pair_seq", "x.*")
+    return rows.withColumn("gold_raw", F.col("gt")).withColumn("ext_raw", F.col("ext"))
+
+
+_WORDS = "array_to_string(list_transform({0}, lambda w: chr(CAST(64 + list_position(list_distinct(list_concat(a, b)), w) AS INTEGER))), '')"
+_ERRORS = f"""SELECT {{0}} CAST(sum(length(gt)) AS BIGINT) AS total_chars, CAST(sum(levenshtein(gt, ext)) AS BIGINT) AS char_errors, CAST(sum(len(a)) AS BIGINT) AS total_words,
+CAST(sum(levenshtein({_WORDS.format('a')}, {_WORDS.format('b')})) AS BIGINT) AS word_errors,
+CAST(sum(levenshtein(gt, ext)) AS DOUBLE) / CAST(sum(length(gt)) AS DOUBLE) AS cer, CAST(sum(levenshtein({_WORDS.format('a')}, {_WORDS.format('b')})) AS DOUBLE) / CAST(sum(len(a)) AS DOUBLE) AS wer
+FROM (SELECT *, string_split(gt, ' ') AS a, string_split(ext, ' ') AS b FROM {_PAIRS.format('eoa')})"""
+
+
+@query(_ERRORS.format(""))
+def cer_totals(spark, d):
+    return metrics.error_totals(_pairs(spark, d, "eoa"))
+
+
+@query(_ERRORS.format("field,") + " GROUP BY field")
+def cer_by_field(spark, d):
+    return metrics.error_totals(_pairs(spark, d, "eoa"), ["field"])
+
+
+@query(_ERRORS.format("field,") + " GROUP BY ROLLUP (field)")
+def cer_rollup(spark, d):
+    return metrics.error_totals(_pairs(spark, d, "eoa"), ["field"], rollup=True)
+
+
+@query()
+def cer_conversations(spark, d):
+    """Whole turns against a copy with swapped vowels and lost commas, by role."""
+    rows = _t(spark, d, "conversations").select("role", text.normalize_text("text").alias("gt"), text.normalize_text(F.regexp_replace(F.translate("text", "ae", "ea"), ",", "")).alias("ext"))
+    return metrics.error_totals(rows, ["role"])
+
+
+_EDITS = f"""(SELECT pair_seq, field_no, 'substitution' AS op, substr(gt, i, 1) AS gt, substr(ext, i, 1) AS ext, i AS pos, gt AS gold_raw, ext AS ext_raw, field FROM
+    (SELECT *, unnest(range(1, length(gt) + 1)) AS i FROM {_PAIRS.format('479')} WHERE field = 'name') WHERE substr(gt, i, 1) <> substr(ext, i, 1)
+UNION ALL SELECT pair_seq, field_no, 'deletion', '#', '', 1, gt, ext, field FROM {_PAIRS.format('479')} WHERE field = 'brand'
+UNION ALL SELECT pair_seq, field_no, 'insertion', '', '!', 1, gt, ext, field FROM {_PAIRS.format('479')} WHERE field = 'type')"""
+
+
+def _edits(spark, d) -> DataFrame:
+    return metrics.edit_rows(_pairs(spark, d, "479"))
+
+
+@query(f"""SELECT total_chars, substitutions, deletions, insertions, CAST(substitutions AS DOUBLE) / total_chars AS substitution_rate, CAST(deletions AS DOUBLE) / total_chars AS deletion_rate, CAST(insertions AS DOUBLE) / total_chars AS insertion_rate FROM
+(SELECT count(*) FILTER (WHERE op = 'substitution') AS substitutions, count(*) FILTER (WHERE op = 'deletion') AS deletions, count(*) FILTER (WHERE op = 'insertion') AS insertions FROM {_EDITS}),
+(SELECT CAST(sum(length(gt)) AS BIGINT) AS total_chars FROM {_PAIRS.format('479')})""")
+def op_rates(spark, d):
+    return metrics.op_rates(_edits(spark, d), metrics.error_totals(_pairs(spark, d, "479")))
+
+
+_RANKED = f"""SELECT op, gt, ext, n, CAST(n AS DOUBLE) / CAST(sum(n) OVER (PARTITION BY op) AS DOUBLE) AS share, row_number() OVER (PARTITION BY op ORDER BY n DESC, first) AS rank FROM
+(SELECT op, gt, ext, count(*) AS n, min((pair_seq, field_no, pos)) AS first FROM {_EDITS} GROUP BY op, gt, ext)"""
+
+
+@query(f"SELECT op, gt, ext, n, CAST(rank AS INTEGER) AS rank FROM ({_RANKED}) WHERE rank <= 30")
+def confusion_top30(spark, d):
+    return metrics.confusions(_edits(spark, d)).drop("share")
+
+
+@query(f"SELECT op, gt, ext, n, share, CAST(rank AS INTEGER) AS rank FROM ({_RANKED})")
+def confusion_share(spark, d):
+    return metrics.confusions(_edits(spark, d), top=None)
+
+
+@query(f"SELECT op, gt, ext, count(*) AS n, md5(string_agg(gold_raw || '>' || ext_raw, ';' ORDER BY pair_seq, field_no, pos)) AS digest FROM {_EDITS} GROUP BY op, gt, ext")
+def confusion_examples(spark, d):
+    listed = metrics.confusion_examples(_edits(spark, d))
+    return listed.select("op", "gt", "ext", F.size("examples").cast("long").alias("n"), F.md5(F.array_join(F.transform("examples", lambda s: F.concat(s["gold"], F.lit(">"), s["extracted"])), ";")).alias("digest"))
+
+
+@query(f"""SELECT field, CAST(chars AS BIGINT) AS chars, coalesce(s, 0) AS substitutions, coalesce(de, 0) AS deletions, coalesce(i, 0) AS insertions, CAST(coalesce(s, 0) + coalesce(de, 0) + coalesce(i, 0) AS DOUBLE) / CAST(chars AS DOUBLE) AS cer FROM
+(SELECT field, sum(length(gt)) AS chars FROM {_PAIRS.format('479')} GROUP BY field) LEFT JOIN
+(SELECT field, count(*) FILTER (WHERE op = 'substitution') AS s, count(*) FILTER (WHERE op = 'deletion') AS de, count(*) FILTER (WHERE op = 'insertion') AS i FROM {_EDITS} GROUP BY field) USING (field)""")
+def field_stats(spark, d):
+    return metrics.field_stats(_pairs(spark, d, "479"), _edits(spark, d))
+
+
+@query()
+def block_edit_ops(spark, d):
+    """The alternative alignment by matching blocks: counts of its edits."""
+    return metrics.edit_rows(_pairs(spark, d, "eoa"), mode="blocks").groupBy("field", "op").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- segmentation -----------------------------------------------------------------------------------------------
+
+_LINES = """(SELECT user_id, event_id AS seq, CAST(epoch_us(ts) AS DOUBLE) AS y_min, CAST(epoch_us(ts) AS DOUBLE) + floor(value * 1000000) AS y_max, value AS x_min, value + 1 AS x_max,
+CASE WHEN (value + value + 1) / 2 < 50.0 / 2 THEN 'L' ELSE 'R' END AS col FROM events)"""
+_W = "PARTITION BY user_id, col ORDER BY y_min, x_min, seq"
+_GAPS = f"(SELECT *, y_min - lag(y_max) OVER ({_W}) AS gap FROM {_LINES})"
+_MID = f"(SELECT user_id, col, coalesce(median(gap), 0) AS median_gap, min(x_min) AS left_margin, count(*) AS n_lines FROM {_GAPS} GROUP BY user_id, col)"
+_STATS = f"(SELECT user_id, col, any_value(median_gap) AS median_gap, coalesce(median(abs(gap - median_gap)), 0) AS mad_gap, any_value(left_margin) AS left_margin, quantile_cont(x_min - left_margin, 0.25) AS indent_q1, any_value(n_lines) AS n_lines FROM {_GAPS} g JOIN {_MID} m USING (user_id, col) GROUP BY user_id, col)"
+_NUMBERED = f"(SELECT *, CAST(sum(CASE WHEN gap > median_gap + 2.0 * mad_gap THEN 1 ELSE 0 END) OVER ({_W} ROWS UNBOUNDED PRECEDING) AS INTEGER) AS entry_no FROM {_GAPS} g JOIN (SELECT user_id, col, median_gap, mad_gap FROM {_STATS}) s USING (user_id, col))"
+
+
+def _lines(spark, d) -> DataFrame:
+    y, v = F.unix_micros(F.col("ts").cast("timestamp")).cast("double"), F.col("value")
+    box = F.struct(v.alias("x_min"), y.alias("y_min"), (v + 1).alias("x_max"), (y + F.floor(v * 1000000)).alias("y_max"))
+    rows = _t(spark, d, "events").select("user_id", F.col("event_id").alias("seq"), box.alias("bbox"), F.col("event_type").alias("text"), (F.col("event_id") % 10 / 10.0).alias("confidence"))
+    return segment.split_columns(rows, 50.0)
+
+
+_KEYS = ["user_id", "column"]
+
+
+@query(f'SELECT user_id, col AS "column", count(*) AS n_lines FROM {_LINES} GROUP BY user_id, col')
+def segment_columns(spark, d):
+    return _lines(spark, d).groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+@query(f'SELECT user_id, col AS "column", seq, CAST(row_number() OVER ({_W}) - 1 AS INTEGER) AS "order", gap FROM {_GAPS}')
+def reading_order(spark, d):
+    return segment.reading_order(segment.with_gaps(_lines(spark, d), _KEYS), _KEYS).select(*_KEYS, "seq", "order", "gap")
+
+
+@query(f'SELECT user_id, col AS "column", median_gap, mad_gap, left_margin, round(indent_q1, 6) AS indent_q1, n_lines, median_gap + 2.0 * mad_gap AS "limit" FROM {_STATS}')
+def gap_stats(spark, d):
+    return segment.gap_stats(_lines(spark, d), _KEYS).withColumn("indent_q1", F.round("indent_q1", 6)).select(*_KEYS, "median_gap", "mad_gap", "left_margin", "indent_q1", "n_lines", "limit")
+
+
+@query(f"""SELECT user_id, col || lpad(CAST(entry_no AS VARCHAR), CAST(greatest(3, length(CAST(entry_no AS VARCHAR))) AS INTEGER), '0') AS entry_id, count(*) AS n_lines, min(x_min) AS x_min, min(y_min) AS y_min, max(x_max) AS x_max, max(y_max) AS y_max,
+string_agg(CAST(seq AS VARCHAR), ',' ORDER BY y_min, x_min, seq) AS seqs FROM {_NUMBERED} GROUP BY user_id, col, entry_no""")
+def segment_entries(spark, d):
+    lines = _lines(spark, d).withColumn("text", F.col("seq").cast("string"))
+    e = segment.segment_entries(lines, ["user_id"])
+    return e.select("user_id", "entry_id", "n_lines", "bbox.*", F.array_join(F.transform("lines", lambda x: x["text"]), ",").alias("seqs"))
+
+
+@query("SELECT user_id, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events WHERE event_id % 10 / 10.0 >= 0.5 GROUP BY user_id")
+def confidence_filter(spark, d):
+    rows = _t(spark, d, "events").groupBy("user_id").agg(
+        F.collect_list(F.array(F.array(F.col("value"), F.col("value")))).alias("dt_polys"), F.collect_list(F.col("event_id").cast("string")).alias("rec_texts"), F.collect_list(F.col("event_id") % 10 / 10.0).alias("rec_scores")
+    )
+    return segment.ocr_lines(rows, ["user_id"]).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("text").cast("long")).alias("ids"))
+
+
+# --- matching ---------------------------------------------------------------------------------------------------
+
+_GROUP = ["p_brand", "p_size"]
+
+
+def _sides(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Gold: all parts. Extracted: a noisy copy, every seventh part lost. Parts match within a brand and size."""
+    part = _t(spark, d, "part")
+    blank = [F.lit("").alias(c) for c in ("Entry_Type", "Literal_Meaning", "Grammar_Notes")]
+    gold = part.select(*_GROUP, F.col("p_partkey").alias("seq"), F.col("p_name").alias("Headword_Phrase"), F.col("p_type").alias("POS"), F.concat("p_type", F.lit(" "), "p_name").alias("Translation_RU"), *blank)
+    noisy = F.when(F.col("p_partkey") % 3 == 0, F.translate("p_name", "aeo", "eoa")).otherwise(F.col("p_name"))
+    other = part.where(F.col("p_partkey") % 7 != 0).select(*_GROUP, F.col("p_partkey").alias("seq"), noisy.alias("Headword_Phrase"), F.col("p_type").alias("POS"), F.concat("p_type", F.lit(" "), noisy).alias("Translation_RU"), *blank)
+    return gold, other
+
+
+_EXT = "CASE WHEN p_partkey % 3 = 0 THEN translate(p_name, 'aeo', 'eoa') ELSE p_name END"
+_N = "translate(lower(translate({0}, 'Bpə', 'Врә')), ',', ';')"
+#: The edit ratio. The Cyrillic letters that normalisation puts in go back to ASCII ones, as the engine counts bytes.
+_ASCII = "replace({0}, 'р', 'p')"
+_R = "CASE WHEN greatest(length({0}), length({1})) = 0 THEN 1.0::DOUBLE ELSE 1 - CAST(levenshtein(" + _ASCII.format("{0}") + ", " + _ASCII.format("{1}") + ") AS DOUBLE) / greatest(length({0}), length({1})) END"
+_CAND = f"""g AS (SELECT p_brand, p_size, p_partkey AS seq, {_N.format('p_name')} AS h, {_N.format('p_type')} AS p, {_N.format("p_type || ' ' || p_name")} AS t FROM part),
+e AS (SELECT p_brand, p_size, p_partkey AS seq, {_N.format(_EXT)} AS h, {_N.format('p_type')} AS p, {_N.format("p_type || ' ' || " + _EXT)} AS t FROM part WHERE p_partkey % 7 <> 0),
+s AS (SELECT p_brand, p_size, g.seq AS g_seq, e.seq AS e_seq, {_R.format('g.h', 'e.h')} AS head_score, {_R.format('g.p', 'e.p')} AS pos_score, {_R.format('g.t', 'e.t')} AS def_score FROM g JOIN e USING (p_brand, p_size)),
+c AS (SELECT *, 0.5::DOUBLE * head_score + 0.15::DOUBLE * pos_score + 0.35::DOUBLE * def_score AS overall FROM s WHERE head_score >= 0.7),
+n AS (SELECT p_brand, p_size, seq, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY seq) AS k FROM g),
+l AS (SELECT g_seq, list(e_seq ORDER BY overall DESC, e_seq) AS es FROM c GROUP BY g_seq),
+m(p_brand, p_size, k, used, g_seq, e_seq) AS (SELECT DISTINCT p_brand, p_size, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM g
+    UNION ALL SELECT m.p_brand, m.p_size, n.k, CASE WHEN x.e IS NULL THEN m.used ELSE list_append(m.used, x.e) END, n.seq, x.e FROM m JOIN n ON n.p_brand = m.p_brand AND n.p_size = m.p_size AND n.k = m.k + 1
+    LEFT JOIN l ON l.g_seq = n.seq, LATERAL (SELECT list_filter(l.es, lambda y: NOT list_contains(m.used, y))[1] AS e) x),
+w AS (SELECT c.*, CASE WHEN head_score = 1.0 AND pos_score >= 0.9 AND def_score >= 0.9 THEN 'exact' WHEN overall >= 0.85 THEN 'partial' ELSE 'below' END AS match_class FROM c JOIN m ON m.g_seq = c.g_seq AND m.e_seq = c.e_seq)"""
+_SCORES = "round(head_score, 9) AS head_score, round(pos_score, 9) AS pos_score, round(def_score, 9) AS def_score, round(overall, 9) AS overall"
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 9) for c in ("head_score", "pos_score", "def_score", "overall")})
+
+
+def _matches(spark, d):
+    gold, other = _sides(spark, d)
+    return gold, other, stored(matching.match_records(gold, other, _GROUP, similarity=edit_ratio), "matches")
+
+
+@query(f"WITH RECURSIVE {_CAND} SELECT p_brand, p_size, g_seq, e_seq, {_SCORES} FROM c")
+def candidate_pairs(spark, d):
+    return _rounded(matching.candidate_pairs(*_sides(spark, d), _GROUP, similarity=edit_ratio))
+
+
+@query()
+def candidate_pairs_blocks(spark, d):
+    """Candidates by the matching-block ratio (difflib)."""
+    return _rounded(matching.candidate_pairs(*_sides(spark, d), _GROUP, similarity=ratio))
+
+
+@query(f"WITH RECURSIVE {_CAND} SELECT p_brand, p_size, g_seq, e_seq, {_SCORES}, match_class FROM w")
+def greedy_match(spark, d):
+    return _rounded(_matches(spark, d)[2])
+
+
+@query()
+def greedy_match_blocks(spark, d):
+    """The assignment by the matching-block ratio (difflib)."""
+    gold, other = _sides(spark, d)
+    return _rounded(matching.match_records(gold, other, _GROUP, similarity=ratio))
+
+
+@query(f"WITH RECURSIVE {_CAND} SELECT p_brand, p_size, seq FROM g WHERE seq NOT IN (SELECT g_seq FROM w)")
+def missing_entries(spark, d):
+    gold, _, m = _matches(spark, d)
+    return matching.missing(gold, m, _GROUP).select(*_GROUP, "seq")
+
+
+@query(f"WITH RECURSIVE {_CAND} SELECT p_brand, p_size, seq FROM e WHERE seq NOT IN (SELECT e_seq FROM w)")
+def extra_entries(spark, d):
+    _, other, m = _matches(spark, d)
+    return matching.extra(other, m, _GROUP).select(*_GROUP, "seq")
+
+
+@query(f"WITH RECURSIVE {_CAND} SELECT match_class, count(*) AS n FROM w GROUP BY match_class")
+def match_classes(spark, d):
+    return _matches(spark, d)[2].groupBy("match_class").agg(F.count(F.lit(1)).alias("n"))
+
+
+_COUNTS = f"""WITH RECURSIVE {_CAND}, t AS (SELECT (SELECT count(*) FROM g) AS total_gold, (SELECT count(*) FROM e) AS total_extracted, count(*) AS paired, count(*) FILTER (WHERE match_class = 'exact') AS exact_matches,
+count(*) FILTER (WHERE match_class = 'partial') AS partial_matches, avg(head_score) AS ha, avg(pos_score) AS ga, avg(def_score) AS da FROM w),
+r AS (SELECT *, CAST(exact_matches + partial_matches AS DOUBLE) / total_extracted AS p, CAST(exact_matches + partial_matches AS DOUBLE) / total_gold AS r FROM t)"""
+
+
+@query(f"""{_COUNTS} SELECT total_gold, total_extracted, exact_matches, partial_matches, total_gold - paired AS missing_entries, total_extracted - paired AS extra_entries,
+p AS "precision", r AS recall, 2 * p * r / (p + r) AS overall_f1 FROM r""")
+def precision_recall_f1(spark, d):
+    return metrics.match_counts(*_matches(spark, d)).drop("headword_accuracy", "grammatical_accuracy", "definition_accuracy")
+
+
+@query(f"{_COUNTS} SELECT round(ha, 9) AS headword_accuracy, round(ga, 9) AS grammatical_accuracy, round(da, 9) AS definition_accuracy FROM r")
+def field_accuracy(spark, d):
+    names = ("headword_accuracy", "grammatical_accuracy", "definition_accuracy")
+    return metrics.match_counts(*_matches(spark, d)).select(*(F.round(n, 9).alias(n) for n in names))
+
+
+@query(f"WITH RECURSIVE {_CAND} SELECT g_seq, e_seq, round(overall, 9) AS overall FROM w WHERE overall < 0.9 ORDER BY g_seq LIMIT 5")
+def low_score_first5(spark, d):
+    return matching.low_scores(_matches(spark, d)[2], 5).select("g_seq", "e_seq", F.round("overall", 9).alias("overall"))
+
+
+@query(f"WITH RECURSIVE {_CAND}, x AS (SELECT seq FROM g WHERE seq NOT IN (SELECT g_seq FROM w)) SELECT seq, greatest((SELECT count(*) FROM x) - 10, 0) AS more FROM x ORDER BY seq LIMIT 10")
+def head10_remainder(spark, d):
+    gold, _, m = _matches(spark, d)
+    left = stored(matching.missing(gold, m, _GROUP).select("seq"), "missing")
+    total = left.agg(F.greatest(F.count(F.lit(1)) - 10, F.lit(0)).alias("more")).withColumn("_all", F.lit(0))
+    return left.orderBy("seq").limit(10).withColumn("_all", F.lit(0)).join(total, "_all").select("seq", "more")
+
+
+@query(f"""WITH RECURSIVE {_CAND}, f AS (SELECT w.g_seq, 'Headword_Phrase' AS field, g.h AS gt, e.h AS ext FROM w JOIN g ON g.seq = w.g_seq JOIN e ON e.seq = w.e_seq UNION ALL
+SELECT w.g_seq, 'POS', g.p, e.p FROM w JOIN g ON g.seq = w.g_seq JOIN e ON e.seq = w.e_seq UNION ALL SELECT w.g_seq, 'Translation_RU', g.t, e.t FROM w JOIN g ON g.seq = w.g_seq JOIN e ON e.seq = w.e_seq)
+SELECT field, CAST(sum(length(gt)) AS BIGINT) AS total_chars, CAST(sum(levenshtein({_ASCII.format('gt')}, {_ASCII.format('ext')})) AS BIGINT) AS char_errors FROM f GROUP BY field""")
+def matched_field_errors(spark, d):
+    gold, other, m = _matches(spark, d)
+    rows = metrics.field_pairs(matching.with_records(m, gold, other, _GROUP), _GROUP)
+    return metrics.error_totals(rows, ["field"]).select("field", "total_chars", "char_errors")
+
+
+# --- runs, unions, projections ----------------------------------------------------------------------------------
+
+_RUNS = [("none", "Clean copy", ""), ("a", "One vowel", "a"), ("ae", "Two vowels", "ae"), ("aeo", "Three vowels", "aeo")]
+
+
+def _run_totals(spark, d) -> DataFrame:
+    swaps = F.array(*(F.struct(F.lit(r).alias("run_id"), F.translate("p_name", v, "479"[: len(v)]).alias("ext")) for r, _, v in _RUNS))
+    rows = _t(spark, d, "part").select(F.col("p_name").alias("gt"), F.explode(swaps).alias("x")).select("gt", "x.*")
+    return metrics.error_totals(rows, ["run_id"])
+
+
+def _variants(spark) -> DataFrame:
+    rows = [(r, label, i, r != "ae") for i, (r, label, _) in enumerate(_RUNS)] + [("lost", "No result", 9, True)]
+    return spark.createDataFrame(rows, "run_id string, label string, seq int, has_image boolean")
+
+
+_RUN_ROWS = " UNION ALL ".join(f"SELECT '{r}' AS run_id, '{label}' AS label, {i} AS seq, p_name AS gt, translate(p_name, '{v}', '{'479'[: len(v)]}') AS ext FROM part" for i, (r, label, v) in enumerate(_RUNS))
+_RUN_TOTALS = f"(SELECT run_id, label, seq, sum(levenshtein(gt, ext)) / sum(length(gt)) AS cer, sum(list_sum(list_transform(range(1, len(string_split(gt, ' ')) + 1), lambda i: CASE WHEN string_split(gt, ' ')[i] <> string_split(ext, ' ')[i] THEN 1 ELSE 0 END))) / sum(len(string_split(gt, ' '))) AS wer FROM ({_RUN_ROWS}) GROUP BY run_id, label, seq)"
+
+
+@query(f"SELECT run_id, label, seq, printf('%.4f (%.2f%%)', cer, cer * 100) AS cer, printf('%.4f (%.2f%%)', wer, wer * 100) AS wer FROM {_RUN_TOTALS} UNION ALL SELECT 'lost', 'No result', 9, 'N/A', 'N/A'")
+def experiment_compare(spark, d):
+    return experiments.compare_runs(_variants(spark), _run_totals(spark, d))
+
+
+@query(f"SELECT run_id, label, seq, printf('%.4f', cer) AS cer, printf('%.4f', wer) AS wer, printf('%.3f', 1 - cer) AS overall_f1 FROM {_RUN_TOTALS} WHERE run_id <> 'ae' UNION ALL SELECT 'lost', 'No result', 9, 'ERROR', 'ERROR', 'ERROR'")
+def ablation_table(spark, d):
+    totals = stored(_run_totals(spark, d), "runs")
+    return experiments.ablation_table(_variants(spark), totals, totals.select("run_id", (1 - F.col("cer")).alias("overall_f1")))
+
+
+@query("SELECT doc_id, 'document' AS kind FROM documents UNION ALL SELECT doc_id, 'label' FROM labels")
+def append_union(spark, d):
+    one, two = _t(spark, d, "documents").select("doc_id", F.lit("document").alias("kind")), _t(spark, d, "labels").select("doc_id", F.lit("label").alias("kind"))
+    return one.unionByName(two)
+
+
+@query("SELECT CAST(d.doc_id AS VARCHAR) AS stem, md5(coalesce(CASE WHEN l.toxic = 1 THEN 'toxic' END, b.text)) AS text FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id AND l.toxic = 1 LEFT JOIN benchmark b ON b.item_id = d.doc_id WHERE coalesce(CASE WHEN l.toxic = 1 THEN 'toxic' END, b.text) IS NOT NULL")
+def sidecar_lookup(spark, d):
+    images = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("stem"))
+    first = _t(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("stem"), F.lit("toxic").alias("text"))
+    other = _t(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("stem"), "text")
+    return layout.with_sidecar(images, first, other).withColumn("text", F.md5("text"))
+
+
+@query("SELECT p_partkey AS seq, p_name AS Headword_Phrase, '' AS Entry_Type, p_type AS POS, p_brand AS Translation_RU, '' AS Literal_Meaning, '' AS Grammar_Notes FROM part")
+def json_to_tsv_projection(spark, d):
+    rows = _t(spark, d, "part").select(F.col("p_partkey").alias("seq"), F.to_json(F.struct(F.col("p_name").alias("headword_phrase"), F.col("p_type").alias("pos"), F.col("p_brand").alias("translation_ru"))).alias("j"))
+    schema = ", ".join(f"{k} string" for k in FIELDS)
+    return writers.to_tsv_names(rows.select("seq", F.from_json("j", schema).alias("r")).select("seq", "r.*"))
+
+
+@query("SELECT p_partkey AS seq, p_name || ' (' || p_type || '): ' || substr(p_brand || ' ' || p_name, 1, 50) || CASE WHEN p_size % 2 = 0 THEN ' [lit: ' || p_name || ']' ELSE '' END AS line FROM part ORDER BY p_partkey LIMIT 5")
+def console_preview(spark, d):
+    rows = _t(spark, d, "part").select(F.col("p_partkey").alias("seq"), F.col("p_name").alias("Headword_Phrase"), F.col("p_type").alias("POS"), F.concat("p_brand", F.lit(" "), "p_name").alias("Translation_RU"), F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise("").alias("Literal_Meaning"))
+    return writers.preview(rows)

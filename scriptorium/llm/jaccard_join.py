@@ -2,12 +2,14 @@
 
 Method: a document is the set of its distinct word shingles (64-bit hashes); documents of equal sets form a class and
 one of each class goes on. Two sets that reach the threshold t share a token among the first n - ceil(t n) + 1 of
-each, whatever global order sorts the tokens. The first order (rare tokens first, by a table of the corpus's most
-frequent ones) makes postings; tokens that two classes share there bind classes to a cluster, by connected
-components, and every link lies inside one cluster. Clusters are dealt in blocks of bounded size, pairs of blocks
-where a cluster has more. In a block a pair is a candidate if the sets' prefixes share a token under every one of
-the ORDERS orders and the sizes allow the threshold; candidates are verified by the exact intersection. Links of a
-block come out as a spanning forest and a count for each class, never as pairs.
+each, whatever global order sorts the tokens. The first order puts rare tokens first: the FREQUENT most frequent ones
+come last, by a table of fixed size, and all others go by the exact number of sets that have them, found by one
+exchange of packed tokens. A set whose prefix holds no token of another set is done with. The others' prefixes are
+postings; tokens that two classes share there bind classes to a cluster, by connected components, and every link lies
+inside one cluster. Clusters are dealt in blocks of bounded size, pairs of blocks where a cluster has more. In a block
+a pair is a candidate if the sets' prefixes share a token under that order and under ORDERS - 1 others, and the sizes
+allow the threshold; candidates are verified by the exact intersection. Links of a block come out as a spanning forest
+and a count for each class, never as pairs.
 
 Exact up to collisions of 64-bit hashes. Nothing is capped: work in a cluster of m near copies is m^2 / block in
 rows moved, split over blocks.
@@ -22,6 +24,7 @@ by the operator and kept by the stage.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +40,12 @@ WORDS = 4
 #: The threshold in hundredths.
 PERCENT = 85
 ORDERS = 3
-#: Frequent tokens in the table that the first order uses, at most. Only the order, never the result, depends on it.
+#: Tokens in the table of the most frequent ones, at most. Only the first order, never the result, depends on it.
 FREQUENT = 100_000
-#: Documents counted together before their frequent tokens are passed on, and the least count passed on.
-FLUSH, SEEN = 8_000, 3
+#: Documents (and tokens) counted together before their frequent tokens are passed on, and the least count passed on.
+FLUSH, FLUSH_TOKENS, SEEN = 8_000, 4_000_000, 3
+#: Tokens that a bucket of the exchange holds, about.
+BUCKET = 500_000
 #: Tokens (each set counting at least LIGHT) of a block.
 BLOCK, LIGHT = 64_000, 50
 #: Bits of the filter that thins documents before they are joined with the clusters: a fixed size.
@@ -66,16 +71,10 @@ def prefix_size(n: int, percent: int = PERCENT) -> int:
     return n + (-percent * n // 100) + 1
 
 
-def prefix(s: np.ndarray, order: int, frequent: tuple[np.ndarray, np.ndarray], percent: int = PERCENT) -> np.ndarray:
-    """The first tokens of a set under a global order. Order 0 puts frequent tokens last, by count; ties and the others go by hashes."""
+def prefix(s: np.ndarray, order: int, percent: int = PERCENT) -> np.ndarray:
+    """The first tokens of a set under one of the further orders, each by a hash of its own."""
     p = prefix_size(len(s), percent)
-    key = mixed(s ^ _SALT[order])
-    if order == 0 and len(frequent[0]):
-        at = np.searchsorted(frequent[0], s)
-        at[at == len(frequent[0])] = 0
-        n = np.where(frequent[0][at] == s, frequent[1][at], 0)
-        return s[np.lexsort((key, n))[:p]]
-    return s[np.argpartition(key, p - 1)[:p]] if p < len(s) else s
+    return s if p >= len(s) else s[np.argpartition(mixed(s ^ _SALT[order]), p - 1)[:p]]
 
 
 def _key(s: np.ndarray) -> tuple[int, int]:
@@ -89,60 +88,186 @@ def _each(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]
             yield at + k, s
 
 
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
+
+
 def _scan(docs: DataFrame, words: int) -> DataFrame:
     """One pass: a row for each document (doc_id, n, k1, k2 of its set), and rows (token, count) of tokens seen often."""
     schema = "doc_id long, n long, k1 long, k2 long, token long, count long"
 
-    def batch_of(ids, n, k1, k2, token, count) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(token, pa.int64()), pa.array(count, pa.int64())], [x.split()[0] for x in schema.split(", ")])
-
-    def often(held: list[np.ndarray]) -> pa.RecordBatch:
+    def often(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         u, c = np.unique(np.concatenate(held), return_counts=True)
-        u, c = u[c >= SEEN], c[c >= SEEN]
-        none = [None] * len(u)
-        return batch_of(pa.nulls(len(u), pa.int64()), none, none, none, u.view(np.int64), c)
+        u, c = u[c >= SEEN].view(np.int64), c[c >= SEEN]
+        none = pa.nulls(len(u), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(u), pa.array(c)], [x.split()[0] for x in schema.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
         for b in batches:
-            rows: list[tuple[int, int, int]] = []
-            for _, s in _each(b, words):
-                rows.append((len(s), *_key(s)))
+            ids, rows = b.column("doc_id").to_pylist(), []
+            for i, s in _each(b, words):
+                rows.append((ids[i], len(s), *_key(s), None, None))
                 held.append(s)
                 size += len(s)
-                if len(held) >= FLUSH or size >= 5_000_000:
-                    yield often(held)
+                if len(held) >= FLUSH or size >= FLUSH_TOKENS:
+                    yield from often(held)
                     held, size = [], 0
             if rows:
-                n, k1, k2 = zip(*rows, strict=True)
-                none = [None] * len(rows)
-                yield batch_of(b.column("doc_id"), n, k1, k2, none, none)
+                yield _batch(schema, rows)
         if held:
-            yield often(held)
+            yield from often(held)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-def _postings(docs: DataFrame, words: int, percent: int, frequent: Broadcast) -> DataFrame:
-    """(token, k1) for the tokens of each set's prefix under the first order. A task passes a set on once."""
+_PACKED = "bucket int, dk long, k1 long, n int, often binary, low binary, high binary, who binary"
+
+
+def _packed(docs: DataFrame, words: int, percent: int, frequent: Broadcast, bits: int) -> DataFrame:
+    """For the exchange: by bucket (the first bits of a token) the next 40 bits of many sets' tokens, without frequent
+    ones, and the sets' numbers; and a row for each set (key dk) with its class, size and first frequent tokens.
+
+    A task passes a set on once."""
+
+    def flush(held: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        token, count = frequent.value
+        near = np.zeros(1 << 16, bool)  # spares most tokens the search
+        near[(token >> np.uint64(48)).astype(np.int64)] = True
+        keys = np.array([k for k, _ in held])
+        base = xxhash.xxh3_64_intdigest(keys.tobytes()) >> 17 << 16
+        lens = [len(s) for _, s in held]
+        t, who = np.concatenate([s for _, s in held]), np.repeat(np.arange(len(held), dtype=np.uint16), lens)
+        often = np.zeros(len(t), bool)
+        if len(token):
+            may = np.flatnonzero(near[(t >> np.uint64(48)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(token, t[may]), len(token) - 1)
+            often[may] = token[at] == t[may]
+            number = np.zeros(len(t), np.int64)
+            number[may] = count[at]
+        end = np.cumsum(lens)
+        rows = []
+        for i, (a, z) in enumerate(zip((end - lens).tolist(), end.tolist(), strict=True)):
+            own = often[a:z]
+            f = t[a:z][own]
+            if len(f):
+                f = f[np.lexsort((f, number[a:z][own]))]
+            rows.append((int(keys[i]) & (1 << bits) - 1, base + i, int(keys[i]), z - a, f.tobytes(), None, None, None))
+            if len(rows) >= 2_000:
+                yield _batch(_PACKED, rows)
+                rows = []
+        t, who = t[~often], who[~often]
+        bucket = (t >> np.uint64(64 - bits)).astype(np.uint32)
+        order = np.argsort(bucket, kind="stable")
+        rest, bucket, who = (t >> np.uint64(24 - bits))[order] & np.uint64((1 << 40) - 1), bucket[order], who[order]
+        low, high = rest.astype(np.uint32), (rest >> np.uint64(32)).astype(np.uint8)
+        edge = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)])).tolist() if len(bucket) else []
+        for a, z in pairwise(edge):
+            rows.append((int(bucket[a]), base, None, None, None, low[a:z].tobytes(), high[a:z].tobytes(), who[a:z].tobytes()))
+            if len(rows) >= 2_000:
+                yield _batch(_PACKED, rows)
+                rows = []
+        if rows:
+            yield _batch(_PACKED, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        held: list[tuple[int, np.ndarray]] = []
+        size = 0
         for b in batches:
-            tokens, keys = [], []
             for _, s in _each(b, words):
                 if len(s) and (k := _key(s)[0]) not in seen:
                     seen.add(k)
-                    p = prefix(s, 0, frequent.value, percent)
-                    tokens.append(p)
-                    keys.append(np.full(len(p), k))
+                    held.append((k, s))
+                    size += len(s)
+                    if len(held) >= FLUSH or size >= FLUSH_TOKENS:
+                        yield from flush(held)
+                        held, size = [], 0
             if len(seen) > 1_000_000:
                 seen.clear()
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(keys))], ["token", "k1"])
+        if held:
+            yield from flush(held)
+
+    return docs.select("text").mapInArrow(run, _PACKED)
+
+
+_COMMON = "dk long, k1 long, n int, often binary, df int, token long"
+
+
+def _common(packed: DataFrame) -> DataFrame:
+    """packed, sorted by bucket within partitions: the tokens that several sets have, for each of them (dk, df, token); rows of sets as they are."""
+
+    def found(bucket: int, parts: list[tuple[int, bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        t = np.concatenate([np.frombuffer(low, np.uint32) | (np.frombuffer(high, np.uint8).astype(np.uint64) << np.uint64(32)) for _, low, high, _ in parts])
+        dk = np.concatenate([base + np.frombuffer(who, np.uint16).astype(np.int64) for base, _, _, who in parts])
+        order = np.argsort(t)
+        t, dk = t[order], dk[order]
+        edge = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
+        n = np.diff(np.append(edge, len(t)))
+        df = np.repeat(n, n)
+        m = df > 1
+        if m.any():
+            none = int(m.sum())
+            columns = [pa.array(dk[m]), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary()), pa.array(df[m].astype(np.int32)), pa.array(t[m].astype(np.int64) | (bucket << 40))]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _COMMON.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for b in batches:
+            sets = []
+            for bucket, dk, k1, n, often, low, high, who in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if bucket != now:
+                    if parts:
+                        yield from found(now, parts)
+                    now, parts = bucket, []
+                if low is None:
+                    sets.append((dk, k1, n, often, None, None))
+                else:
+                    parts.append((dk, low, high, who))
+            if sets:
+                yield _batch(_COMMON, sets)
+        if parts:
+            yield from found(now, parts)
+
+    return packed.mapInArrow(run, _COMMON)
+
+
+def prefixes(docs: DataFrame, words: int, percent: int, frequent: Broadcast, bits: int) -> DataFrame:
+    """Classes whose prefix under the first order has tokens that other sets have too: k1, and these tokens (longs, packed)."""
+    packed = _packed(docs, words, percent, frequent, bits).repartition("bucket").sortWithinPartitions("bucket")
+    by = _common(packed).groupBy("dk").agg(
+        F.max("k1").alias("k1"), F.max("n").alias("n"), F.max("often").alias("often"), F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("df", "token")))).alias("common")
+    )
 
-    return docs.select("text").mapInArrow(run, "token long, k1 long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k1, n, often = (b.column(c).to_pylist() for c in ("k1", "n", "often"))
+            common = b.column("common").combine_chunks() if isinstance(b.column("common"), pa.ChunkedArray) else b.column("common")
+            token, at = common.values.field("token").to_numpy(), common.offsets.to_numpy()
+            rows = []
+            for i in range(len(k1)):
+                f = np.frombuffer(often[i] or b"", np.int64)
+                own = token[at[i] : at[i + 1]]
+                first = prefix_size(n[i], percent) - (n[i] - len(f) - len(own))  # what tokens of its own leave of the prefix
+                if first > 0:
+                    rows.append((k1[i], np.concatenate((own[:first], f[: max(first - len(own), 0)])).tobytes()))
+            if rows:
+                yield _batch("k1 long, p binary", rows)
+
+    return by.select("k1", "n", "often", "common").mapInArrow(run, "k1 long, p binary").groupBy("k1").agg(F.max("p").alias("p"))
+
+
+def _postings(found: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [np.frombuffer(p, np.int64) for p in b.column("p").to_pylist()]
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.repeat(b.column("k1").to_numpy(), [len(x) for x in parts]))], ["token", "k1"])
+
+    return found.select("k1", "p").mapInArrow(run, "token long, k1 long")
 
 
 def thinned(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
@@ -185,29 +310,33 @@ def _counts(a: list[np.ndarray], b: list[np.ndarray], columns: int = 4096) -> np
     return out
 
 
-def links(a: list[np.ndarray], b: list[np.ndarray], frequent: tuple[np.ndarray, np.ndarray], percent: int = PERCENT, orders: int = ORDERS) -> np.ndarray:
+Item = tuple[np.ndarray, np.ndarray]  # a set, and its prefix under the first order
+
+
+def links(a: list[Item], b: list[Item], percent: int = PERCENT, orders: int = ORDERS) -> np.ndarray:
     """Which of a link with which of b: filtered by size and under each order, then verified."""
-    na, nb = np.array([len(x) for x in a])[:, None], np.array([len(x) for x in b])[None, :]
+    na, nb = np.array([len(x) for x, _ in a])[:, None], np.array([len(x) for x, _ in b])[None, :]
     able = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
-    for k in range(orders):
+    able &= _counts([p for _, p in a], [p for _, p in b]) > 0
+    for k in range(1, orders):
         if not able.any():
             return able
-        able &= _counts([prefix(x, k, frequent, percent) for x in a], [prefix(x, k, frequent, percent) for x in b]) > 0
+        able &= _counts([prefix(x, k, percent) for x, _ in a], [prefix(x, k, percent) for x, _ in b]) > 0
     i, j = np.nonzero(able)
     if len(i) > 4:
-        both = _counts(a, b)[i, j].astype(np.int64)
+        both = _counts([x for x, _ in a], [x for x, _ in b])[i, j].astype(np.int64)
     else:
-        both = np.array([len(np.intersect1d(a[x], b[y], assume_unique=True)) for x, y in zip(i, j, strict=True)], np.int64)
+        both = np.array([len(np.intersect1d(a[x][0], b[y][0], assume_unique=True)) for x, y in zip(i, j, strict=True)], np.int64)
     able[i, j] = 100 * both >= percent * (na[i, 0] + nb[0, j] - both)
     return able
 
 
-def _block(rows: list[tuple], frequent: tuple[np.ndarray, np.ndarray], percent: int, orders: int) -> Iterator[tuple[int, int | None, int]]:
-    """Of one block, rows (chunk, cid, copies, set): edges (u, v, 0) of a spanning forest, and (u, null, documents linked)."""
+def _block(rows: list[tuple], percent: int, orders: int) -> Iterator[tuple[int, int | None, int]]:
+    """Of one block, rows (chunk, cid, copies, item): edges (u, v, 0) of a spanning forest, and (u, null, documents linked)."""
     chunk = sorted({r[0] for r in rows})
     a = [r for r in rows if r[0] == chunk[0]]
     b = [r for r in rows if r[0] == chunk[-1]] if len(chunk) > 1 else a
-    found = links([r[3] for r in a], [r[3] for r in b], frequent, percent, orders)
+    found = links([r[3] for r in a], [r[3] for r in b], percent, orders)
     if a is b:
         np.fill_diagonal(found, False)
     ca, cb = np.array([r[2] for r in a]), np.array([r[2] for r in b])
@@ -229,38 +358,57 @@ def _block(rows: list[tuple], frequent: tuple[np.ndarray, np.ndarray], percent:
             yield a[i][1], b[j][1], 0
 
 
-def _verified(blocks: DataFrame, percent: int, orders: int, frequent: Broadcast) -> DataFrame:
-    """blocks: c, bi, bj, chunk, cid, copies, s (bytes of the set), sorted by block within partitions."""
+def _verified(blocks: DataFrame, percent: int, orders: int) -> DataFrame:
+    """blocks: of _placed, sorted by block within partitions. Chunks of a cluster's diagonal block have one chunk only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(got: list) -> pa.RecordBatch:
-            u, v, n = zip(*got, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (u, v, n)], ["u", "v", "n"])
-
-        now, held = None, []
+        def out(held: dict) -> Iterator[pa.RecordBatch]:
+            rows = list(held.values())
+            if now[1] != now[2] and len({r[0] for r in rows}) < 2:
+                return  # the other chunk is empty
+            if len(rows) > 1 and (got := list(_block(rows, percent, orders))):
+                u, v, n = zip(*got, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (u, v, n)], ["u", "v", "n"])
+
+        now, held = None, {}
         for b in batches:
-            for c, i, j, chunk, cid, copies, s in zip(*(col.to_pylist() for col in b.columns), strict=True):
+            for c, i, j, chunk, cid, copies, s, p in zip(*(col.to_pylist() for col in b.columns), strict=True):
                 if (c, i, j) != now:
-                    if len(held) > 1 and (got := list(_block(held, frequent.value, percent, orders))):
-                        yield out(got)
-                    now, held = (c, i, j), []
-                held.append((chunk, cid, copies, np.frombuffer(s, np.uint64)))
-        if len(held) > 1 and (got := list(_block(held, frequent.value, percent, orders))):
-            yield out(got)
+                    if now:
+                        yield from out(held)
+                    now, held = (c, i, j), {}
+                held[cid, s] = (chunk, cid, copies, (np.frombuffer(s, np.uint64), np.frombuffer(p, np.uint64)))
+        if now:
+            yield from out(held)
+
+    return blocks.mapInArrow(run, "u long, v long, n long")
+
+
+_PLACED = "c long, bi int, bj int, chunk int, cid long, copies long, s binary, p binary"
 
-    return blocks.select("c", "bi", "bj", "chunk", "cid", "copies", "s").mapInArrow(run, "u long, v long, n long")
 
+def _placed(docs: DataFrame, words: int) -> DataFrame:
+    """docs: text with its class (k1, k2, cid, copies, p), cluster c and that one's chunks. The set and its prefix for each block that needs them."""
 
-def _set_bytes(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column("doc_id").to_pylist()
-            rows = [(ids[i], *_key(s), s.tobytes()) for i, s in _each(b, words)]
+            known = b.select(["k1", "k2", "cid", "copies", "p", "c", "chunks"]).to_pylist()
+            rows, size = [], 0
+            for i, s in _each(b, words):
+                r = known[i]
+                if _key(s) != (r["k1"], r["k2"]):
+                    continue  # another text of the same doc_id
+                own, s_ = (r["cid"] ^ r["k2"]) % r["chunks"], s.tobytes()
+                for o in range(r["chunks"]):
+                    rows.append((r["c"], min(own, o), max(own, o), own, r["cid"], r["copies"], s_, r["p"]))
+                    size += len(s_)
+                    if size > 8_000_000:
+                        yield _batch(_PLACED, rows)
+                        rows, size = [], 0
             if rows:
-                i, k1, k2, s = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(s, pa.binary())], ["cid", "k1", "k2", "s"])
+                yield _batch(_PLACED, rows)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "cid long, k1 long, k2 long, s binary")
+    return docs.select("text", "k1", "k2", "cid", "copies", "p", "c", "chunks").mapInArrow(run, _PLACED)
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
@@ -272,21 +420,23 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     token, count = np.array([r[0] for r in top], np.int64).view(np.uint64), np.array([r[1] for r in top], np.int64)
     by = np.argsort(token)
     frequent = spark.sparkContext.broadcast((token[by], count[by]))
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    bits = min(max(-(-total // BUCKET) - 1, 63).bit_length(), 24)
     classes = stored(rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("cid"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n")), "classes")
 
-    postings = stored(_postings(docs, words, percent, frequent), "postings")
+    found = stored(prefixes(docs, words, percent, frequent, bits), "prefixes")
+    postings = _postings(found)
     shared = postings.groupBy("token").agg(F.min("k1").alias("u"), F.max("k1").alias("v")).where("u < v").select("token", "u")
     bound = postings.join(shared, "token").where("k1 <> u").select("u", F.col("k1").alias("v")).distinct()
     cluster = components(bound)
-    member = stored(cluster.join(classes.where("cid IS NOT NULL"), cluster.node == classes.k1).select(F.col("root").alias("c"), "k1", "k2", "cid", "copies", F.greatest("n", F.lit(LIGHT)).alias("weight")), "members")
+    own = cluster.join(classes.where("cid IS NOT NULL"), cluster.node == classes.k1).join(found, "k1")
+    member = stored(own.select(F.col("root").alias("c"), "k1", "k2", "cid", "copies", "p", F.greatest("n", F.lit(LIGHT)).alias("weight")), "members")
     size = member.groupBy("c").agg(F.ceil(F.sum("weight") / BLOCK).cast("int").alias("chunks"))
-    named_ = member.select(F.col("cid").alias("doc_id")).distinct()
-    texts_ = thinned(docs.where("doc_id IS NOT NULL AND text IS NOT NULL"), named_, "doc_id").join(named_, "doc_id", "left_semi")
-    sets = _set_bytes(texts_, words).dropDuplicates(["cid", "k1", "k2"])
-    chunk = F.pmod(F.xxhash64("cid", "k2"), F.col("chunks")).cast("int")
-    placed = sets.join(member.drop("weight"), ["cid", "k1", "k2"]).join(size, "c").withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    placed = placed.select("c", F.least("chunk", "other").alias("bi"), F.greatest("chunk", "other").alias("bj"), "chunk", "cid", "copies", "s")
-    found = stored(_verified(placed.repartition("c", "bi", "bj").sortWithinPartitions("c", "bi", "bj"), percent, orders, frequent), "links")
+    member = stored(member.join(size, "c").drop("weight").withColumnRenamed("cid", "doc_id"), "members")
+    whole = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
+    suspects = thinned(whole, member, "doc_id").join(member, "doc_id").withColumnRenamed("doc_id", "cid")
+    blocks = _placed(suspects, words)
+    found = stored(_verified(blocks.repartition("c", "bi", "bj").sortWithinPartitions("c", "bi", "bj"), percent, orders), "links")
 
     linked = components(found.where("v IS NOT NULL").select("u", "v"))
     degree = found.where("v IS NULL").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("linked"))

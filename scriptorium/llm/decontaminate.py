@@ -40,6 +40,11 @@ def _az(text: Column) -> Column:
     return F.translate(text, _UPPER, _LOWER)
 
 
+def _id() -> Column:
+    """doc_id to join by: a value stands for null, as the result depends on the text alone."""
+    return F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("doc_id")
+
+
 def _n_words(words: Column) -> Column:
     n = F.size(words)
     return (n - F.when(words[0] == "", 1).otherwise(0) - F.when((n > 1) & (F.element_at(words, -1) == ""), 1).otherwise(0)).cast("long")
@@ -63,7 +68,7 @@ def _checked(terms: DataFrame, bound: int) -> tuple[DataFrame, bool]:
 
 def _occurrences(docs: DataFrame, *more: Column) -> DataFrame:
     """A row for each word: doc_id, h (of the text), p (position), t (folded term)."""
-    words = docs.select("doc_id", F.xxhash64("text").alias("h"), _split(F.col("text")).alias("w"))
+    words = docs.select(_id(), F.xxhash64("text").alias("h"), _split(F.col("text")).alias("w"))
     # the arrays are never empty: "outer" only keeps the optimizer from splitting every text twice to test that
     return words.select("doc_id", "h", "w", F.posexplode_outer("w").alias("p", "t")).withColumn("t", F.lower("t"))
 
@@ -85,7 +90,7 @@ def positional_index(docs: DataFrame, seeds: DataFrame, bound: int = BROADCAST_T
         found = _occurrences(docs).join(terms, "t").select("t", "doc_id", "h", "p", F.when(F.col("lead"), near).alias("near"))
         return stored(found, "postings")
     found = stored(_occurrences(docs).drop("w").join(terms, "t"), "postings")
-    led = found.where("lead").join(docs.select("doc_id", F.xxhash64("text").alias("h"), "text").dropDuplicates(["doc_id", "h"]), ["doc_id", "h"])
+    led = found.where("lead").join(docs.select(_id(), F.xxhash64("text").alias("h"), "text").dropDuplicates(["doc_id", "h"]), ["doc_id", "h"])
     led = led.select("t", "doc_id", "h", "p", F.slice(_split(F.col("text")), F.greatest(F.col("p") + 2 - around, F.lit(1)), 2 * around - 1).alias("near"))
     return led.unionByName(found.where("NOT lead").select("t", "doc_id", "h", "p", F.lit(None).cast("array<string>").alias("near")))
 
@@ -124,10 +129,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
     )
     by = hits.groupBy("doc_id", "h").agg(covered.cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("ids"))
     by = stored(by, "hits")
-    all_ = docs.select("doc_id", F.xxhash64("text").alias("h"), _n_words(_split(F.col("text"))).alias("n_words"))
+    all_ = docs.select(F.col("doc_id").alias("own"), _id(), F.xxhash64("text").alias("h"), _n_words(_split(F.col("text"))).alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return all_.join(by, (all_.doc_id.eqNullSafe(by.doc_id)) & (all_.h == by.h), "left").select(
-        all_.doc_id, "n_words", n_hit.alias("n_hit"), F.when(F.col("ids").isNull(), 0).otherwise(F.size("ids")).cast("long").alias("n_items"),
+    return all_.join(by, ["doc_id", "h"], "left").select(
+        F.col("own").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.when(F.col("ids").isNull(), 0).otherwise(F.size("ids")).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("ids", ","), F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
 

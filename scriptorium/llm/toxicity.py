@@ -30,8 +30,11 @@ from .common import stored, table, texts
 SAMPLE = 20_000
 #: Lengths of word beginnings tried as stems; whole words count as well.
 STEMS = (4, 5, 6, 7)
-#: Toxic texts that a stem must be seen in, clean ones that it may be seen in for each toxic one, and covers asked of each toxic text.
-SUPPORT, IMPURE, COVERS = 4, 0.02, 4
+#: Toxic texts that a stem must be seen in, and covers asked of each toxic text.
+SUPPORT, COVERS = 4, 4
+#: Clean texts for each toxic one in which a stem may be seen and still be certain; how much likelier in toxic texts any
+#: stem must be (as a logarithm); and the most that an uncertain one weighs: alone it doesn't reach the cut, two do.
+CERTAIN, LIKELIER, UNCERTAIN = 0.02, 2.5, 2.4
 #: Candidate stems kept between the passes, at most.
 CANDIDATES = 50_000
 CUT = 0.7
@@ -207,7 +210,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dic
     top = _counted(bad).where(F.col("n") >= SUPPORT).orderBy(F.desc("n"), "feature").limit(CANDIDATES).collect()
     n_toxic = {r.feature: r.n for r in top}
     n_clean = {r.feature: r.n for r in _counted(good, frozenset(n_toxic)).collect()}
-    pure = frozenset(f for f, n in n_toxic.items() if n_clean.get(f, 0) <= IMPURE * n)
+    weight = lambda f: math.log((n_toxic[f] + 0.5) / (n_bad + 1) / ((n_clean.get(f, 0) + 3) / (n_good + 1)))
+    certain = lambda f: n_clean.get(f, 0) <= CERTAIN * n_toxic[f]
+    pure = frozenset(f for f in n_toxic if certain(f) or weight(f) >= LIKELIER)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -215,8 +220,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dic
 
     lists = [r.features for r in bad.select("text").mapInArrow(kept, "features array<string>").collect()]
     stems = _covering(sorted(lists), COVERS, SUPPORT)
-    weight = lambda f: math.log((n_toxic[f] + 0.5) / (n_bad + 1) / ((n_clean.get(f, 0) + 3) / (n_good + 1)))
-    return {f: w for f in stems if (w := weight(f)) > 0.5}, prior
+    return {f: w if certain(f) else min(w, UNCERTAIN) for f in stems if (w := weight(f)) > 0.5}, prior
 
 
 def score_texts(docs: DataFrame, stems: dict[str, float], prior: float) -> DataFrame:

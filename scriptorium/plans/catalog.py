@@ -144,7 +144,7 @@ def polygon_bbox(spark, d):
 
 
 @query("""SELECT l_orderkey, l_linenumber, greatest(0, CAST(trunc(l_quantity - 20) AS INTEGER)) AS x_min, least(60, CAST(trunc(l_quantity + 10 + 20) AS INTEGER)) AS x_max,
-l_quantity + 5.0 AS cx, 10.0 AS width FROM lineitem""")
+l_quantity + 5.0 AS cx, CAST(10 AS DOUBLE) AS width FROM lineitem""")
 def crop_clamp(spark, d):
     q = F.col("l_quantity")
     box = F.struct(q.alias("x_min"), q.alias("y_min"), (q + 10).alias("x_max"), (q + 10).alias("y_max"))

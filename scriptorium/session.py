@@ -31,10 +31,12 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 
 
 def shipped(spark: SparkSession) -> SparkSession:
-    """spark, with this package on its Python workers: sent once, unless their path has it anyway."""
+    """spark, with this package on its Python workers: sent once, unless they run on this machine and have it on their path."""
     sc = spark.sparkContext
-    on_path = {Path(p).resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(":")] if p}
-    if ROOT not in on_path and not getattr(sc, "_scriptorium", False):
+    paths = os.environ.get("PYTHONPATH", "").split(":") if sc.master.startswith("local") else []
+    if sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+        paths.append(os.getcwd())
+    if ROOT not in {Path(p).resolve() for p in paths if p} and not getattr(sc, "_scriptorium", False):
         file = Path(tempfile.mkdtemp()) / "scriptorium.zip"
         with zipfile.ZipFile(file, "w") as z:
             for p in sorted((ROOT / "scriptorium").rglob("*.py")):

@@ -107,8 +107,9 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Spans of a document whose chunks all stand in earlier documents too: doc_id, h, start, stop (bytes), n_words,
     n_chunks, source_doc_id (the least that has one of the chunks)."""
     made = chunk_rows(docs)
-    # partial aggregation reduces a chunk that everything shares before it is shuffled
-    shared = made.groupBy("d1", "d2").agg(F.min("doc_id").alias("kept"), F.max("doc_id").alias("other")).where("kept < other").drop("other")
+    # partial aggregation reduces a chunk that everything shares before it is shuffled; as a stored table the result is
+    # shuffled for the join by itself, which lets adaptive execution split a hot chunk's partition
+    shared = stored(made.groupBy("d1", "d2").agg(F.min("doc_id").alias("kept"), F.max("doc_id").alias("other")).where("kept < other").drop("other"), "shared")
     met = made.join(shared, ["d1", "d2"]).where("doc_id > kept")
     order = Window.partitionBy("doc_id", "h").orderBy("i")
     runs = met.select("doc_id", "h", "i", "words", "start", "stop", "kept").distinct().withColumn("g", F.col("i") - F.row_number().over(order))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that the vectorised kernels look at together.
@@ -55,16 +59,31 @@ def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
-def slices(items: list[bytes | None], limit: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes]]]:
-    """(first index, texts) of consecutive runs of about limit bytes; null counts as empty."""
-    first, size = 0, 0
-    for i, x in enumerate(items):
-        size += len(x or b"")
-        if size >= limit:
-            yield first, [y or b"" for y in items[first : i + 1]]
-            first, size = i + 1, 0
-    if first < len(items):
-        yield first, [y or b"" for y in items[first:]]
+def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+    """(first index, texts) of consecutive runs of about limit bytes; null counts as empty. No more than a run is copied at a time."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    end = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < len(column):
+        stop = min(int(np.searchsorted(end, (end[first - 1] if first else 0) + limit)) + 1, len(column))
+        yield first, [x or b"" for x in column.slice(first, stop - first).cast(pa.large_binary()).to_pylist()]
+        first = stop
+
+
+def released(run):
+    """run (on an iterator of batches), giving the memory that it has freed back to the system at its end: workers live on."""
+
+    @wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

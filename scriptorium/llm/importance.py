@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, stored, table, texts, windows, word_hashes, words_of
+from .common import released, slices, stored, table, windows, word_hashes, words_of
 
 BUCKETS = 1 << 15
 SAMPLE = 20_000
@@ -55,12 +55,12 @@ def model_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for b in batches:
-            for _, part in slices(texts(b.column(0))):
+            for _, part in slices(b.column(0)):
                 total += np.bincount(hashed_grams(part)[0], minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
 
-    return docs.where("text IS NOT NULL").select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return docs.where("text IS NOT NULL").select("text").mapInArrow(released(run), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def log_ratios(target: DataFrame, raw: DataFrame) -> np.ndarray:
@@ -84,7 +84,7 @@ def weigh(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
             n, w = [], []
-            for _, part in slices(texts(column)):
+            for _, part in slices(column):
                 g, size = hashed_grams(part)
                 total = np.concatenate(([0.0], np.cumsum(held.value[g])))
                 end = np.cumsum(size)

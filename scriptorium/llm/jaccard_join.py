@@ -33,7 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mixed, slices, stored, table, texts, windows, word_hashes, words_of
+from .common import mixed, released, slices, stored, table, windows, word_hashes, words_of
 from .graph import components
 
 WORDS = 4
@@ -43,7 +43,7 @@ ORDERS = 3
 #: Tokens in the table of the most frequent ones, at most. Only the first order, never the result, depends on it.
 FREQUENT = 100_000
 #: Documents (and tokens) counted together before their frequent tokens are passed on, and the least count passed on.
-FLUSH, FLUSH_TOKENS, SEEN = 8_000, 4_000_000, 3
+FLUSH, FLUSH_TOKENS, SEEN = 8_000, 2_000_000, 3
 #: Tokens that a bucket of the exchange holds, about.
 BUCKET = 500_000
 #: Tokens (each set counting at least LIGHT) of a block.
@@ -83,7 +83,7 @@ def _key(s: np.ndarray) -> tuple[int, int]:
 
 
 def _each(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]:
-    for at, part in slices(texts(batch.column("text"))):
+    for at, part in slices(batch.column("text")):
         for k, s in enumerate(shingle_sets(part, words)):
             yield at + k, s
 
@@ -121,7 +121,7 @@ def _scan(docs: DataFrame, words: int) -> DataFrame:
         if held:
             yield from often(held)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run), schema)
 
 
 _PACKED = "bucket int, dk long, k1 long, n int, often binary, low binary, high binary, who binary"
@@ -191,7 +191,7 @@ def _packed(docs: DataFrame, words: int, percent: int, frequent: Broadcast, bits
         if held:
             yield from flush(held)
 
-    return docs.select("text").mapInArrow(run, _PACKED)
+    return docs.select("text").mapInArrow(released(run), _PACKED)
 
 
 _COMMON = "dk long, k1 long, n int, often binary, df int, token long"
@@ -232,7 +232,7 @@ def _common(packed: DataFrame) -> DataFrame:
         if parts:
             yield from found(now, parts)
 
-    return packed.mapInArrow(run, _COMMON)
+    return packed.mapInArrow(released(run), _COMMON)
 
 
 def prefixes(docs: DataFrame, words: int, percent: int, frequent: Broadcast, bits: int) -> DataFrame:
@@ -257,7 +257,7 @@ def prefixes(docs: DataFrame, words: int, percent: int, frequent: Broadcast, bit
             if rows:
                 yield _batch("k1 long, p binary", rows)
 
-    return by.select("k1", "n", "often", "common").mapInArrow(run, "k1 long, p binary").groupBy("k1").agg(F.max("p").alias("p"))
+    return by.select("k1", "n", "often", "common").mapInArrow(released(run), "k1 long, p binary").groupBy("k1").agg(F.max("p").alias("p"))
 
 
 def _postings(found: DataFrame) -> DataFrame:
@@ -267,7 +267,7 @@ def _postings(found: DataFrame) -> DataFrame:
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.repeat(b.column("k1").to_numpy(), [len(x) for x in parts]))], ["token", "k1"])
 
-    return found.select("k1", "p").mapInArrow(run, "token long, k1 long")
+    return found.select("k1", "p").mapInArrow(released(run), "token long, k1 long")
 
 
 def thinned(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
@@ -381,7 +381,7 @@ def _verified(blocks: DataFrame, percent: int, orders: int) -> DataFrame:
         if now:
             yield from out(held)
 
-    return blocks.mapInArrow(run, "u long, v long, n long")
+    return blocks.mapInArrow(released(run), "u long, v long, n long")
 
 
 _PLACED = "c long, bi int, bj int, chunk int, cid long, copies long, s binary, p binary"
@@ -408,7 +408,7 @@ def _placed(docs: DataFrame, words: int) -> DataFrame:
             if rows:
                 yield _batch(_PLACED, rows)
 
-    return docs.select("text", "k1", "k2", "cid", "copies", "p", "c", "chunks").mapInArrow(run, _PLACED)
+    return docs.select("text", "k1", "k2", "cid", "copies", "p", "c", "chunks").mapInArrow(released(run), _PLACED)
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices, stored, table, texts
+from .common import released, slices, stored, table
 
 PROFILE = 300
 #: Languages that profiles are held for, at most: a larger number is an error, not a cut.
@@ -115,8 +115,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
         for b in batches:
             lang = b.column(0).to_pylist()
             order = sorted(range(len(lang)), key=lang.__getitem__)
-            items = texts(b.column(1))
-            for at, part in slices([items[i] for i in order]):
+            for at, part in slices(b.column(1).take(pa.array(order, pa.int64()))):
                 grams, own = Grams(part), [lang[i] for i in order[at : at + len(part)]]
                 a = 0
                 while a < len(own):
@@ -126,7 +125,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                     u, n = grams.counted(grams.of(a, z))
                     parts = held.setdefault(own[a], [])
                     parts.append((grams.packed(u), n))
-                    if sum(len(p[0]) for p in parts) > 2_000_000:
+                    if sum(len(p[0]) for p in parts) > 500_000:
                         held[own[a]] = [merged(parts)]
                     a = z
         for name, parts in held.items():
@@ -135,7 +134,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(u)), pa.array(u), pa.array(n)], ["lang", "gram", "n"])
 
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
-    return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(released(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def profiles(docs: DataFrame, most: int = PROFILE) -> dict[str, np.ndarray]:
@@ -162,7 +161,7 @@ def identify(docs: DataFrame, learned: dict[str, np.ndarray], most: int = PROFIL
         kind = pa.struct([("lang", pa.string()), ("score", pa.float64())])
         for column in batches:
             pred, score = [], []
-            for _, part in slices(texts(column)):
+            for _, part in slices(column):
                 grams = Grams(part)
                 tops = [grams.top(k, most) for k in range(len(part))]
                 size = np.array([len(t) for t in tops])

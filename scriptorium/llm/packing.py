@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table, texts
+from .common import released, slices, stored, table
 
 CAPACITY = 4096
 END = 1
 #: Pieces of a length that one task ranks, about.
 BUCKET = 50_000
 #: Words that a worker keeps the ids of, at most.
-CACHE = 800_000
+CACHE = 150_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -108,16 +108,18 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
         enc, end = encoder(path), np.array([END], "<u4").tobytes()
         for b in batches:
             rows = []
-            for i, t in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
-                ids = (enc.ids(t) if t else b"") + end
-                for k in range(0, len(ids), 4 * capacity):
-                    part = ids[k : k + 4 * capacity]
-                    rows.append((i, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part)))
+            names = b.column(0).to_pylist()
+            for at, part in slices(b.column(1)):
+                for i, t in zip(names[at : at + len(part)], part, strict=True):
+                    ids = (enc.ids(t) if t else b"") + end
+                    for k in range(0, len(ids), 4 * capacity):
+                        piece = ids[k : k + 4 * capacity]
+                        rows.append((i, k // (4 * capacity), k // 4, len(piece) // 4, zlib.crc32(piece)))
             if rows:
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run), PIECES)
 
 
 def fullest(lengths: list[tuple[int, int]], room: int) -> dict[int, int]:

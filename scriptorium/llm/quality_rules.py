@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, texts
+from .common import slices, stored, table
 
 #: Transformed statistics, and the least standard deviation of each.
 FEATURES = (("log_words", 0.5), ("log_word_length", 0.05), ("symbols", 0.08), ("dup_lines", 0.15), ("repeats", 0.10))
@@ -72,7 +72,7 @@ def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names = [x.split()[0] for x in STATS.split(", ")]
         for column in batches:
-            got = np.array([statistics(t) for t in texts(column)], np.int64).reshape(-1, len(names))
+            got = np.array([statistics(t) for _, part in slices(column) for t in part], np.int64).reshape(-1, len(names))
             yield pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(got[:, k])) for k in range(len(names))], names)
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}

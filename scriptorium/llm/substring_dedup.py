@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, mixed, slices, stored, table, texts
+from .common import SPACE, mixed, released, slices, stored, table, texts
 
 #: Words of a chunk: at least, usually, at most.
 LEAST, USUAL, MOST = 3, 6, 16
@@ -82,8 +82,8 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
         for batch in batches:
-            ids, items = batch.column(0).to_numpy(zero_copy_only=False), texts(batch.column(1))
-            for at, part in slices(items):
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for at, part in slices(batch.column(1)):
                 digests: list[bytes] = []
                 which, number, spans = [], [], []
                 hashes = []
@@ -100,7 +100,7 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
                     columns = [d[:, 0], d[:, 1], np.array(which, np.int64), np.array(hashes, np.uint64).view(np.int64), np.array(number, np.int32), s[:, 2].astype(np.int32), s[:, 0], s[:, 1]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], [x.split()[0] for x in CHUNKS.split(", ")])
 
-    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, CHUNKS)
+    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run), CHUNKS)
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, texts
+from .common import released, slices, stored, table
 
 #: Labelled texts that the lexicon is learned from, at most.
 SAMPLE = 20_000
@@ -155,12 +155,12 @@ def _counted(df: DataFrame, among: frozenset[str] | None = None) -> DataFrame:
             for t in b.column(0).to_pylist():
                 f = _features(t)
                 seen.update(f if among is None else f & among)
-            if len(seen) > 2_000_000:
+            if len(seen) > 300_000:
                 yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["feature", "n"])
                 seen.clear()
         yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["feature", "n"])
 
-    return df.select("text").mapInArrow(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    return df.select("text").mapInArrow(released(run), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
 def _covering(rows: list[list[str]], covers: int, support: int) -> list[str]:
@@ -230,7 +230,7 @@ def score_texts(docs: DataFrame, stems: dict[str, float], prior: float) -> DataF
         scorer = Scorer(stems, prior)
         kind = pa.struct([("score", pa.float64()), ("clauses", pa.int64())])
         for column in batches:
-            got = [scorer.score(None if t is None else t.decode("utf-8", "replace")) for t in texts(column)]
+            got = [scorer.score(t.decode("utf-8", "replace")) for _, part in slices(column) for t in part]
             yield pa.array([{"score": s, "clauses": n} for s, n in got], kind)
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}

@@ -1,16 +1,19 @@
-"""Substring deduplication: content-defined chunks by a gear rolling hash, deduplicated by digest.
-
-Method: a 16-bit gear hash rolls over the bytes; a chunk may end where a word ends and the hash's top bits are zero
-(a hard mask up to the usual size, an easy mask beyond it, a least and a most size, in words). As cuts depend on the
-last 16 bytes and the last cut only, they fall into step again soon after an insertion. Every chunk's 128-bit digest
-is grouped over the corpus; a digest in two or more documents is kept where the doc_id is least. Consecutive chunks
-of a document that stand in an earlier document merge into a span; spans of at least MIN_WORDS words are reported
-(and cut out by the stage). A passage of over 50 words keeps about 35 words in whole chunks, hence the limit.
-
-Defined cases: a null or wordless text has no chunk. Rows without doc_id are left out. Repeats inside one document,
-and rows that share a doc_id, are no duplicates of each other. Exact copies have all chunks reported but in the
-document of least id. An empty table gives an empty result. A text of any length is chunked whole. Other columns are
-ignored by the operator and kept by the stage.
+"""Substring deduplication: content-defined chunks by a gear rolling hash as anchors, decided on exact passages.
+
+Method: a gear hash rolls over the words (64 bits, 4 a word, hence of the last 16 words). A passage of MIN_WORDS words has
+the least hash in it as its anchor; consecutive passages with one anchor form a chunk. As the anchor depends on nothing
+but the passage, a passage that stands in two documents has the same anchor in both, wherever it begins. Each chunk
+(anchor and digest of all its words) is grouped over the corpus, and its place of least doc_id is its source. Where one
+anchor has different chunks, as at both ends of a repeat, all passages of the chunks' first holders are compared one by
+one. Passages and chunks that follow each other both in the document and in its source merge into a span: a piece of the
+document that stands in source_doc_id word for word. So every passage of at least MIN_WORDS words that an earlier document
+has is found, to the word, and nothing else.
+
+Defined cases: a null text or one of fewer than MIN_WORDS words has no passage. White space between words doesn't count.
+Rows without doc_id are left out. Repeats inside one document, and rows that share a doc_id, are no duplicates of each
+other. Exact copies are reported whole but in the document of least id. Spans of one document overlap where its parts
+have different sources; the stage cuts their union. An empty table gives an empty result. A text of any length is read
+whole. Other columns are ignored by the operator and kept by the stage.
 """
 
 from __future__ import annotations
@@ -23,16 +26,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, mixed, released, slices, stored, table, texts
+from .common import SPACE, _powers, mixed, released, slices, stored, table, texts, word_hashes, words_of
 
-#: Words of a chunk: at least, usually, at most.
+#: Words that a passage has at least (over 50), and words that the rolling hash sees.
+MIN_WORDS, SEEN = 51, 16
+PLACE = "m long, d long, doc_id long, h long, pos int, n int, start long, stop long"
+#: For chunks(), which cuts by masks: words of a chunk at least, usually, at most. Only tests use it and gear().
 LEAST, USUAL, MOST = 3, 6, 16
-MIN_WORDS = 25
 _GEAR = (mixed(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(48)).astype(np.uint16)
 #: Stands before each text, so that the hash of its first bytes depends on nothing else. As long as the hash's window.
 _LEAD = b"\n" * 16
-_KEY = "doc_id long, h long"
-CHUNKS = "d1 long, d2 long, doc_id long, h long, i int, words int, start long, stop long"
+_INVERSE = np.uint64(pow(0x5851F42D4C957F2D, -1, 2**64))
 
 
 def gear(buf: np.ndarray) -> np.ndarray:
@@ -76,52 +80,127 @@ def chunks(docs: list[bytes]) -> Iterator[tuple[int, list[tuple[int, int, int]]]
             yield k, out
 
 
-def chunk_rows(docs: DataFrame) -> DataFrame:
-    """A row for each chunk of each document: digest (d1, d2), doc_id, h (of the text), number, words, start and end byte."""
+def anchors(words: np.ndarray, size: int) -> np.ndarray:
+    """For each passage of size words (by its first word), the least mixed gear hash of SEEN words in it."""
+    h = words
+    for s in (1, 2, 4, 8):
+        add = h[:-s] << np.uint64(4 * s)
+        h = h.copy()
+        h[s:] += add
+    m, have, want = mixed(h[SEEN - 1 :]), 1, size - SEEN + 1
+    while have < want:
+        step = min(have, want - have)
+        m = np.minimum(m[:-step], m[step:])
+        have += step
+    return m
+
+
+class _Digests:
+    """Digests of any runs of words, from sums of their hashes times powers."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        n = len(words) + 1
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * _powers(n)[: n - 1], dtype=np.uint64)))
+        back = np.full(n, _INVERSE)
+        back[0] = 1
+        self.back = np.cumprod(back, dtype=np.uint64)
+
+    def of(self, first: np.ndarray, count: np.ndarray | int) -> np.ndarray:
+        return mixed((self.sums[first + count] - self.sums[first]) * self.back[first] + np.asarray(count, np.uint64))
+
+
+def _batch(m: np.ndarray, d: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    types = [np.int64, np.int64, np.int32, np.int32, np.int64, np.int64]
+    arrays = [m.view(np.int64), d.view(np.int64), *(np.asarray(c, t) for c, t in zip(columns, types, strict=True))]
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in arrays], [x.split()[0] for x in PLACE.split(", ")])
+
+
+def _placed(part: list[bytes], ids: np.ndarray, size: int, wanted: list | None = None) -> Iterator[pa.RecordBatch]:
+    """The chunks of some texts (n passages each), or by themselves (n = 1) the passages of those that are wanted."""
+    buf, starts, ends, first = words_of(part)
+    if len(starts) < size:
+        return
+    words = word_hashes(buf, starts, ends)
+    m, digests = anchors(words, size), _Digests(words)
+    base = np.cumsum([0, *(len(t) + 1 for t in part)])
+    at, n, of = [], [], []
+    for k, (a, z) in enumerate(zip(first[:-1].tolist(), (first[1:] - size + 1).tolist(), strict=True)):
+        if z <= a:
+            continue
+        if wanted is None:
+            cut = a + np.concatenate(([0], np.flatnonzero(np.diff(m[a:z])) + 1, [z - a]))
+            at.append(cut[:-1])
+            n.append(np.diff(cut))
+        else:
+            own = xxhash.xxh3_64_intdigest(part[k])
+            runs = [np.arange(a + w["pos"], a + w["pos"] + w["n"]) for w in wanted[k] or () if w["h"] % 2**64 == own]
+            at.append(np.concatenate(runs) if runs else np.zeros(0, np.int64))
+            n.append(np.ones(len(at[-1]), np.int64))
+        of.append(np.full(len(at[-1]), k))
+    if at:
+        at, n, of = np.concatenate(at), np.concatenate(n), np.concatenate(of)
+        h = np.array([xxhash.xxh3_64_intdigest(t) for t in part], np.uint64).view(np.int64)
+        yield _batch(m[at], digests.of(at, n + size - 1), ids[of], h[of], at - first[of], n, starts[at] - base[of], ends[at + n + size - 2] - base[of])
+
+
+def chunk_rows(docs: DataFrame, size: int = MIN_WORDS) -> DataFrame:
+    """A row for each chunk of each document: anchor m, digest d, doc_id, h (of the text), first word, passages, start and end byte."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for at, part in slices(batch.column(1)):
+                yield from _placed(part, ids[at : at + len(part)], size)
+
+    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run), PLACE)
+
+
+def passage_rows(docs: DataFrame, wanted: DataFrame, size: int = MIN_WORDS) -> DataFrame:
+    """As chunk_rows, for each passage by itself of the chunks in wanted (doc_id, h, pos, n)."""
+    asked = wanted.groupBy("doc_id").agg(F.collect_set(F.struct("h", "pos", "n")).alias("wanted"))
+    here = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long"), "text").join(asked, "doc_id").select("doc_id", "text", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_digest
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for at, part in slices(batch.column(1)):
-                digests: list[bytes] = []
-                which, number, spans = [], [], []
-                hashes = []
-                for k, found in chunks(part):
-                    t = part[k]
-                    digests += [digest(t[x:y]) for x, y, _ in found]
-                    which += [ids[at + k]] * len(found)
-                    hashes += [xxhash.xxh3_64_intdigest(t)] * len(found)
-                    number += range(len(found))
-                    spans += found
-                if digests:
-                    d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                    s = np.array(spans, np.int64)
-                    columns = [d[:, 0], d[:, 1], np.array(which, np.int64), np.array(hashes, np.uint64).view(np.int64), np.array(number, np.int32), s[:, 2].astype(np.int32), s[:, 0], s[:, 1]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], [x.split()[0] for x in CHUNKS.split(", ")])
-
-    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run), CHUNKS)
+                yield from _placed(part, ids[at : at + len(part)], size, batch.column(2).slice(at, len(part)).to_pylist())
+
+    return here.mapInArrow(released(run), PLACE)
+
+
+def _sources(rows: DataFrame) -> DataFrame:
+    """For each m and d, the place of least doc_id (kept) and the greatest doc_id (other)."""
+    return rows.groupBy("m", "d").agg(F.min(F.struct("doc_id", "h", "pos")).alias("kept"), F.max("doc_id").alias("other"))
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Spans of a document whose chunks all stand in earlier documents too: doc_id, h, start, stop (bytes), n_words,
-    n_chunks, source_doc_id (the least that has one of the chunks)."""
-    made = chunk_rows(docs)
-    # partial aggregation reduces a chunk that everything shares before it is shuffled; as a stored table the result is
-    # shuffled for the join by itself, which lets adaptive execution split a hot chunk's partition
-    shared = stored(made.groupBy("d1", "d2").agg(F.min("doc_id").alias("kept"), F.max("doc_id").alias("other")).where("kept < other").drop("other"), "shared")
-    met = made.join(shared, ["d1", "d2"]).where("doc_id > kept")
-    order = Window.partitionBy("doc_id", "h").orderBy("i")
-    runs = met.select("doc_id", "h", "i", "words", "start", "stop", "kept").distinct().withColumn("g", F.col("i") - F.row_number().over(order))
-    out = runs.groupBy("doc_id", "h", "g").agg(
-        F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("n_words"), F.count(F.lit(1)).alias("n_chunks"), F.min("kept").alias("source_doc_id")
-    )
-    return out.where(F.col("n_words") >= min_words).drop("g")
+    """Spans of at least min_words words that stand in an earlier document as well: doc_id, h, start, stop (bytes),
+    n_words, n_chunks (chunks and single passages merged), source_doc_id."""
+    if min_words < SEEN:
+        raise ValueError(f"a passage has {SEEN} words at least")
+    made = stored(chunk_rows(docs, min_words), "chunks")
+    first = stored(_sources(made), "sources")
+    # anchors with different chunks in different documents
+    open_ = first.groupBy("m").agg(F.min("kept.doc_id").alias("lo"), F.max("kept.doc_id").alias("hi")).where("lo < hi").select("m", F.lit(True).alias("open"))
+    shared = first.join(stored(open_, "open"), "m", "left").where("open OR kept.doc_id < other").drop("other")
+    # as stored tables these are shuffled for the join by themselves, which lets adaptive execution split a hot partition
+    met = stored(made.join(stored(shared, "shared"), ["m", "d"]).where("doc_id > kept.doc_id OR open AND doc_id = kept.doc_id"), "met").drop("m", "d")
+    alone = stored(passage_rows(docs, met.where("doc_id = kept.doc_id").select("doc_id", "h", "pos", "n"), min_words), "passages")
+    repeated = stored(_sources(alone).where("kept.doc_id < other").drop("other"), "repeated")
+    single = alone.join(repeated, ["m", "d"]).where("doc_id > kept.doc_id").drop("m", "d")
+    places = met.where("doc_id > kept.doc_id").drop("open").unionByName(single).withColumn("diagonal", F.col("pos") - F.col("kept.pos"))
+    key = ["doc_id", "h", "source_doc_id", "source_h", "diagonal"]
+    places = places.select("*", F.col("kept.doc_id").alias("source_doc_id"), F.col("kept.h").alias("source_h")).drop("kept").distinct()
+    order = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = places.withColumn("g", F.col("pos") + F.col("n") - F.sum("n").over(order))
+    out = runs.groupBy(*key, "g").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), (F.sum("n") + min_words - 1).alias("n_words"), F.count(F.lit(1)).alias("n_chunks"))
+    return out.select("doc_id", "h", "start", "stop", "n_words", "n_chunks", "source_doc_id")
 
 
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs with the spans cut out of their texts (n_chars set anew where there is such a column); texts left without a word go."""
-    cut = spans.groupBy("doc_id").agg(F.collect_list(F.struct("h", "start", "stop")).alias("_cut"))
+    cut = spans.groupBy("doc_id").agg(F.collect_set(F.struct("h", "start", "stop")).alias("_cut"))
     here = docs.join(cut, "doc_id", "left")
 
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
@@ -131,8 +210,9 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
                 own = xxhash.xxh3_64_intdigest(t or b"")
                 at, rest = 0, []
                 for x in sorted((x for x in c or () if x["h"] % 2**64 == own), key=lambda x: x["start"]):
-                    rest.append(t[at : x["start"]].rstrip(b" "))
-                    at = x["stop"]
+                    if not at or t[at : x["start"]].strip():
+                        rest.append(t[at : x["start"]].rstrip(b" "))
+                    at = max(at, x["stop"])
                 out.append(t if t is None else b"".join(rest) + t[at:] if not rest else b" ".join([*rest, t[at:].lstrip(b" ")]).strip())
             yield pa.array([None if t is None else t.decode() for t in out], pa.string())
 

@@ -53,6 +53,26 @@ def test_all_passages_to_the_word(spark):
         assert text[i].encode()[r.start : r.stop].decode() == " ".join(text[i].split()[k] for k in sorted(want[i]))
 
 
+def test_pieces_of_several_documents_are_no_passage(spark):
+    """Words that stand in earlier documents only by pieces are left alone; a passage with two sources is cut whole."""
+    rng = np.random.default_rng(4)
+    pieces = [_run(rng, 40) for _ in range(6)]
+    long = _run(rng, 150).split()
+    rows = [(k, f"{_run(rng, 30)} {p} {_run(rng, 30)}") for k, p in enumerate(pieces)]
+    rows += [(10, " ".join(pieces)), (20, " ".join(long[:90])), (21, " ".join(long)), (22, f"start {' '.join(long)} end"), (22, "start " + " ".join(long[60:]))]
+    text = defaultdict(list)
+    for i, t in rows:
+        text[i].append(t)
+    found = _spans(spark, rows)
+    assert set(found) == {21, 22}
+    for i, spans in found.items():
+        for r in spans:
+            assert any(t.encode()[r.start : r.stop].decode() in text[r.source_doc_id][0] for t in text[i]) and r.n_words > 50
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = sorted((r.doc_id, r.text) for r in substring_dedup.stage_substring_dedup(spark, df, "").collect() if r.doc_id > 20)
+    assert left == [(21, " ".join(long[90:])), (22, "start"), (22, "start end")]
+
+
 def test_random_texts_by_brute_force(spark):
     """Repeats inside a document, periods, copies, common passages and joined pieces of earlier documents."""
     rng = np.random.default_rng(5)

@@ -2,10 +2,13 @@
 
 Method: a lexical transducer maps the words of a clause to insult, threat, target, negation and reported-speech
 symbols with weights; small transducers for the scope of negation and of reported speech and for the binding of a
-target are composed into one table, which reads a clause's symbols and gives its weight. A text's score is the
-logistic function of the prior log odds plus the weights of its clauses. Insult stems and their weights are learned
-from at most SAMPLE labelled texts (those with the least hashes): word beginnings that toxic texts have and clean
-ones lack, picked by greedy multiple cover so that copies of one toxic text do not vouch for its other words.
+target are composed into one table, which reads a clause's symbols and gives its weight. A text is judged by its
+strongest stretch of clauses: the sum of their weights less RATE for each word, as so many hits are to be expected. A
+longer text has more stretches that chance could favour, so the logarithm of its length in texts of USUAL words is taken
+off. The score is the logistic function of the prior log odds plus what is left, if anything. Insult stems and their
+weights are learned from at most SAMPLE labelled texts (those with the least hashes): word beginnings that toxic texts
+have and clean ones lack, more surely than CHANCE would have it for any of the candidates, picked by greedy multiple
+cover so that copies of one toxic text do not vouch for its other words.
 
 Defined cases: null, empty or wordless texts have no clause and get the prior's score. Texts are read whole at any
 length. Repeated rows get equal scores. Null labels are not learned from; without any toxic label only the fixed
@@ -35,6 +38,10 @@ SUPPORT, COVERS = 4, 4
 #: Clean texts for each toxic one in which a stem may be seen and still be certain; how much likelier in toxic texts any
 #: stem must be (as a logarithm); and the most that an uncertain one weighs: alone it doesn't reach the cut, two do.
 CERTAIN, LIKELIER, UNCERTAIN = 0.02, 2.5, 2.4
+#: How likely it may be that any candidate at all would be in as many toxic texts if it were as common in clean ones.
+CHANCE = 0.05
+#: Hits a word in toxic texts; and words of a usual text, which the prior is for.
+RATE, USUAL = 0.02, 350
 #: Candidate stems kept between the passes, at most.
 CANDIDATES = 50_000
 CUT = 0.7
@@ -129,11 +136,15 @@ class Scorer:
 
     def score(self, text: str | None) -> tuple[float, int]:
         """The score, and the number of clauses with weight."""
-        low, total, clauses = (text or "").lower(), self.prior, 0
+        low, clauses, n, run, best = (text or "").lower(), 0, 0, 0.0, 0.0
         if any(end < n or not low[end - n].isalpha() for end, n in self.machine.iter(low)):  # else no word begins with a term
             for c in _CLAUSE.split(low):
-                weight = self.clause(_WORD.findall(c))
-                total, clauses = total + weight, clauses + (weight > 0)
+                words = _WORD.findall(c)
+                weight = self.clause(words)
+                n, clauses = n + len(words), clauses + (weight > 0)
+                run = max(run + weight - RATE * len(words), 0.0)
+                best = max(best, run)
+        total = self.prior + max(best - math.log(max(n / USUAL, 1.0)), 0.0)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, total)))), clauses
 
 
@@ -163,6 +174,14 @@ def _counted(df: DataFrame, among: frozenset[str] | None = None) -> DataFrame:
     return df.select("text").mapInArrow(released(run), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
+def _by_chance(n: int, of: int, share: float) -> float:
+    """How likely n or more of so many texts are toxic if each is with the probability share."""
+    if n <= of * share:
+        return 1.0
+    log = lambda k: math.lgamma(of + 1) - math.lgamma(k + 1) - math.lgamma(of - k + 1) + k * math.log(share) + (of - k) * math.log1p(-share)
+    return math.fsum(math.exp(log(k)) for k in range(n, of + 1))
+
+
 def _covering(rows: list[list[str]], covers: int, support: int) -> list[str]:
     """Features by greedy multiple cover: each pick is what most rows need that aren't covered often enough yet."""
     need = [covers] * len(rows)
@@ -212,7 +231,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dic
     n_clean = {r.feature: r.n for r in _counted(good, frozenset(n_toxic)).collect()}
     weight = lambda f: math.log((n_toxic[f] + 0.5) / (n_bad + 1) / ((n_clean.get(f, 0) + 3) / (n_good + 1)))
     certain = lambda f: n_clean.get(f, 0) <= CERTAIN * n_toxic[f]
-    pure = frozenset(f for f in n_toxic if certain(f) or weight(f) >= LIKELIER)
+    share = (n_bad + 0.5) / (n_bad + n_good + 1)
+    pure = frozenset(f for f, n in n_toxic.items() if (certain(f) or weight(f) >= LIKELIER) and _by_chance(n, n + n_clean.get(f, 0), share) * len(n_toxic) < CHANCE)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

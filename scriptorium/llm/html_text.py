@@ -212,20 +212,44 @@ def _inside(nodes: list, pre: bool = False) -> list[str]:
     return lines
 
 
-def _rows(node: Node) -> Iterator[Node]:
-    order = {"thead": 0, "tfoot": 2}
-    for part in sorted((c for c in node.children if isinstance(c, Node) and visible(c)), key=lambda c: order.get(c.tag, 1)):
-        if part.tag == "tr":
-            yield part
-        elif part.tag in ("tbody", "thead", "tfoot"):
-            yield from (c for c in part.children if isinstance(c, Node) and c.tag == "tr" and visible(c))
+def _split(node: Node, order: int = 1) -> tuple[list[tuple[int, Node]], list[list]]:
+    """A table's rows (with 0 for the head, 2 for the foot), and what stands between them, in groups.
+
+    Rows are also those in sections and in other elements that are open around them, such as a form."""
+    rows: list[tuple[int, Node]] = []
+    stray: list[list] = [[]]
+    for c in node.children:
+        if isinstance(c, str):
+            if c.strip() or stray[-1]:
+                stray[-1].append(c)
+        elif not visible(c):
+            continue
+        elif c.tag == "tr":
+            rows.append((order, c))
+            stray.append([])
+        elif c.tag == "table" or c.tag == "details" and "open" not in c.attrs:
+            stray[-1].append(c)
+        else:
+            inner, left = _split(c, {"thead": 0, "tfoot": 2}.get(c.tag, order))
+            if c.tag in ("tbody", "thead", "tfoot"):
+                stray += [*left, []]
+            elif inner:
+                for group in left:
+                    part = Node(c.tag, c.attrs)
+                    part.children += group
+                    stray.append([part] if group else [])
+                stray.append([])
+            else:
+                stray[-1].append(c)
+            rows += inner
+    return rows, stray
 
 
-def table_lines(node: Node) -> list[str]:
+def table_lines(rows: list[Node]) -> list[str]:
     """A table's rows with its cells padded to the widths of their columns."""
     grid: list[dict[int, tuple[list[str], int, bool]]] = []
     taken: dict[int, int] = {}  # column -> rows that a cell from above still covers
-    for row in _rows(node):
+    for row in rows:
         cells: dict[int, tuple[list[str], int, bool]] = {}
         column, fresh = 0, {}
         for c in row.children:
@@ -304,10 +328,11 @@ def _render(nodes: list, flow: Flow, pre: bool = False) -> None:
             flow.space(1)
         elif tag == "table":
             flow.space(1)
-            for c in x.children:  # what stands in a table but in no row comes first, as browsers move it
-                if isinstance(c, str) and c.strip() or isinstance(c, Node) and c.tag not in ("tr", "tbody", "thead", "tfoot"):
-                    _render([c], flow, pre)
-            flow.take(table_lines(x))
+            rows, stray = _split(x)
+            for group in stray:  # what stands in a table but in no row comes first, as browsers move it
+                _render(group, flow, pre)
+                flow.break_()
+            flow.take(table_lines([r for _, r in sorted(rows, key=lambda r: r[0])]))
             flow.space(1)
         elif tag in ("blockquote", "dd"):
             flow.space(int(tag == "blockquote"))

@@ -185,12 +185,18 @@ def quality(docs: DataFrame, cut: float = CUT) -> DataFrame:
     pair, lang = F.to_json(F.array("lang", "source")), F.to_json(F.array("lang"))
     passed = stats.where("NOT base_failed").withColumn("pair", pair)
     size = passed.groupBy("pair", "lang").agg(F.count(F.lit(1)).alias("n"))
-    by_lang = size.where(F.col("n") < LEAST).groupBy(lang.alias("own")).agg(F.sum("n").alias("m"))
+    # a pair with too few rows is judged by all rows of its language, or else by all rows of the table
+    by_lang = size.groupBy(lang.alias("own")).agg(F.sum("n").alias("m"))
     cells = size.withColumn("own", lang).join(by_lang, "own", "left")
-    cells = stored(cells.select("pair", F.when(F.col("n") >= LEAST, F.col("pair")).when(F.col("m") >= LEAST, F.col("own")).otherwise("all").alias("cell")), "cells")
-    rows = stored(passed.join(cells, "pair").select("cell", *_features()), "vectors")
+    cells = stored(cells.withColumn("cell", F.when(F.col("n") >= LEAST, F.col("pair")).when(F.col("m") >= LEAST, F.col("own")).otherwise("all")), "cells")
+    asked = [F.lit(r.cell) for r in cells.where("cell = 'all'").select("cell").limit(1).collect()]
+    langs = cells.where("cell = own").select("own", F.lit(True).alias("asked")).distinct()
+    feeds = cells.join(langs, "own", "left")
+    to = F.array_compact(F.array(F.when(F.col("n") >= LEAST, F.col("pair")), F.when(F.col("asked"), F.col("own")), *asked))
+    feeds = stored(feeds.select("pair", F.explode(to).alias("cell")), "feeds")
+    rows = stored(passed.join(feeds, "pair").select("cell", *_features()), "vectors")
     model = mcd(rows)
-    named = cells.join(model, "cell", "left")
+    named = cells.select("pair", "cell").join(model, "cell", "left")
     at = stats.withColumn("pair", F.when(~F.col("base_failed"), pair)).select("*", *(F.when(~F.col("base_failed"), f).alias(f"x{k}") for k, f in enumerate(_features())))
     far = at.join(stored(named, "cell-models"), "pair", "left").withColumn("distance2", _distance())
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance2") <= chi2_quantile(cut, P), F.lit(True))

@@ -95,10 +95,10 @@ def positional_index(docs: DataFrame, seeds: DataFrame, bound: int = BROADCAST_T
     return led.unionByName(found.where("NOT lead").select("t", "doc_id", "h", "p", F.lit(None).cast("array<string>").alias("near")))
 
 
-def phrase_hits(docs: DataFrame, windows: DataFrame, lists: int = LISTS) -> DataFrame:
-    """Exact occurrences of windows: doc_id, h, start (of the word, from 0), n, phrase."""
+def phrase_hits(docs: DataFrame, windows: DataFrame, lists: int = LISTS, width: int = WINDOW) -> DataFrame:
+    """Exact occurrences of windows of at most width words: doc_id, h, start (of the word, from 0), n, phrase."""
     seeds = stored(rarest_terms(docs, windows, lists).withColumn("w", F.xxhash64("phrase")), "rarest")
-    index = positional_index(docs, seeds)
+    index = positional_index(docs, seeds, around=width)
     # the rarest term's list, as starts of windows
     begun = index.where("near IS NOT NULL").join(seeds.where("r = 0").select("t", "o", "w"), "t").where("p >= o")
     begun = begun.select("doc_id", "h", (F.col("p") - F.col("o")).alias("start"), "w", F.col("p").alias("at"))
@@ -109,18 +109,18 @@ def phrase_hits(docs: DataFrame, windows: DataFrame, lists: int = LISTS) -> Data
     need = seeds.groupBy("w").agg(F.max("r").alias("need"))
     shared = met.join(need, "w").where("met = need").select("doc_id", "h", "start", "w", "at")
     alone = begun.join(need.where("need = 0"), "w", "left_semi")
-    found = shared.union(alone).distinct()
+    found = shared.unionByName(alone).distinct()
     # word by word
     near = index.where("near IS NOT NULL").select("doc_id", "h", F.col("p").alias("at"), "near").dropDuplicates(["doc_id", "h", "at"])
     text = seeds.where("r = 0").select("w", "phrase", "n")
-    here = F.slice("near", F.least(F.col("at") + 1, F.lit(WINDOW)) - (F.col("at") - F.col("start")), F.col("n"))
+    here = F.slice("near", F.least(F.col("at") + 1, F.lit(width)) - (F.col("at") - F.col("start")), F.col("n"))
     return found.join(near, ["doc_id", "h", "at"]).join(text, "w").where(_az(F.array_join(here, " ")) == F.col("phrase")).select("doc_id", "h", "start", "n", "phrase")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """A row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     windows = stored(test_windows(benchmark, width), "windows")
-    hits = phrase_hits(docs, windows).join(windows.select("phrase", "items"), "phrase")
+    hits = phrase_hits(docs, windows, width=width).join(windows.select("phrase", "items"), "phrase")
     zero = F.lit(0).cast("long")
     spans = F.array_sort(F.collect_set(F.struct(F.col("start").cast("long").alias("start"), (F.col("start") + F.col("n")).cast("long").alias("stop"))))
     covered = F.aggregate(

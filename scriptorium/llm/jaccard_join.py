@@ -451,10 +451,25 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int = 5, percent: int = 80) -> DataFrame:
-    """Keeps the document of least doc_id of each group."""
-    found = jaccard_components(docs.select("doc_id", "text"), words, percent)
-    gone = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Keeps one document of each group, that of least doc_id (null last). Rows with null or repeated doc_id are documents of their own."""
+    own = F.col("doc_id").cast("long")
+    again = stored(docs.groupBy(own.alias("doc_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").select("doc_id"), "repeated-ids")
+    if again.isEmpty():
+        found = jaccard_components(docs.select("doc_id", "text"), words, percent)
+        gone = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    # such rows are numbered and stored, as a number must not change when a task is repeated
+    shared = again.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "_again")
+    loose = docs.join(shared, own == F.col("_again"), "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    loose = stored(loose.withColumn("_row", F.xxhash64(F.lit("row"), F.monotonically_increasing_id())), "loose")
+    rows = docs.where("doc_id IS NOT NULL").join(shared, own == F.col("_again"), "left_anti").withColumn("_row", own).unionByName(loose)
+    found = jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"), words, percent).select(F.col("doc_id").alias("_row"), "component_id")
+    real = loose.select("_row", own.alias("_id"), F.lit(True).alias("_loose"))
+    found = found.join(real, "_row", "left").select("_row", "component_id", F.when(F.col("_loose"), F.col("_id")).otherwise(F.col("_row")).alias("_id"))
+    found = stored(found, "groups")
+    best = found.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    gone = stored(found.join(best.select("component_id", F.col("best._row").alias("_kept")), "component_id").where("_row <> _kept").select("_row"), "copies")
+    return rows.join(gone, "_row", "left_anti").select(docs.columns)
 
 
 QUERIES = {"op4_jaccard_join": op4_jaccard_join}

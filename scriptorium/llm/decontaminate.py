@@ -24,8 +24,8 @@ from .common import stored, table
 WINDOW = 10
 #: Posting lists intersected for each window.
 LISTS = 2
-#: Test terms up to which they are broadcast; beyond, the postings are joined by a shuffle.
-BROADCAST_TERMS = 1_000_000
+#: Bytes of test terms (each with ROW more) up to which they are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_BYTES, ROW = 32_000_000, 32
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words, before A-Z are folded.
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -42,7 +42,7 @@ def _az(text: Column) -> Column:
 
 def _id() -> Column:
     """doc_id to join by: a value stands for null, as the result depends on the text alone."""
-    return F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("doc_id")
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id")
 
 
 def _n_words(words: Column) -> Column:
@@ -61,8 +61,8 @@ def test_windows(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
 
 
 def _checked(terms: DataFrame, bound: int) -> tuple[DataFrame, bool]:
-    """terms, marked for broadcast if their count is within bound."""
-    small = terms.limit(bound + 1).count() <= bound
+    """terms, marked for broadcast if they take no more bytes than the bound."""
+    small = (terms.agg(F.sum(F.octet_length("t") + ROW)).first()[0] or 0) <= bound
     return (F.broadcast(terms) if small else terms), small
 
 
@@ -73,7 +73,7 @@ def _occurrences(docs: DataFrame, *more: Column) -> DataFrame:
     return words.select("doc_id", "h", "w", F.posexplode_outer("w").alias("p", "t")).withColumn("t", F.lower("t"))
 
 
-def rarest_terms(docs: DataFrame, windows: DataFrame, lists: int = LISTS, bound: int = BROADCAST_TERMS) -> DataFrame:
+def rarest_terms(docs: DataFrame, windows: DataFrame, lists: int = LISTS, bound: int = BROADCAST_BYTES) -> DataFrame:
     """For each window that the corpus can hold, its rarest distinct terms: phrase, n, t, o (offset), r (rank from 0)."""
     terms, _ = _checked(stored(windows.select(F.explode("terms").alias("t")).distinct(), "terms"), bound)
     counts = _occurrences(docs).join(terms, "t").groupBy("t").agg(F.count(F.lit(1)).alias("df"))
@@ -82,7 +82,7 @@ def rarest_terms(docs: DataFrame, windows: DataFrame, lists: int = LISTS, bound:
     return ranked.where("s[0].df > 0").select("phrase", "n", F.posexplode(F.slice("s", 1, lists)).alias("r", "x")).select("phrase", "n", "r", "x.t", "x.o")
 
 
-def positional_index(docs: DataFrame, seeds: DataFrame, bound: int = BROADCAST_TERMS, around: int = WINDOW) -> DataFrame:
+def positional_index(docs: DataFrame, seeds: DataFrame, bound: int = BROADCAST_BYTES, around: int = WINDOW) -> DataFrame:
     """Postings of the seeds' terms: t, doc_id, h, p, and where a window has the term as its rarest, the words around it."""
     terms, small = _checked(stored(seeds.groupBy("t").agg((F.min("r") == 0).alias("lead")), "seeds"), bound)
     if small:
@@ -117,8 +117,8 @@ def phrase_hits(docs: DataFrame, windows: DataFrame, lists: int = LISTS, width:
     return found.join(near, ["doc_id", "h", "at"]).join(text, "w").where(_az(F.array_join(here, " ")) == F.col("phrase")).select("doc_id", "h", "start", "n", "phrase")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """A row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+def hit_texts(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+    """A stored row for each document (by doc_id, as of _id(), and the hash h of its text) with a hit: n_hit, ids (items)."""
     windows = stored(test_windows(benchmark, width), "windows")
     hits = phrase_hits(docs, windows, width=width).join(windows.select("phrase", "items"), "phrase")
     zero = F.lit(0).cast("long")
@@ -128,7 +128,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
         lambda a, s: F.struct((a["n"] + F.greatest(s["stop"] - F.greatest(s["start"], a["to"]), zero)).alias("n"), F.greatest(a["to"], s["stop"]).alias("to")), lambda a: a["n"],
     )
     by = hits.groupBy("doc_id", "h").agg(covered.cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("ids"))
-    by = stored(by, "hits")
+    return stored(by, "hits")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+    """A row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    by = hit_texts(docs, benchmark, width)
     all_ = docs.select(F.col("doc_id").alias("own"), _id(), F.xxhash64("text").alias("h"), _n_words(_split(F.col("text"))).alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return all_.join(by, ["doc_id", "h"], "left").select(
@@ -157,10 +162,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops contaminated documents."""
-    found = contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    bad = stored(found.where("contaminated").select("doc_id").distinct(), "contaminated")  # Spark sees its size and picks the join
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """Drops contaminated documents. Defined cases: a row is judged by its own text, so a contaminated one without doc_id
+    goes, and a clean one that shares its doc_id stays; all columns are kept as they are, whatever their names."""
+    bad = hit_texts(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))  # stored: Spark sees its size and picks the join
+    bad = bad.select(F.col("doc_id").alias("__hit_id"), F.col("h").alias("__hit_h"))
+    return docs.join(bad, (_id() == F.col("__hit_id")) & (F.xxhash64("text") == F.col("__hit_h")), "left_anti")
 
 
 _SQL = rf"""

@@ -10,10 +10,10 @@ document that stands in source_doc_id word for word. So every passage of at leas
 has is found, to the word, and nothing else.
 
 Defined cases: a null text or one of fewer than MIN_WORDS words has no passage. White space between words doesn't count.
-Rows without doc_id are left out. Repeats inside one document, and rows that share a doc_id, are no duplicates of each
-other. Exact copies are reported whole but in the document of least id. Spans of one document overlap where its parts
+Rows without doc_id come after all others and count as one document. Repeats inside one document, and rows that share a
+doc_id, are no duplicates of each other. Exact copies are reported whole but in the document of least id. Spans of one document overlap where its parts
 have different sources; the stage cuts their union. An empty table gives an empty result. A text of any length is read
-whole. Other columns are ignored by the operator and kept by the stage.
+whole. Other columns are ignored by the operator and kept by the stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, _powers, mixed, released, slices, stored, table, texts, word_hashes, words_of
@@ -31,63 +31,24 @@ from .common import SPACE, _powers, mixed, released, slices, stored, table, text
 #: Words that a passage has at least (over 50), and words that the rolling hash sees.
 MIN_WORDS, SEEN = 51, 16
 PLACE = "m long, d long, doc_id long, h long, pos int, n int, start long, stop long"
-#: For chunks(), which cuts by masks: words of a chunk at least, usually, at most. Only tests use it and gear().
-LEAST, USUAL, MOST = 3, 6, 16
-_GEAR = (mixed(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(48)).astype(np.uint16)
-#: Stands before each text, so that the hash of its first bytes depends on nothing else. As long as the hash's window.
-_LEAD = b"\n" * 16
+#: Stands for a null doc_id: such rows come after all others.
+NO_ID = 2**63 - 1
 _INVERSE = np.uint64(pow(0x5851F42D4C957F2D, -1, 2**64))
 
 
-def gear(buf: np.ndarray) -> np.ndarray:
-    """h[i] = 2 h[i-1] + G[buf[i]] modulo 2^16, all at once."""
-    h = _GEAR[buf]
+def gear(words: np.ndarray) -> np.ndarray:
+    """h[i] = 16 h[i-1] + words[i] modulo 2^64, all at once: of the last SEEN words. The first SEEN - 1 saw fewer."""
+    h = words
     for s in (1, 2, 4, 8):
-        add = h[:-s] << np.uint16(s)
+        add = h[:-s] << np.uint64(4 * s)
         h = h.copy()
         h[s:] += add
     return h
 
 
-def _next(at: np.ndarray) -> list[int]:
-    """For each place, the next one (itself included) where at holds."""
-    n = len(at)
-    return np.minimum.accumulate(np.where(at, np.arange(n), n)[::-1])[::-1].tolist()
-
-
-def chunks(docs: list[bytes]) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
-    """For each text with words: its index, and (start byte, end byte, words) of its chunks."""
-    buf = np.frombuffer(_LEAD + _LEAD.join(docs) + _LEAD, np.uint8)
-    inside = ~SPACE[buf]
-    edge = np.flatnonzero(np.diff(inside.view(np.int8)))
-    starts, ends = edge[::2] + 1, edge[1::2] + 1
-    h = gear(buf)[ends - 1]
-    hard, easy = _next((h >> np.uint16(13)) == 0), _next((h >> np.uint16(15)) == 0)
-    size = np.fromiter((len(d) + len(_LEAD) for d in docs), np.int64, len(docs))
-    base = np.cumsum(size) - size + len(_LEAD)
-    first = np.concatenate((np.searchsorted(starts, base), [len(starts)])).tolist()
-    a, z = starts.tolist(), ends.tolist()
-    for k, b in enumerate(base.tolist()):
-        s, end, out = first[k], first[k + 1], []
-        while s < end:
-            e = hard[s + LEAST - 1] if s + LEAST - 1 < end else end
-            if e >= s + USUAL:
-                e = min(easy[s + USUAL] if s + USUAL < end else end, s + MOST - 1)
-            e = min(e, end - 1)
-            out.append((a[s] - b, z[e] - b, e - s + 1))
-            s = e + 1
-        if out:
-            yield k, out
-
-
 def anchors(words: np.ndarray, size: int) -> np.ndarray:
     """For each passage of size words (by its first word), the least mixed gear hash of SEEN words in it."""
-    h = words
-    for s in (1, 2, 4, 8):
-        add = h[:-s] << np.uint64(4 * s)
-        h = h.copy()
-        h[s:] += add
-    m, have, want = mixed(h[SEEN - 1 :]), 1, size - SEEN + 1
+    m, have, want = mixed(gear(words)[SEEN - 1 :]), 1, size - SEEN + 1
     while have < want:
         step = min(have, want - have)
         m = np.minimum(m[:-step], m[step:])
@@ -143,6 +104,10 @@ def _placed(part: list[bytes], ids: np.ndarray, size: int, wanted: list | None =
         yield _batch(m[at], digests.of(at, n + size - 1), ids[of], h[of], at - first[of], n, starts[at] - base[of], ends[at + n + size - 2] - base[of])
 
 
+def _id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id")
+
+
 def chunk_rows(docs: DataFrame, size: int = MIN_WORDS) -> DataFrame:
     """A row for each chunk of each document: anchor m, digest d, doc_id, h (of the text), first word, passages, start and end byte."""
 
@@ -152,13 +117,13 @@ def chunk_rows(docs: DataFrame, size: int = MIN_WORDS) -> DataFrame:
             for at, part in slices(batch.column(1)):
                 yield from _placed(part, ids[at : at + len(part)], size)
 
-    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run), PLACE)
+    return docs.where("text IS NOT NULL").select(_id(), "text").mapInArrow(released(run), PLACE)
 
 
 def passage_rows(docs: DataFrame, wanted: DataFrame, size: int = MIN_WORDS) -> DataFrame:
     """As chunk_rows, for each passage by itself of the chunks in wanted (doc_id, h, pos, n)."""
     asked = wanted.groupBy("doc_id").agg(F.collect_set(F.struct("h", "pos", "n")).alias("wanted"))
-    here = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long"), "text").join(asked, "doc_id").select("doc_id", "text", "wanted")
+    here = docs.where("text IS NOT NULL").select(_id(), "text").join(asked, "doc_id").select("doc_id", "text", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,13 +160,18 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     order = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     runs = places.withColumn("g", F.col("pos") + F.col("n") - F.sum("n").over(order))
     out = runs.groupBy(*key, "g").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), (F.sum("n") + min_words - 1).alias("n_words"), F.count(F.lit(1)).alias("n_chunks"))
-    return out.select("doc_id", "h", "start", "stop", "n_words", "n_chunks", "source_doc_id")
+    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "h", "start", "stop", "n_words", "n_chunks", "source_doc_id")
 
 
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs with the spans cut out of their texts (n_chars set anew where there is such a column); texts left without a word go."""
-    cut = spans.groupBy("doc_id").agg(F.collect_set(F.struct("h", "start", "stop")).alias("_cut"))
-    here = docs.join(cut, "doc_id", "left")
+    # columns go by position, so that any names do
+    names = docs.columns
+    own = {names[i]: f"_{i}" for i in range(len(names))}
+    cut = spans.groupBy(_id().alias("of")).agg(F.collect_set(F.struct("h", "start", "stop")).alias("cut"))
+    here = docs.toDF(*own.values())
+    text = F.col(own["text"])
+    here = here.join(cut, F.coalesce(F.col(own["doc_id"]).cast("long"), F.lit(NO_ID)) == F.col("of"), "left")
 
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for text, cuts in batches:
@@ -217,11 +187,11 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
             yield pa.array([None if t is None else t.decode() for t in out], pa.string())
 
     run.__annotations__ = {"batches": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
-    touched = F.col("_cut").isNotNull()
+    touched = F.col("cut").isNotNull()
     # only edited texts cross to Python
-    here = here.withColumn("_new", F.arrow_udf(run, "string")(F.when(touched, F.col("text")), "_cut")).where(~touched | F.col("_new").rlike(r"[^\x20\x09-\x0D]"))
-    new = {"text": F.col("_new"), "n_chars": F.length("_new").cast(dict(docs.dtypes).get("n_chars", "long"))}
-    return here.select(*((F.when(touched, new[c]).otherwise(F.col(c)) if c in new else F.col(f"`{c}`")).alias(c) for c in docs.columns))
+    here = here.withColumn("new", F.arrow_udf(run, "string")(F.when(touched, text), "cut")).where(~touched | F.col("new").rlike(r"[^\x20\x09-\x0D]"))
+    new = {"text": F.col("new"), "n_chars": F.length("new").cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return here.select(*(F.when(touched, new[c]).otherwise(F.col(k)).alias(c) if c in new else F.col(k).alias(c) for c, k in own.items()))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,7 +199,8 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated spans out of all documents but the first that has them."""
+    """Cuts repeated spans out of all documents but the first that has them. Defined cases: as above; a text that is left
+    without a word goes, with its row; a text without a repeated span, a null one too, stays as it is."""
     return without_spans(docs, stored(repeated_spans(docs.select("doc_id", "text")), "spans"))
 
 

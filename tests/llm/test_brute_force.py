@@ -236,12 +236,11 @@ def test_substring_planted(spark):
 
 
 def test_gear_rolls():
-    data = bytes(np.random.default_rng(2).integers(0, 256, 500, dtype=np.uint8))
-    h, want = 0, []
-    for b in data:
-        h = (2 * h + int(substring_dedup._GEAR[b])) % 2**16
-        want.append(h)
-    assert substring_dedup.gear(np.frombuffer(data, np.uint8)).tolist()[16:] == want[16:]
+    words = np.random.default_rng(2).integers(0, 2**63, 500, dtype=np.uint64)
+    want = [sum(int(words[i - k]) << (4 * k) for k in range(min(i + 1, 16))) % 2**64 for i in range(500)]
+    assert substring_dedup.gear(words).tolist() == want
+    got, h = substring_dedup.anchors(words, 51), substring_dedup.mixed(np.array(want, np.uint64))
+    assert got.tolist() == [min(h[i + 15 : i + 51].tolist()) for i in range(450)]
 
 
 def test_toxicity_held_out(spark):
@@ -295,29 +294,15 @@ def test_pipeline(spark, docs):
     left = {i: t for i, t in left.items() if scorer.score(t)[0] < toxicity.CUT}
     root, _ = _naive_links(left, 5, 80)
     left = {i: t for i, t in left.items() if root[i] == i}
-    cuts, first = {}, {}
-    for i in sorted(left):
-        own = [c for _, c in substring_dedup.chunks([left[i].encode()])]
-        cuts[i] = own[0] if own else []
-        for a, z, _ in cuts[i]:
-            first.setdefault(left[i].encode()[a:z], i)
-    for i, t in list(left.items()):
-        raw, spans, now = t.encode(), [], []
-        for a, z, n in [*cuts[i], (-1, -1, 0)]:
-            if n and first[raw[a:z]] < i:
-                now.append((a, z, n))
-                continue
-            if sum(x[2] for x in now) >= substring_dedup.MIN_WORDS:
-                spans.append((now[0][0], now[-1][1]))
-            now = []
-        if spans:
-            parts, at = [], 0
-            for a, z in spans:
-                parts.append(raw[at:a].rstrip(b" "))
-                at = z
-            left[i] = b" ".join([*parts, raw[at:].lstrip(b" ")]).strip().decode()
-            if not left[i].split():
-                del left[i]
+    seen: set[tuple] = set()
+    for i in sorted(left):  # words in passages of MIN_WORDS words that an earlier document has
+        w = left[i].split()
+        own = [tuple(w[k : k + substring_dedup.MIN_WORDS]) for k in range(len(w) - substring_dedup.MIN_WORDS + 1)]
+        gone = {j for k, x in enumerate(own) if x in seen for j in range(k, k + substring_dedup.MIN_WORDS)}
+        seen |= set(own)
+        if gone:
+            left[i] = " ".join(x for j, x in enumerate(w) if j not in gone)
+    left = {i: t for i, t in left.items() if t.split()}
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
     windows = set()
     for r in table(spark, SF, "benchmark").collect():

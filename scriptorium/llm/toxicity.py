@@ -1,16 +1,16 @@
-"""Toxicity: a weighted finite-state pattern grammar over clauses.
-
-Method: a lexical transducer maps the words of a clause to insult, threat, target, negation and reported-speech
-symbols with weights; small transducers for the scope of negation and of reported speech and for the binding of a
-target are composed into one table, which reads a clause's symbols and gives its weight. A text is judged by its
-strongest stretch of clauses: the sum of their weights less RATE for each word, as so many hits are to be expected. A
-longer text has more stretches that chance could favour, so the logarithm of its length in texts of USUAL words is taken
-off. The score is the logistic function of the prior log odds plus what is left, if anything. Insult stems and their
-weights are learned from at most SAMPLE labelled texts (those with the least hashes): word beginnings that toxic texts
-have and clean ones lack, more surely than CHANCE would have it for any of the candidates, picked by greedy multiple
-cover so that copies of one toxic text do not vouch for its other words.
-
-Defined cases: null, empty or wordless texts have no clause and get the prior's score. Texts are read whole at any
+"""Toxicity: a weighted finite-state pattern grammar over sentences.
+
+Method: a lexical transducer maps the words of a sentence to insult, threat, target, negation and reported-speech
+symbols with weights; the composed transducers of the grammar (see grammar.py) read them, once from the right and once
+from the left, and give each weight its factor. A text is judged by its strongest stretch of sentences: the sum of their
+weights less RATE for each word, as so many hits are to be expected. A longer text has more stretches that chance could
+favour, so the logarithm of its length in texts of USUAL words is taken off. The score is the logistic function of the
+prior log odds plus what is left, if anything. Insult stems and their weights are learned from at most SAMPLE labelled
+texts (those with the least hashes): word beginnings that toxic texts have and clean ones lack, more surely than CHANCE
+would have it for any of the candidates, picked by greedy multiple cover so that copies of one toxic text do not vouch
+for its other words. The weight of a threat against a target starts from THREAT_WEIGHT and follows the same sample.
+
+Defined cases: null, empty or wordless texts have no sentence and get the prior's score. Texts are read whole at any
 length. Repeated rows get equal scores. Null labels are not learned from; without any toxic label only the fixed
 threat patterns remain. An empty table gives an empty result. Other columns are ignored.
 """
@@ -20,14 +20,15 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
-from itertools import product
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import released, slices, stored, table
+from .grammar import SENTENCE, THREAT, TOKEN, factors, lexical
 
 #: Labelled texts that the lexicon is learned from, at most.
 SAMPLE = 20_000
@@ -42,110 +43,64 @@ CERTAIN, LIKELIER, UNCERTAIN = 0.02, 2.5, 2.4
 CHANCE = 0.05
 #: Hits a word in toxic texts; and words of a usual text, which the prior is for.
 RATE, USUAL = 0.02, 350
-#: Candidate stems kept between the passes, at most.
-CANDIDATES = 50_000
+#: Candidate stems kept between the passes, and of each toxic text in the cover, at most.
+CANDIDATES, PER_TEXT = 50_000, 200
+#: What a threat against the reader weighs before any label is seen, and the texts that this counts as.
+THREAT_WEIGHT, ASSUMED = 4.0, 20
 CUT = 0.7
 
-# Fixed word lists of the grammar (English, German, French, Spanish).
-THREAT = frozenset("kill destroy hurt murder strangle stab töten umbringen erschlagen vernichten tuer égorger détruire matar destruir golpear".split())
-TARGET = frozenset("you your he she they him her them this these du dich ihr euch sie er tu vous toi lui elle ils tú usted él ella ellos este esta".split())
-NEGATION = frozenset("not never no neither nor nicht kein keine nie pas jamais ni non nunca jamás".split())
-REPORTED = frozenset("said says quoted claimed reported alleged sagte behauptete dit disait affirmait dijo decía afirmó".split())
-
-_CLAUSE = re.compile(r"[.!?;:,\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-class Transducer:
-    """A deterministic weighted transducer on class symbols: (state, symbol) -> (state, factor)."""
-
-    def __init__(self, start: object, arcs: dict[tuple[object, str], tuple[object, float]]) -> None:
-        self.start, self.arcs = start, arcs
-
-    def compose(self, other: Transducer) -> Transducer:
-        """Both at once: pairs of states, factors multiplied. Only states that can be reached are kept."""
-        start, arcs, todo = (self.start, other.start), {}, [(self.start, other.start)]
-        symbols = {s for _, s in self.arcs}
-        while todo:
-            a, b = todo.pop()
-            for s in symbols:
-                if ((a, b), s) in arcs:
-                    continue
-                (x, f), (y, g) = self.arcs[a, s], other.arcs[b, s]
-                arcs[(a, b), s] = ((x, y), f * g)
-                todo.append((x, y))
-        return Transducer(start, arcs)
-
-
-SYMBOLS = ("insult", "threat", "target", "negation", "reported", "other")
-
-
-def _negation(scope: int = 3, factor: float = 0.2) -> Transducer:
-    """Weights within scope words after a negation shrink."""
-    arcs = {}
-    for left, s in product(range(scope + 1), SYMBOLS):
-        arcs[left, s] = (scope if s == "negation" else max(left - 1, 0), factor if left and s in ("insult", "threat") else 1.0)
-    return Transducer(0, arcs)
-
-
-def _reported(factor: float = 0.5) -> Transducer:
-    """Weights after a verb of speech, to the clause's end, shrink."""
-    return Transducer(0, {(on, s): (1 if s == "reported" else on, factor if on and s in ("insult", "threat") else 1.0) for on, s in product((0, 1), SYMBOLS)})
-
-
-def _target(bound: float = 1.25) -> Transducer:
-    """An insult that follows a target in its clause weighs more; a threat weighs only then."""
-    return Transducer(0, {(on, s): (1 if s == "target" else on, (bound if on else 1.0) if s == "insult" else float(on) if s == "threat" else 1.0) for on, s in product((0, 1), SYMBOLS)})
-
+class Lexicon(NamedTuple):
+    """What is learned: insult stems ($ ends a whole word) with weights, the prior log odds, the weight of a threat."""
 
-GRAMMAR = _negation().compose(_reported()).compose(_target())
+    stems: dict[str, float]
+    prior: float
+    threat: float = THREAT_WEIGHT
 
 
 class Scorer:
     """The lexical transducer (learned stems, fixed lists) with the composed grammar."""
 
-    THREAT_WEIGHT = 2.5
-
-    def __init__(self, stems: dict[str, float], prior: float) -> None:
+    def __init__(self, stems: dict[str, float], prior: float, threat: float = THREAT_WEIGHT) -> None:
         import ahocorasick
 
-        self.stems, self.prior = stems, prior
+        self.stems, self.prior, self.threat = stems, prior, threat
         self.longest = sorted({len(s.rstrip("$")) for s in stems}, reverse=True)
         self.machine = ahocorasick.Automaton()
         for s in {x.rstrip("$") for x in stems} | THREAT:
             self.machine.add_word(s, len(s))
         self.machine.make_automaton()
 
-    def symbol(self, word: str) -> tuple[str, float]:
-        if (w := self.stems.get(word + "$")) is not None:
+    def symbol(self, token: str) -> tuple[str, float]:
+        if (w := self.stems.get(token + "$")) is not None:
             return "insult", w
         for n in self.longest:
-            if n <= len(word) and (w := self.stems.get(word[:n])) is not None:
+            if n <= len(token) and (w := self.stems.get(token[:n])) is not None:
                 return "insult", w
-        if word in THREAT:
-            return "threat", self.THREAT_WEIGHT
-        return "target" if word in TARGET else "negation" if word in NEGATION else "reported" if word in REPORTED else "other", 0.0
-
-    def clause(self, words: Iterable[str]) -> float:
-        state, total = GRAMMAR.start, 0.0
-        for w in words:
-            s, weight = self.symbol(w)
-            state, factor = GRAMMAR.arcs[state, s]
-            total += weight * factor
-        return total
+        s = lexical(token)
+        return s, self.threat if s == "threat" else 0.0
+
+    def sentence(self, tokens: list[str]) -> float:
+        found = [self.symbol(t) for t in tokens]
+        if not any(w for _, w in found):
+            return 0.0
+        return sum(w * f for (_, w), f in zip(found, factors([s for s, _ in found]), strict=True))
 
     def score(self, text: str | None) -> tuple[float, int]:
-        """The score, and the number of clauses with weight."""
-        low, clauses, n, run, best = (text or "").lower(), 0, 0, 0.0, 0.0
+        """The score, and the number of sentences with weight."""
+        low, hits, n, run, best = (text or "").lower(), 0, 0, 0.0, 0.0
         if any(end < n or not low[end - n].isalpha() for end, n in self.machine.iter(low)):  # else no word begins with a term
-            for c in _CLAUSE.split(low):
-                words = _WORD.findall(c)
-                weight = self.clause(words)
-                n, clauses = n + len(words), clauses + (weight > 0)
-                run = max(run + weight - RATE * len(words), 0.0)
+            for part in SENTENCE.split(low):
+                tokens = TOKEN.findall(part)
+                words = sum(t[0].isalpha() for t in tokens)
+                weight = self.sentence(tokens)
+                n, hits = n + words, hits + (weight > 0)
+                run = max(run + weight - RATE * words, 0.0)
                 best = max(best, run)
         total = self.prior + max(best - math.log(max(n / USUAL, 1.0)), 0.0)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, total)))), clauses
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, total)))), hits
 
 
 def _features(text: str | None) -> set[str]:
@@ -211,8 +166,27 @@ def _covering(rows: list[list[str]], covers: int, support: int) -> list[str]:
     return picked
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], float]:
-    """Stems with weights, and the prior log odds. labels has doc_id and toxic; the sample is the least hashes of doc_id."""
+def _threatening(rows: DataFrame) -> dict[bool, int]:
+    """How many texts of rows (text, _toxic) threaten someone, by toxic or not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer, n = Scorer({}, 0.0, 1.0), Counter()
+        for b in batches:
+            for t, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                n[toxic] += scorer.score(t)[1] > 0
+        yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.bool_()), pa.array(n.values(), pa.int64())], ["toxic", "n"])
+
+    return {r.toxic: r.n for r in rows.select("text", F.col("_toxic") > 0).mapInArrow(released(run), "toxic boolean, n long").groupBy("toxic").agg(F.sum("n").alias("n")).collect()}
+
+
+def _threat_weight(toxic: int, n_toxic: int, clean: int, n_clean: int) -> float:
+    """The log ratio of how common threats are in toxic and clean texts, from ASSUMED texts of either kind with a ratio of THREAT_WEIGHT on."""
+    usual = 0.01
+    return max(0.0, math.log((toxic + ASSUMED * usual * math.exp(THREAT_WEIGHT)) / (n_toxic + ASSUMED)) - math.log((clean + ASSUMED * usual) / (n_clean + ASSUMED)))
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
+    """labels has doc_id and toxic; the sample is the least hashes of doc_id."""
     chosen = (
         labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -225,39 +199,47 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dic
     prior = math.log((n_bad + 0.5) / (n_good + 0.5)) if n_bad else -3.0
     prior = max(-3.0, min(-1.0, prior))
     if not n_bad:
-        return {}, prior
+        return Lexicon({}, prior)
+    threats = _threatening(rows)
+    threat = _threat_weight(threats.get(True, 0), n_bad, threats.get(False, 0), n_good)
     top = _counted(bad).where(F.col("n") >= SUPPORT).orderBy(F.desc("n"), "feature").limit(CANDIDATES).collect()
     n_toxic = {r.feature: r.n for r in top}
     n_clean = {r.feature: r.n for r in _counted(good, frozenset(n_toxic)).collect()}
     weight = lambda f: math.log((n_toxic[f] + 0.5) / (n_bad + 1) / ((n_clean.get(f, 0) + 3) / (n_good + 1)))
     certain = lambda f: n_clean.get(f, 0) <= CERTAIN * n_toxic[f]
     share = (n_bad + 0.5) / (n_bad + n_good + 1)
-    pure = frozenset(f for f, n in n_toxic.items() if (certain(f) or weight(f) >= LIKELIER) and _by_chance(n, n + n_clean.get(f, 0), share) * len(n_toxic) < CHANCE)
+    pure = {f: k for k, (f, n) in enumerate(n_toxic.items()) if (certain(f) or weight(f) >= LIKELIER) and _by_chance(n, n + n_clean.get(f, 0), share) * len(n_toxic) < CHANCE}
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sorted(_features(t) & pure) for t in b.column(0).to_pylist()], pa.list_(pa.string()))], ["features"])
+            found = [sorted(pure[f] for f in _features(t) if f in pure)[:PER_TEXT] for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], ["features"])
 
-    lists = [r.features for r in bad.select("text").mapInArrow(kept, "features array<string>").collect()]
+    name = list(n_toxic)
+    # at most SAMPLE rows of PER_TEXT numbers
+    lists = [[name[k] for k in r.features] for r in bad.select("text").mapInArrow(kept, "features array<int>").collect()]
     stems = _covering(sorted(lists), COVERS, SUPPORT)
-    return {f: w if certain(f) else min(w, UNCERTAIN) for f in stems if (w := weight(f)) > 0.5}, prior
+    return Lexicon({f: w if certain(f) else min(w, UNCERTAIN) for f in stems if (w := weight(f)) > 0.5}, prior, threat)
 
 
-def score_texts(docs: DataFrame, stems: dict[str, float], prior: float) -> DataFrame:
-    """docs' columns and toxic_score, toxic_clauses. No shuffle; only the text crosses to Python."""
+def scores(text: Column, stems: dict[str, float], prior: float, threat: float = THREAT_WEIGHT) -> Column:
+    """A struct of score and sentences with weight. No shuffle; only the text crosses to Python."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scorer = Scorer(stems, prior)
+        scorer = Scorer(stems, prior, threat)
         kind = pa.struct([("score", pa.float64()), ("clauses", pa.int64())])
         for column in batches:
             got = [scorer.score(t.decode("utf-8", "replace")) for _, part in slices(column) for t in part]
             yield pa.array([{"score": s, "clauses": n} for s, n in got], kind)
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    rest = [c for c in docs.columns if c not in ("toxic_score", "toxic_clauses")]
-    return docs.select(*(docs[f"`{c}`"] for c in rest), F.arrow_udf(run, "score double, clauses long")(F.col("text")).alias("_t")).select(
-        *(F.col(f"`{c}`") for c in rest), F.col("_t.score").alias("toxic_score"), F.col("_t.clauses").alias("toxic_clauses")
-    )
+    return F.arrow_udf(run, "score double, clauses long")(text)
+
+
+def score_texts(docs: DataFrame, stems: dict[str, float], prior: float, threat: float = THREAT_WEIGHT) -> DataFrame:
+    """docs' columns and toxic_score, toxic_clauses (set anew where docs has them)."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("toxic_score", "toxic_clauses")]
+    return docs.select(*rest, scores(F.col("text"), stems, prior, threat).alias("_t")).select(*rest, F.col("_t.score").alias("toxic_score"), F.col("_t.clauses").alias("toxic_clauses"))
 
 
 def held_out(column: str = "doc_id"):
@@ -266,15 +248,15 @@ def held_out(column: str = "doc_id"):
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    stems, prior = learn(docs, table(spark, sf_dir, "labels").where(~held_out()))
-    out = score_texts(docs, stems, prior)
+    out = score_texts(docs, *learn(docs, table(spark, sf_dir, "labels").where(~held_out())))
     return out.select("doc_id", held_out().alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= CUT).cast("int").alias("predicted"), F.col("toxic_clauses").alias("n_clauses"))
 
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that score under CUT, with their columns. The lexicon is learned from the rows that aren't held out."""
-    stems, prior = learn(docs, table(spark, sf_dir, "labels").where(~held_out()))
-    return score_texts(docs, stems, prior).where(F.col("toxic_score") < CUT).drop("toxic_score", "toxic_clauses")
+    """Keeps the documents that score under CUT, with all their columns, whatever the names. The lexicon is learned from
+    the rows that aren't held out. Defined cases: as above; a null or empty text stays."""
+    learned = learn(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").where(~held_out()))
+    return docs.where(scores(F.col("text"), *learned)["score"] < CUT)
 
 
 QUERIES = {"op7_toxicity": op7_toxicity}

@@ -289,8 +289,7 @@ def test_rendering():
 def test_pipeline(spark, docs):
     """All stages by brute force."""
     left = {i: r.text for i, r in docs.items()}
-    stems, prior = toxicity.learn(table(spark, SF, "documents"), table(spark, SF, "labels").where(~toxicity.held_out()))
-    scorer = toxicity.Scorer(stems, prior)
+    scorer = toxicity.Scorer(*toxicity.learn(table(spark, SF, "documents"), table(spark, SF, "labels").where(~toxicity.held_out())))
     left = {i: t for i, t in left.items() if scorer.score(t)[0] < toxicity.CUT}
     root, _ = _naive_links(left, 5, 80)
     left = {i: t for i, t in left.items() if root[i] == i}

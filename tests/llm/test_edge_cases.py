@@ -110,8 +110,7 @@ def test_url_filter(spark):
 
 def test_toxicity(docs, none, labels, no_labels):
     for ls in (labels, no_labels):
-        stems, prior = toxicity.learn(docs, ls)
-        got = toxicity.score_texts(docs, stems, prior).collect()
+        got = toxicity.score_texts(docs, *toxicity.learn(docs, ls)).collect()
         assert len(got) == len(ROWS) and all(0 <= r.toxic_score < 0.7 for r in got)
     assert toxicity.score_texts(none, *toxicity.learn(none, labels)).count() == 0
 

@@ -1,0 +1,99 @@
+"""The grammar of op7_toxicity: sentences by phenomenon, and the composed transducers against rules read off word by word."""
+
+from __future__ import annotations
+
+import math
+import random
+
+import pytest
+
+from scriptorium.llm import grammar, toxicity
+
+SCORER = toxicity.Scorer({"idiot": 5.0, "loser": 2.4}, -2.2)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "you idiot", "an idiot", "You idiot said nothing.", "He is not clever, an idiot.", "You, my friend, are an idiot.", "IDIOT!",
+        "I will kill you", "he threatens: kill you", "you will be murdered", "You, he thinks, should be killed.", "We strangled you.",
+        "ich werde dich töten", "dich erschlägt er", "je vais te tuer", "te voy a matar", "tu seras étranglé, toi qu'on tue",
+    ],
+)
+def test_toxic_sentences(text):
+    assert SCORER.score(text)[0] >= toxicity.CUT
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "not an idiot", "you aren't an idiot", "You aren’t an idiot.", "tu n'es pas un idiot", "du bist kein Idiot", "no eres un idiota",
+        "he said: \"you idiot\"", "he said you idiot", "\"You idiot\", he said.", "„Du Idiot“, sagte er.", "They claimed, in short, that you are an idiot.",
+        "kill the lights", "destroy all copies before the meeting", "she killed him", "I won't kill you", "nobody kills you", "the loser went home", "your lights", "", "...",
+    ],
+)
+def test_clean_sentences(text):
+    assert SCORER.score(text)[0] < toxicity.CUT
+
+
+def test_orders():
+    score = lambda t: SCORER.score(t)[0]
+    assert score("not an idiot") < score("an idiot") < score("you idiot")
+    assert score("kill the lights") == score("the lights") < score("kill him") < score("kill you")
+    assert score("He reports. You idiot.") == pytest.approx(score("You idiot."), abs=0.01)  # a sentence's end ends all
+
+
+def _by_rules(symbols: list[str]) -> list[float]:
+    """The factors, looked up from each place."""
+    out = []
+    word = [s != "mark" for s in symbols]
+    for i, s in enumerate(symbols):
+        if s not in ("insult", "threat"):
+            out.append(1.0)
+            continue
+        f, k, left = 1.0, i - 1, grammar.NEGATED
+        while k >= 0 and left and symbols[k] != "mark":
+            if symbols[k] == "negation":
+                f *= grammar.NEGATED_FACTOR
+                break
+            k, left = k - 1, left - 1
+        later = any(symbols[m] == "mark" and any(symbols[m + 1 + d] == "reported" and all(word[m + 1 : m + 1 + d]) for d in range(grammar.SPOKEN) if m + 1 + d < len(symbols)) for m in range(i + 1, len(symbols)))
+        if later or "reported" in symbols[:i]:
+            f *= grammar.REPORTED_FACTOR
+        who = 0
+        for near, reach in ((symbols[:i][::-1], grammar.BEFORE), (symbols[i + 1 :], grammar.AFTER)):
+            near = [x for x in near if x != "mark"][:reach]
+            who = max(who, 2 if "you" in near else 1 if "person" in near else 0)
+        f *= (grammar.BOUND if who else 1.0) if s == "insult" else (0.0, grammar.OTHERS, 1.0)[who]
+        out.append(f)
+    return out
+
+
+def test_composition():
+    """The composed transducers give what each rule gives by itself."""
+    rng = random.Random(3)
+    for _ in range(3_000):
+        symbols = rng.choices(grammar.SYMBOLS, weights=[3, 3, 1, 1, 1, 1, 2, 6], k=rng.randint(0, 14))
+        assert grammar.factors(symbols) == pytest.approx(_by_rules(symbols)), symbols
+
+
+def test_forms():
+    assert {"kill", "killed", "killing", "töten", "tuer", "matar", "strangled"} <= grammar.THREAT and not grammar.THREAT & (grammar.YOU | grammar.PERSON | grammar.NEGATION)
+    assert [grammar.lexical(t) for t in grammar.TOKEN.findall("you don't say: n'est, word")] == ["you", "negation", "reported", "mark", "negation", "other", "mark", "other"]
+
+
+def test_threat_weight():
+    """Labels move the weight of threats from where it starts."""
+    start = toxicity._threat_weight(0, 0, 0, 0)
+    assert start == pytest.approx(toxicity.THREAT_WEIGHT)
+    assert toxicity._threat_weight(0, 400, 0, 4_000) != start and toxicity._threat_weight(200, 400, 0, 4_000) > start > toxicity._threat_weight(4, 400, 400, 4_000)
+    assert toxicity._threat_weight(0, 400, 900, 4_000) == 0 and math.isfinite(toxicity._threat_weight(400, 400, 0, 10**7))
+
+
+def test_learned_threats(spark):
+    """Where clean texts threaten as often as toxic ones, a threat weighs little."""
+    rows = [(i, f"text {i} i will kill you", i % 2) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert toxicity.learn(docs, docs).threat < 0.6
+    docs = spark.createDataFrame([(i, f"text {i} " + ("kill you" if t else "read this"), t) for i, _, t in rows], "doc_id long, text string, toxic int")
+    assert toxicity.learn(docs, docs).threat > 3

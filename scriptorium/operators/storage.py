@@ -15,7 +15,7 @@ def shared_dir(spark: SparkSession) -> str:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         there = got.get() if got.isDefined() else None
     if not there:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         there = tempfile.mkdtemp(prefix="scriptorium-")
         spark.sparkContext.setCheckpointDir(there)

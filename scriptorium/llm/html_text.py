@@ -7,25 +7,35 @@ Block elements stand on lines of their own, with a blank line where browsers put
 in preformatted text; lists get markers and indents; table cells are padded to the width of their column, with
 column and row spans.
 
-Defined cases: a null or empty page gives an empty text. Malformed markup never fails: what is no tag is text.
-Nesting beyond DEEP elements is flattened without losing text. Repeated rows are rendered each. An empty table gives
-an empty result. Pages of any length are rendered whole. Other columns are ignored by the query.
+Tokenizer and tree builder take time in proportion to the page, at any depth, and so does the renderer but for tables
+in tables, whose lines are padded at each level. Nothing recurses.
+
+Defined cases: a null or empty page gives an empty text. Malformed markup never fails: what is no tag is text. A
+quotation mark in a tag that never closes is no quotation mark, nor is any behind it. Elements nest to any depth; lines
+are indented by INDENT characters at most, and columns padded to WIDEST, where longer cells run over. Repeated rows are
+rendered each. An empty table gives an empty result. Pages of any length are rendered whole. Other columns are ignored
+by the query.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DEEP = 150
-_ATTRS = r"""[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*"""
-_TOKEN = re.compile(rf"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>?|</([A-Za-z][^\s/>]*)[^>]*>?|<([A-Za-z][^\s/>]*)({_ATTRS})>", re.S)
-_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: The widest indent of a line, and the widest padding of a column.
+INDENT, WIDEST = 200, 500
+_NAME = re.compile(r"[^\s/>]+")
+#: An attribute with what stands before it; name and value may be missing.
+_ATTR = re.compile(r"""[\s/]*(?:([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*))?)?)?""")
+#: The same where quotation marks don't count.
+_LOOSE = re.compile(r"""[\s/]*(?:([^\s/>][^\s/>=]*)(?:\s*=\s*["']?()()([^\s>"']*)["']?)?)?""")
+_COMMENT_END = re.compile(r"--!?>|(?<=<!--)-?>")
 _GAP = re.compile(r"[ \t\n\r\f]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,84 +55,148 @@ CLOSES = {
     "body": (frozenset({"head"}), frozenset({"html"})),
 }
 CLOSES["thead"] = CLOSES["tfoot"] = CLOSES["tbody"]
+_P, _P_BOUNDS = frozenset({"p"}), frozenset({"table", "td", "th", "button", "body"})
 
 
 class Node:
     __slots__ = ("attrs", "children", "tag")
 
-    def __init__(self, tag: str, attrs: dict[str, str]) -> None:
-        self.tag, self.attrs, self.children = tag, attrs, []
+    def __init__(self, tag: str, attrs: dict[str, str], children: list | None = None) -> None:
+        self.tag, self.attrs, self.children = tag, attrs, [] if children is None else children
 
 
-def _attributes(text: str) -> dict[str, str]:
-    out: dict[str, str] = {}
-    for name, a, b, c in _ATTR.findall(text):
-        out.setdefault(name.lower(), a or b or c)
-    return out
+class _Tokens:
+    """The tags of a page, from left to right. A tag that is begun and never ended is text."""
+
+    def __init__(self, html: str) -> None:
+        self.html, self.last, self.attribute = html, html.rfind(">"), _ATTR
+
+    def attributes(self, at: int) -> tuple[dict[str, str], bool, int]:
+        """From behind a tag's name: its attributes, whether it ends in a slash, and where it ends."""
+        html, out, start = self.html, {}, at
+        while True:
+            m = self.attribute.match(html, at)
+            at = m.end()
+            if m[1]:
+                out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+            if at > self.last:
+                break
+            if html[at] == ">":
+                return out, html[at - 1] == "/", at + 1
+            if m.end() == m.start() or html[at] in "\"'" and html[m.end(1) : at].strip() == "=":
+                break
+        # a mark that never closes: from here on they don't count, so that no part is looked at again and again
+        self.attribute = _LOOSE
+        at, end = start, html.find(">", start)
+        out = {}
+        while at < end:
+            m = _LOOSE.match(html, at, end)
+            if m[1]:
+                out.setdefault(m[1].lower(), m[4] or "")
+            at = max(m.end(), at + 1)
+        return out, html[end - 1] == "/", end + 1
+
+
+class _Open:
+    """The open elements, and where those of each tag are."""
+
+    def __init__(self, root: Node) -> None:
+        self.nodes, self.at = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, to: int) -> None:
+        while len(self.nodes) > to:
+            self.at[self.nodes.pop().tag].pop()
+
+    def last(self, tags: Iterable[str]) -> int:
+        """Where the innermost open element of these is; 0 for none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def close(self, tags: frozenset[str], bounds: frozenset[str]) -> None:
+        """The outermost open element of tags inside the bounds ends, with all in it."""
+        bound, found = self.last(bounds), len(self.nodes)
+        for t in tags:
+            if places := self.at.get(t):
+                k = bisect_right(places, bound)
+                if k < len(places):
+                    found = min(found, places[k])
+        self.cut(found)
+
+
+_CELL_PARTS = frozenset("table tr tbody thead tfoot body td th".split())
 
 
 def parse(html: str) -> Node:
     """The tree of a page."""
     root = Node("html", {})
-    stack, at, end = [root], 0, len(html)
+    tokens, open_ = _Tokens(html), _Open(root)
+    stack, at, begun, end = open_.nodes, 0, 0, len(html)
 
     def text(a: int, b: int) -> None:
         if a < b:
             stack[-1].children.append(unescape(html[a:b]) if html.find("&", a, b) >= 0 else html[a:b])
 
-    def close(tags: frozenset[str], bounds: frozenset[str]) -> None:
-        """The outermost open element of tags inside the bounds ends, with all in it."""
-        found = None
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in bounds:
-                break
-            if stack[i].tag in tags:
-                found = i
-        if found:
-            del stack[found:]
-
-    while m := _TOKEN.search(html, at):
-        text(at, m.start())
-        at = m.end()
-        if m[2]:
-            tag = m[2].lower()
-            attrs = _attributes(m[3]) if m[3].strip(" \t\n\r\f/") else {}
-            if tag == "html":
-                root.attrs.update(attrs)
-                continue
-            if tag in CLOSES:
-                close(*CLOSES[tag])
-            if tag in _P_ENDS:
-                close(frozenset({"p"}), frozenset({"table", "td", "th", "button", "body"}))
-            if stack[-1].tag == "head" and tag not in HIDDEN:
-                stack.pop()
-            if tag == "tr" and stack[-1].tag == "table":
-                stack[-1].children.append(body := Node("tbody", {}))
-                stack.append(body)
-            if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
-                stack[-1].children.append(row := Node("tr", {}))
-                stack.append(row)
-            node = Node(tag, attrs)
-            stack[-1].children.append(node)
-            if tag in RAW:
-                stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
-                body_end = stop.start() if stop else end
-                if at < body_end:
-                    node.children.append(unescape(html[at:body_end]) if tag in ("textarea", "title") else html[at:body_end])
+    def add(tag: str) -> None:
+        node = Node(tag, {})
+        stack[-1].children.append(node)
+        open_.push(node)
+
+    while (i := html.find("<", at)) >= 0:
+        c = html[i + 1 : i + 2]
+        if c in ("!", "?"):
+            text(begun, i)
+            if html.startswith("--", i + 2):
+                stop = _COMMENT_END.search(html, i + 4)
                 at = stop.end() if stop else end
-            elif tag not in VOID and not (m[3].endswith("/") and tag in ("svg", "math", "path")) and len(stack) < DEEP:
-                stack.append(node)
-        elif m[1]:
-            tag = m[1].lower()
+            else:
+                at = html.find(">", i) + 1 or end
+            begun = at
+            continue
+        closing = c == "/"
+        first = html[i + 1 + closing : i + 2 + closing]
+        if not (first.isascii() and first.isalpha()) or i > tokens.last:
+            at = i + 1  # a text's character
+            continue
+        m = _NAME.match(html, i + 1 + closing)
+        tag = m[0].lower()
+        text(begun, i)
+        if closing:
+            at = begun = html.find(">", m.end()) + 1
             if tag == "br":
                 stack[-1].children.append(Node("br", {}))
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "td", "th"):
-                    break  # an end tag doesn't reach out of a table cell
-    text(at, end)
+            found = open_.last((tag,))
+            if found and (tag in _CELL_PARTS or found > open_.last(("td", "th", "table"))):  # an end tag doesn't reach out of a table cell
+                open_.cut(found)
+            continue
+        attrs, slash, at = tokens.attributes(m.end())
+        begun = at
+        if tag == "html":
+            root.attrs.update(attrs)
+            continue
+        if tag in CLOSES:
+            open_.close(*CLOSES[tag])
+        if tag in _P_ENDS:
+            open_.close(_P, _P_BOUNDS)
+        if stack[-1].tag == "head" and tag not in HIDDEN:
+            open_.cut(len(stack) - 1)
+        if tag == "tr" and stack[-1].tag == "table":
+            add("tbody")
+        if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
+            add("tr")
+        node = Node(tag, attrs)
+        stack[-1].children.append(node)
+        if tag in RAW:
+            stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, at)
+            to = stop.start() if stop else end
+            if at < to:
+                node.children.append(unescape(html[at:to]) if tag in ("textarea", "title") else html[at:to])
+            at = begun = (html.find(">", to) + 1 or end) if stop else end
+        elif tag not in VOID and not (slash and tag in ("svg", "math", "path")):
+            open_.push(node)
+    text(begun, end)
     return root
 
 
@@ -140,12 +214,17 @@ def visible(node: Node) -> bool:
 
 
 class Flow:
-    """Lines in the making."""
+    """Lines in the making, in a stack of parts (list items, quotations) that put something before their lines.
+
+    A part begins with its first line that isn't empty, and loses the empty lines at its end."""
 
     def __init__(self) -> None:
         self.lines: list[str] = []
         self.line: list[str] = []
         self.margin = 0
+        self.prefix = ""  # of all lines in the parts that have begun
+        self.parts: list[list] = [["", "", 0, 0]]  # before the first line, before the others, lines and length of the prefix before
+        self.waiting = 1  # parts, the innermost, that haven't begun
 
     def put(self, text: str, pre: bool = False) -> None:
         if pre:
@@ -162,35 +241,56 @@ class Flow:
 
     def _add(self, text: str) -> None:
         if text:
-            if not self.line and not self.lines:
-                self.margin = 0
-            while self.margin and not self.line:
-                self.lines.append("")
-                self.margin -= 1
             self.line.append(text)
 
     def break_(self, keep: bool = False) -> None:
         """Ends the line; keep: an empty one counts as well."""
         if self.line or keep:
-            if self.margin and not self.line and self.lines:
-                self.lines += [""] * self.margin
-            self.margin = 0
-            self.lines.append("".join(self.line).replace(" ", " ").rstrip(" "))
+            text = "".join(self.line).replace("\xa0", " ").rstrip(" ")
             self.line = []
+            self._end(text)
+
+    def _end(self, text: str) -> None:
+        if not text and self.waiting:
+            return
+        if self.lines:
+            self.lines += [""] * self.margin
+        self.margin = 0
+        before = self.prefix
+        if self.waiting:
+            for part in self.parts[-self.waiting :]:
+                before += part[0]
+                part[2:] = len(self.lines), len(self.prefix)
+                if len(self.prefix) < INDENT:
+                    self.prefix += part[1]
+            self.waiting = 0
+        self.lines.append(before + text if text else "")
 
     def space(self, margin: int) -> None:
         self.break_()
-        if self.lines:
+        if not self.waiting:
             self.margin = max(self.margin, margin)
 
     def take(self, lines: list[str]) -> None:
         """Whole lines."""
         self.break_()
-        if lines:
-            if self.lines:
-                self.lines += [""] * self.margin
-            self.margin = 0
-            self.lines += lines
+        for x in lines:
+            self._end(x)
+
+    def enter(self, first: str, other: str) -> None:
+        self.break_()
+        self.parts.append([first, other, 0, 0])
+        self.waiting += 1
+
+    def leave(self) -> None:
+        self.break_()
+        _, _, start, prefix = self.parts.pop()
+        if self.waiting:
+            self.waiting -= 1
+            return
+        while len(self.lines) > start and not self.lines[-1]:
+            self.lines.pop()
+        self.margin, self.prefix = 0, self.prefix[:prefix]
 
     def done(self) -> list[str]:
         self.break_()
@@ -203,54 +303,73 @@ def _number(text: str | None, least: int, most: int, other: int) -> int:
     return min(max(int(text), least), most) if text and text.strip().isdigit() and len(text) < 10 else other
 
 
-def _inside(nodes: list, pre: bool = False) -> list[str]:
-    flow = Flow()
-    _render(nodes, flow, pre)
-    lines = flow.done()
-    while lines and not lines[0]:
-        lines.pop(0)
-    return lines
+class Item:
+    """A list item with its mark."""
+
+    __slots__ = ("mark", "node")
 
+    def __init__(self, mark: str, node: Node) -> None:
+        self.mark, self.node = mark, node
 
-def _split(node: Node, order: int = 1) -> tuple[list[tuple[int, Node]], list[list]]:
+
+class Cell:
+    """A table cell with the lines that come of it."""
+
+    __slots__ = ("children", "flow", "right", "wide")
+
+    def __init__(self, children: list, wide: int, right: bool) -> None:
+        self.children, self.wide, self.right, self.flow = children, wide, right, Flow()
+
+    @property
+    def lines(self) -> list[str]:
+        return self.flow.lines
+
+
+def _split(table: Node) -> tuple[list[tuple[int, Node]], list[list]]:
     """A table's rows (with 0 for the head, 2 for the foot), and what stands between them, in groups.
 
     Rows are also those in sections and in other elements that are open around them, such as a form."""
-    rows: list[tuple[int, Node]] = []
-    stray: list[list] = [[]]
-    for c in node.children:
-        if isinstance(c, str):
-            if c.strip() or stray[-1]:
+    frames: list[tuple] = [(table, 1, iter(table.children), [], [[]])]
+    while True:
+        node, order, left, rows, stray = frames[-1]
+        for c in left:
+            if isinstance(c, str):
+                if c.strip() or stray[-1]:
+                    stray[-1].append(c)
+            elif not visible(c):
+                continue
+            elif c.tag == "tr":
+                rows.append((order, c))
+                stray.append([])
+            elif c.tag == "table" or c.tag == "details" and "open" not in c.attrs:
                 stray[-1].append(c)
-        elif not visible(c):
-            continue
-        elif c.tag == "tr":
-            rows.append((order, c))
-            stray.append([])
-        elif c.tag == "table" or c.tag == "details" and "open" not in c.attrs:
-            stray[-1].append(c)
+            else:
+                frames.append((c, {"thead": 0, "tfoot": 2}.get(c.tag, order), iter(c.children), [], [[]]))
+                break
         else:
-            inner, left = _split(c, {"thead": 0, "tfoot": 2}.get(c.tag, order))
-            if c.tag in ("tbody", "thead", "tfoot"):
-                stray += [*left, []]
-            elif inner:
-                for group in left:
-                    part = Node(c.tag, c.attrs)
+            frames.pop()
+            if not frames:
+                return rows, stray
+            above, groups = frames[-1][3], frames[-1][4]
+            if node.tag in ("tbody", "thead", "tfoot"):
+                groups += [*stray, []]
+            elif rows:
+                for group in stray:
+                    part = Node(node.tag, node.attrs)
                     part.children += group
-                    stray.append([part] if group else [])
-                stray.append([])
+                    groups.append([part] if group else [])
+                groups.append([])
             else:
-                stray[-1].append(c)
-            rows += inner
-    return rows, stray
+                groups[-1].append(node)
+            above += rows
 
 
-def table_lines(rows: list[Node]) -> list[str]:
-    """A table's rows with its cells padded to the widths of their columns."""
-    grid: list[dict[int, tuple[list[str], int, bool]]] = []
+def _grid(rows: list[Node]) -> list[dict[int, Cell]]:
+    """The cells of each row by column."""
+    grid: list[dict[int, Cell]] = []
     taken: dict[int, int] = {}  # column -> rows that a cell from above still covers
     for row in rows:
-        cells: dict[int, tuple[list[str], int, bool]] = {}
+        cells: dict[int, Cell] = {}
         column, fresh = 0, {}
         for c in row.children:
             if not isinstance(c, Node):
@@ -263,107 +382,147 @@ def table_lines(rows: list[Node]) -> list[str]:
                 column += 1
             wide, high = _number(attrs.get("colspan"), 1, 1000, 1), _number(attrs.get("rowspan"), 1, 65534, 1)
             right = attrs.get("align", "").lower() == "right" or "text-align:right" in "".join(attrs.get("style", "").lower().split())
-            cells[column] = (_inside(content), wide, right)
-            for k in range(column, column + wide):
-                if high > 1:
+            cells[column] = Cell(content, wide, right)
+            if high > 1:
+                for k in range(column, column + wide):
                     fresh[k] = high - 1
             column += wide
         taken = {k: n - 1 for k, n in taken.items() if n > 1} | fresh
         grid.append(cells)
+    return grid
+
+
+def table_lines(grid: list[dict[int, Cell]]) -> list[str]:
+    """A table's rows with its cells, which are rendered, padded to the widths of their columns."""
     widths: dict[int, int] = {}
     for cells in grid:
-        for k, (lines, wide, _) in cells.items():
-            if wide == 1:
-                widths[k] = max(widths.get(k, 0), *map(len, lines), 0)
+        for k, c in cells.items():
+            if c.wide == 1:
+                widths[k] = min(max(widths.get(k, 0), *map(len, c.lines), 0), WIDEST)
     for cells in grid:
-        for k, (lines, wide, _) in cells.items():
-            if wide > 1:
-                have = sum(widths.get(j, 0) for j in range(k, k + wide)) + 2 * (wide - 1)
-                widths[k] = widths.get(k, 0) + max(0, max(map(len, lines), default=0) - have)
-    out = []
-    last = max((k + c[1] for cells in grid for k, c in cells.items()), default=0)
+        for k, c in cells.items():
+            if c.wide > 1:
+                have = sum(widths.get(j, 0) for j in range(k, k + c.wide)) + 2 * (c.wide - 1)
+                widths[k] = widths.get(k, 0) + max(0, min(max(map(len, c.lines), default=0), WIDEST) - have)
+    last = max((k + c.wide for cells in grid for k, c in cells.items()), default=0)
     start, at = {}, 0
     for k in range(last):
         start[k] = at
         at += widths.get(k, 0) + 2
+    out = []
     for cells in grid:
-        for i in range(max((len(c[0]) for c in cells.values()), default=0)):
+        for i in range(max((len(c.lines) for c in cells.values()), default=0)):
             line = ""
             for k in sorted(cells):
-                lines, wide, right = cells[k]
-                if i < len(lines):
-                    room = sum(widths.get(j, 0) for j in range(k, k + wide)) + 2 * (wide - 1)
-                    line = line.ljust(start[k]) + (lines[i].rjust(room) if right else lines[i])
+                c = cells[k]
+                if i < len(c.lines):
+                    room = sum(widths.get(j, 0) for j in range(k, k + c.wide)) + 2 * (c.wide - 1)
+                    line = line + "  " if len(line) + 1 > start[k] > 0 else line.ljust(start[k])
+                    line += c.lines[i].rjust(room) if c.right else c.lines[i]
             out.append(line.rstrip())
     return out
 
 
-def _render(nodes: list, flow: Flow, pre: bool = False) -> None:
-    for x in nodes:
-        if isinstance(x, str):
-            flow.put(x, pre)
-            continue
-        if not visible(x):
-            continue
-        tag = x.tag
-        if tag == "br":
-            flow.break_(keep=True)
-        elif tag == "input":
-            flow.put(unescape(x.attrs.get("value", "")))
-        elif tag in ("ul", "ol", "menu", "dir"):
-            flow.space(1)
-            number = _number(x.attrs.get("start"), 0, 10**9, 1)
-            for c in x.children:
-                if isinstance(c, Node) and c.tag == "li":
-                    if not visible(c):
-                        continue
-                    number = _number(c.attrs.get("value"), 0, 10**9, number)
-                    mark = f"{number}. " if tag == "ol" else "- "
-                    number += 1
-                    lines = _inside(c.children, pre)
-                    flow.take([mark + (lines[0] if lines else ""), *((" " * len(mark) + y).rstrip() for y in lines[1:])] if lines else [])
-                else:
-                    flow.break_()
-                    _render([c], flow, pre)
-            flow.space(1)
-        elif tag == "table":
-            flow.space(1)
-            rows, stray = _split(x)
-            for group in stray:  # what stands in a table but in no row comes first, as browsers move it
-                _render(group, flow, pre)
+def _items(node: Node) -> Iterator:
+    """A list's items with their marks; None, for a break, and the node for what is no item."""
+    number = _number(node.attrs.get("start"), 0, 10**9, 1)
+    for c in node.children:
+        if isinstance(c, Node) and c.tag == "li":
+            if visible(c):
+                number = _number(c.attrs.get("value"), 0, 10**9, number)
+                yield Item(f"{number}. " if node.tag == "ol" else "- ", c)
+                number += 1
+        else:
+            yield None
+            yield c
+
+
+def rendered(nodes: list) -> list[str]:
+    """The lines of nodes. Frames hold what is left of an element, its flow, and what comes at its end."""
+    root = Flow()
+    frames: list[tuple[Iterator, bool, Flow, Callable | None]] = [(iter(nodes), False, root, None)]
+    while frames:
+        left, pre, flow, end = frames[-1]
+        for x in left:
+            if isinstance(x, str):
+                flow.put(x, pre)
+            elif x is None:
                 flow.break_()
-            flow.take(table_lines([r for _, r in sorted(rows, key=lambda r: r[0])]))
-            flow.space(1)
-        elif tag in ("blockquote", "dd"):
-            flow.space(int(tag == "blockquote"))
-            flow.take([("  " + y).rstrip() for y in _inside(x.children, pre)])
-            flow.space(int(tag == "blockquote"))
-        elif tag in ("pre", "listing", "xmp", "textarea"):
-            flow.space(1)
-            inner = x.children
-            if inner and isinstance(inner[0], str) and inner[0][:1] == "\n":
-                inner = [inner[0][1:], *inner[1:]]
-            _render(inner, flow, True)
-            flow.space(1)
-        elif tag in SPACED:
-            flow.space(1)
-            _render(x.children, flow, pre)
-            flow.space(1)
-        elif tag == "details" and "open" not in x.attrs:
-            flow.break_()
-            _render([c for c in x.children if isinstance(c, Node) and c.tag == "summary"][:1], flow, pre)
-            flow.break_()
-        elif tag in BLOCK:
-            flow.break_()
-            _render(x.children, flow, pre)
-            flow.break_()
+            elif isinstance(x, Item):
+                flow.enter(x.mark, " " * len(x.mark))
+                frames.append((iter(x.node.children), pre, flow, flow.leave))
+                break
+            elif isinstance(x, Cell):
+                frames.append((iter(x.children), False, x.flow, x.flow.done))
+                break
+            elif visible(x) and (frame := _begun(x, pre, flow)):
+                frames += frame
+                break
         else:
-            _render(x.children, flow, pre)
+            frames.pop()
+            if end:
+                end()
+    return root.done()
+
+
+def _begun(x: Node, pre: bool, flow: Flow) -> list[tuple] | None:
+    """Frames for an element's content, the last first."""
+    tag = x.tag
+    if tag == "br":
+        flow.break_(keep=True)
+    elif tag == "input":
+        flow.put(unescape(x.attrs.get("value", "")))
+    elif tag in ("ul", "ol", "menu", "dir"):
+        flow.space(1)
+        return [(_items(x), pre, flow, lambda: flow.space(1))]
+    elif tag == "table":
+        flow.space(1)
+        rows, stray = _split(x)
+        grid = _grid([r for _, r in sorted(rows, key=lambda r: r[0])])
+        cells = [c for row in grid for c in row.values()]
+
+        def end() -> None:
+            flow.take(table_lines(grid))
+            flow.space(1)
+
+        last = (iter(cells), False, flow, end)
+        if len(cells) == 1 and not cells[0].right:  # nothing to align: the cell's content in a part of its own
+            last = (iter([Item("", Node("td", {}, cells[0].children))]), False, flow, lambda: flow.space(1))
+        # what stands in a table but in no row comes first, as browsers move it
+        return [last, (iter([y for group in stray for y in (*group, None)]), pre, flow, None)]
+    elif tag in ("blockquote", "dd"):
+        margin = int(tag == "blockquote")
+
+        def end() -> None:
+            flow.leave()
+            flow.space(margin)
+
+        flow.space(margin)
+        flow.enter("  ", "  ")
+        return [(iter(x.children), pre, flow, end)]
+    elif tag in ("pre", "listing", "xmp", "textarea"):
+        flow.space(1)
+        inner = x.children
+        if inner and isinstance(inner[0], str) and inner[0][:1] == "\n":
+            inner = [inner[0][1:], *inner[1:]]
+        return [(iter(inner), True, flow, lambda: flow.space(1))]
+    elif tag in SPACED:
+        flow.space(1)
+        return [(iter(x.children), pre, flow, lambda: flow.space(1))]
+    elif tag == "details" and "open" not in x.attrs:
+        flow.break_()
+        return [(iter([c for c in x.children if isinstance(c, Node) and c.tag == "summary"][:1]), pre, flow, flow.break_)]
+    elif tag in BLOCK:
+        flow.break_()
+        return [(iter(x.children), pre, flow, flow.break_)]
+    elif x.children:
+        return [(iter(x.children), pre, flow, None)]
+    return None
 
 
 def render(html: str | None) -> str:
     """The visible text of a page."""
-    return "\n".join(_inside(parse(html).children)) if html else ""
+    return "\n".join(rendered(parse(html).children)) if html else ""
 
 
 def extract_text(pages: DataFrame, html: str = "html") -> DataFrame:

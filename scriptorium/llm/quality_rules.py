@@ -1,18 +1,21 @@
 """Quality rules: robust multivariate outliers by minimum covariance determinant (MCD) per language and source.
 
 Method: each text that passes the base rules gives a vector of transformed statistics (FEATURES), in fixed point.
-Cells are (language, source) pairs; those with fewer than LEAST texts are pooled by language, then all together.
-Per cell the estimate starts from medians and median absolute deviations and takes STEPS concentration steps: the
-SHARE of texts with the least Mahalanobis distances gives the next mean and covariance (with a floor on the
-variances, as many statistics are mostly zero). A text is rejected if its distance from its cell's final estimate,
-scaled for consistency, exceeds the CUT quantile of the chi-square distribution.
+Cells are (language, source) pairs; those with fewer than LEAST texts are judged by all texts of their language, or else
+of the table. Per cell the estimate starts from several deterministic scatter matrices, all about the medians: median
+absolute deviations alone, correlations of tanh scores, and of spatial signs. From each, concentration steps follow until
+nothing changes (STEPS at most): the SHARE of texts with the least Mahalanobis distances gives the next mean and
+covariance. The one of least determinant is taken. No direction of a covariance is less wide than the features' least
+deviations allow, as many statistics are mostly zero. A text is rejected if its distance from its cell's estimate, scaled
+for consistency, exceeds the CUT quantile of the chi-square distribution.
 
 Everything is counted over all rows: quantiles and moments are exact sums of integers over small rows, aggregated
-partially before any shuffle, so a hot source costs one row per task and results don't depend on partitioning.
+partially before any shuffle, so a hot source costs a few rows for each task and results don't depend on partitioning.
 
 Defined cases: a null or wordless text has zero counts and fails the base rules. Null lang or source is a value of
-its own. Repeated rows count each. If fewer than LEAST texts pass in a pooled cell, its texts are kept. An empty
-table gives an empty result. Texts of any length are read whole. Other columns are ignored.
+its own. Repeated rows count each. If fewer than LEAST texts pass in all of the table, texts are kept. A feature counts
+as MOST at most (symbols beyond 961 a word make no difference). An empty table gives an empty result. Texts of any
+length are read whole. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import slices, stored, table
@@ -32,7 +35,9 @@ from .common import slices, stored, table
 FEATURES = (("log_words", 0.5), ("log_word_length", 0.05), ("symbols", 0.08), ("dup_lines", 0.15), ("repeats", 0.10))
 LEAST = 100
 SHARE = 0.75
-STEPS = 4
+STEPS = 30
+#: The greatest value of a feature, far beyond any usual one, so that sums of products can't overflow.
+MOST = 31
 CUT = 0.99999
 #: Fixed point: units of a feature, and steps of the logarithm of a squared distance.
 UNIT, FINE = 1024, 256
@@ -82,8 +87,7 @@ def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
 def _features() -> list[Column]:
     w = F.col("n_words")
     values = (F.log1p(w.cast("double")), F.log(F.col("word_chars") / w), F.sqrt(F.col("n_symbols") / w), F.sqrt(F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1))), F.col("n_repeat_words") / w)
-    # least(): a bound far beyond any real value, so that sums of products can't overflow
-    return [F.round(F.least(v, F.lit(31.0)) * UNIT).cast("long").alias(f"x{k}") for k, v in enumerate(values)]
+    return [F.round(F.least(v, F.lit(float(MOST))) * UNIT).cast("long").alias(f"x{k}") for k, v in enumerate(values)]
 
 
 def chi2_cdf(x: float, k: int) -> float:
@@ -113,33 +117,95 @@ def consistency(share: float = SHARE, p: int = P) -> float:
     return share / chi2_cdf(chi2_quantile(share, p), p + 2)
 
 
-def estimate(n: int, sums: np.ndarray, products: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and inverse covariance (in feature units) from sums and upper-triangle sums of products in fixed point."""
-    mean = sums / n / UNIT
-    cov = np.zeros((P, P))
+_FLOORS = np.array([f for _, f in FEATURES])
+
+
+def _symmetric(products: np.ndarray) -> np.ndarray:
+    out = np.zeros((P, P))
     for (i, j), v in zip(_PAIRS, products, strict=True):
-        cov[i, j] = cov[j, i] = v / n / UNIT**2 - mean[i] * mean[j]
-    cov = cov * consistency() + np.diag([f**2 for _, f in FEATURES])
-    return mean, np.linalg.inv(cov)
+        out[i, j] = out[j, i] = v
+    return out
+
+
+def floored(cov: np.ndarray) -> np.ndarray:
+    """cov, but no direction (with the features in units of their least deviations) has a variance under 1."""
+    values, vectors = np.linalg.eigh(cov / np.outer(_FLOORS, _FLOORS))
+    return (vectors * np.maximum(values, 1.0)) @ vectors.T * np.outer(_FLOORS, _FLOORS)
+
+
+def estimate(n: int, sums: np.ndarray, products: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Mean, inverse covariance (in feature units) and the logarithm of its determinant, from sums and upper-triangle sums of products in fixed point."""
+    mean = sums / n / UNIT
+    cov = floored((_symmetric(products) / n / UNIT**2 - np.outer(mean, mean)) * consistency())
+    return mean, np.linalg.inv(cov), float(np.linalg.slogdet(cov)[1])
 
 
 _MODEL = ", ".join([f"m{k} double" for k in range(P)] + [f"p{i}_{j} double" for i, j in _PAIRS])
+_SUMS = [f"s{k}" for k in range(P)] + [f"c{i}_{j}" for i, j in _PAIRS]
 
 
-def _models(moments: DataFrame) -> DataFrame:
-    """Per cell, mean and inverse covariance from n, s*, c*."""
+def _made(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
+
+
+def _columns(mean: np.ndarray, inv: np.ndarray) -> list[float]:
+    return [*mean.tolist(), *(float(inv[i, j]) for i, j in _PAIRS)]
+
+
+def starts(n: int, mid: np.ndarray, scale: np.ndarray, tanh: np.ndarray, sign: np.ndarray) -> list[np.ndarray]:
+    """The inverses of the scatter matrices that the steps start from. scale: deviations; tanh: sums and products of tanh
+    scores, and sign: products of spatial signs, in fixed point."""
+    out = [np.eye(P)]
+    mean = tanh[:P] / n
+    cov = _symmetric(tanh[P:] / n) - np.outer(mean, mean)
+    wide = np.sqrt(np.maximum(np.diag(cov), 1.0))
+    out.append(cov / np.outer(wide, wide) + np.diag(1.0 - np.diag(cov) / wide**2))
+    out.append(_symmetric(sign / n) / UNIT**2 * P)
+    return [np.linalg.inv(floored(x * np.outer(scale, scale))) for x in out]
+
+
+_KEY = "cell string, start long"
+
+
+def _first_models(base: DataFrame) -> DataFrame:
+    """base: cell, n, mid*, scale*, x*. Per cell and start, mean and inverse covariance."""
+    z = [(F.col(f"x{k}") - F.col(f"mid{k}")) / F.col(f"scale{k}") for k in range(P)]
+    far = F.sqrt(sum((v * v for v in z), F.lit(0.0)))
+    t = [F.round(F.tanh(v) * UNIT).cast("long").alias(f"t{k}") for k, v in enumerate(z)]
+    u = [F.when(far > 0, F.round(v / far * UNIT)).otherwise(0).cast("long").alias(f"u{k}") for k, v in enumerate(z)]
+    keep = [f"{c}{k}" for c in ("mid", "scale") for k in range(P)]
+    product = lambda c, i, j: F.sum(F.col(f"{c}{i}") * F.col(f"{c}{j}")).alias(f"{c}{i}_{j}")
+    sums = base.select("cell", "n", *keep, *t, *u).groupBy("cell").agg(
+        F.first("n").alias("n"), *(F.first(c).alias(c) for c in keep), *(F.sum(f"t{k}").alias(f"t{k}") for k in range(P)), *(product("t", i, j) for i, j in _PAIRS), *(product("u", i, j) for i, j in _PAIRS)
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for cell, n, *v in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                mean, inv = estimate(n, np.array(v[:P], float), v[P:])
-                rows.append((cell, *mean.tolist(), *(float(inv[i, j]) for i, j in _PAIRS)))
+                v = np.array(v, float)
+                mid, scale, tanh, sign = np.split(v, [P, 2 * P, 3 * P + len(_PAIRS)])
+                rows += [(cell, k, *_columns(mid / UNIT, inv)) for k, inv in enumerate(starts(n, mid, scale / UNIT, tanh, sign))]
             if rows:
-                names = ["cell", *(x.split()[0] for x in _MODEL.split(", "))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
+                yield _made(rows, [x.split()[0] for x in f"{_KEY}, {_MODEL}".split(", ")])
 
-    return moments.select("cell", "n", *(f"s{k}" for k in range(P)), *(f"c{i}_{j}" for i, j in _PAIRS)).mapInArrow(run, f"cell string, {_MODEL}")
+    return sums.mapInArrow(run, f"{_KEY}, {_MODEL}")
+
+
+def _models(moments: DataFrame) -> DataFrame:
+    """Per cell and start, n and the sums that moments has, mean, inverse covariance, and the logarithm of the determinant."""
+    kept = f"{_KEY}, n long, " + ", ".join(f"{c} long" for c in _SUMS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for cell, start, n, *v in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                mean, inv, det = estimate(n, np.array(v[:P], float), np.array(v[P:], float))
+                rows.append((cell, start, n, *v, *_columns(mean, inv), det))
+            if rows:
+                yield _made(rows, [x.split()[0] for x in f"{kept}, {_MODEL}, det".split(", ")])
+
+    return moments.select("cell", "start", "n", *_SUMS).mapInArrow(run, f"{kept}, {_MODEL}, det double")
 
 
 def _distance() -> Column:
@@ -153,27 +219,41 @@ def _grade(d2: Column) -> Column:
 
 
 def _concentrated(near: DataFrame) -> DataFrame:
-    """near: cell, g (grade), x*. Per cell the moments of the SHARE of rows with the least grades (all of the last grade)."""
-    limit = stored(near.groupBy("cell").agg(F.expr(f"percentile(g, {SHARE})").alias("limit")), "mcd-limit")
-    inside = near.join(limit, "cell").where("g <= limit")
-    return inside.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *(F.sum(f"x{k}").alias(f"s{k}") for k in range(P)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"c{i}_{j}") for i, j in _PAIRS))
+    """near: cell, start, g (grade), x*. Per cell and start the moments of the SHARE of rows with the least grades (all of the last grade).
+
+    One pass: moments by grade, of which there are a few thousand, then those up to the share."""
+    sums = [F.sum(f"x{k}").alias(f"s{k}") for k in range(P)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"c{i}_{j}") for i, j in _PAIRS]
+    by = near.groupBy("cell", "start", "g").agg(F.count(F.lit(1)).alias("n"), *sums)
+    own = Window.partitionBy("cell", "start")
+    by = by.withColumn("before", F.sum("n").over(own.orderBy("g").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).withColumn("all", F.sum("n").over(own))
+    return by.where(F.col("before") < F.ceil(F.col("all") * SHARE)).groupBy("cell", "start").agg(*(F.sum(c).alias(c) for c in ("n", *_SUMS)))
 
 
-def mcd(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """rows: cell, x0.. (fixed point). Robust estimates of each cell with at least LEAST rows: cell and _MODEL's columns.
+def mcd(rows: DataFrame, steps: int = STEPS, least: int = LEAST) -> DataFrame:
+    """rows: cell, x0.. (fixed point). Robust estimates of each cell with at least so many rows: cell, _MODEL's columns, det.
 
-    What is kept of a cell is one small row; Spark sees the size of these tables and picks the join."""
+    What is kept of a cell are small rows; Spark sees the size of these tables and picks the join."""
     xs = [f"x{k}" for k in range(P)]
-    mid = stored(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *(F.expr(f"percentile({x}, 0.5)").alias(f"mid{k}") for k, x in enumerate(xs))).where(F.col("n") >= LEAST), "mcd-mid")
+    mid = stored(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *(F.expr(f"percentile({x}, 0.5)").alias(f"mid{k}") for k, x in enumerate(xs))).where(F.col("n") >= least), "mcd-mid")
     off = rows.join(mid, "cell")
-    mad = stored(off.groupBy("cell").agg(*(F.expr(f"percentile(abs({x} - mid{k}), 0.5)").alias(f"mad{k}") for k, x in enumerate(xs))), "mcd-mad")
-    first = sum((F.pow((F.col(x) - F.col(f"mid{k}")) / F.greatest(F.col(f"mad{k}") * 1.4826, F.lit(UNIT * FEATURES[k][1])), 2) for k, x in enumerate(xs)), F.lit(0.0))
-    near = off.join(mad, "cell").select("cell", *xs, _grade(first).alias("g"))
-    model = stored(_models(_concentrated(near)), "mcd")
-    for _ in range(steps - 1):
-        near = rows.join(model, "cell").select("cell", *xs, _grade(_distance()).alias("g"))
-        model = stored(_models(_concentrated(near)), "mcd")
-    return model
+    scale = lambda k, x: F.greatest(F.expr(f"percentile(abs({x} - mid{k}), 0.5)") * 1.4826, F.lit(UNIT * FEATURES[k][1]))
+    mad = stored(off.groupBy("cell").agg(*(scale(k, x).alias(f"scale{k}") for k, x in enumerate(xs))), "mcd-mad")
+    model, ended = stored(_first_models(off.join(mad, "cell")), "mcd"), []
+    for _ in range(steps):
+        near = rows.join(model.select("cell", "start", *(x.split()[0] for x in _MODEL.split(", "))), "cell").select("cell", "start", *xs, _grade(_distance()).alias("g"))
+        new = stored(_models(_concentrated(near)), "mcd")
+        if "n" in model.columns:  # of what moves no more, one table each step
+            same = model.select("cell", "start", "n", *_SUMS)
+            ended.append(new.join(same, same.columns, "left_semi"))
+            new = stored(new.join(same, same.columns, "left_anti"), "mcd")
+        model = new
+        if model.isEmpty():
+            break
+    found = model
+    for df in ended:
+        found = found.unionByName(df)
+    best = found.groupBy("cell").agg(F.min(F.struct("det", "start", *(x.split()[0] for x in _MODEL.split(", ")))).alias("b"))
+    return stored(best.select("cell", "b.*").drop("start"), "mcd-best")
 
 
 def quality(docs: DataFrame, cut: float = CUT) -> DataFrame:
@@ -195,7 +275,7 @@ def quality(docs: DataFrame, cut: float = CUT) -> DataFrame:
     to = F.array_compact(F.array(F.when(F.col("n") >= LEAST, F.col("pair")), F.when(F.col("asked"), F.col("own")), *asked))
     feeds = stored(feeds.select("pair", F.explode(to).alias("cell")), "feeds")
     rows = stored(passed.join(feeds, "pair").select("cell", *_features()), "vectors")
-    model = mcd(rows)
+    model = mcd(rows).drop("det")
     named = cells.select("pair", "cell").join(model, "cell", "left")
     at = stats.withColumn("pair", F.when(~F.col("base_failed"), pair)).select("*", *(F.when(~F.col("base_failed"), f).alias(f"x{k}") for k, f in enumerate(_features())))
     far = at.join(stored(named, "cell-models"), "pair", "left").withColumn("distance2", _distance())

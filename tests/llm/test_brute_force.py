@@ -62,31 +62,112 @@ def test_statistics(docs):
         assert quality_rules.statistics(r.text.encode())[:5] == _naive_statistics(r.text)
 
 
+def _mcd_by_steps(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, int]:
+    """The operator's estimate in numpy: mean, inverse covariance, log determinant, and the start that gave it."""
+    mid = np.median(v, axis=0)
+    scale = np.maximum(1.4826 * np.median(np.abs(v - mid), axis=0), quality_rules.UNIT * np.array([f for _, f in quality_rules.FEATURES]))
+    z = (v - mid) / scale
+    far = np.linalg.norm(z, axis=1)[:, None]
+    t, u = np.rint(np.tanh(z) * quality_rules.UNIT), np.rint(np.divide(z, far, out=np.zeros_like(z), where=far > 0) * quality_rules.UNIT)
+    upper = lambda m: np.array([m[i, j] for i, j in quality_rules._PAIRS])
+    best = None
+    for start, inv in enumerate(quality_rules.starts(len(v), mid, scale / quality_rules.UNIT, np.concatenate((t.sum(axis=0), upper(t.T @ t))), upper(u.T @ u))):
+        mean, before = mid / quality_rules.UNIT, None
+        for _ in range(quality_rules.STEPS):
+            d = v / quality_rules.UNIT - mean
+            g = np.floor(np.log2(1 + np.maximum(np.einsum("ni,ij,nj->n", d, inv, d), 0)) * quality_rules.FINE)
+            w = v[g <= np.sort(g)[math.ceil(quality_rules.SHARE * len(v)) - 1]]
+            mean, inv, det = quality_rules.estimate(len(w), w.sum(axis=0).astype(float), upper(w.T @ w).astype(float))
+            if before == (now := w.tobytes()):
+                break
+            before = now
+        if best is None or det < best[2]:
+            best = mean, inv, det, start
+    return best
+
+
+def _cell_rows(spark, cells: dict[str, np.ndarray]):
+    rows = [(c, *map(int, r)) for c, v in cells.items() for r in v]
+    return spark.createDataFrame(rows, "cell string, x0 long, x1 long, x2 long, x3 long, x4 long").repartition(3)
+
+
 def test_mcd(spark):
-    """Estimates of two cells, one with a fifth of far rows, against the same steps in numpy."""
+    """Estimates of cells, some with a fifth of far rows, against the same steps in numpy."""
     rng = np.random.default_rng(3)
     x = np.rint(rng.normal(size=(900, 5)) @ rng.normal(size=(5, 5)) * 300 + 2000).astype(int)
     x[:100] += 9000
-    cells = ["a" if i < 500 else "b" for i in range(900)]
-    rows = spark.createDataFrame([(c, *map(int, v)) for c, v in zip(cells, x, strict=True)], "cell string, x0 long, x1 long, x2 long, x3 long, x4 long")
-    got = {r.cell: r for r in quality_rules.mcd(rows).collect()}
-    for c in "ab":
-        v = x[[k == c for k in cells]]
-        floor = np.array([f for _, f in quality_rules.FEATURES])
-        mid = np.median(v, axis=0)
-        d2 = (((v - mid) / np.maximum(1.4826 * np.median(np.abs(v - mid), axis=0), quality_rules.UNIT * floor)) ** 2).sum(axis=1)
-        for _ in range(quality_rules.STEPS):
-            g = np.floor(np.log2(1 + d2) * quality_rules.FINE)
-            w = v[g <= np.quantile(g, quality_rules.SHARE)]
-            mean, inv = quality_rules.estimate(len(w), w.sum(axis=0).astype(float), [int((w[:, i] * w[:, j]).sum()) for i, j in quality_rules._PAIRS])
-            d2 = np.einsum("ni,ij,nj->n", v / quality_rules.UNIT - mean, inv, v / quality_rules.UNIT - mean)
-        assert np.allclose([got[c][f"m{k}"] for k in range(5)], mean)
+    y = np.rint(rng.normal(size=(300, 5)) * [400, 30, 90, 1, 0] + 500).astype(int)
+    y[:60, 0] += np.arange(60) * 50
+    cells = {"a": x[:500], "b": x[500:], "c": y}
+    got = {r.cell: r for r in quality_rules.mcd(_cell_rows(spark, cells | {"few": x[:50]})).collect()}
+    assert set(got) == set(cells)
+    for c, v in cells.items():
+        mean, inv, det, _ = _mcd_by_steps(v)
+        assert np.allclose([got[c][f"m{k}"] for k in range(5)], mean) and got[c].det == pytest.approx(det)
         assert np.allclose([got[c][f"p{i}_{j}"] for i, j in quality_rules._PAIRS], [inv[i, j] for i, j in quality_rules._PAIRS])
         if c == "a":
-            assert d2[:100].min() > quality_rules.chi2_quantile(quality_rules.CUT, 5)
+            d = v[:100] / quality_rules.UNIT - mean
+            assert np.einsum("ni,ij,nj->n", d, inv, d).min() > quality_rules.chi2_quantile(quality_rules.CUT, 5)
     assert quality_rules.chi2_quantile(0.95, 5) == pytest.approx(11.0705, abs=1e-3)
 
 
+def test_mcd_is_the_least(spark):
+    """On small cells with outliers the estimate is that of the least determinant of all subsets of the share."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(8)
+    cells = {}
+    for k in range(12):
+        v = rng.normal(size=(16, 5)) @ rng.normal(size=(5, 5)) * 2_000 + 20_000
+        v[:4] += rng.choice([-1, 1], 5) * rng.uniform(15_000, 40_000)
+        cells[f"c{k}"] = np.rint(v).astype(int)
+    got = {r.cell: r.det for r in quality_rules.mcd(_cell_rows(spark, cells), least=16).collect()}
+    same = 0
+    for c, v in cells.items():
+        every = (v[list(i)] for i in combinations(range(16), 12))
+        least = min(quality_rules.estimate(12, w.sum(axis=0).astype(float), np.array([(w[:, i] * w[:, j]).sum() for i, j in quality_rules._PAIRS], float))[2] for w in every)
+        assert least - 1e-6 < got[c] < least + 1
+        same += got[c] < least + 1e-6
+    assert same >= 10
+
+
+def test_floor():
+    f = np.array([x for _, x in quality_rules.FEATURES])
+    assert np.allclose(quality_rules.floored(np.zeros((5, 5))), np.diag(f**2))
+    wide = np.diag((3 * f) ** 2)
+    assert np.allclose(quality_rules.floored(wide), wide)  # a floor adds nothing above it
+
+
+def test_kept_over_the_table(spark):
+    """Every verdict of a whole table: base rules, cells and pools, distances, the cut."""
+    sf = SF.replace("0.001", "0.01")
+    rows = {r.doc_id: r for r in quality_rules.op1_quality_rules(spark, sf).collect()}
+    docs = table(spark, sf, "documents").collect()
+    assert len(rows) == len(docs)
+    vectors, by = {}, defaultdict(list)
+    for r in docs:
+        n_words, chars, symbols, dup, repeated, lines = quality_rules.statistics((r.text or "").encode())
+        failed = n_words < 50 or 100 * repeated > 50 * n_words
+        assert rows[r.doc_id].base_failed == failed
+        if not failed:
+            x = [math.log1p(n_words), math.log(chars / n_words), math.sqrt(symbols / n_words), math.sqrt(dup / max(lines, 1)), repeated / n_words]
+            vectors[r.doc_id] = np.array([math.floor(min(v, 31.0) * quality_rules.UNIT + 0.5) for v in x])
+            for key in ((r.lang, r.source), (r.lang,), ()):
+                by[key].append(r.doc_id)
+    models, different = {}, 0
+    for r in docs:
+        if r.doc_id not in vectors:
+            assert not rows[r.doc_id].kept
+            continue
+        key = next((k for k in ((r.lang, r.source), (r.lang,), ()) if len(by[k]) >= quality_rules.LEAST), None)
+        if key not in models:
+            models[key] = _mcd_by_steps(np.array([vectors[i] for i in by[key]]))
+        mean, inv = models[key][:2]
+        d = vectors[r.doc_id] / quality_rules.UNIT - mean
+        different += rows[r.doc_id].kept != bool(d @ inv @ d <= quality_rules.chi2_quantile(quality_rules.CUT, 5))
+    assert len(models) > 2 and different == 0
+
+
 def test_quality_by_labels(spark):
     """Labelled good texts that pass the base rules stay; labelled bad ones mostly go."""
     sf = SF.replace("0.001", "0.01")
@@ -267,6 +348,30 @@ def test_importance(spark, docs):
     assert np.mean([r.kept for r in got if quality.get(r.doc_id) == 1]) > 0.9 > 0.3 > np.mean([r.kept for r in got if quality.get(r.doc_id) == 0])
 
 
+def test_importance_by_brute_force(spark, docs):
+    """Log weights from counts of every text's hashed words and pairs, and the selection by sums with the same noise."""
+    labels = table(spark, SF, "labels")
+    good = {r.doc_id for r in labels.where("quality = 1").collect()}
+
+    def grams(text: str) -> Counter:
+        words = [w.lower() for w in text.encode().split()]
+        h = word_hashes(*words_of([b" ".join(words)])[:3]) if words else np.zeros(0, np.uint64)
+        pairs = [int(importance.windows(h[k : k + 2], 2)[0]) for k in range(len(h) - 1)]
+        return Counter(x >> 49 for x in [*h.tolist(), *pairs])
+
+    own = {i: grams(r.text) for i, r in docs.items()}
+    raw, target = sum(own.values(), Counter()), sum((n for i, n in own.items() if i in good), Counter())
+    size = importance.BUCKETS
+    ratio = lambda b: math.log((target[b] + 1) / (target.total() + size)) - math.log((raw[b] + 1) / (raw.total() + size))
+    want = {i: sum(ratio(b) * k for b, k in n.items()) for i, n in own.items()}
+    df = table(spark, SF, "documents").select("doc_id", "text")
+    got = {r.doc_id: r for r in importance.resample(df, labels).collect()}
+    assert all(got[i].n_grams == own[i].total() and got[i].log_weight == pytest.approx(w, abs=1e-5) for i, w in want.items())
+    noise = {r.doc_id: r.g for r in df.select("doc_id", importance.gumbel().alias("g")).collect()}
+    order = sorted(want, key=lambda i: -(got[i].log_weight + noise[i]))
+    assert {i for i, r in got.items() if r.kept} == set(order[: math.ceil(importance.SELECT * len(docs))])
+
+
 def test_kth_greatest(spark):
     v = [int(x) for x in np.random.default_rng(4).integers(-(2**50), 2**50, 500)] + [7] * 5
     df = spark.createDataFrame([(x,) for x in v], "q long")

@@ -17,6 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of text that the vectorised kernels look at together.
 SLICE_BYTES = 1 << 20
 
+#: Bytes of a batch that crosses to Python, about: a task holds it twice in the JVM's own memory, and its worker once.
+BATCH_BYTES = 4 << 20
+
 #: ASCII white space: the complement of ``[^\x20\x09-\x0D]``.
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -24,7 +27,14 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the batches that cross to Python in this session, unless they are bounded lower."""
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() not in range(1, BATCH_BYTES + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,7 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         there = got.get() if got.isDefined() else None
     if not there:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         there = tempfile.mkdtemp(prefix="scriptorium-")
         spark.sparkContext.setCheckpointDir(there)
@@ -45,13 +55,27 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     """df written as Parquet in the shared folder and read again: cuts the lineage and outlives lost executors.
 
-    The files go when the session's JVM ends."""
+    The files go when the session's JVM ends, or by discard()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, at = _files(spark, path)
+    fs.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored = path
+    return out
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for df in tables:
+        fs, at = _files(df.sparkSession, df._stored)
+        fs.delete(at, True)
 
 
 def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
@@ -76,10 +100,11 @@ def released(run):
 
     @wraps(run)
     def wrapped(batches):
+        pa.set_memory_pool(pa.system_memory_pool())  # so that trimming reaches it
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
+            batches = None
             with contextlib.suppress(OSError, AttributeError):
                 ctypes.CDLL("libc.so.6").malloc_trim(0)
 

@@ -11,7 +11,7 @@ a pair is a candidate if the sets' prefixes share a token under that order and u
 allow the threshold; candidates are verified by the exact intersection. Links of a block come out as a spanning forest
 and a count for each class, never as pairs.
 
-Exact up to collisions of 64-bit hashes. Nothing is capped: work in a cluster of m near copies is m^2 / block in
+Exact up to collisions of 64-bit hashes of shingles; sets go by 128 bits. Nothing is capped: work in a cluster of m near copies is m^2 / block in
 rows moved, split over blocks.
 
 Defined cases: null, empty and wordless texts have an empty set, link with nothing and are their own component.
@@ -33,7 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mixed, released, slices, stored, table, windows, word_hashes, words_of
+from .common import discard, mixed, released, slices, stored, table, windows, word_hashes, words_of
 from .graph import components
 
 WORDS = 4
@@ -43,7 +43,9 @@ ORDERS = 3
 #: Tokens in the table of the most frequent ones, at most. Only the first order, never the result, depends on it.
 FREQUENT = 100_000
 #: Documents (and tokens) counted together before their frequent tokens are passed on, and the least count passed on.
-FLUSH, FLUSH_TOKENS, SEEN = 8_000, 2_000_000, 3
+FLUSH, FLUSH_TOKENS, SEEN = 8_000, 1_000_000, 3
+#: Sets that a task remembers to have passed on, at most; beyond, it starts anew.
+REMEMBERED = 200_000
 #: Tokens that a bucket of the exchange holds, about.
 BUCKET = 500_000
 #: Tokens (each set counting at least LIGHT) of a block.
@@ -124,21 +126,22 @@ def _scan(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run), schema)
 
 
-_PACKED = "bucket int, dk long, k1 long, n int, often binary, low binary, high binary, who binary"
+_PACKED = "bucket int, flush long, k1 long, k2 long, who int, n int, often binary, low binary, high binary, whose binary"
 
 
 def _packed(docs: DataFrame, words: int, percent: int, frequent: Broadcast, bits: int) -> DataFrame:
     """For the exchange: by bucket (the first bits of a token) the next 40 bits of many sets' tokens, without frequent
-    ones, and the sets' numbers; and a row for each set (key dk) with its class, size and first frequent tokens.
+    ones, and the sets' numbers (whose) in their flush; and a row for each set (flush, who) with its class, size and
+    frequent tokens. A flush is named by 64 bits of a hash of its sets.
 
     A task passes a set on once."""
 
-    def flush(held: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    def flush(held: list[tuple[tuple[int, int], np.ndarray]]) -> Iterator[pa.RecordBatch]:
         token, count = frequent.value
         near = np.zeros(1 << 16, bool)  # spares most tokens the search
         near[(token >> np.uint64(48)).astype(np.int64)] = True
-        keys = np.array([k for k, _ in held])
-        base = xxhash.xxh3_64_intdigest(keys.tobytes()) >> 17 << 16
+        keys = np.array([k for k, _ in held], np.int64)
+        name = int(np.frombuffer(xxhash.xxh3_64_digest(keys.tobytes()), np.int64)[0])
         lens = [len(s) for _, s in held]
         t, who = np.concatenate([s for _, s in held]), np.repeat(np.arange(len(held), dtype=np.uint16), lens)
         often = np.zeros(len(t), bool)
@@ -155,7 +158,7 @@ def _packed(docs: DataFrame, words: int, percent: int, frequent: Broadcast, bits
             f = t[a:z][own]
             if len(f):
                 f = f[np.lexsort((f, number[a:z][own]))]
-            rows.append((int(keys[i]) & (1 << bits) - 1, base + i, int(keys[i]), z - a, f.tobytes(), None, None, None))
+            rows.append((int(keys[i, 0]) & (1 << bits) - 1, name, int(keys[i, 0]), int(keys[i, 1]), i, z - a, f.tobytes(), None, None, None))
             if len(rows) >= 2_000:
                 yield _batch(_PACKED, rows)
                 rows = []
@@ -166,7 +169,7 @@ def _packed(docs: DataFrame, words: int, percent: int, frequent: Broadcast, bits
         low, high = rest.astype(np.uint32), (rest >> np.uint64(32)).astype(np.uint8)
         edge = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)])).tolist() if len(bucket) else []
         for a, z in pairwise(edge):
-            rows.append((int(bucket[a]), base, None, None, None, low[a:z].tobytes(), high[a:z].tobytes(), who[a:z].tobytes()))
+            rows.append((int(bucket[a]), name, None, None, None, None, None, low[a:z].tobytes(), high[a:z].tobytes(), who[a:z].tobytes()))
             if len(rows) >= 2_000:
                 yield _batch(_PACKED, rows)
                 rows = []
@@ -174,19 +177,19 @@ def _packed(docs: DataFrame, words: int, percent: int, frequent: Broadcast, bits
             yield _batch(_PACKED, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        held: list[tuple[int, np.ndarray]] = []
+        seen: set[tuple[int, int]] = set()
+        held: list[tuple[tuple[int, int], np.ndarray]] = []
         size = 0
         for b in batches:
             for _, s in _each(b, words):
-                if len(s) and (k := _key(s)[0]) not in seen:
+                if len(s) and (k := _key(s)) not in seen:
                     seen.add(k)
                     held.append((k, s))
                     size += len(s)
                     if len(held) >= FLUSH or size >= FLUSH_TOKENS:
                         yield from flush(held)
                         held, size = [], 0
-            if len(seen) > 1_000_000:
+            if len(seen) > REMEMBERED:
                 seen.clear()
         if held:
             yield from flush(held)
@@ -194,39 +197,41 @@ def _packed(docs: DataFrame, words: int, percent: int, frequent: Broadcast, bits
     return docs.select("text").mapInArrow(released(run), _PACKED)
 
 
-_COMMON = "dk long, k1 long, n int, often binary, df int, token long"
+_COMMON = "flush long, who int, k1 long, k2 long, n int, often binary, df int, token long"
 
 
 def _common(packed: DataFrame) -> DataFrame:
-    """packed, sorted by bucket within partitions: the tokens that several sets have, for each of them (dk, df, token); rows of sets as they are."""
+    """packed, sorted by bucket within partitions: the tokens that several sets have, for each of them (flush, who, df, token); rows of sets as they are."""
 
     def found(bucket: int, parts: list[tuple[int, bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
         t = np.concatenate([np.frombuffer(low, np.uint32) | (np.frombuffer(high, np.uint8).astype(np.uint64) << np.uint64(32)) for _, low, high, _ in parts])
-        dk = np.concatenate([base + np.frombuffer(who, np.uint16).astype(np.int64) for base, _, _, who in parts])
+        who = np.concatenate([np.frombuffer(whose, np.uint16) for _, _, _, whose in parts])
+        part = np.repeat(np.arange(len(parts)), [len(high) for _, _, high, _ in parts])
         order = np.argsort(t)
-        t, dk = t[order], dk[order]
+        t = t[order]
         edge = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
         n = np.diff(np.append(edge, len(t)))
         df = np.repeat(n, n)
-        m = df > 1
-        if m.any():
-            none = int(m.sum())
-            columns = [pa.array(dk[m]), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary()), pa.array(df[m].astype(np.int32)), pa.array(t[m].astype(np.int64) | (bucket << 40))]
+        if (m := df > 1).any():
+            order = order[m]
+            none = lambda kind: pa.nulls(len(order), kind)
+            flush = np.array([p[0] for p in parts], np.int64)[part[order]]
+            columns = [pa.array(flush), pa.array(who[order].astype(np.int32)), none(pa.int64()), none(pa.int64()), none(pa.int32()), none(pa.binary()), pa.array(df[m].astype(np.int32)), pa.array(t[m].astype(np.int64) | (bucket << 40))]
             yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _COMMON.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, []
         for b in batches:
             sets = []
-            for bucket, dk, k1, n, often, low, high, who in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for bucket, flush, k1, k2, who, n, often, low, high, whose in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if bucket != now:
                     if parts:
                         yield from found(now, parts)
                     now, parts = bucket, []
                 if low is None:
-                    sets.append((dk, k1, n, often, None, None))
+                    sets.append((flush, who, k1, k2, n, often, None, None))
                 else:
-                    parts.append((dk, low, high, who))
+                    parts.append((flush, low, high, whose))
             if sets:
                 yield _batch(_COMMON, sets)
         if parts:
@@ -236,15 +241,15 @@ def _common(packed: DataFrame) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, words: int, percent: int, frequent: Broadcast, bits: int) -> DataFrame:
-    """Classes whose prefix under the first order has tokens that other sets have too: k1, and these tokens (longs, packed)."""
+    """Classes whose prefix under the first order has tokens that other sets have too: k1, k2, and these tokens (longs, packed)."""
     packed = _packed(docs, words, percent, frequent, bits).repartition("bucket").sortWithinPartitions("bucket")
-    by = _common(packed).groupBy("dk").agg(
-        F.max("k1").alias("k1"), F.max("n").alias("n"), F.max("often").alias("often"), F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("df", "token")))).alias("common")
+    by = _common(packed).groupBy("flush", "who").agg(
+        *(F.max(c).alias(c) for c in ("k1", "k2", "n", "often")), F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("df", "token")))).alias("common")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            k1, n, often = (b.column(c).to_pylist() for c in ("k1", "n", "often"))
+            k1, k2, n, often = (b.column(c).to_pylist() for c in ("k1", "k2", "n", "often"))
             common = b.column("common").combine_chunks() if isinstance(b.column("common"), pa.ChunkedArray) else b.column("common")
             token, at = common.values.field("token").to_numpy(), common.offsets.to_numpy()
             rows = []
@@ -253,11 +258,12 @@ def prefixes(docs: DataFrame, words: int, percent: int, frequent: Broadcast, bit
                 own = token[at[i] : at[i + 1]]
                 first = prefix_size(n[i], percent) - (n[i] - len(f) - len(own))  # what tokens of its own leave of the prefix
                 if first > 0:
-                    rows.append((k1[i], np.concatenate((own[:first], f[: max(first - len(own), 0)])).tobytes()))
+                    rows.append((k1[i], k2[i], np.concatenate((own[:first], f[: max(first - len(own), 0)])).tobytes()))
             if rows:
-                yield _batch("k1 long, p binary", rows)
+                yield _batch("k1 long, k2 long, p binary", rows)
 
-    return by.select("k1", "n", "often", "common").mapInArrow(released(run), "k1 long, p binary").groupBy("k1").agg(F.max("p").alias("p"))
+    # copies of a set that several tasks passed on have equal prefixes
+    return by.select("k1", "k2", "n", "often", "common").mapInArrow(released(run), "k1 long, k2 long, p binary").groupBy("k1", "k2").agg(F.max("p").alias("p"))
 
 
 def _postings(found: DataFrame) -> DataFrame:
@@ -425,16 +431,21 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     classes = stored(rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("cid"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n")), "classes")
 
     found = stored(prefixes(docs, words, percent, frequent, bits), "prefixes")
-    postings = _postings(found)
-    shared = postings.groupBy("token").agg(F.min("k1").alias("u"), F.max("k1").alias("v")).where("u < v").select("token", "u")
+    # Clusters go by k1 alone: were two sets to share it, their clusters would be one, which costs time and changes nothing.
+    # As stored tables these are shuffled for the join by themselves, which lets adaptive execution split a hot token.
+    postings = stored(_postings(found), "postings")
+    shared = stored(postings.groupBy("token").agg(F.min("k1").alias("u"), F.max("k1").alias("v")).where("u < v").select("token", "u"), "shared")
     bound = postings.join(shared, "token").where("k1 <> u").select("u", F.col("k1").alias("v")).distinct()
     cluster = components(bound)
-    own = cluster.join(classes.where("cid IS NOT NULL"), cluster.node == classes.k1).join(found, "k1")
+    own = cluster.join(classes.where("cid IS NOT NULL"), cluster.node == classes.k1).join(found, ["k1", "k2"])
     member = stored(own.select(F.col("root").alias("c"), "k1", "k2", "cid", "copies", "p", F.greatest("n", F.lit(LIGHT)).alias("weight")), "members")
+    discard(found, postings, shared)
     size = member.groupBy("c").agg(F.ceil(F.sum("weight") / BLOCK).cast("int").alias("chunks"))
-    member = stored(member.join(size, "c").drop("weight").withColumnRenamed("cid", "doc_id"), "members")
+    weighed, member = member, stored(member.join(stored(size, "clusters"), "c").drop("weight").withColumnRenamed("cid", "doc_id"), "members")
+    discard(weighed)
     whole = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
-    suspects = thinned(whole, member, "doc_id").join(member, "doc_id").withColumnRenamed("doc_id", "cid")
+    # never a broadcast: the join keeps the two Python steps around it in different stages, so that a task has one worker
+    suspects = thinned(whole, member, "doc_id").join(member.hint("merge"), "doc_id").withColumnRenamed("doc_id", "cid")
     blocks = _placed(suspects, words)
     found = stored(_verified(blocks.repartition("c", "bi", "bj").sortWithinPartitions("c", "bi", "bj"), percent, orders), "links")
 
@@ -443,6 +454,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     of = linked.join(degree, "node", "left")
     known = classes.join(of, classes.cid == of.node, "left").select("k1", "k2", F.coalesce("root", "cid").alias("root"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     named = stored(known, "components")
+    discard(member, found, classes)
     return rows.join(named, ["k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
@@ -451,25 +463,26 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int = 5, percent: int = 80) -> DataFrame:
-    """Keeps one document of each group, that of least doc_id (null last). Rows with null or repeated doc_id are documents of their own."""
+    """Keeps one document of each group, that of least doc_id (null last), with all its columns, whatever the names.
+    Defined cases: as above, but rows with null or repeated doc_id are documents of their own; rows without words stay."""
     own = F.col("doc_id").cast("long")
     again = stored(docs.groupBy(own.alias("doc_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").select("doc_id"), "repeated-ids")
     if again.isEmpty():
         found = jaccard_components(docs.select("doc_id", "text"), words, percent)
-        gone = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+        gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "copies")
+        return docs.join(gone, own == F.col("__gone"), "left_anti")
     # such rows are numbered and stored, as a number must not change when a task is repeated
-    shared = again.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "_again")
-    loose = docs.join(shared, own == F.col("_again"), "left_semi").unionByName(docs.where("doc_id IS NULL"))
-    loose = stored(loose.withColumn("_row", F.xxhash64(F.lit("row"), F.monotonically_increasing_id())), "loose")
-    rows = docs.where("doc_id IS NOT NULL").join(shared, own == F.col("_again"), "left_anti").withColumn("_row", own).unionByName(loose)
-    found = jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"), words, percent).select(F.col("doc_id").alias("_row"), "component_id")
-    real = loose.select("_row", own.alias("_id"), F.lit(True).alias("_loose"))
-    found = found.join(real, "_row", "left").select("_row", "component_id", F.when(F.col("_loose"), F.col("_id")).otherwise(F.col("_row")).alias("_id"))
+    shared = again.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "__again")
+    loose = docs.join(shared, own == F.col("__again"), "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    loose = stored(loose.withColumn("__row", F.xxhash64(F.lit("row"), F.monotonically_increasing_id())), "loose")
+    rows = docs.where("doc_id IS NOT NULL").join(shared, own == F.col("__again"), "left_anti").withColumn("__row", own).unionByName(loose)
+    found = jaccard_components(rows.select(F.col("__row").alias("doc_id"), "text"), words, percent).select(F.col("doc_id").alias("__row"), "component_id")
+    real = loose.select("__row", own.alias("_id"), F.lit(True).alias("_loose"))
+    found = found.join(real, "__row", "left").select("__row", "component_id", F.when(F.col("_loose"), F.col("_id")).otherwise(F.col("__row")).alias("_id"))
     found = stored(found, "groups")
-    best = found.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    gone = stored(found.join(best.select("component_id", F.col("best._row").alias("_kept")), "component_id").where("_row <> _kept").select("_row"), "copies")
-    return rows.join(gone, "_row", "left_anti").select(docs.columns)
+    best = found.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "__row")).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    gone = stored(found.join(best.select("component_id", F.col("best.__row").alias("_kept")), "component_id").where("__row <> _kept").select("__row"), "copies")
+    return rows.join(gone, "__row", "left_anti").drop("__row")
 
 
 QUERIES = {"op4_jaccard_join": op4_jaccard_join}

@@ -188,8 +188,9 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
     run.__annotations__ = {"batches": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
     touched = F.col("cut").isNotNull()
-    # only edited texts cross to Python
-    here = here.withColumn("new", F.arrow_udf(run, "string")(F.when(touched, text), "cut")).where(~touched | F.col("new").rlike(r"[^\x20\x09-\x0D]"))
+    # Only edited texts cross to Python, and once: the optimizer may not repeat what isn't deterministic.
+    edited = F.arrow_udf(run, "string").asNondeterministic()
+    here = here.withColumn("new", edited(F.when(touched, text), "cut")).where(~touched | F.col("new").rlike(r"[^\x20\x09-\x0D]"))
     new = {"text": F.col("new"), "n_chars": F.length("new").cast(dict(docs.dtypes).get("n_chars", "long"))}
     return here.select(*(F.when(touched, new[c]).otherwise(F.col(k)).alias(c) if c in new else F.col(k).alias(c) for c, k in own.items()))
 

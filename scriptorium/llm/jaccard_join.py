@@ -48,8 +48,8 @@ FLUSH, FLUSH_TOKENS, SEEN = 8_000, 1_000_000, 3
 REMEMBERED = 200_000
 #: Tokens that a bucket of the exchange holds, about.
 BUCKET = 500_000
-#: Tokens (each set counting at least LIGHT) of a block.
-BLOCK, LIGHT = 64_000, 50
+#: Tokens (each set counting at least LIGHT, as the matrices of a block grow with its sets) of a block.
+BLOCK, LIGHT = 64_000, 400
 #: Bits of the filter that thins documents before they are joined with the clusters: a fixed size.
 FILTER_BITS = 1 << 23
 

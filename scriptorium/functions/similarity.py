@@ -5,12 +5,13 @@ edit ratio is JVM-side. Both have the same sound bound: the multiset of shared c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -45,11 +46,57 @@ def bag(x: Column | str) -> Column:
     return F.transform(F.array_sort(numbered), lambda s: F.concat(s["c"], s["k"].cast("string")))
 
 
-def bag_prefix(tokens: Column | str, threshold: float) -> Column:
-    """Tokens of which two texts must share one to reach the threshold (the empty text has a token of its own)."""
-    n = F.size(tokens)
-    need = F.ceil(F.lit(threshold / (2 - threshold)) * n - 1e-9).cast("int")
-    return F.when(n == 0, F.array(F.lit(""))).otherwise(F.slice(tokens, 1, n - need + 1))
+#: Tokens that a key of with_keys holds together, by the size of the larger bag (up to), while there are enough of them.
+TOGETHER = ((16, 3), (48, 2))
+
+
+def _least_share(threshold: float) -> float:
+    """The share of its own tokens that a bag must have in common with any other to reach the threshold."""
+    return threshold / (2 - threshold)
+
+
+def _sizes(threshold: float, together: Sequence[tuple[int, int]] = TOGETHER) -> list[tuple[int, int, int]]:
+    """Ranges of sizes (from, to) of the larger of two bags, and how many common tokens a key holds there."""
+    r, out = _least_share(threshold), []
+    if not together:
+        return [(1, 2**31 - 1, 1)]
+    least = lambda n: math.ceil(r * n - 1e-9)
+    top = together[-1][0]
+    for m in range(1, top + 1):
+        s = max(min(next(k for to, k in together if m <= to), least(least(m))), 1)  # what the smallest partner must share
+        if out and out[-1][2] == s:
+            out[-1] = (out[-1][0], m, s)
+        else:
+            out.append((m, m, s))
+    return [*out, (top + 1, 2**31 - 1, 1)]
+
+
+def _combined(p: Column, together: int) -> Column:
+    """All choices of so many elements of an array, in its order, each as a text."""
+    if together == 1:
+        return p
+    rest = lambda at: F.slice(p, at, F.size(p))
+    mark = F.lit("\x1f")
+    if together == 2:
+        return F.flatten(F.transform(p, lambda x, i: F.transform(rest(i + 2), lambda y: F.concat(x, mark, y))))
+    return F.flatten(F.transform(p, lambda x, i: F.flatten(F.transform(rest(i + 2), lambda y, j: F.transform(rest(i + j + 3), lambda z: F.concat(x, mark, y, mark, z))))))
+
+
+def with_keys(df: DataFrame, tokens: str, threshold: float, together: Sequence[tuple[int, int]] = TOGETHER, name: str = "token") -> DataFrame:
+    """A row for each key of the bag in column tokens: two texts that reach the threshold have one in common.
+
+    Two bags that share c tokens share s of the first n - c + s of each. The size of the larger one decides how many
+    tokens a key holds, so a text has keys for its own size and for all that may be its partner's."""
+    n, r = F.size(tokens), _least_share(threshold)
+    least = F.ceil(F.lit(r) * n - 1e-9).cast("int")
+    ranges, out = _sizes(threshold, together), df
+    for k, (lo, hi, s) in enumerate(ranges):
+        meets = (n > 0) & (n <= hi) & (F.floor(n / F.lit(r) + 1e-9) >= lo)
+        out = out.withColumn(f"_p{k}", F.when(meets, F.slice(tokens, 1, F.greatest(n - least + s, F.lit(0)))).otherwise(F.array().cast("array<string>")))
+    marked = lambda of, k: F.transform(of, lambda x: F.concat(F.lit(f"{k}:"), x))
+    keys = [marked(_combined(F.col(f"_p{k}"), s), k) for k, (_, _, s) in enumerate(ranges)]
+    empty = F.when(n == 0, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return out.withColumn(name, F.explode(F.concat(empty, *keys))).drop(*(f"_p{k}" for k in range(len(ranges))))
 
 
 def may_reach(a: Column | str, b: Column | str, threshold: float) -> Column:

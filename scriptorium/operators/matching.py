@@ -1,19 +1,20 @@
 """One-to-one matching of extracted records with gold records, by similarity of their normalised fields.
 
 All functions take key columns (a run, a page, ...): records only match within equal keys, so many runs are one job.
-Candidates come from an equi-join on the rarest characters of the headwords (sound for the threshold), never from a
-cross join. The greedy assignment, gold records in order, each to its best free candidate, is computed by rounds of
-proposals: a candidate holds the first gold record that asks, losers ask their next best. As all candidates prefer
-earlier gold records, this ends in exactly the sequential result."""
+Candidates come from an equi-join on keys of several rare characters of the headwords (sound for the threshold), never
+from a cross join. The greedy assignment, gold records in order, each to its best free candidate, is one pass over the
+pairs of a key in order; keys with more than AT_ONCE pairs are first brought down by rounds that settle, all at once,
+the pairs which nothing that comes earlier can touch. Either way the result is exactly the sequential one."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import bag, bag_prefix, may_reach, ratio
+from ..functions.similarity import TOGETHER, bag, may_reach, ratio, with_keys
 from ..functions.text import normalize_text
 from .storage import stored
 
@@ -21,6 +22,10 @@ HEAD = 0.7
 #: Weights of headword, part of speech and translation.
 WEIGHTS = (0.5, 0.15, 0.35)
 PARTIAL = 0.85
+#: Gold records of a key up to which candidates have one rare character in common, beyond several: a matter of the plan.
+PAGE = 300
+#: Candidate pairs of one key that one task takes in order, at most.
+AT_ONCE = 1_000_000
 Similarity = Callable[[Column | str, Column | str], Column]
 #: Field names of a record as matched.
 HEADWORD, POS, TRANSLATION = "Headword_Phrase", "POS", "Translation_RU"
@@ -34,11 +39,15 @@ def prepared(records: DataFrame, keys: Sequence[str], side: str) -> DataFrame:
 
 def similar_heads(gold: DataFrame, extracted: DataFrame, keys: Sequence[str] = (), threshold: float = HEAD, similarity: Similarity = ratio) -> DataFrame:
     """Pairs of distinct headwords (g_head, e_head) with head_score of at least threshold."""
+    # a single character tells enough apart on a page; among more records it would be a hot key
+    most = gold.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    together = TOGETHER if most > PAGE else ()
     sides = []
     for df, s in ((gold, "g"), (extracted, "e")):
         heads = df.select(*keys, f"{s}_head").distinct().withColumn(f"{s}_bag", bag(f"{s}_head"))
-        sides.append(heads.withColumn("token", F.explode(bag_prefix(f"{s}_bag", threshold))))
+        sides.append(with_keys(heads, f"{s}_bag", threshold, together))
     met = sides[0].join(sides[1], [*keys, "token"]).where(may_reach("g_bag", "e_bag", threshold)).select(*keys, "g_head", "e_head").distinct()
+    met = stored(met, "met")  # or the similarity would be computed for every key that two headwords have in common
     return met.withColumn("head_score", similarity("g_head", "e_head")).where(F.col("head_score") >= threshold)
 
 
@@ -52,19 +61,48 @@ def candidate_pairs(gold: DataFrame, extracted: DataFrame, keys: Sequence[str] =
     return scored.select(*keys, "g_seq", "e_seq", "head_score", "pos_score", "def_score", overall.alias("overall"))
 
 
-def greedy_match(pairs: DataFrame, keys: Sequence[str] = (), rounds: int = 10_000) -> DataFrame:
-    """Of candidate pairs, those that the sequential greedy assignment takes. pairs should be stored: it is read every round."""
-    left = pairs.where("overall > 0")
-    for _ in range(rounds):
-        best = F.max(F.struct("overall", (-F.col("e_seq")).alias("o"))).alias("b")
-        asked = left.groupBy(*keys, "g_seq").agg(best).select(*keys, "g_seq", (-F.col("b.o")).alias("e_seq"))
-        holds = asked.groupBy(*keys, "e_seq").agg(F.min("g_seq").alias("held"))
-        # a candidate never goes to a later record than the one it holds
-        nxt = stored(left.join(holds, [*keys, "e_seq"], "left").where(F.col("held").isNull() | (F.col("g_seq") <= F.col("held"))).drop("held"), "left")
-        if asked.count() == holds.count():
-            return nxt.join(asked, [*keys, "g_seq", "e_seq"])
-        left = nxt
-    raise RuntimeError("no end of proposals")
+def _in_order(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The sequential assignment: a key's pairs in one task, by gold record, best first. The task holds the numbers that are taken."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, record, taken = None, None, set()
+        for b in batches:
+            own = list(zip(*(b.column(k).to_pylist() for k in keys), strict=True)) if keys else [()] * b.num_rows
+            mask = []
+            for key, g, e in zip(own, b.column("g_seq").to_pylist(), b.column("e_seq").to_pylist(), strict=True):
+                if key != now:
+                    now, record, taken = key, None, set()
+                take = g != record and e not in taken
+                if take:
+                    record = g
+                    taken.add(e)
+                mask.append(take)
+            yield b.filter(pa.array(mask, pa.bool_()))
+
+    dealt = pairs.repartition(*keys) if keys else pairs.repartition(1)
+    return dealt.sortWithinPartitions(*keys, "g_seq", F.desc("overall"), "e_seq").mapInArrow(run, pairs.schema)
+
+
+def _settled(left: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Pairs of a record's best candidate that no earlier record could have: keys, g_seq, e_seq."""
+    best = left.groupBy(*keys, "g_seq").agg(F.max(F.struct("overall", (-F.col("e_seq")).alias("o"))).alias("b")).select(*keys, "g_seq", (-F.col("b.o")).alias("e_seq"))
+    first = left.groupBy(*keys, "e_seq").agg(F.min("g_seq").alias("g_seq"))
+    return best.join(first, [*keys, "g_seq", "e_seq"])
+
+
+def greedy_match(pairs: DataFrame, keys: Sequence[str] = (), at_once: int = AT_ONCE) -> DataFrame:
+    """Of candidate pairs, those that the sequential greedy assignment takes. pairs should be stored: it is read several times."""
+    left, found = pairs.where("overall > 0"), None
+    while True:
+        large = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > at_once)
+        if large.isEmpty():
+            rest = _in_order(left, keys)
+            return rest if found is None else rest.unionByName(found)
+        done = stored(_settled(left, keys), "settled")
+        taken = left.join(done, [*keys, "g_seq", "e_seq"]).select(pairs.columns)
+        found = taken if found is None else found.unionByName(taken)
+        left = left.join(done.select(*keys, "g_seq"), [*keys, "g_seq"], "left_anti").join(done.select(*keys, "e_seq"), [*keys, "e_seq"], "left_anti")
+        left = stored(left.select(pairs.columns), "left")
 
 
 def classify(head: Column | str = "head_score", pos: Column | str = "pos_score", definition: Column | str = "def_score", overall: Column | str = "overall", partial: float = PARTIAL) -> Column:

@@ -112,13 +112,20 @@ def test_similarity():
     assert similarity.similarity("tide", "diet") == SequenceMatcher(None, "tide", "diet").ratio() != similarity.similarity("diet", "tide")
 
 
-def test_bag_prefix_is_sound(spark):
-    """Whatever reaches the threshold shares a token of the prefixes."""
+@pytest.mark.parametrize(("threshold", "together"), [(0.7, similarity.TOGETHER), (0.7, ()), (0.5, similarity.TOGETHER), (0.9, similarity.TOGETHER), (0.7, ((4, 3), (9, 2)))])
+def test_keys_are_sound(spark, threshold, together):
+    """Whatever reaches the threshold has a key in common."""
     rng = random.Random(2)
-    words = ["".join(rng.choices("abcde", k=rng.randint(0, 8))) for _ in range(60)]
-    df = spark.createDataFrame([(w,) for w in set(words)], "w string").select("w", similarity.bag("w").alias("b")).select("w", "b", similarity.bag_prefix("b", 0.7).alias("p"))
-    rows = df.collect()
-    for x in rows:
-        for y in rows:
-            if similarity.similarity(x.w, y.w) >= 0.7:
-                assert set(x.p) & set(y.p), (x.w, y.w)
+    words = ["".join(rng.choices("abcde", k=rng.randint(0, 12))) for _ in range(60)] + ["".join(rng.choices("abcdefghijklmnopqrst", k=rng.randint(14, 55))) for _ in range(8)]
+    words += [w[:k] + "z" * n + w[k + m :] for w in words[-30:] for k, n, m in [(rng.randint(0, len(w)), rng.randint(0, 3), rng.randint(0, 3))]]
+    df = spark.createDataFrame([(w,) for w in sorted(set(words))], "w string").withColumn("b", similarity.bag("w"))
+    keys: dict[str, set] = {}
+    for r in similarity.with_keys(df, "b", threshold, together).collect():
+        keys.setdefault(r.w, set()).add(r.token)
+    near = 0
+    for x in keys:
+        for y in keys:
+            if similarity.similarity(x, y) >= threshold:
+                near += 1
+                assert keys[x] & keys[y], (x, y)
+    assert set(keys) == set(words) and near > len(keys)
\ No newline at end of file

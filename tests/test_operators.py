@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions.similarity import similarity
@@ -59,6 +60,47 @@ def test_greedy_match_is_the_sequential_one(spark):
     assert len({(r.run_id, r.e_seq) for r in m}) == len(m)
 
 
+def _sequential(pairs: list[tuple]) -> set[tuple]:
+    """Of (key, g, e, overall), what is taken record by record."""
+    out, taken = set(), set()
+    for key, g in sorted({p[:2] for p in pairs}):
+        free = [(-o, e) for k, h, e, o in pairs if (k, h) == (key, g) and (k, e) not in taken and o > 0]
+        if free:
+            e = min(free)[1]
+            taken.add((key, e))
+            out.add((key, g, e))
+    return out
+
+
+@pytest.mark.parametrize("at_once", [1, 40, 1_000_000])
+def test_assignment_in_rounds_and_at_once(spark, at_once):
+    """Ties, zeros and chains, whether a key's pairs go in order at once or are brought down by rounds before."""
+    rng = random.Random(5)
+    pairs = [(k, g, e, rng.choice([0.0, 0.5, 0.5, 0.75, 0.9, rng.random()])) for k in range(6) for g in range(rng.randint(1, 25)) for e in rng.sample(range(30), rng.randint(0, 5))]
+    df = spark.createDataFrame(pairs, "k int, g_seq long, e_seq long, overall double").repartition(3)
+    assert {(r.k, r.g_seq, r.e_seq) for r in matching.greedy_match(df, ["k"], at_once).collect()} == _sequential(pairs)
+    one = [(0, *p[1:]) for p in pairs if p[0] == 1]
+    got = matching.greedy_match(spark.createDataFrame([p[1:] for p in one], "g_seq long, e_seq long, overall double"), (), at_once).collect()
+    assert {(0, r.g_seq, r.e_seq) for r in got} == _sequential(one)
+
+
+def test_chain_of_displaced_records(spark):
+    """Each of 1,000 records prefers what the one before it gets."""
+    pairs = [(0, g, e, 1.0 - 0.1 * (e == g)) for g in range(1_000) for e in (g - 1, g) if e >= 0]
+    got = matching.greedy_match(spark.createDataFrame([p[1:] for p in pairs], "g_seq long, e_seq long, overall double")).collect()
+    assert {(r.g_seq, r.e_seq) for r in got} == {(g, g) for g in range(1_000)}
+
+
+def test_candidates_without_keys(spark):
+    """Many records under one key: keys of several characters find the same pairs as all against all."""
+    rng = random.Random(6)
+    words = sorted({"".join(rng.choices("abcdefgh", k=rng.randint(1, 12))) for _ in range(matching.PAGE + 60)})
+    other = sorted({w[: rng.randint(0, len(w))] + rng.choice("abxy") + w[rng.randint(0, len(w)) :] for w in rng.sample(words, 150)})
+    g, e = (spark.createDataFrame([(w,) for w in ws], f"{s}_head string") for ws, s in ((words, "g"), (other, "e")))
+    got = {(r.g_head, r.e_head) for r in matching.similar_heads(g, e).collect()}
+    assert got == {(a, b) for a in words for b in other if similarity(a, b) >= 0.7}
+
+
 def test_counts_add_up(spark):
     _, _, g, e = sides(spark, seed=3)
     found = reports.evaluate(g, e, ["run_id"])

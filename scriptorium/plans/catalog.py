@@ -327,16 +327,27 @@ _N = "translate(lower(translate({0}, 'Bpə', 'Врә')), ',', ';')"
 #: The edit ratio. The Cyrillic letters that normalisation puts in go back to ASCII ones, as the engine counts bytes.
 _ASCII = "replace({0}, 'р', 'p')"
 _R = "CASE WHEN greatest(length({0}), length({1})) = 0 THEN 1.0::DOUBLE ELSE 1 - CAST(levenshtein(" + _ASCII.format("{0}") + ", " + _ASCII.format("{1}") + ") AS DOUBLE) / greatest(length({0}), length({1})) END"
-_CAND = f"""g AS (SELECT p_brand, p_size, p_partkey AS seq, {_N.format('p_name')} AS h, {_N.format('p_type')} AS p, {_N.format("p_type || ' ' || p_name")} AS t FROM part),
-e AS (SELECT p_brand, p_size, p_partkey AS seq, {_N.format(_EXT)} AS h, {_N.format('p_type')} AS p, {_N.format("p_type || ' ' || " + _EXT)} AS t FROM part WHERE p_partkey % 7 <> 0),
-s AS (SELECT p_brand, p_size, g.seq AS g_seq, e.seq AS e_seq, {_R.format('g.h', 'e.h')} AS head_score, {_R.format('g.p', 'e.p')} AS pos_score, {_R.format('g.t', 'e.t')} AS def_score FROM g JOIN e USING (p_brand, p_size)),
-c AS (SELECT *, 0.5::DOUBLE * head_score + 0.15::DOUBLE * pos_score + 0.35::DOUBLE * def_score AS overall FROM s WHERE head_score >= 0.7),
+_RECORDS = f"""g AS (SELECT p_brand, p_size, p_partkey AS seq, {_N.format('p_name')} AS h, {_N.format('p_type')} AS p, {_N.format("p_type || ' ' || p_name")} AS t FROM part),
+e AS (SELECT p_brand, p_size, p_partkey AS seq, {_N.format(_EXT)} AS h, {_N.format('p_type')} AS p, {_N.format("p_type || ' ' || " + _EXT)} AS t FROM part WHERE p_partkey % 7 <> 0)"""
+_EDIT_SCORES = f"s AS (SELECT p_brand, p_size, g.seq AS g_seq, e.seq AS e_seq, {_R.format('g.h', 'e.h')} AS head_score, {_R.format('g.p', 'e.p')} AS pos_score, {_R.format('g.t', 'e.t')} AS def_score FROM g JOIN e USING (p_brand, p_size))"
+#: difflib's ratio: the longest common block of a part of both texts (the earliest in a, then in b), then what is left and right of it.
+_RUN = "len(list_filter(range(1, least(ah - i, bh - j) + 1), lambda n: substr(a, i + 1, n) = substr(b, j + 1, n)))"
+_LONGEST = f"coalesce(list_max(flatten(list_transform(range(al, ah), lambda i: list_transform(range(bl, bh), lambda j: {_RUN} * 1000000 + (999 - i) * 1000 + (999 - j))))), 0)"
+_BLOCK_SCORES = f"""texts(a, b) AS (SELECT DISTINCT unnest([g.h, g.p, g.t]), unnest([e.h, e.p, e.t]) FROM g JOIN e USING (p_brand, p_size)),
+parts AS (SELECT a, b, al, ah, bl, bh, {_LONGEST} AS x FROM (SELECT a, b, 0::BIGINT AS al, length(a) AS ah, 0::BIGINT AS bl, length(b) AS bh FROM texts)
+    UNION ALL SELECT a, b, al, ah, bl, bh, {_LONGEST} AS x FROM (SELECT a, b, al, 999 - x // 1000 % 1000 AS ah, bl, 999 - x % 1000 AS bh FROM parts WHERE x >= 1000000
+        UNION ALL SELECT a, b, 999 - x // 1000 % 1000 + x // 1000000, ah, 999 - x % 1000 + x // 1000000, bh FROM parts WHERE x >= 1000000) WHERE al < ah AND bl < bh),
+ratios AS (SELECT a, b, CASE WHEN length(a) + length(b) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * sum(x // 1000000) / (length(a) + length(b)) END AS r FROM parts GROUP BY a, b),
+s AS (SELECT p_brand, p_size, g.seq AS g_seq, e.seq AS e_seq, h.r AS head_score, p.r AS pos_score, t.r AS def_score FROM g JOIN e USING (p_brand, p_size)
+    JOIN ratios h ON h.a = g.h AND h.b = e.h JOIN ratios p ON p.a = g.p AND p.b = e.p JOIN ratios t ON t.a = g.t AND t.b = e.t)"""
+_ASSIGNED = """c AS (SELECT *, 0.5::DOUBLE * head_score + 0.15::DOUBLE * pos_score + 0.35::DOUBLE * def_score AS overall FROM s WHERE head_score >= 0.7),
 n AS (SELECT p_brand, p_size, seq, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY seq) AS k FROM g),
 l AS (SELECT g_seq, list(e_seq ORDER BY overall DESC, e_seq) AS es FROM c GROUP BY g_seq),
 m(p_brand, p_size, k, used, g_seq, e_seq) AS (SELECT DISTINCT p_brand, p_size, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM g
     UNION ALL SELECT m.p_brand, m.p_size, n.k, CASE WHEN x.e IS NULL THEN m.used ELSE list_append(m.used, x.e) END, n.seq, x.e FROM m JOIN n ON n.p_brand = m.p_brand AND n.p_size = m.p_size AND n.k = m.k + 1
     LEFT JOIN l ON l.g_seq = n.seq, LATERAL (SELECT list_filter(l.es, lambda y: NOT list_contains(m.used, y))[1] AS e) x),
 w AS (SELECT c.*, CASE WHEN head_score = 1.0 AND pos_score >= 0.9 AND def_score >= 0.9 THEN 'exact' WHEN overall >= 0.85 THEN 'partial' ELSE 'below' END AS match_class FROM c JOIN m ON m.g_seq = c.g_seq AND m.e_seq = c.e_seq)"""
+_CAND, _CAND_BLOCKS = (f"{_RECORDS}, {x}, {_ASSIGNED}" for x in (_EDIT_SCORES, _BLOCK_SCORES))
 _SCORES = "round(head_score, 9) AS head_score, round(pos_score, 9) AS pos_score, round(def_score, 9) AS def_score, round(overall, 9) AS overall"
 
 
@@ -354,7 +365,7 @@ def candidate_pairs(spark, d):
     return _rounded(matching.candidate_pairs(*_sides(spark, d), _GROUP, similarity=edit_ratio))
 
 
-@query()
+@query(f"WITH RECURSIVE {_CAND_BLOCKS} SELECT p_brand, p_size, g_seq, e_seq, {_SCORES} FROM c")
 def candidate_pairs_blocks(spark, d):
     """Candidates by the matching-block ratio (difflib)."""
     return _rounded(matching.candidate_pairs(*_sides(spark, d), _GROUP, similarity=ratio))
@@ -365,7 +376,7 @@ def greedy_match(spark, d):
     return _rounded(_matches(spark, d)[2])
 
 
-@query()
+@query(f"WITH RECURSIVE {_CAND_BLOCKS} SELECT p_brand, p_size, g_seq, e_seq, {_SCORES}, match_class FROM w")
 def greedy_match_blocks(spark, d):
     """The assignment by the matching-block ratio (difflib)."""
     gold, other = _sides(spark, d)

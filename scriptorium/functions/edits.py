@@ -1,12 +1,15 @@
 """Edit distances and scripts.
 
-Totals use the built-in distance. Scripts (which characters were replaced, dropped, added) come from an Arrow UDF
-that aligns from the end, preferring deletion to match or substitution to insertion."""
+Totals use the built-in distance. Scripts (which characters or words were replaced, dropped, added) come from an Arrow
+UDF that aligns from the end, preferring deletion to match or substitution to insertion. Long texts keep some rows of
+the alignment table and make the others again, so memory grows with a text's length to the power of 1.5."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,33 +17,67 @@ from pyspark.sql import functions as F
 from ..schemas import EDIT
 from .text import tokens
 
-#: Cells of an alignment table, at most; longer pairs raise an error instead of being cut.
-CELLS = 50_000_000
-
-
-def edit_script(gold: str, extracted: str) -> list[tuple[str, str, str, int]]:
-    """(op, gold character, extracted character, position) from left to right."""
+#: Cells of an alignment table that is held whole.
+CELLS = 4_096
+
+
+def _next_row(above: np.ndarray, x: int, b: np.ndarray, i: int, index: np.ndarray) -> np.ndarray:
+    row = above + 1
+    row[1:] = np.minimum(row[1:], above[:-1] + (b != x))
+    row[0] = i
+    return np.minimum.accumulate(row - index) + index  # insertions, from left to right
+
+
+def _table(a: Sequence, b: Sequence) -> Callable[[int], Sequence[int]]:
+    """The rows of the alignment table, by number; asked for from the last to the first."""
+    if (len(a) + 1) * (len(b) + 1) <= CELLS:
+        rows = [list(range(len(b) + 1))]
+        for i, x in enumerate(a, 1):
+            above, row = rows[-1], [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
+            rows.append(row)
+        return rows.__getitem__
+    names: dict = {}
+    ca, cb = ([names.setdefault(x, len(names)) for x in t] for t in (a, b))
+    cb, index = np.array(cb), np.arange(len(b) + 1)
+    step = math.isqrt(len(a)) + 1
+    kept, row = {0: index}, index
+    for i, x in enumerate(ca, 1):
+        row = _next_row(row, x, cb, i, index)
+        if i % step == 0:
+            kept[i // step] = row
+    made: dict = {}
+
+    def get(i: int) -> np.ndarray:
+        at = i // step
+        if made.get("at") != at:
+            rows = [kept[at]]
+            for k in range(at * step, min((at + 1) * step - 1, len(ca))):
+                rows.append(_next_row(rows[-1], ca[k], cb, k + 1, index))
+            made.update(at=at, rows=rows)
+        return made["rows"][i - at * step]
+
+    return get
+
+
+def edit_script(gold: Sequence, extracted: Sequence) -> list[tuple[str, str, str, int]]:
+    """(op, gold character, extracted character, position) from left to right; of words, if these are lists of words."""
     lead = 0
     while lead < min(len(gold), len(extracted)) and gold[lead] == extracted[lead]:
         lead += 1
-    a, b = gold[lead:], extracted[lead:]
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
-    if (len(a) + 1) * (len(b) + 1) > CELLS:
-        raise ValueError(f"texts of {len(gold)} and {len(extracted)} characters are too long to align: compare them by line")
-    rows = [list(range(len(b) + 1))]
-    for i, x in enumerate(a, 1):
-        above, row = rows[-1], [i]
-        for j, y in enumerate(b, 1):
-            row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
-        rows.append(row)
+    tail = 0
+    while tail < min(len(gold), len(extracted)) - lead and gold[-1 - tail] == extracted[-1 - tail]:
+        tail += 1
+    a, b = gold[lead : len(gold) - tail], extracted[lead : len(extracted) - tail]
+    row = _table(a, b)
     i, j, out = len(a), len(b), []
     while i or j:
-        here = rows[i][j]
-        if i and rows[i - 1][j] + 1 == here:
+        here = row(i)[j]
+        if i and row(i - 1)[j] + 1 == here:
             i -= 1
             out.append(("deletion", a[i], "", lead + i))
-        elif i and j and rows[i - 1][j - 1] + (a[i - 1] != b[j - 1]) == here:
+        elif i and j and row(i - 1)[j - 1] + (a[i - 1] != b[j - 1]) == here:
             i, j = i - 1, j - 1
             if a[i] != b[j]:
                 out.append(("substitution", a[i], b[j], lead + i))
@@ -94,3 +131,31 @@ def word_distance(gold: Column | str, extracted: Column | str) -> Column:
     run.__annotations__ = {"batches": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
     coded = F.arrow_udf(run, "a string, b string")(tokens(gold), tokens(extracted))
     return F.levenshtein(coded["a"], coded["b"])
+
+
+WORD_OPS = ("substitutions", "deletions", "insertions")
+
+
+def _counted_ops(gold: list[str], extracted: list[str], mode: str) -> tuple[int, ...]:
+    """Words replaced, dropped, added. blocks: as difflib's matching blocks have it, a replaced stretch counting as its longer side."""
+    if mode == "shortest":
+        ops = [o[0] for o in edit_script(gold, extracted)]
+        return ops.count("substitution"), ops.count("deletion"), ops.count("insertion")
+    from difflib import SequenceMatcher
+
+    n = {"replace": 0, "delete": 0, "insert": 0, "equal": 0}
+    for tag, i, i2, j, j2 in SequenceMatcher(None, gold, extracted).get_opcodes():
+        n[tag] += max(i2 - i, j2 - j)
+    return n["replace"], n["delete"], n["insert"]
+
+
+def word_ops(gold: Column | str, extracted: Column | str, mode: str = "shortest") -> Column:
+    """A struct of the numbers of words replaced, dropped and added. mode: shortest, or blocks."""
+
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for x, y in batches:
+            rows = [_counted_ops(p or [], q or [], mode) for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)]
+            yield pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], list(WORD_OPS))
+
+    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, ", ".join(f"{c} long" for c in WORD_OPS))(tokens(gold), tokens(extracted))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.edits import edit_ops, word_distance
+from ..functions.edits import WORD_OPS, edit_ops, word_distance, word_ops
 from ..functions.text import normalize_text, ratio_or_zero, strip, tokens
 from ..schemas import COMPARED
 
@@ -64,6 +64,13 @@ def error_totals(pairs: DataFrame, by: Sequence[str] = (), rollup: bool = False)
     return sums.withColumn("cer", ratio_or_zero("char_errors", "total_chars")).withColumn("wer", ratio_or_zero("word_errors", "total_words"))
 
 
+def word_errors(pairs: DataFrame, by: Sequence[str] = (), mode: str = "shortest") -> DataFrame:
+    """Words replaced, dropped and added in pairs (gt, ext), and the word error rate. mode: shortest, or blocks (of difflib)."""
+    rows = pairs.select(*by, F.size(tokens("gt")).alias("w"), word_ops("gt", "ext", mode).alias("o")).select(*by, "w", "o.*")
+    sums = rows.groupBy(*by).agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(n) for c, n in (("w", "total_words"), *((o, f"word_{o}") for o in WORD_OPS))))
+    return sums.withColumn("wer", ratio_or_zero(sum((F.col(f"word_{o}") for o in WORD_OPS), F.lit(0)), "total_words"))
+
+
 def edit_rows(pairs: DataFrame, keys: Sequence[str] = (), mode: str = "shortest") -> DataFrame:
     """A row for each edit of pairs: keys, pair_seq, field_no, field, gold_raw, ext_raw, op_no, op, gt, ext, pos."""
     where = [*keys, "pair_seq", "field_no", "field", "gold_raw", "ext_raw"]

@@ -205,6 +205,35 @@ def cer_conversations(spark, d):
     return metrics.error_totals(rows, ["role"])
 
 
+_WORD_ERRORS = f"""SELECT field, CAST(sum(len(a)) AS BIGINT) AS total_words, CAST(sum(n) AS BIGINT) AS word_substitutions, CAST(0 AS BIGINT) AS word_deletions, CAST(0 AS BIGINT) AS word_insertions, CAST(sum(n) AS DOUBLE) / CAST(sum(len(a)) AS DOUBLE) AS wer FROM
+(SELECT field, a, len(list_filter(range(1, len(a) + 1), lambda i: a[i] <> b[i])) AS n FROM (SELECT field, string_split(gt, ' ') AS a, string_split(ext, ' ') AS b FROM {_PAIRS.format('479')})) GROUP BY field"""
+
+
+@query(_WORD_ERRORS)
+def word_errors(spark, d):
+    """Words that are replaced, dropped and added: the copies keep the number of words."""
+    return metrics.word_errors(_pairs(spark, d, "479"), ["field"])
+
+
+@query(_WORD_ERRORS)
+def word_errors_blocks(spark, d):
+    """The same by matching blocks, as where no edit distance is at hand."""
+    return metrics.word_errors(_pairs(spark, d, "479"), ["field"], mode="blocks")
+
+
+_LATIN, _OTHER = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "".join(chr(0x3B1 + i) for i in range(26)) + "".join(chr(0x410 + i) for i in range(26))
+
+
+@query(f"""SELECT 'substitution' AS op, gt, ext, n, share, CAST(rank AS INTEGER) AS rank FROM (SELECT gt, ext, n, CAST(n AS DOUBLE) / CAST(sum(n) OVER () AS DOUBLE) AS share, row_number() OVER (ORDER BY n DESC, first) AS rank FROM
+(SELECT gt, ext, count(*) AS n, min((pair_seq, i)) AS first FROM (SELECT pair_seq, i, substr(t, i, 1) AS gt, translate(substr(t, i, 1), '{_LATIN}', '{_OTHER}') AS ext FROM
+(SELECT pair_seq, t, unnest(range(1, length(t) + 1)) AS i FROM (SELECT conv_id * 1000 + turn AS pair_seq, text AS t FROM conversations))) WHERE gt <> ext GROUP BY gt, ext)) WHERE rank <= 30""")
+def confusions_of_turns(spark, d):
+    """The 30 most frequent of some fifty confusions: whole turns against a copy with other letters."""
+    rows = _t(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_seq"), F.lit(0).alias("field_no"), F.lit("turn").alias("field"), F.col("text").alias("gt"), F.translate("text", _LATIN, _OTHER).alias("ext"))
+    rows = rows.withColumn("gold_raw", F.lit("")).withColumn("ext_raw", F.lit(""))
+    return metrics.confusions(metrics.edit_rows(rows.where("gt IS NOT NULL")))
+
+
 _EDITS = f"""(SELECT pair_seq, field_no, 'substitution' AS op, substr(gt, i, 1) AS gt, substr(ext, i, 1) AS ext, i AS pos, gt AS gold_raw, ext AS ext_raw, field FROM
     (SELECT *, unnest(range(1, length(gt) + 1)) AS i FROM {_PAIRS.format('479')} WHERE field = 'name') WHERE substr(gt, i, 1) <> substr(ext, i, 1)
 UNION ALL SELECT pair_seq, field_no, 'deletion', '#', '', 1, gt, ext, field FROM {_PAIRS.format('479')} WHERE field = 'brand'

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.edits import WORD_OPS
 from ..functions.similarity import ratio
 from ..operators import matching, metrics
 from ..operators.storage import stored
@@ -54,6 +55,7 @@ class Evaluation:
     confusions: DataFrame
     examples: DataFrame
     fields: DataFrame
+    words: DataFrame
 
 
 def evaluate(gold: DataFrame, extracted: DataFrame, keys: Sequence[str] = (), partial: float = matching.PARTIAL, similarity=ratio) -> Evaluation:
@@ -65,7 +67,7 @@ def evaluate(gold: DataFrame, extracted: DataFrame, keys: Sequence[str] = (), pa
     totals = metrics.error_totals(pairs, keys)
     return Evaluation(
         metrics.match_counts(gold, extracted, matches, keys), matches, matching.missing(gold, matches, keys), matching.extra(extracted, matches, keys), records, totals, edits,
-        metrics.op_rates(edits, totals, keys), metrics.confusions(edits, keys), metrics.confusion_examples(edits, keys), metrics.field_stats(pairs, edits, keys),
+        metrics.op_rates(edits, totals, keys), metrics.confusions(edits, keys), metrics.confusion_examples(edits, keys), metrics.field_stats(pairs, edits, keys), metrics.word_errors(pairs, keys),
     )
 
 
@@ -146,24 +148,26 @@ def error_text(e: Evaluation) -> str:
             out.append(f"{shown:<35} {x.n:<10} {x.share * 100:>6.2f}%       {x.n / t.total_chars * 100:>6.2f}%")
             out += [f"    Example: {p.gold} → {p.extracted}" for p in x.examples]
         out.append("")
-    out += ["=" * 80, "ERROR RATES BY FIELD:", "=" * 80, f"{'Field':<25} {'CER':<10} {'Subs':<8} {'Dels':<8} {'Ins':<8} {'Total Chars'}", "-" * 80]
+    out += ["=" * 80, "ERROR RATES BY FIELD:", "=" * 80, f"{'Field':<25} {'Chars':<10} {'Subs':<8} {'Dels':<8} {'Ins':<8} {'CER'}", "-" * 80]
     rows = {x.field: x for x in e.fields.collect()}  # one row for each compared field
-    out += [f"{f:<25} {x.cer:<10.4f} {x.substitutions:<8} {x.deletions:<8} {x.insertions:<8} {x.chars:,}" for f in COMPARED if (x := rows.get(f)) and x.chars]
+    out += [f"{f:<25} {x.chars:<10} {x.substitutions:<8} {x.deletions:<8} {x.insertions:<8} {x.cer:.4f}" for f in COMPARED if (x := rows.get(f)) and x.chars]
     return "\n".join(out)
 
 
 def error_json(e: Evaluation) -> str:
-    t, r = e.totals.first(), e.rates.first()
+    t, r, w = e.totals.first(), e.rates.first(), e.words.first()
 
     def item(op: str, x) -> dict:
         who = {"from": x.gt, "to": x.ext} if op == "substitution" else {"character": x.gt or x.ext}
-        return who | {"count": x.n, "examples": [[p.gold, p.extracted] for p in x.examples]}
+        return who | {"count": x.n, "examples": [{"ground_truth": p.gold, "extracted": p.extracted} for p in x.examples]}
 
     found = _sections(e)
     ops = {f"{op}s": {"count": r[op + "s"], "rate": r[op + "_rate"], "most_common": [item(op, x) for x in found[op]]} for op, *_ in SECTIONS}
-    fields = {x.field: {"chars": x.chars, "substitutions": x.substitutions, "deletions": x.deletions, "insertions": x.insertions, "cer": x.cer} for x in e.fields.collect()}
-    head = {"cer": t.cer, "wer": t.wer, "total_chars": t.total_chars, "total_char_errors": t.char_errors, "word_errors": {"total_words": t.total_words, "errors": t.word_errors}}
-    return json.dumps(head | ops | {"field_stats": fields}, ensure_ascii=False, indent=2)
+    rows = {x.field: x for x in e.fields.collect()}  # one row for each compared field
+    fields = {f: {"chars": x.chars, "subs": x.substitutions, "dels": x.deletions, "ins": x.insertions} for f in COMPARED if (x := rows.get(f))}
+    words = {o: w[f"word_{o}"] for o in WORD_OPS}
+    head = {"cer": t.cer, "wer": t.wer, "total_chars": t.total_chars, "total_words": t.total_words, "total_char_errors": t.char_errors, "total_word_errors": t.word_errors}
+    return json.dumps(head | ops | {"word_errors": words, "field_stats": fields}, ensure_ascii=False, indent=2)
 
 
 def write_reports(e: Evaluation, folder: str, characters: bool = True) -> list[str]:

@@ -99,7 +99,9 @@ def confusions(edits: DataFrame, keys: Sequence[str] = (), top: int | None = 30)
 
 
 def confusion_examples(edits: DataFrame, keys: Sequence[str] = (), most: int | None = None) -> DataFrame:
-    """For each (op, gt, ext) its (gold, extracted) raw texts, one for each edit, in order. most: as many at most."""
+    """For each (op, gt, ext) its (gold, extracted) raw texts, one for each edit, in order. most: as many at most.
+
+    Without most a list grows with the edits: for reports of any size, example_rows has a row for each."""
     rows = edits
     if most is not None:  # ranked first, so that no list grows beyond it
         order = Window.partitionBy(*keys, "op", "gt", "ext").orderBy("pair_seq", "field_no", "op_no")
@@ -108,6 +110,11 @@ def confusion_examples(edits: DataFrame, keys: Sequence[str] = (), most: int | N
     return listed.select(*keys, "op", "gt", "ext", F.transform("x", lambda s: F.struct(s["gold_raw"].alias("gold"), s["ext_raw"].alias("extracted"))).alias("examples"))
 
 
+def example_rows(edits: DataFrame, confusions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """confusions (of confusions()) with a row for each edit: n, share, rank, gold_raw and ext_raw, and the edit's place."""
+    return edits.select(*keys, "op", "gt", "ext", "pair_seq", "field_no", "op_no", "gold_raw", "ext_raw").join(confusions, [*keys, "op", "gt", "ext"])
+
+
 def field_stats(pairs: DataFrame, edits: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Per field: characters, edits of each kind, and the character error rate."""
     chars = pairs.groupBy(*keys, "field").agg(F.sum(F.length("gt")).alias("chars"))

@@ -1,13 +1,13 @@
-"""Evaluation of extracted against gold records, end to end: frames first, then texts and JSON for small results.
+"""Evaluation of extracted against gold records, end to end: frames first, then texts and JSON.
 
-A report shows a bounded part (first entries, top confusions); its JSON form holds lists that grow with the errors,
-so it is for pages, while the frames of `evaluate` are for corpora."""
+Reports are written piece by piece: lists that grow with the errors go through the driver a partition at a time."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import groupby
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +17,7 @@ from ..functions.similarity import ratio
 from ..operators import matching, metrics
 from ..operators.storage import stored
 from ..schemas import COMPARED, TSV_FIELDS
-from ..sources.writers import write_bytes
+from ..sources.writers import json_array, write_text
 
 # Titles and labels of the report texts.
 TITLE = "DICTIONARY EXTRACTION EVALUATION REPORT"
@@ -64,10 +64,10 @@ def evaluate(gold: DataFrame, extracted: DataFrame, keys: Sequence[str] = (), pa
     records = matching.with_records(matches, gold, extracted, keys)
     pairs = stored(metrics.field_pairs(records, keys), "fields")
     edits = stored(metrics.edit_rows(pairs, keys), "edits")
-    totals = metrics.error_totals(pairs, keys)
+    totals, confusions = metrics.error_totals(pairs, keys), metrics.confusions(edits, keys)
     return Evaluation(
         metrics.match_counts(gold, extracted, matches, keys), matches, matching.missing(gold, matches, keys), matching.extra(extracted, matches, keys), records, totals, edits,
-        metrics.op_rates(edits, totals, keys), metrics.confusions(edits, keys), metrics.confusion_examples(edits, keys), metrics.field_stats(pairs, edits, keys), metrics.word_errors(pairs, keys),
+        metrics.op_rates(edits, totals, keys), confusions, metrics.example_rows(edits, confusions, keys), metrics.field_stats(pairs, edits, keys), metrics.word_errors(pairs, keys),
     )
 
 
@@ -99,35 +99,47 @@ def evaluation_text(e: Evaluation) -> str:
     return "\n".join(out)
 
 
-def _plain(rows: Iterable, fields: Sequence[str] = TSV_FIELDS) -> list[dict]:
-    return [{f: r[f] for f in fields} for r in rows]
+def _plain(rows: Iterable, fields: Sequence[str] = TSV_FIELDS) -> Iterator[dict]:
+    return ({f: r[f] for f in fields} for r in rows)
 
 
-def evaluation_json(e: Evaluation) -> str:
+def _object(items: Iterable[tuple[str, Iterable[str]]]) -> Iterator[str]:
+    """A pretty object, value by value."""
+    first = True
+    for k, parts in items:
+        yield ("{\n  " if first else ",\n  ") + json.dumps(k, ensure_ascii=False) + ": "
+        yield from parts
+        first = False
+    yield "\n}"
+
+
+def _value(x, depth: int = 1) -> Iterator[str]:
+    yield json.dumps(x, ensure_ascii=False, indent=2).replace("\n", "\n" + "  " * depth)
+
+
+def evaluation_json(e: Evaluation) -> Iterator[str]:
     m = e.counts.first()
     names = {"total_gold": "total_ground_truth"}
     low = matching.low_scores(e.records, 10).collect()
-    return json.dumps(
-        {
-            "metrics": {names.get(c, c): m[c] for c in JSON_METRICS},
-            "missing_entries": _plain(e.missing.orderBy("seq").toLocalIterator()),
-            "extra_entries": _plain(e.extra.orderBy("seq").toLocalIterator()),
-            "low_score_matches": [
-                {"ground_truth": _plain([r.gold])[0], "extracted": _plain([r.extracted])[0], "scores": {"overall": r.overall, "headword": r.head_score, "grammatical": r.pos_score, "definition": r.def_score}}
-                for r in low
-            ],
-        },
-        ensure_ascii=False, indent=2,
-    )
+    scores = [
+        {"ground_truth": next(_plain([r.gold])), "extracted": next(_plain([r.extracted])), "scores": {"overall": r.overall, "headword": r.head_score, "grammatical": r.pos_score, "definition": r.def_score}}
+        for r in low
+    ]
+    return _object([
+        ("metrics", _value({names.get(c, c): m[c] for c in JSON_METRICS})), ("missing_entries", json_array(_plain(e.missing.orderBy("seq").toLocalIterator()), 1)),
+        ("extra_entries", json_array(_plain(e.extra.orderBy("seq").toLocalIterator()), 1)), ("low_score_matches", _value(scores)),
+    ])
 
 
-def _sections(e: Evaluation) -> dict[str, list]:
-    """The top confusions of each op with their examples."""
-    rows = e.confusions.join(e.examples, ["op", "gt", "ext"]).orderBy("op", "rank").collect()
-    return {op: [r for r in rows if r.op == op] for op, *_ in SECTIONS}
+def _sections(e: Evaluation, op: str) -> Iterator[tuple]:
+    """The top confusions of an op, each with its examples, which are to be used up before the next."""
+    rows = e.examples.where(F.col("op") == op).orderBy("rank", "pair_seq", "field_no", "op_no").toLocalIterator()
+    for _, group in groupby(rows, key=lambda r: r["rank"]):
+        first = next(group)
+        yield first, ((r.gold_raw, r.ext_raw) for r in (r for part in ((first,), group) for r in part))
 
 
-def error_text(e: Evaluation) -> str:
+def error_text(e: Evaluation) -> Iterator[str]:
     t, r = e.totals.first(), e.rates.first()
     rate = lambda v: f"{v * 100:.2f}%"
     out = ["=" * 80, ERROR_TITLE, "=" * 80, ""]
@@ -135,49 +147,60 @@ def error_text(e: Evaluation) -> str:
     out += [f"Total characters analyzed: {t.total_chars:,}", f"Total character errors: {t.char_errors:,}", ""]
     summary = {op: f"{label}: {r[op + 's']:,} ({rate(r[op + '_rate'])} of all characters)" for op, label, *_ in SECTIONS}
     out += [*_head("CHARACTER-LEVEL ERROR BREAKDOWN:", "-", 80), *("  " + x for x in summary.values()), ""]
-    found = _sections(e)
+    yield "\n".join(out)
     for op, label, first, share in SECTIONS:
         name, _, rest = summary[op].partition(":")
-        out += ["=" * 80, f"{name.upper()}:{rest}", "=" * 80]
-        if not found[op]:
-            out += [f"No {label.lower()} found.", ""]
+        yield "\n" + "\n".join(["=" * 80, f"{name.upper()}:{rest}", "=" * 80])
+        if not r[op + "s"]:
+            yield f"\nNo {label.lower()} found.\n"
             continue
-        out += [f"{first:<35} {'Count':<10} {share:<12} {'% of Total'}", "-" * 80]
-        for x in found[op]:
+        yield "\n" + "\n".join([f"{first:<35} {'Count':<10} {share:<12} {'% of Total'}", "-" * 80])
+        for x, examples in _sections(e, op):
             shown = " → ".join(repr(c) for c in ((x.gt, x.ext) if op == "substitution" else (x.gt or x.ext,)))
-            out.append(f"{shown:<35} {x.n:<10} {x.share * 100:>6.2f}%       {x.n / t.total_chars * 100:>6.2f}%")
-            out += [f"    Example: {p.gold} → {p.extracted}" for p in x.examples]
-        out.append("")
-    out += ["=" * 80, "ERROR RATES BY FIELD:", "=" * 80, f"{'Field':<25} {'Chars':<10} {'Subs':<8} {'Dels':<8} {'Ins':<8} {'CER'}", "-" * 80]
+            yield f"\n{shown:<35} {x.n:<10} {x.share * 100:>6.2f}%       {x.n / t.total_chars * 100:>6.2f}%"
+            yield from (f"\n    Example: {a} → {b}" for a, b in examples)
+        yield "\n"
+    out = ["", "=" * 80, "ERROR RATES BY FIELD:", "=" * 80, f"{'Field':<25} {'Chars':<10} {'Subs':<8} {'Dels':<8} {'Ins':<8} {'CER'}", "-" * 80]
     rows = {x.field: x for x in e.fields.collect()}  # one row for each compared field
     out += [f"{f:<25} {x.chars:<10} {x.substitutions:<8} {x.deletions:<8} {x.insertions:<8} {x.cer:.4f}" for f in COMPARED if (x := rows.get(f)) and x.chars]
-    return "\n".join(out)
+    yield "\n".join([*out, ""])
 
 
-def error_json(e: Evaluation) -> str:
+def error_json(e: Evaluation) -> Iterator[str]:
     t, r, w = e.totals.first(), e.rates.first(), e.words.first()
 
-    def item(op: str, x) -> dict:
-        who = {"from": x.gt, "to": x.ext} if op == "substitution" else {"character": x.gt or x.ext}
-        return who | {"count": x.n, "examples": [{"ground_truth": p.gold, "extracted": p.extracted} for p in x.examples]}
+    def found(op: str) -> Iterator[str]:
+        """The array of an op's confusions; their examples one by one."""
+        first = True
+        for x, examples in _sections(e, op):
+            who = {"from": x.gt, "to": x.ext} if op == "substitution" else {"character": x.gt or x.ext}
+            head = json.dumps(who | {"count": x.n}, ensure_ascii=False, indent=2).replace("\n", "\n" + " " * 6)
+            yield ("[\n" if first else ",\n") + " " * 6 + head[: head.rindex("\n")] + ",\n" + " " * 8 + '"examples": '
+            yield from json_array(({"ground_truth": a, "extracted": b} for a, b in examples), 4)
+            yield "\n" + " " * 6 + "}"
+            first = False
+        yield "[]" if first else "\n    ]"
+
+    def section(op: str) -> Iterator[str]:
+        yield "{\n" + "".join(f"    {json.dumps(k)}: {json.dumps(v)},\n" for k, v in (("count", r[op + "s"]), ("rate", r[op + "_rate"]))) + '    "most_common": '
+        yield from found(op)
+        yield "\n  }"
 
-    found = _sections(e)
-    ops = {f"{op}s": {"count": r[op + "s"], "rate": r[op + "_rate"], "most_common": [item(op, x) for x in found[op]]} for op, *_ in SECTIONS}
     rows = {x.field: x for x in e.fields.collect()}  # one row for each compared field
     fields = {f: {"chars": x.chars, "subs": x.substitutions, "dels": x.deletions, "ins": x.insertions} for f in COMPARED if (x := rows.get(f))}
-    words = {o: w[f"word_{o}"] for o in WORD_OPS}
     head = {"cer": t.cer, "wer": t.wer, "total_chars": t.total_chars, "total_words": t.total_words, "total_char_errors": t.char_errors, "total_word_errors": t.word_errors}
-    return json.dumps(head | ops | {"word_errors": words, "field_stats": fields}, ensure_ascii=False, indent=2)
+    words = {o: w[f"word_{o}"] for o in WORD_OPS}
+    return _object([*((k, _value(v)) for k, v in head.items()), *((f"{op}s", section(op)) for op, *_ in SECTIONS), ("word_errors", _value(words)), ("field_stats", _value(fields))])
 
 
 def write_reports(e: Evaluation, folder: str, characters: bool = True) -> list[str]:
     """The texts, each with its JSON beside it. Without any match there is no character report."""
     spark, made = e.counts.sparkSession, []
-    kinds = [("evaluation_report", evaluation_text, evaluation_json)]
+    kinds = [("evaluation_report", lambda e: [evaluation_text(e)], evaluation_json)]
     if characters and not e.matches.isEmpty():
         kinds.append(("character_error_report", error_text, error_json))
     for name, as_text, as_json in kinds:
-        for path, content in ((f"{folder}/{name}.txt", as_text(e)), (f"{folder}/{name}_details.json", as_json(e))):
-            write_bytes(spark, path, content.encode())
+        for path, parts in ((f"{folder}/{name}.txt", as_text(e)), (f"{folder}/{name}_details.json", as_json(e))):
+            write_text(spark, path, parts)
             made.append(path)
     return made

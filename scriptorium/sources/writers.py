@@ -5,7 +5,9 @@ from __future__ import annotations
 import csv
 import io
 import json
-from collections.abc import Iterable
+import uuid
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,19 +15,37 @@ from pyspark.sql import functions as F
 from ..schemas import FIELDS, TSV_FIELDS
 
 
-def write_bytes(spark: SparkSession, path: str, content: bytes, append: bool = False) -> bool:
-    """To one file in any file system that Spark knows. Whether the file was there before."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
+#: Bytes that the driver holds of a file it writes, about.
+PIECE = 1 << 20
+
+
+def write_text(spark: SparkSession, path: str, parts: Iterable[str], append: bool = False) -> bool:
+    """To one file in any file system that Spark knows, piece by piece. Whether the file was there before.
+
+    The new file stands beside the old one until it is whole."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop
+    at, made = hadoop.fs.Path(path), hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     there = fs.exists(at)
-    if append and there:
-        with_old = fs.open(at)
-        content = bytes(with_old.readAllBytes()) + content
-        with_old.close()
-    out = fs.create(at, True)
-    out.write(bytearray(content))
-    out.close()
+    out = fs.create(made, True)
+    try:
+        if append and there:
+            old = fs.open(at)
+            hadoop.io.IOUtils.copyBytes(old, out, 1 << 16, False)
+            old.close()
+        held, size = [], 0
+        for part in chain(parts, (None,)):
+            if part is not None:
+                held.append(part.encode())
+                size += len(held[-1])
+            if size >= PIECE or part is None and held:
+                out.write(bytearray(b"".join(held)))
+                held, size = [], 0
+    finally:
+        out.close()
+    fs.delete(at, False)
+    if not fs.rename(made, at):
+        raise OSError(f"{path} can't be written")
     return there
 
 
@@ -34,23 +54,28 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
-def tsv_text(rows: Iterable[dict], header: bool) -> str:
+def tsv_lines(rows: Iterable[dict], header: bool) -> Iterator[str]:
     out = io.StringIO()
     w = csv.DictWriter(out, TSV_FIELDS, delimiter="\t", extrasaction="ignore")
     if header:
         w.writeheader()
-    w.writerows(rows)
-    return out.getvalue()
+    for r in rows:
+        w.writerow(r)
+        yield out.getvalue()
+        out.seek(0)
+        out.truncate()
+    yield out.getvalue()
 
 
 def write_tsv(records: DataFrame, path: str, append: bool = False) -> None:
     """One tab-separated file in order of seq, with a header unless appended to a file that is there.
 
-    For exchange; the rows stream through the driver one partition at a time. write_tsv_parts is the distributed form."""
+    For exchange; the rows go through the driver a partition at a time, the text piece by piece. write_tsv_parts is the
+    distributed form."""
     spark = records.sparkSession
     header = not (append and _exists(spark, path))
     rows = (r.asDict() for r in records.orderBy("seq").select(*TSV_FIELDS).toLocalIterator())
-    write_bytes(spark, path, tsv_text(rows, header).encode(), append)
+    write_text(spark, path, tsv_lines(rows, header), append)
 
 
 def write_tsv_parts(records: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -65,11 +90,19 @@ def to_tsv_names(records: DataFrame) -> DataFrame:
     return records.select("seq", *(F.coalesce(k, F.lit("")).alias(v) for k, v in FIELDS.items()))
 
 
+def json_array(items: Iterable, depth: int = 0) -> Iterator[str]:
+    """A pretty array, item by item, as it stands within so many levels; letters kept as they are."""
+    pad, first = " " * 2 * (depth + 1), True
+    for x in items:
+        yield ("[\n" if first else ",\n") + pad + json.dumps(x, ensure_ascii=False, indent=2).replace("\n", "\n" + pad)
+        first = False
+    yield "[]" if first else "\n" + pad[2:] + "]"
+
+
 def write_json_array(rows: DataFrame, path: str) -> None:
-    """One pretty array in order of seq, letters kept as they are."""
+    """One pretty array in order of seq, letters kept as they are. The rows go through the driver a partition at a time."""
     order = rows.orderBy("seq").drop("seq") if "seq" in rows.columns else rows
-    got = [json.loads(x) for x in order.toJSON().toLocalIterator()]
-    write_bytes(rows.sparkSession, path, json.dumps(got, ensure_ascii=False, indent=2).encode())
+    write_text(rows.sparkSession, path, json_array(json.loads(x) for x in order.toJSON().toLocalIterator()))
 
 
 def preview(records: DataFrame, n: int = 5) -> DataFrame:
@@ -80,10 +113,12 @@ def preview(records: DataFrame, n: int = 5) -> DataFrame:
 
 
 def write_files(files: DataFrame, folder: str) -> None:
-    """Binary files (name, content) into a folder, from the executors, by Spark's file systems where they are local paths.
-
-    The folder must be one that all executors share."""
-    target = folder.removeprefix("file://")
+    """Binary files (name, content) into a folder, from the executors. It must be one that all executors mount at this
+    path: Spark has no sink of binary files, and so other file systems are an error."""
+    scheme, found, rest = folder.partition("://")
+    if found and scheme != "file":
+        raise ValueError(f"{folder} isn't a folder that is mounted: write (name, content) as a table instead")
+    target = rest if found else folder.removeprefix("file:")
 
     def run(rows) -> None:
         from pathlib import Path

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import random
 
 import numpy as np
@@ -120,6 +121,23 @@ def test_reports(spark, tmp_path):
     assert [p.rsplit("/", 1)[1] for p in made] == ["evaluation_report.txt", "evaluation_report_details.json", "character_error_report.txt", "character_error_report_details.json"]
     text = (tmp_path / "character_error_report.txt").read_text()
     assert "Character Error Rate (CER)" in text and "ERROR RATES BY FIELD" in text
+    lines = text.split("\n")
+    assert lines[lines.index("ERROR RATES BY FIELD:") + 2].split() == ["Field", "Chars", "Subs", "Dels", "Ins", "CER"]
+    found = reports.evaluate(one(g), one(e))
+    errors = json.loads((tmp_path / "character_error_report_details.json").read_text())
+    assert list(errors) == ["cer", "wer", "total_chars", "total_words", "total_char_errors", "total_word_errors", "substitutions", "deletions", "insertions", "word_errors", "field_stats"]
+    assert set(errors["word_errors"]) == {"substitutions", "deletions", "insertions"} and sum(errors["word_errors"].values()) == errors["total_word_errors"]
+    assert sum(errors[f"{o}s"]["count"] for o in ("substitution", "deletion", "insertion")) == errors["total_char_errors"]
+    top = errors["substitutions"]["most_common"]
+    assert 0 < len(top) <= 30 and all(set(x) == {"from", "to", "count", "examples"} and len(x["examples"]) == x["count"] for x in top)
+    assert set(top[0]["examples"][0]) == {"ground_truth", "extracted"} and [x["count"] for x in top] == sorted((x["count"] for x in top), reverse=True)
+    assert all(set(x) == {"chars", "subs", "dels", "ins"} for x in errors["field_stats"].values())
+    assert text.count("    Example: ") == sum(len(x["examples"]) for o in ("substitutions", "deletions", "insertions") for x in errors[o]["most_common"])
+    details = json.loads((tmp_path / "evaluation_report_details.json").read_text())
+    assert list(details) == ["metrics", "missing_entries", "extra_entries", "low_score_matches"] and len(details["missing_entries"]) == found.missing.count()
+    assert (tmp_path / "evaluation_report_details.json").read_text() == json.dumps(details, ensure_ascii=False, indent=2)
+    assert (tmp_path / "character_error_report_details.json").read_text() == json.dumps(errors, ensure_ascii=False, indent=2)
+    assert not [p for p in tmp_path.iterdir() if p.suffix == ".part"]
     empty = g.limit(0).drop("run_id")
     assert metrics.match_counts(empty, empty, matching.match_records(empty, empty)).first().overall_f1 == 0.0
     assert len(reports.write_reports(reports.evaluate(empty, empty), str(tmp_path / "none"))) == 2

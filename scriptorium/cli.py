@@ -1,4 +1,4 @@
-"""Commands: evaluate, extract, segment, layout, to-tsv, preprocess, compare."""
+"""Commands: evaluate, extract, segment, layout, annotate, to-tsv, preprocess, compare."""
 
 from __future__ import annotations
 
@@ -19,21 +19,25 @@ def _read(spark, path: str):
     return df.drop("path")
 
 
+def _folder(path: str) -> str:
+    """Where a file is."""
+    return path.rpartition("/")[0] or ("/" if path.startswith("/") else ".")
+
+
 def _evaluate(spark, a) -> None:
     e = reports.evaluate(_read(spark, a.gold), _read(spark, a.extracted), partial=a.threshold)
-    folder = a.output or a.extracted.rsplit("/", 1)[0]
-    for path in reports.write_reports(e, folder, not a.no_char_analysis):
+    for path in reports.write_reports(e, a.output or _folder(a.extracted), not a.no_char_analysis):
         print(path)
     print(reports.evaluation_text(e))
 
 
 def _extract(spark, a) -> None:
     mode = extract.single_mode(image=a.image, crops=a.crops_dir, layout=a.layout_json)
-    model = extract.Pattern()
+    model, steps = extract.model(a.model), extract.PREPROCESS[a.preprocess]
     found = {
-        "image": lambda: extract.extract_image(spark, a.image, model, a.document, a.page),
-        "crops": lambda: extract.extract_crops(spark, a.crops_dir, model, a.page),
-        "layout": lambda: extract.extract_layout(spark, a.layout_json, model, a.page),
+        "image": lambda: extract.extract_image(spark, a.image, model, a.document, a.page, steps),
+        "crops": lambda: extract.extract_crops(spark, a.crops_dir, model, a.page, steps),
+        "layout": lambda: extract.extract_layout(spark, a.layout_json, model, a.page, a.layout_image, steps),
     }[mode]()
     entries = extract.to_entries(found)
     writers.write_tsv(entries, a.output, a.append)
@@ -53,6 +57,12 @@ def _layout(spark, a) -> None:
     writers.write_json_array(layout.annotations(layout.layout_blocks(readers.read_layouts(spark, a.input), text_only=False)), a.output)
 
 
+def _annotate(spark, a) -> None:
+    """Blocks drawn on their page's image, one file for each layout."""
+    made = layout.annotated(readers.read_layouts(spark, a.json), readers.read_images(spark, a.image), a.thickness)
+    writers.write_files(made, a.output)
+
+
 def _to_tsv(spark, a) -> None:
     writers.write_tsv(_read(spark, a.json), a.output or a.json.rsplit(".", 1)[0] + ".tsv")
 
@@ -89,9 +99,10 @@ def parser() -> argparse.ArgumentParser:
 
     out = (("-o", "--output"), {"required": True})
     command("evaluate", _evaluate, (("-e", "--extracted"), {"required": True}), (("-g", "--gold"), {"required": True}), (("-o", "--output"), {}), (("-t", "--threshold"), {"type": float, "default": 0.85}), (("--no-char-analysis",), {"action": "store_true"}))
-    command("extract", _extract, (("-i", "--image"), {}), (("--crops-dir",), {}), (("--layout-json",), {}), out, (("-d", "--document"), {}), (("-p", "--page"), {"type": int, "default": 1}), (("-a", "--append"), {"action": "store_true"}), (("--json",), {"action": "store_true"}))
+    command("extract", _extract, (("-i", "--image"), {}), (("--crops-dir",), {}), (("--layout-json",), {}), out, (("-d", "--document"), {}), (("-m", "--model"), {"default": "pattern"}), (("--preprocess",), {"choices": list(extract.PREPROCESS), "default": "none"}), (("--layout-image",), {}), (("-p", "--page"), {"type": int, "default": 1}), (("-a", "--append"), {"action": "store_true"}), (("--json",), {"action": "store_true"}))
     command("segment", _segment, (("-i", "--input"), {"required": True}), out, (("--width",), {"type": float, "required": True}), (("--height",), {"type": float, "default": 1e9}), (("--padding",), {"type": int, "default": 20}), (("--confidence",), {"type": float, "default": 0.5}), (("--gap-multiplier",), {"type": float, "default": 2.0}))
     command("layout", _layout, (("-i", "--input"), {"required": True}), out)
+    command("annotate", _annotate, (("-i", "--image"), {"required": True}), (("-j", "--json"), {"required": True}), out, (("--thickness",), {"type": int, "default": 3}))
     command("to-tsv", _to_tsv, (("json",), {}), (("-o", "--output"), {}))
     command("preprocess", _preprocess, (("-i", "--input"), {"required": True}), out, (("--steps",), {"default": ",".join(images.STEPS)}), (("--variants",), {"action": "store_true"}))
     command("compare", _compare, (("-g", "--gold"), {"required": True}), (("runs",), {"nargs": "+"}))

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 LOOKALIKES = (("B", "В"), ("p", "р"), ("ə", "ә"))
 #: All white space of Unicode, and the separators U+001C to U+001F.
 BLANK = r"(?U)[\s\x1c-\x1f]"
+# Fixed value: a part of speech in brackets.
 POS_TAG = r"\([а-яА-Яa-zA-Z]+\.?\)"
+# Colours of labels, of numbers in turn, and the variables that hold the keys of providers (first hit wins).
 LABEL_COLOURS = {"text": "green", "paragraph_title": "blue", "doc_title": "red", "image": "orange", "table": "purple", "number": "gray"}
 COLOUR_CYCLE = ("red", "green", "blue", "orange", "purple", "brown")
-#: First hit wins.
 PROVIDERS = (("openrouter", "OPENROUTER_API_KEY"), ("gemini", "GEMINI_API_KEY"), ("google", "GEMINI_API_KEY"), ("claude", "ANTHROPIC_API_KEY"), ("anthropic", "ANTHROPIC_API_KEY"), ("gpt", "OPENAI_API_KEY"), ("openai", "OPENAI_API_KEY"))
 
 

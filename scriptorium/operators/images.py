@@ -1,7 +1,7 @@
 """Image kernels in numpy over images as binary columns: decode, grey, deskew, denoise, contrast, sharpen, crop, boxes.
 
 Each image is a row; steps run inside one Arrow UDF, so a page crosses to Python once however many steps it takes.
-8-bit PNG (grey, RGB, with alpha) and binary PGM/PPM are read; PNG is written."""
+PNG (grey, RGB, with alpha or a palette, of 1 to 16 bits, not interlaced) and binary PGM/PPM are read; 8-bit PNG is written."""
 
 from __future__ import annotations
 
@@ -30,21 +30,38 @@ def decode(data: bytes) -> np.ndarray:
         return pixels.reshape((height, width, 3) if depth == 3 else (height, width))
     if data[:8] != _SIGNATURE:
         raise ValueError("neither PNG nor PGM/PPM")
-    at, body, width, height, depth = 8, b"", 0, 0, 1
+    at, body, palette, width, height, depth, bits, colour = 8, b"", None, 0, 0, 1, 8, 0
     while at < len(data):
         size, kind = struct.unpack(">I4s", data[at : at + 8])
         part = data[at + 8 : at + 8 + size]
         if kind == b"IHDR":
             width, height, bits, colour, _, _, interlaced = struct.unpack(">IIBBBBB", part)
-            if bits != 8 or interlaced or colour not in (0, 2, 4, 6):
-                raise ValueError("only 8-bit PNG without palette or interlacing")
-            depth = {0: 1, 2: 3, 4: 2, 6: 4}[colour]
+            if interlaced or colour not in (0, 2, 3, 4, 6):
+                raise ValueError("only PNG without interlacing")
+            depth = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
+        elif kind == b"PLTE":
+            palette = np.frombuffer(part, np.uint8).reshape(-1, 3)
         elif kind == b"IDAT":
             body += part
         at += 12 + size
-    raw = np.frombuffer(zlib.decompress(body), np.uint8).reshape(height, 1 + width * depth)
-    out = np.zeros((height, width * depth), np.uint8)
-    above = np.zeros(width * depth, np.uint8)
+    values = bits * depth  # bits of a pixel
+    out = _unfiltered(zlib.decompress(body), height, -(-width * values // 8), max(values // 8, 1))
+    if bits == 16:
+        out = out[:, ::2]
+    elif bits < 8:
+        out = np.unpackbits(out, axis=1).reshape(height, -1, bits) @ (1 << np.arange(bits)[::-1])
+        out = out[:, :width]
+        out = (out if colour == 3 else out * (255 // ((1 << bits) - 1))).astype(np.uint8)
+    if colour == 3:
+        return palette[out]
+    image = out.reshape(height, width, depth)
+    return image[:, :, 0] if depth < 3 else image[:, :, :3]
+
+
+def _unfiltered(data: bytes, height: int, stride: int, step: int) -> np.ndarray:
+    """The rows of a PNG without their filters. step: bytes of a pixel."""
+    raw = np.frombuffer(data, np.uint8).reshape(height, 1 + stride)
+    out, above = np.zeros((height, stride), np.uint8), np.zeros(stride, np.uint8)
     for y in range(height):
         kind, row = raw[y, 0], raw[y, 1:]
         if kind == 0:
@@ -52,23 +69,22 @@ def decode(data: bytes) -> np.ndarray:
         elif kind == 2:
             out[y] = row + above
         elif kind == 1:
-            out[y] = np.add.accumulate(row.reshape(width, depth), axis=0, dtype=np.uint8).reshape(-1)
+            out[y] = np.add.accumulate(row.reshape(-1, step), axis=0, dtype=np.uint8).reshape(-1)
         else:
-            line = [0] * (width * depth)
+            line = [0] * stride
             up = above.tolist()
             for x, v in enumerate(row.tolist()):
-                a = line[x - depth] if x >= depth else 0
+                a = line[x - step] if x >= step else 0
                 if kind == 3:
                     line[x] = (v + (a + up[x]) // 2) & 255
                 else:
-                    c = up[x - depth] if x >= depth else 0
+                    c = up[x - step] if x >= step else 0
                     p = a + up[x] - c
                     near = min((abs(p - a), 0, a), (abs(p - up[x]), 1, up[x]), (abs(p - c), 2, c))
                     line[x] = (v + near[2]) & 255
             out[y] = line
         above = out[y]
-    image = out.reshape(height, width, depth)
-    return image[:, :, 0] if depth < 3 else image[:, :, :3]
+    return out
 
 
 def encode(image: np.ndarray) -> bytes:
@@ -206,6 +222,28 @@ def draw_boxes(image: np.ndarray, boxes: Sequence[Sequence[int]], colour: Sequen
     return out
 
 
+#: Letters of 3 x 5 pixels: five rows, each an octal digit.
+_GLYPHS = dict(
+    pair.split(":")
+    for pair in "a:25755 b:65656 c:34443 d:65556 e:74647 f:74644 g:34553 h:55755 i:72227 j:11152 k:55655 l:44447 m:57755 n:65555 o:25552 p:65644 q:25563 r:65655 s:34216 t:72222 u:55557 v:55552 w:55775 x:55255 y:55222 z:71247 0:75557 1:26227 2:71747 3:71317 4:55711 5:74717 6:74757 7:71122 8:75757 9:75717 _:00007 -:00700 [:64446 ]:31113".split()
+)
+
+
+def write_label(image: np.ndarray, text: str, x: int, y: int, colour: Sequence[int], size: int = 2) -> np.ndarray:
+    """text in white on a filled box of the colour, whose lower left corner is x, y. What isn't in the image is cut off."""
+    rows = np.zeros((7, 4 * len(text) + 1), bool)
+    for k, c in enumerate(text.lower()):
+        for i, digit in enumerate(_GLYPHS.get(c, "00000")):
+            rows[1 + i, 1 + 4 * k : 4 + 4 * k] = [int(digit) >> b & 1 for b in (2, 1, 0)]
+    rows = rows.repeat(size, axis=0).repeat(size, axis=1)
+    out = image.copy()
+    top, left = max(y - rows.shape[0], 0), max(x, 0)
+    place = out[top : top + rows.shape[0], left : left + rows.shape[1]]
+    part = rows[: place.shape[0], : place.shape[1]]
+    place[:] = np.where(part[:, :, None], 255, np.array(colour, np.uint8))
+    return out
+
+
 def preprocess(image: np.ndarray, steps: Sequence[str] = STEPS) -> np.ndarray:
     """The steps in their fixed order, always after greying."""
     kernels = {"deskew": deskew, "denoise": denoise, "contrast": contrast, "sharpen": sharpen}

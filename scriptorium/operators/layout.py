@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import valid_box, whole_box
-from ..functions.text import block_caption, block_id, label_colour
+from ..functions.text import block_caption, block_id, label_colour, name, stem
+from . import images as kernels
+
+# The colours (red, green, blue) that blocks are drawn in, by label, and that of all others.
+DRAWN = {"paragraph_title": (255, 0, 0), "text": (0, 255, 0), "image": (0, 0, 255), "table": (0, 255, 255), "figure": (255, 0, 255), "formula": (255, 255, 0)}
+DRAWN_OTHER = (0, 128, 255)
 
 
 def layout_blocks(layouts: DataFrame, text_only: bool = True) -> DataFrame:
@@ -26,6 +34,30 @@ def annotations(blocks: DataFrame) -> DataFrame:
     return blocks.select("input_path", "seq", whole_box("block_bbox").alias("box"), label_colour("block_label").alias("colour"), block_caption("block_label", "block_order").alias("caption"))
 
 
+def annotated(layouts: DataFrame, images: DataFrame, thickness: int = 3) -> DataFrame:
+    """Blocks with a valid box drawn on the image of their page (found by its file name), with label and order: name, content (PNG).
+
+    A page that has no image gives no row."""
+    block = F.struct(F.col("seq"), whole_box("block_bbox").alias("box"), F.coalesce("block_label", F.lit("unknown")).alias("label"), block_caption(F.coalesce("block_label", F.lit("unknown")), "block_order").alias("caption"))
+    pages = layout_blocks(layouts, text_only=False).groupBy("input_path").agg(F.array_sort(F.collect_list(block)).alias("blocks"))
+
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for content, blocks in batches:
+            out = []
+            for c, own in zip(content.to_pylist(), blocks.to_pylist(), strict=True):
+                image = kernels.draw_boxes(kernels.decode(c), [], thickness=thickness)
+                for b in own:
+                    colour = DRAWN.get(b["label"], DRAWN_OTHER)
+                    image = kernels.draw_boxes(image, [b["box"]], colour, thickness)
+                    image = kernels.write_label(image, b["caption"], b["box"][0], b["box"][1], colour)
+                out.append(kernels.encode(image))
+            yield pa.array(out, pa.binary())
+
+    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
+    found = pages.withColumn("_name", name("input_path")).join(images.select(F.col("name").alias("_name"), "content"), "_name")
+    return found.select(F.concat(stem("input_path"), F.lit("_annotated.png")).alias("name"), F.arrow_udf(run, "binary")("content", "blocks").alias("content"))
+
+
 def block_counts(layouts: DataFrame) -> DataFrame:
     rows = layouts.select("input_path", F.explode_outer("parsing_res_list").alias("b"))
     return rows.groupBy("input_path").agg(F.count("b").alias("n_blocks"), F.count_if((F.col("b.block_label") == "text") & (F.size("b.block_bbox") == 4)).alias("n_text_blocks"))

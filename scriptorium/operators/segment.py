@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import crop_box, polygon_box
 from ..functions.text import entry_id
+from .numbering import numbered_in_order
 
 CONFIDENCE = 0.5
 GAP_MULTIPLIER = 2.0
@@ -79,6 +80,11 @@ def segment_entries(lines: DataFrame, page: Sequence[str] = (), multiplier: floa
     return boxes.join(texts, [*keys, "entry_no"]).withColumn("entry_id", entry_id("column", "entry_no"))
 
 
+def in_page_order(entries: DataFrame, page: Sequence[str] = ()) -> DataFrame:
+    """place: the entry's number on its page from 0, all of the left column before the right one."""
+    return numbered_in_order(entries, ["column", "entry_no"], page, "place")
+
+
 def crop_boxes(entries: DataFrame, width, height, pad: int = 20) -> DataFrame:
     w, h = (F.col(x) if isinstance(x, str) else F.lit(x) for x in (width, height))
     return entries.withColumn("crop", crop_box("bbox", w, h, pad))

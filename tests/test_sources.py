@@ -1,12 +1,17 @@
 from __future__ import annotations
 
 import json
+import random
+import struct
 import zipfile
+import zlib
 
+import numpy as np
 import pytest
 
 from scriptorium import cli
 from scriptorium.operators import images
+from scriptorium.operators.numbering import numbered_in_order
 from scriptorium.schemas import TSV_FIELDS
 from scriptorium.sources import extract, readers, writers
 from scriptorium.streaming import entries
@@ -45,8 +50,6 @@ def test_docx(spark, tmp_path):
 
 
 def test_crops_and_extraction(spark, tmp_path):
-    import numpy as np
-
     for k in (1, 2, 3):
         (tmp_path / f"block_00{k}_text.png").write_bytes(images.encode(np.zeros((2, 2), np.uint8)))
     (tmp_path / "block_001_text.md").write_text("dog (n.) hound")
@@ -69,11 +72,74 @@ def test_errors_stay_with_their_item(spark):
 def test_layout_extraction(spark, tmp_path):
     block = {"block_label": "text", "block_content": "dog (n.) hound", "block_bbox": [0, 0, 5, 5], "block_id": 0, "block_order": 1, "group_id": 0}
     (tmp_path / "l.json").write_text(json.dumps({"input_path": "p.png", "width": 9, "height": 9, "parsing_res_list": [block, block | {"block_label": "image"}]}, indent=1))
-    assert extract.extract_layout(spark, str(tmp_path / "l.json"), extract.Pattern()).count() == 1
+    (tmp_path / "p.png").write_bytes(images.encode(np.arange(81, dtype=np.uint8).reshape(9, 9)))
+    assert extract.extract_layout(spark, str(tmp_path / "l.json"), extract.Pattern(), image=str(tmp_path / "p.png")).count() == 1
+    (item,) = extract.layout_items(spark, str(tmp_path / "l.json"), str(tmp_path / "p.png")).collect()
+    assert images.decode(item.content).tolist() == np.arange(81).reshape(9, 9)[:5, :5].tolist() and item.text == "dog (n.) hound" and item.failed is None
+    (tmp_path / "l2.json").write_text(json.dumps({"input_path": str(tmp_path / "p.png"), "width": 9, "height": 9, "parsing_res_list": [block, block | {"block_content": ""}, block | {"block_bbox": [1, 2]}]}))
+    (item,) = extract.layout_items(spark, str(tmp_path / "l2.json"), steps=("contrast",)).collect()  # the image is where the layout says
+    assert images.decode(item.content).shape == (5, 5)
+    (tmp_path / "other.png").write_bytes(b"no image")
+    lost = extract.layout_items(spark, str(tmp_path / "l.json"), str(tmp_path / "other.png"))
+    assert "ValueError" in extract.failures(extract.answers(lost, extract.Pattern())).first().error
+    cli.main(["annotate", "-i", str(tmp_path / "p.png"), "-j", str(tmp_path / "l.json"), "-o", str(tmp_path / "drawn"), "--thickness", "1"])
+    drawn = images.decode((tmp_path / "drawn" / "p_annotated.png").read_bytes())
+    assert drawn.shape == (9, 9, 3) and drawn[4, 2].tolist() == [0, 0, 255]
     cli.main(["layout", "-i", str(tmp_path / "l.json"), "-o", str(tmp_path / "a.json")])
     assert [x["colour"] for x in json.loads((tmp_path / "a.json").read_text())] == ["green", "orange"]
 
 
+def test_png_kinds():
+    """Palettes and other depths, written by hand."""
+    chunk = lambda kind, x: struct.pack(">I", len(x)) + kind + x + struct.pack(">I", zlib.crc32(kind + x))
+    png = lambda w, h, bits, colour, raw, *more: images._SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, bits, colour, 0, 0, 0)) + b"".join(more) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+    palette = chunk(b"PLTE", bytes([1, 2, 3, 40, 50, 60, 7, 8, 9, 0, 0, 255]))
+    assert images.decode(png(5, 2, 2, 3, bytes([0, 0b00011011, 0b01000000, 2, 0, 0]), palette)).tolist() == [[[1, 2, 3], [40, 50, 60], [7, 8, 9], [0, 0, 255], [40, 50, 60]]] * 2
+    assert images.decode(png(3, 1, 1, 0, bytes([0, 0b10100000]))).tolist() == [[255, 0, 255]]
+    assert images.decode(png(2, 1, 4, 0, bytes([0, 0x5F]))).tolist() == [[85, 255]]
+    assert images.decode(png(2, 2, 16, 0, bytes([1, 10, 99, 5, 1, 2, 1, 0, 1, 0]))).tolist() == [[10, 15], [11, 16]]
+    assert images.decode(png(1, 1, 16, 2, bytes([0, 9, 0, 8, 0, 7, 0]))).tolist() == [[[9, 8, 7]]]
+    with pytest.raises(ValueError, match="interlacing"):
+        images.decode(images.encode(np.zeros((2, 2), np.uint8))[:28] + b"\x01" + images.encode(np.zeros((2, 2), np.uint8))[29:])
+
+
+def test_extract_command(spark, tmp_path):
+    (tmp_path / "page.png").write_bytes(images.encode(np.full((4, 4), 90, np.uint8)))
+    (tmp_path / "page.txt").write_text("dog (n.) hound")
+    (tmp_path / "answers.json").write_text(json.dumps({"dog (n.) hound": '[{"headword_phrase": "stored"}]'}))
+    common = ["extract", "-i", str(tmp_path / "page.png"), "-d", str(tmp_path / "page.txt")]
+    for more, want in (([], "dog"), (["-m", f"replay:{tmp_path}/answers.json"], "stored"), (["-m", "tests.test_sources:Bright", "--preprocess", "contrast"], "4x4 grey")):
+        cli.main([*common, "-o", str(tmp_path / "out.tsv"), *more])
+        assert readers.read_tsv(spark, str(tmp_path / "out.tsv")).first().Headword_Phrase == want
+    with pytest.raises(ValueError, match="unknown model"):
+        extract.model("nothing")
+    assert [cli._folder(x) for x in ("e.tsv", "/e.tsv", "a/e.tsv", "s3://b/a/e.tsv")] == [".", "/", "a", "s3://b/a"]
+
+
+class Bright:
+    """An extractor that looks at the image."""
+
+    def extract(self, image, text, page):
+        x = images.decode(image)
+        return json.dumps({"headword_phrase": f"{x.shape[0]}x{x.shape[1]} {'grey' if x.ndim == 2 else 'colour'}"})
+
+
+def test_labels():
+    blank = np.zeros((20, 40, 3), np.uint8)
+    got = images.write_label(blank, "[1]", 3, 18, (9, 9, 9), 1)
+    assert got[11:18, 3:16].any() and not got[:11].any() and not got[18:].any() and (got == 255).any()
+    assert images.write_label(blank, "text [12]", 35, 4, (9, 9, 9)).shape == blank.shape
+
+
+def test_numbers_in_order(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice("abc"), rng.random()) for _ in range(500)]
+    df = spark.createDataFrame(rows, "page string, x double").repartition(7)
+    got = numbered_in_order(df, ["x"], ["page"], "n").collect()
+    assert sorted((r.page, r.n, r.x) for r in got) == [(p, k, x) for p in "abc" for k, x in enumerate(sorted(x for q, x in rows if q == p))]
+    assert numbered_in_order(df, ["page", "x"], [], "n").agg({"n": "max"}).first()[0] == 499
+
+
 def test_evaluate_command(spark, tmp_path, capsys):
     (tmp_path / "g.tsv").write_text("\t".join(TSV_FIELDS) + "\nalpha\tword\tn\tfirst\t\t\nbeta\tword\tn\tsecond\t\t\n")
     (tmp_path / "e.tsv").write_text("\t".join(TSV_FIELDS) + "\nalpha\tword\tn\tfirst\t\t\ngamma\tword\tn\tthird\t\t\n")

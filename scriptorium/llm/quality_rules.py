@@ -3,9 +3,9 @@
 Method: each text that passes the base rules gives a vector of transformed statistics (FEATURES), in fixed point.
 Cells are (language, source) pairs; those with fewer than LEAST texts are judged by all texts of their language, or else
 of the table. Per cell the estimate starts from several deterministic scatter matrices, all about the medians: median
-absolute deviations alone, correlations of tanh scores, and of spatial signs. From each, concentration steps follow until
-nothing changes (STEPS at most): the SHARE of texts with the least Mahalanobis distances gives the next mean and
-covariance. The one of least determinant is taken. No direction of a covariance is less wide than the features' least
+absolute deviations alone, correlations of tanh scores, and of spatial signs. From each, concentration steps follow: the SHARE of
+texts with the least Mahalanobis distances gives the next mean and covariance. After TRIED steps the one of least
+determinant goes on alone, until the logarithm of its determinant falls by less than TOLERANCE (STEPS at most). No direction of a covariance is less wide than the features' least
 deviations allow, as many statistics are mostly zero. A text is rejected if its distance from its cell's estimate, scaled
 for consistency, exceeds the CUT quantile of the chi-square distribution.
 
@@ -35,7 +35,7 @@ from .common import slices, stored, table
 FEATURES = (("log_words", 0.5), ("log_word_length", 0.05), ("symbols", 0.08), ("dup_lines", 0.15), ("repeats", 0.10))
 LEAST = 100
 SHARE = 0.75
-STEPS = 30
+TRIED, STEPS, TOLERANCE = 2, 30, 1e-3
 #: The greatest value of a feature, far beyond any usual one, so that sums of products can't overflow.
 MOST = 31
 CUT = 0.99999
@@ -142,6 +142,8 @@ def estimate(n: int, sums: np.ndarray, products: np.ndarray) -> tuple[np.ndarray
 
 _MODEL = ", ".join([f"m{k} double" for k in range(P)] + [f"p{i}_{j} double" for i, j in _PAIRS])
 _SUMS = [f"s{k}" for k in range(P)] + [f"c{i}_{j}" for i, j in _PAIRS]
+_MODELS = f"cell string, start long, was double, det double, {_MODEL}"
+_NAMES = [x.split()[0] for x in _MODELS.split(", ")]
 
 
 def _made(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -164,9 +166,6 @@ def starts(n: int, mid: np.ndarray, scale: np.ndarray, tanh: np.ndarray, sign: n
     return [np.linalg.inv(floored(x * np.outer(scale, scale))) for x in out]
 
 
-_KEY = "cell string, start long"
-
-
 def _first_models(base: DataFrame) -> DataFrame:
     """base: cell, n, mid*, scale*, x*. Per cell and start, mean and inverse covariance."""
     z = [(F.col(f"x{k}") - F.col(f"mid{k}")) / F.col(f"scale{k}") for k in range(P)]
@@ -185,27 +184,26 @@ def _first_models(base: DataFrame) -> DataFrame:
             for cell, n, *v in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 v = np.array(v, float)
                 mid, scale, tanh, sign = np.split(v, [P, 2 * P, 3 * P + len(_PAIRS)])
-                rows += [(cell, k, *_columns(mid / UNIT, inv)) for k, inv in enumerate(starts(n, mid, scale / UNIT, tanh, sign))]
+                rows += [(cell, k, math.inf, math.inf, *_columns(mid / UNIT, inv)) for k, inv in enumerate(starts(n, mid, scale / UNIT, tanh, sign))]
             if rows:
-                yield _made(rows, [x.split()[0] for x in f"{_KEY}, {_MODEL}".split(", ")])
+                yield _made(rows, _NAMES)
 
-    return sums.mapInArrow(run, f"{_KEY}, {_MODEL}")
+    return sums.mapInArrow(run, _MODELS)
 
 
 def _models(moments: DataFrame) -> DataFrame:
-    """Per cell and start, n and the sums that moments has, mean, inverse covariance, and the logarithm of the determinant."""
-    kept = f"{_KEY}, n long, " + ", ".join(f"{c} long" for c in _SUMS)
+    """Per cell and start, mean, inverse covariance, and the logarithm of the determinant, now and before (was)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for cell, start, n, *v in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for cell, start, was, n, *v in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 mean, inv, det = estimate(n, np.array(v[:P], float), np.array(v[P:], float))
-                rows.append((cell, start, n, *v, *_columns(mean, inv), det))
+                rows.append((cell, start, was, det, *_columns(mean, inv)))
             if rows:
-                yield _made(rows, [x.split()[0] for x in f"{kept}, {_MODEL}, det".split(", ")])
+                yield _made(rows, _NAMES)
 
-    return moments.select("cell", "start", "n", *_SUMS).mapInArrow(run, f"{kept}, {_MODEL}, det double")
+    return moments.select("cell", "start", "was", "n", *_SUMS).mapInArrow(run, _MODELS)
 
 
 def _distance() -> Column:
@@ -218,19 +216,21 @@ def _grade(d2: Column) -> Column:
     return F.floor(F.log2(1 + F.greatest(d2, F.lit(0.0))) * FINE).cast("long")
 
 
-def _concentrated(near: DataFrame) -> DataFrame:
-    """near: cell, start, g (grade), x*. Per cell and start the moments of the SHARE of rows with the least grades (all of the last grade).
+def _step(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """For each cell and start of model the estimate from the SHARE of rows nearest to it (all of the last grade).
 
-    One pass: moments by grade, of which there are a few thousand, then those up to the share."""
+    One pass: moments by grade, of which a cell has a few thousand, then those up to the share."""
+    near = rows.join(model.drop("was").withColumnRenamed("det", "was"), "cell").withColumn("g", _grade(_distance()))
     sums = [F.sum(f"x{k}").alias(f"s{k}") for k in range(P)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"c{i}_{j}") for i, j in _PAIRS]
-    by = near.groupBy("cell", "start", "g").agg(F.count(F.lit(1)).alias("n"), *sums)
-    own = Window.partitionBy("cell", "start")
+    by = near.groupBy("cell", "start", "was", "g").agg(F.count(F.lit(1)).alias("n"), *sums)
+    own = Window.partitionBy("cell", "start", "was")
     by = by.withColumn("before", F.sum("n").over(own.orderBy("g").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).withColumn("all", F.sum("n").over(own))
-    return by.where(F.col("before") < F.ceil(F.col("all") * SHARE)).groupBy("cell", "start").agg(*(F.sum(c).alias(c) for c in ("n", *_SUMS)))
+    kept = by.where(F.col("before") < F.ceil(F.col("all") * SHARE)).groupBy("cell", "start", "was").agg(*(F.sum(c).alias(c) for c in ("n", *_SUMS)))
+    return stored(_models(kept), "mcd")
 
 
 def mcd(rows: DataFrame, steps: int = STEPS, least: int = LEAST) -> DataFrame:
-    """rows: cell, x0.. (fixed point). Robust estimates of each cell with at least so many rows: cell, _MODEL's columns, det.
+    """rows: cell, x0.. (fixed point). Robust estimates of each cell with at least so many rows: columns of _MODELS.
 
     What is kept of a cell are small rows; Spark sees the size of these tables and picks the join."""
     xs = [f"x{k}" for k in range(P)]
@@ -238,22 +238,20 @@ def mcd(rows: DataFrame, steps: int = STEPS, least: int = LEAST) -> DataFrame:
     off = rows.join(mid, "cell")
     scale = lambda k, x: F.greatest(F.expr(f"percentile(abs({x} - mid{k}), 0.5)") * 1.4826, F.lit(UNIT * FEATURES[k][1]))
     mad = stored(off.groupBy("cell").agg(*(scale(k, x).alias(f"scale{k}") for k, x in enumerate(xs))), "mcd-mad")
-    model, ended = stored(_first_models(off.join(mad, "cell")), "mcd"), []
-    for _ in range(steps):
-        near = rows.join(model.select("cell", "start", *(x.split()[0] for x in _MODEL.split(", "))), "cell").select("cell", "start", *xs, _grade(_distance()).alias("g"))
-        new = stored(_models(_concentrated(near)), "mcd")
-        if "n" in model.columns:  # of what moves no more, one table each step
-            same = model.select("cell", "start", "n", *_SUMS)
-            ended.append(new.join(same, same.columns, "left_semi"))
-            new = stored(new.join(same, same.columns, "left_anti"), "mcd")
-        model = new
-        if model.isEmpty():
+    model = stored(_first_models(off.join(mad, "cell")), "mcd")
+    for _ in range(TRIED):
+        model = _step(rows, model)
+    best = model.groupBy("cell").agg(F.min(F.struct("det", *(c for c in _NAMES if c not in ("cell", "det")))).alias("b"))
+    model, found = stored(best.select("cell", "b.*").select(_NAMES), "mcd-best"), []
+    moves = F.col("was") - F.col("det") >= TOLERANCE
+    for _ in range(steps - TRIED):
+        if (open_ := model.where(moves)).isEmpty():
             break
-    found = model
-    for df in ended:
-        found = found.unionByName(df)
-    best = found.groupBy("cell").agg(F.min(F.struct("det", "start", *(x.split()[0] for x in _MODEL.split(", ")))).alias("b"))
-    return stored(best.select("cell", "b.*").drop("start"), "mcd-best")
+        found.append(model.where(~moves))
+        model = _step(rows, open_)
+    for df in found:
+        model = model.unionByName(df)
+    return model
 
 
 def quality(docs: DataFrame, cut: float = CUT) -> DataFrame:
@@ -275,7 +273,7 @@ def quality(docs: DataFrame, cut: float = CUT) -> DataFrame:
     to = F.array_compact(F.array(F.when(F.col("n") >= LEAST, F.col("pair")), F.when(F.col("asked"), F.col("own")), *asked))
     feeds = stored(feeds.select("pair", F.explode(to).alias("cell")), "feeds")
     rows = stored(passed.join(feeds, "pair").select("cell", *_features()), "vectors")
-    model = mcd(rows).drop("det")
+    model = mcd(rows).drop("start", "was", "det")
     named = cells.select("pair", "cell").join(model, "cell", "left")
     at = stats.withColumn("pair", F.when(~F.col("base_failed"), pair)).select("*", *(F.when(~F.col("base_failed"), f).alias(f"x{k}") for k, f in enumerate(_features())))
     far = at.join(stored(named, "cell-models"), "pair", "left").withColumn("distance2", _distance())

@@ -70,20 +70,26 @@ def _mcd_by_steps(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, int]:
     far = np.linalg.norm(z, axis=1)[:, None]
     t, u = np.rint(np.tanh(z) * quality_rules.UNIT), np.rint(np.divide(z, far, out=np.zeros_like(z), where=far > 0) * quality_rules.UNIT)
     upper = lambda m: np.array([m[i, j] for i, j in quality_rules._PAIRS])
-    best = None
-    for start, inv in enumerate(quality_rules.starts(len(v), mid, scale / quality_rules.UNIT, np.concatenate((t.sum(axis=0), upper(t.T @ t))), upper(u.T @ u))):
-        mean, before = mid / quality_rules.UNIT, None
-        for _ in range(quality_rules.STEPS):
-            d = v / quality_rules.UNIT - mean
-            g = np.floor(np.log2(1 + np.maximum(np.einsum("ni,ij,nj->n", d, inv, d), 0)) * quality_rules.FINE)
-            w = v[g <= np.sort(g)[math.ceil(quality_rules.SHARE * len(v)) - 1]]
-            mean, inv, det = quality_rules.estimate(len(w), w.sum(axis=0).astype(float), upper(w.T @ w).astype(float))
-            if before == (now := w.tobytes()):
-                break
-            before = now
-        if best is None or det < best[2]:
-            best = mean, inv, det, start
-    return best
+    first = quality_rules.starts(len(v), mid, scale / quality_rules.UNIT, np.concatenate((t.sum(axis=0), upper(t.T @ t))), upper(u.T @ u))
+
+    def step(mean, inv):
+        d = v / quality_rules.UNIT - mean
+        g = np.floor(np.log2(1 + np.maximum(np.einsum("ni,ij,nj->n", d, inv, d), 0)) * quality_rules.FINE)
+        w = v[g <= np.sort(g)[math.ceil(quality_rules.SHARE * len(v)) - 1]]
+        return quality_rules.estimate(len(w), w.sum(axis=0).astype(float), upper(w.T @ w).astype(float))
+
+    tried = []
+    for k, inv in enumerate(first):
+        now = mid / quality_rules.UNIT, inv, math.inf
+        for _ in range(quality_rules.TRIED):
+            was, now = now[2], step(*now[:2])
+        tried.append((now[2], k, was, now))
+    det, start, was, now = min(tried, key=lambda x: x[:2])
+    for _ in range(quality_rules.STEPS - quality_rules.TRIED):
+        if was - now[2] < quality_rules.TOLERANCE:
+            break
+        was, now = now[2], step(*now[:2])
+    return *now, start
 
 
 def _cell_rows(spark, cells: dict[str, np.ndarray]):

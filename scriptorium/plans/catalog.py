@@ -5,13 +5,15 @@ and extracted records, events as positioned lines (time is the vertical place, u
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text
 from ..functions.similarity import edit_ratio, ratio
 from ..operators import experiments, layout, matching, metrics, segment
-from ..operators.storage import stored
+from ..operators.storage import shared_dir, stored
 from ..sources import readers, writers
 from ..schemas import FIELDS
 
@@ -89,11 +91,19 @@ def pos_tag_match(spark, d):
     return _t(spark, d, "part").select("p_partkey", text.has_pos_tag(t).alias("tagged"), text.is_entry_start(t).alias("starts"))
 
 
-@query("SELECT event_id, value > (SELECT median(value) FROM events) * 1.1 AND (event_id % 10) / 10.0 > 0.7 AS bold FROM events")
+@query("SELECT event_id, value > median(value) OVER (PARTITION BY user_id) * 1.1 AND (event_id % 10) / 10.0 > 0.7 AS bold FROM events")
 def bold_headword(spark, d):
-    rows = _t(spark, d, "events").withColumn("_all", F.lit(0))
-    mid = rows.groupBy("_all").agg(F.median("value").alias("mid"))
-    return rows.join(mid, "_all").select("event_id", text.is_bold_headword("value", "mid", F.col("event_id") % 10 / 10.0).alias("bold"))
+    """Against the median of the page (user)."""
+    rows = _t(spark, d, "events")
+    mid = rows.groupBy("user_id").agg(F.median("value").alias("mid"))
+    return rows.join(mid, "user_id").select("event_id", text.is_bold_headword("value", "mid", F.col("event_id") % 10 / 10.0).alias("bold"))
+
+
+@query("SELECT p_partkey, translate(lower(translate(p_name, 'aeo', 'äëö')), ',', ';') AS other, translate(lower(p_name), ',', ';') AS none FROM part")
+def normalize_other_pairs(spark, d):
+    """Normalisation with other look-alikes, and with none."""
+    pairs = (("a", "ä"), ("e", "ë"), ("o", "ö"))
+    return _t(spark, d, "part").select("p_partkey", text.normalize_text("p_name", pairs).alias("other"), text.normalize_text("p_name", ()).alias("none"))
 
 
 @query("SELECT label, count(*) AS n, CASE label % 3 WHEN 0 THEN 'green' WHEN 1 THEN 'purple' ELSE 'black' END AS colour, CASE label % 6 WHEN 0 THEN 'red' WHEN 1 THEN 'green' WHEN 2 THEN 'blue' WHEN 3 THEN 'orange' WHEN 4 THEN 'purple' ELSE 'brown' END AS cycle, CASE label % 3 WHEN 0 THEN 'text [' || label || ']' WHEN 1 THEN 'table' ELSE 'other [' || label || ']' END AS caption FROM embeddings GROUP BY label")
@@ -161,6 +171,34 @@ def block_filter_counts(spark, d):
     return layout.block_counts(rows.withColumnRenamed("l_orderkey", "input_path")).withColumnRenamed("input_path", "l_orderkey")
 
 
+def _layouts(spark, d) -> DataFrame:
+    """Orders as pages: a block for each line, some without content, with another label, or with a box that is none."""
+    box = F.when(F.col("l_returnflag") != "N", F.array("l_quantity", "l_quantity", F.col("l_quantity") + 10.5, F.col("l_quantity") + 20)).otherwise(F.array("l_quantity", "l_quantity"))
+    block = F.struct(
+        F.col("l_linenumber").alias("block_order"), F.when(F.col("l_linestatus") == "F", "text").otherwise("table").alias("block_label"),
+        F.when(F.col("l_linenumber") % 3 != 0, F.concat(F.lit("line "), "l_linenumber")).otherwise("").alias("block_content"), F.transform(box, lambda v: v.cast("double")).alias("block_bbox"), F.col("l_linenumber").cast("int").alias("block_id"),
+    )
+    rows = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(block)).alias("parsing_res_list"))
+    return rows.select(F.concat(F.lit("pages/"), "l_orderkey", F.lit(".png")).alias("input_path"), F.lit(100).alias("width"), F.lit(100).alias("height"), "parsing_res_list")
+
+
+_BLOCKS = "(SELECT 'pages/' || l_orderkey || '.png' AS input_path, l_linenumber AS n, CASE WHEN l_linestatus = 'F' THEN 'text' ELSE 'table' END AS label, CASE WHEN l_linenumber % 3 <> 0 THEN 'line ' || l_linenumber ELSE '' END AS content, l_quantity AS q FROM lineitem WHERE l_returnflag <> 'N')"
+
+
+@query(f"SELECT input_path, 'block_' || lpad(CAST(n AS VARCHAR), 3, '0') || '_text' AS name, content AS block_content, CAST(trunc(q) AS INTEGER) AS x0, CAST(trunc(q + 10.5) AS INTEGER) AS x1 FROM {_BLOCKS} WHERE label = 'text' AND content <> ''")
+def text_blocks(spark, d):
+    """Blocks that are extracted: labelled text, with content, and with a box of four numbers."""
+    found = layout.block_files(layout.layout_blocks(_layouts(spark, d)))
+    return found.select("input_path", "name", "block_content", F.col("box")[0].alias("x0"), F.col("box")[2].alias("x1"))
+
+
+@query(f"SELECT input_path, CAST(trunc(q + 20) AS INTEGER) AS y1, CASE label WHEN 'text' THEN 'green' ELSE 'purple' END AS colour, label || ' [' || n || ']' AS caption FROM {_BLOCKS}")
+def drawn_blocks(spark, d):
+    """Blocks that are drawn: all with a box of four numbers."""
+    found = layout.annotations(layout.layout_blocks(_layouts(spark, d), text_only=False))
+    return found.select("input_path", F.col("box")[3].alias("y1"), "colour", "caption")
+
+
 # --- character and word errors ----------------------------------------------------------------------------------
 
 #: Parts and a copy with swapped vowels, a lost sign and an added one.
@@ -328,6 +366,12 @@ def segment_entries(spark, d):
     return e.select("user_id", "entry_id", "n_lines", "bbox.*", F.array_join(F.transform("lines", lambda x: x["text"]), ",").alias("seqs"))
 
 
+@query(f"""SELECT user_id, col || lpad(CAST(entry_no AS VARCHAR), CAST(greatest(3, length(CAST(entry_no AS VARCHAR))) AS INTEGER), '0') AS entry_id, row_number() OVER (PARTITION BY user_id ORDER BY col, entry_no) - 1 AS place FROM (SELECT DISTINCT user_id, col, entry_no FROM {_NUMBERED})""")
+def page_order(spark, d):
+    """Entries in the order of their page: the left column, then the right one."""
+    return segment.in_page_order(segment.segment_entries(_lines(spark, d), ["user_id"]), ["user_id"]).select("user_id", "entry_id", "place")
+
+
 @query("SELECT user_id, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events WHERE event_id % 10 / 10.0 >= 0.5 GROUP BY user_id")
 def confidence_filter(spark, d):
     rows = _t(spark, d, "events").groupBy("user_id").agg(
@@ -468,6 +512,66 @@ def matched_field_errors(spark, d):
     return metrics.error_totals(rows, ["field"]).select("field", "total_chars", "char_errors")
 
 
+_ARTICLES = "SELECT s_suppkey AS seq, s_name AS Headword_Phrase, 'say \"' || s_name || '\"' AS Entry_Type, CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE 'n.' END AS POS, 'two' || chr(10) || 'lines' || chr(9) || s_suppkey AS Translation_RU, '' AS Literal_Meaning, CAST(s_nationkey AS VARCHAR) AS Grammar_Notes FROM supplier"
+
+
+def _articles(spark, d) -> DataFrame:
+    """Records with quotes, tabs, line breaks and empty cells."""
+    cells = [F.col("s_name"), F.concat(F.lit('say "'), "s_name", F.lit('"')), F.when(F.col("s_suppkey") % 2 == 0, "").otherwise("n."), F.concat(F.lit("two\nlines\t"), "s_suppkey"), F.lit(""), F.col("s_nationkey").cast("string")]
+    return _t(spark, d, "supplier").select(F.col("s_suppkey").alias("seq"), *(c.alias(n) for c, n in zip(cells, FIELDS.values(), strict=True)))
+
+
+def _folder(spark) -> str:
+    return f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+
+
+@query(f"SELECT row_number() OVER (ORDER BY a.seq) - 1 AS place, * EXCLUDE (seq) FROM ({_ARTICLES}) a")
+def tsv_file(spark, d):
+    """Written as one tab-separated file, the last part appended, and read again."""
+    path, rows = f"{_folder(spark)}/a.tsv", _articles(spark, d)
+    writers.write_tsv(rows.where("seq <= 50"), path)
+    writers.write_tsv(rows.where("seq > 50"), path, append=True)
+    return readers.read_tsv(spark, path).select(F.col("seq").cast("long").alias("place"), *FIELDS.values())
+
+
+@query(f"SELECT * EXCLUDE (seq) FROM ({_ARTICLES})")
+def tsv_parts(spark, d):
+    """Written as many tab-separated files and read again."""
+    path = _folder(spark)
+    writers.write_tsv_parts(_articles(spark, d), path)
+    return readers.read_tsv(spark, path).select(*FIELDS.values())
+
+
+@query(f"SELECT row_number() OVER (ORDER BY a.seq) - 1 AS place, * EXCLUDE (seq) FROM ({_ARTICLES}) a")
+def json_file(spark, d):
+    """Written as one JSON array and read again."""
+    path = f"{_folder(spark)}/a.json"
+    named = _articles(spark, d)
+    writers.write_json_array(named.select("seq", *(F.col(v).alias(k) for k, v in FIELDS.items())), path)
+    return readers.read_records_json(spark, path).select(F.col("seq").cast("long").alias("place"), *FIELDS.values())
+
+
+@query(f"SELECT input_path, count(*) AS n, CAST(sum(n) AS BIGINT) AS orders FROM {_BLOCKS} WHERE label = 'text' AND content <> '' GROUP BY input_path")
+def layout_files(spark, d):
+    """Layouts written as JSON and read again."""
+    path = f"{_folder(spark)}/l.json"
+    writers.write_json_array(_layouts(spark, d), path)
+    return layout.layout_blocks(readers.read_layouts(spark, path)).groupBy("input_path").agg(F.count(F.lit(1)).alias("n"), F.sum("block_order").alias("orders"))
+
+
+@query("SELECT n_nationkey || '.png' AS name, CASE WHEN n_nationkey % 3 = 0 THEN 'md ' || n_name ELSE 'txt ' || n_name END AS text FROM nation WHERE n_nationkey % 3 <> 2 OR n_nationkey % 2 = 0 ORDER BY name")
+def sidecar_files(spark, d):
+    """Images with the texts beside them in a folder, in the order of their names: Markdown first, else plain text."""
+    folder, rows = _folder(spark), _t(spark, d, "nation")
+    file = lambda ending, kind: F.struct(F.concat(F.col("n_nationkey").cast("string"), F.lit(ending)).alias("name"), F.concat(F.lit(kind), "n_name").cast("binary").alias("content"))
+    n = F.col("n_nationkey")
+    each = F.array(file(".png", "image "), F.when(n % 3 == 0, file(".md", "md ")), F.when((n % 3 != 2) | (n % 2 == 0), file(".txt", "txt ")))
+    writers.write_files(rows.select(F.explode(F.array_compact(each)).alias("f")).select("f.*"), folder)
+    texts = readers.read_texts(spark, f"{folder}/*.{{md,txt}}").withColumn("kind", F.regexp_extract("path", r"\.([^.]*)$", 1))
+    found = layout.with_sidecar(readers.read_images(spark, folder, "*.png"), texts.where("kind = 'md'"), texts.where("kind = 'txt'"))
+    return found.orderBy("name").select("name", "text")
+
+
 # --- runs, unions, projections ----------------------------------------------------------------------------------
 
 _RUNS = [("none", "Clean copy", ""), ("a", "One vowel", "a"), ("ae", "Two vowels", "ae"), ("aeo", "Three vowels", "aeo")]

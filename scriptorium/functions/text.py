@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 LOOKALIKES = (("B", "В"), ("p", "р"), ("ə", "ә"))
 #: All white space of Unicode, and the separators U+001C to U+001F.
 BLANK = r"(?U)[\s\x1c-\x1f]"
+BLANKS = "".join(chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 # Fixed value: a part of speech in brackets.
 POS_TAG = r"\([а-яА-Яa-zA-Z]+\.?\)"
 # Colours of labels, of numbers in turn, and the variables that hold the keys of providers (first hit wins).
@@ -26,7 +27,7 @@ def _c(x: Column | str) -> Column:
 
 def strip(x: Column | str) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(F.regexp_replace(_c(x), f"^{BLANK}+", ""), f"{BLANK}+$", "")
+    return F.btrim(_c(x), F.lit(BLANKS))
 
 
 def normalize_text(x: Column | str, pairs=LOOKALIKES) -> Column:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import crop_box, polygon_box
 from ..functions.text import entry_id
 from .numbering import numbered_in_order
+from .storage import stored
 
 CONFIDENCE = 0.5
 GAP_MULTIPLIER = 2.0
@@ -47,7 +48,7 @@ def with_gaps(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def gap_stats(lines: DataFrame, keys: Sequence[str], multiplier: float = GAP_MULTIPLIER) -> DataFrame:
     """Per key: median gap, median absolute deviation, the limit of a boundary, left margin and indent quartile."""
-    gaps = with_gaps(lines, keys)
+    gaps = lines if "gap" in lines.columns else with_gaps(lines, keys)
     mid = gaps.groupBy(*keys).agg(F.coalesce(F.median("gap"), F.lit(0.0)).alias("median_gap"), F.min("bbox.x_min").alias("left_margin"))
     both = gaps.join(mid, list(keys))
     out = both.groupBy(*keys, "median_gap", "left_margin").agg(
@@ -58,26 +59,28 @@ def gap_stats(lines: DataFrame, keys: Sequence[str], multiplier: float = GAP_MUL
 
 
 def entry_numbers(lines: DataFrame, keys: Sequence[str], multiplier: float = GAP_MULTIPLIER) -> DataFrame:
-    """entry_no: from 0 within keys; a new entry begins where the gap exceeds median + multiplier * deviation."""
-    limits = gap_stats(lines, keys, multiplier).select(*keys, "limit")
-    flagged = with_gaps(lines, keys).join(limits, list(keys)).withColumn("starts", F.coalesce((F.col("gap") > F.col("limit")).cast("int"), F.lit(0)))
-    running = F.sum("starts").over(_order(keys).rowsBetween(Window.unboundedPreceding, 0))
-    return flagged.withColumn("entry_no", running.cast("int")).drop("starts", "limit")
+    """lines with order and gap, and entry_no: from 0 within keys; a new entry begins where the gap exceeds median + multiplier * deviation.
 
+    Lines are sorted once for order and gap, which are stored, and once for the numbers."""
+    placed = stored(reading_order(with_gaps(lines, keys), keys), "lines")
+    limits = gap_stats(placed, keys, multiplier).select(*keys, "limit")
+    starts = F.coalesce((F.col("gap") > F.col("limit")).cast("int"), F.lit(0))
+    running = F.sum("starts").over(Window.partitionBy(*keys).orderBy("order").rowsBetween(Window.unboundedPreceding, 0))
+    return placed.join(limits, list(keys)).withColumn("starts", starts).withColumn("entry_no", running.cast("int")).drop("starts", "limit")
 
-def union_box(rows: DataFrame, by: Sequence[str]) -> DataFrame:
-    """The box around each group's boxes, and its number of lines."""
+
+def union_box(rows: DataFrame, by: Sequence[str], *more: Column) -> DataFrame:
+    """The box around each group's boxes, its number of lines, and more aggregates."""
     low, high = (lambda c, f=f: f(f"bbox.{c}").alias(c) for f in (F.min, F.max))
-    return rows.groupBy(*by).agg(F.struct(low("x_min"), low("y_min"), high("x_max"), high("y_max")).alias("bbox"), F.count(F.lit(1)).alias("n_lines"))
+    return rows.groupBy(*by).agg(F.struct(low("x_min"), low("y_min"), high("x_max"), high("y_max")).alias("bbox"), F.count(F.lit(1)).alias("n_lines"), *more)
 
 
 def segment_entries(lines: DataFrame, page: Sequence[str] = (), multiplier: float = GAP_MULTIPLIER) -> DataFrame:
     """Entries of each page, left column first: page keys, entry_id, column, entry_no, bbox, lines in reading order."""
     keys = [*page, "column"]
-    numbered = reading_order(entry_numbers(lines, keys, multiplier), keys)
-    boxes = union_box(numbered, [*keys, "entry_no"])
-    texts = numbered.groupBy(*keys, "entry_no").agg(F.array_sort(F.collect_list(F.struct("order", "bbox", "text", "confidence"))).alias("lines"))
-    return boxes.join(texts, [*keys, "entry_no"]).withColumn("entry_id", entry_id("column", "entry_no"))
+    numbered = entry_numbers(lines, keys, multiplier)
+    listed = F.array_sort(F.collect_list(F.struct("order", "bbox", "text", "confidence"))).alias("lines")
+    return union_box(numbered, [*keys, "entry_no"], listed).withColumn("entry_id", entry_id("column", "entry_no"))
 
 
 def in_page_order(entries: DataFrame, page: Sequence[str] = ()) -> DataFrame:

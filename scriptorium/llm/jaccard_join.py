@@ -23,6 +23,7 @@ by the operator and kept by the stage.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -48,8 +49,8 @@ FLUSH, FLUSH_TOKENS, SEEN = 8_000, 1_000_000, 3
 REMEMBERED = 200_000
 #: Tokens that a bucket of the exchange holds, about.
 BUCKET = 500_000
-#: Tokens (each set counting at least LIGHT, as the matrices of a block grow with its sets) of a block.
-BLOCK, LIGHT = 64_000, 400
+#: Tokens (each set counting at least LIGHT) of a block's side: the most and the least. Between, a cluster is dealt in SIDES.
+BLOCK, SMALL, SIDES, LIGHT = 64_000, 4_000, 24, 50
 #: Bits of the filter that thins documents before they are joined with the clusters: a fixed size.
 FILTER_BITS = 1 << 23
 
@@ -126,7 +127,9 @@ def _scan(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run), schema)
 
 
-_PACKED = "bucket int, flush long, k1 long, k2 long, who int, n int, often binary, low binary, high binary, whose binary"
+_PACKED = "bucket int, flush long, who int, own binary, low binary, high binary, whose binary"
+#: What a set carries through the exchange: its class and size, before its frequent tokens.
+_OWN = "<qqq"
 
 
 def _packed(docs: DataFrame, words: int, percent: int, frequent: Broadcast, bits: int) -> DataFrame:
@@ -158,7 +161,8 @@ def _packed(docs: DataFrame, words: int, percent: int, frequent: Broadcast, bits
             f = t[a:z][own]
             if len(f):
                 f = f[np.lexsort((f, number[a:z][own]))]
-            rows.append((int(keys[i, 0]) & (1 << bits) - 1, name, int(keys[i, 0]), int(keys[i, 1]), i, z - a, f.tobytes(), None, None, None))
+            k1, k2 = keys[i].tolist()
+            rows.append((k1 & (1 << bits) - 1, name, i, struct.pack(_OWN, k1, k2, z - a) + f.tobytes(), None, None, None))
             if len(rows) >= 2_000:
                 yield _batch(_PACKED, rows)
                 rows = []
@@ -169,7 +173,7 @@ def _packed(docs: DataFrame, words: int, percent: int, frequent: Broadcast, bits
         low, high = rest.astype(np.uint32), (rest >> np.uint64(32)).astype(np.uint8)
         edge = np.concatenate(([0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)])).tolist() if len(bucket) else []
         for a, z in pairwise(edge):
-            rows.append((int(bucket[a]), name, None, None, None, None, None, low[a:z].tobytes(), high[a:z].tobytes(), who[a:z].tobytes()))
+            rows.append((int(bucket[a]), name, None, None, low[a:z].tobytes(), high[a:z].tobytes(), who[a:z].tobytes()))
             if len(rows) >= 2_000:
                 yield _batch(_PACKED, rows)
                 rows = []
@@ -197,7 +201,7 @@ def _packed(docs: DataFrame, words: int, percent: int, frequent: Broadcast, bits
     return docs.select("text").mapInArrow(released(run), _PACKED)
 
 
-_COMMON = "flush long, who int, k1 long, k2 long, n int, often binary, df int, token long"
+_COMMON = "flush long, who int, own binary, df int, token long"
 
 
 def _common(packed: DataFrame) -> DataFrame:
@@ -214,22 +218,21 @@ def _common(packed: DataFrame) -> DataFrame:
         df = np.repeat(n, n)
         if (m := df > 1).any():
             order = order[m]
-            none = lambda kind: pa.nulls(len(order), kind)
             flush = np.array([p[0] for p in parts], np.int64)[part[order]]
-            columns = [pa.array(flush), pa.array(who[order].astype(np.int32)), none(pa.int64()), none(pa.int64()), none(pa.int32()), none(pa.binary()), pa.array(df[m].astype(np.int32)), pa.array(t[m].astype(np.int64) | (bucket << 40))]
+            columns = [pa.array(flush), pa.array(who[order].astype(np.int32)), pa.nulls(len(order), pa.binary()), pa.array(df[m].astype(np.int32)), pa.array(t[m].astype(np.int64) | (bucket << 40))]
             yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _COMMON.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, []
         for b in batches:
             sets = []
-            for bucket, flush, k1, k2, who, n, often, low, high, whose in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for bucket, flush, who, own, low, high, whose in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if bucket != now:
                     if parts:
                         yield from found(now, parts)
                     now, parts = bucket, []
                 if low is None:
-                    sets.append((flush, who, k1, k2, n, often, None, None))
+                    sets.append((flush, who, own, None, None))
                 else:
                     parts.append((flush, low, high, whose))
             if sets:
@@ -244,26 +247,27 @@ def prefixes(docs: DataFrame, words: int, percent: int, frequent: Broadcast, bit
     """Classes whose prefix under the first order has tokens that other sets have too: k1, k2, and these tokens (longs, packed)."""
     packed = _packed(docs, words, percent, frequent, bits).repartition("bucket").sortWithinPartitions("bucket")
     by = _common(packed).groupBy("flush", "who").agg(
-        *(F.max(c).alias(c) for c in ("k1", "k2", "n", "often")), F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("df", "token")))).alias("common")
+        F.max("own").alias("own"), F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("df", "token")))).alias("common")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            k1, k2, n, often = (b.column(c).to_pylist() for c in ("k1", "k2", "n", "often"))
+            sets = b.column("own").to_pylist()
             common = b.column("common").combine_chunks() if isinstance(b.column("common"), pa.ChunkedArray) else b.column("common")
             token, at = common.values.field("token").to_numpy(), common.offsets.to_numpy()
             rows = []
-            for i in range(len(k1)):
-                f = np.frombuffer(often[i] or b"", np.int64)
+            for i, s in enumerate(sets):
+                k1, k2, n = struct.unpack_from(_OWN, s)
+                f = np.frombuffer(s, np.int64, offset=struct.calcsize(_OWN))
                 own = token[at[i] : at[i + 1]]
-                first = prefix_size(n[i], percent) - (n[i] - len(f) - len(own))  # what tokens of its own leave of the prefix
+                first = prefix_size(n, percent) - (n - len(f) - len(own))  # what tokens of its own leave of the prefix
                 if first > 0:
-                    rows.append((k1[i], k2[i], np.concatenate((own[:first], f[: max(first - len(own), 0)])).tobytes()))
+                    rows.append((k1, k2, np.concatenate((own[:first], f[: max(first - len(own), 0)])).tobytes()))
             if rows:
                 yield _batch("k1 long, k2 long, p binary", rows)
 
     # copies of a set that several tasks passed on have equal prefixes
-    return by.select("k1", "k2", "n", "often", "common").mapInArrow(released(run), "k1 long, k2 long, p binary").groupBy("k1", "k2").agg(F.max("p").alias("p"))
+    return by.select("own", "common").mapInArrow(released(run), "k1 long, k2 long, p binary").groupBy("k1", "k2").agg(F.max("p").alias("p"))
 
 
 def _postings(found: DataFrame) -> DataFrame:
@@ -440,7 +444,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     own = cluster.join(classes.where("cid IS NOT NULL"), cluster.node == classes.k1).join(found, ["k1", "k2"])
     member = stored(own.select(F.col("root").alias("c"), "k1", "k2", "cid", "copies", "p", F.greatest("n", F.lit(LIGHT)).alias("weight")), "members")
     discard(found, postings, shared)
-    size = member.groupBy("c").agg(F.ceil(F.sum("weight") / BLOCK).cast("int").alias("chunks"))
+    size = member.groupBy("c").agg(F.sum("weight").alias("all"))
+    size = size.select("c", F.ceil(F.col("all") / F.least(F.greatest(F.col("all") / SIDES, F.lit(SMALL)), F.lit(BLOCK))).cast("int").alias("chunks"))
     weighed, member = member, stored(member.join(stored(size, "clusters"), "c").drop("weight").withColumnRenamed("cid", "doc_id"), "members")
     discard(weighed)
     whole = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text")

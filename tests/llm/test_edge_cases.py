@@ -108,6 +108,31 @@ def test_url_filter(spark):
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_weights(spark):
+    verdict = lambda u, **more: url_filter.UrlJudge(more.get("terms", url_filter.VOCABULARY), (), url_filter.LIMIT).judge(u)[3:]
+    assert verdict("http://a.b/casino") == ("block", 1, 0, 6) == verdict("http://a.b/c451n0") == verdict("http://a.b/Casinos?")
+    assert verdict("http://a.b/wette/kredit") == ("block", 0, 2, 6) and verdict("http://a.b/wette/wetten/wette") == ("allow", 0, 1, 3)
+    assert verdict("http://a.b/best/offer") == ("allow", 0, 2, 4) and verdict("http://a.b/best/offer/now")[0] == "block" == verdict("http://a.b/best-offer_win")[0]
+    assert verdict("http://a.b/casinoroyal/xcasino/free1") == ("allow", 0, 0, 0)
+    own = url_filter.read_vocabulary(spark.createDataFrame([("Bad", None, 6), ("bad", "x", 2), ("meh", "m", 3), ("", "e", 6), (None, "n", 6), ("no", "n", None)], "form string, term string, weight int"))
+    assert own == {"bad": ("bad", 6), "meh": ("m", 3)}
+    assert verdict("http://bad.b", terms=own)[0] == "block" and verdict("http://a.b/casino", terms=own)[0] == "allow" == verdict("http://a.b/casino", terms={})[0]
+
+
+def test_url_automaton_by_brute_force():
+    import random
+    import re
+
+    rng, judge = random.Random(4), url_filter.UrlJudge(url_filter.VOCABULARY, (), url_filter.LIMIT)
+    forms = sorted(url_filter.VOCABULARY)
+    for _ in range(500):
+        url = "http://" + "".join(rng.choice([rng.choice(forms), rng.choice(forms).upper(), rng.choice("-/.?é_%"), rng.choice("ax1")]) for _ in range(rng.randint(1, 8)))
+        tokens = re.findall("[a-z0-9]+", re.sub("[A-Z]", lambda m: m[0].lower(), url))
+        hit = [url_filter.VOCABULARY[t] for t in tokens if t in url_filter.VOCABULARY]
+        strict, found = judge.hits(url)
+        assert found == dict(hit) and strict == sum(w >= url_filter.LIMIT for _, w in hit)
+
+
 def test_toxicity(docs, none, labels, no_labels):
     for ls in (labels, no_labels):
         got = toxicity.score_texts(docs, *toxicity.learn(docs, ls)).collect()

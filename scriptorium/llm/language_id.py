@@ -7,7 +7,8 @@ sum of the differences of ranks, PROFILE for an n-gram that the profile lacks. T
 language's name. score is 1 - distance / the greatest possible.
 
 Counts cover all training texts and whole texts. Ties in rank go by code points, so profiles don't depend on how
-rows are dealt.
+rows are dealt. The driver and each task hold PROFILE n-grams of 16 bytes for each language; a document costs what its
+n-grams' occurrences in profiles do, so any number of languages works, one for each typing error included.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0, as is any text if nothing was learned.
 Rows with null lang or text aren't learned from. Repeated rows count each. An empty table gives an empty result.
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import released, slices, stored, table
 
 PROFILE = 300
-#: Languages that profiles are held for, at most: a larger number is an error, not a cut.
-LANGUAGES = 5_000
+#: Counts that a task holds before it passes them on, and cells of distances that are computed together.
+HELD, CELLS = 2_000_000, 4_000_000
 #: Codes up to which n-grams are counted in a dense array instead of by sorting.
 DENSE = 1 << 22
 
@@ -108,6 +109,13 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
 
+        def passed() -> Iterator[pa.RecordBatch]:
+            for name, parts in held.items():
+                u, n = merged(parts)
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(u)), pa.array(u), pa.array(n)], ["lang", "gram", "n"])
+            held.clear()
+
         def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
             u, i = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
             return u, np.bincount(i, weights=np.concatenate([p[1] for p in parts]), minlength=len(u)).astype(np.int64)
@@ -128,10 +136,9 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                     if sum(len(p[0]) for p in parts) > 500_000:
                         held[own[a]] = [merged(parts)]
                     a = z
-        for name, parts in held.items():
-            u, n = merged(parts)
-            if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(u)), pa.array(u), pa.array(n)], ["lang", "gram", "n"])
+                if sum(len(p[0]) for parts in held.values() for p in parts) > HELD:
+                    yield from passed()
+        yield from passed()
 
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
     return rows.mapInArrow(released(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -141,21 +148,42 @@ def profiles(docs: DataFrame, most: int = PROFILE) -> dict[str, np.ndarray]:
     """Each language's n-grams by rank."""
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = stored(gram_counts(docs).withColumn("r", F.row_number().over(order)).where(F.col("r") <= most), "profiles")
-    if (found := top.select("lang").distinct().limit(LANGUAGES + 1).count()) > LANGUAGES:
-        raise ValueError(f"more than {found - 1} languages")
-    out: dict[str, list[int]] = {}
-    for r in top.orderBy("lang", "r").collect():  # most rows for each language
-        out.setdefault(r.lang, []).append(r.gram)
-    return {k: np.array(v, np.int64) for k, v in out.items()}
+    got = top.orderBy("lang", "r").select("lang", "gram").toArrow()  # `most` rows for each language
+    if not got.num_rows:
+        return {}
+    lang, gram = got.column("lang").combine_chunks().dictionary_encode(), got.column("gram").to_numpy()
+    if isinstance(lang, pa.ChunkedArray):
+        lang = lang.combine_chunks()
+    own = lang.indices.to_numpy()
+    edge = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+    return {lang.dictionary[int(own[a])].as_py(): gram[a:z] for a, z in zip(edge, [*edge[1:], len(own)], strict=True)}
 
 
 def identify(docs: DataFrame, learned: dict[str, np.ndarray], most: int = PROFILE) -> DataFrame:
     """docs' columns, lang_pred and score. No shuffle; only the text crosses to Python."""
     names = sorted(learned)
-    known = np.unique(np.concatenate([learned[n] for n in names])) if names else np.zeros(0, np.int64)
-    ranks = np.full((len(known) + 1, len(names)), -1, np.int32)  # the last row: not in any profile
-    for k, n in enumerate(names):
-        ranks[np.searchsorted(known, learned[n]), k] = np.arange(len(learned[n]))
+    # by n-gram: the languages whose profiles have it, and its rank there
+    grams_ = np.concatenate([learned[n] for n in names]) if names else np.zeros(0, np.int64)
+    by = np.argsort(grams_, kind="stable")
+    which = np.repeat(np.arange(len(names), dtype=np.int32), [len(learned[n]) for n in names])[by] if names else np.zeros(0, np.int32)
+    rank = np.concatenate([np.arange(len(learned[n]), dtype=np.int32) for n in names])[by] if names else np.zeros(0, np.int32)
+    known, first = np.unique(grams_[by], return_index=True)
+    held = docs.sparkSession.sparkContext.broadcast((known, np.append(first, len(by)), which, rank))
+
+    def nearest(grams: Grams, tops: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """For each text the nearest language, and what its distance lacks to the greatest possible one."""
+        known, first, which, rank = held.value
+        size = np.array([len(t) for t in tops])
+        g = grams.packed(np.concatenate(tops))
+        doc, own = np.repeat(np.arange(len(tops)), size), np.arange(len(g)) - np.repeat(np.cumsum(size) - size, size)
+        at = np.minimum(np.searchsorted(known, g), len(known) - 1)
+        met = np.flatnonzero(known[at] == g)
+        at, n = at[met], np.diff(first)[at[met]]
+        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[at], n)
+        gain = most - np.abs(rank[place] - np.repeat(own[met], n))
+        total = np.bincount(np.repeat(doc[met], n) * len(names) + which[place], weights=gain, minlength=len(tops) * len(names)).reshape(len(tops), -1)
+        best = total.argmax(axis=1)
+        return best, total[np.arange(len(tops)), best]
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kind = pa.struct([("lang", pa.string()), ("score", pa.float64())])
@@ -164,25 +192,14 @@ def identify(docs: DataFrame, learned: dict[str, np.ndarray], most: int = PROFIL
             for _, part in slices(column):
                 grams = Grams(part)
                 tops = [grams.top(k, most) for k in range(len(part))]
-                size = np.array([len(t) for t in tops])
-                if not names or not size.any():
-                    pred += ["und"] * len(part)
-                    score += [0.0] * len(part)
-                    continue
-                g = grams.packed(np.concatenate(tops))
-                at = np.minimum(np.searchsorted(known, g), len(known) - 1)
-                at[known[at] != g] = len(known)
-                own = np.arange(len(g)) - np.repeat(np.cumsum(size) - size, size)
-                r = ranks[at]
-                far = np.where(r < 0, most, np.abs(r - own[:, None]))
-                has = np.flatnonzero(size)
-                total = np.add.reduceat(far, (np.cumsum(size) - size)[has], axis=0)
-                best = total.argmin(axis=1)
-                where = {k: j for j, k in enumerate(has.tolist())}
-                for k in range(len(part)):
-                    j = where.get(k)
-                    pred.append("und" if j is None else names[best[j]])
-                    score.append(0.0 if j is None else float(1 - total[j, best[j]] / (size[k] * most)))
+                step = max(CELLS // max(len(names), 1), 1)
+                for a in range(0, len(part), step):
+                    some = tops[a : a + step]
+                    best, gain = nearest(grams, some) if names and any(map(len, some)) else (np.zeros(len(some), int), np.zeros(len(some)))
+                    for t, j, x in zip(some, best.tolist(), gain.tolist(), strict=True):
+                        und = not names or not len(t)
+                        pred.append("und" if und else names[j])
+                        score.append(0.0 if und else x / (len(t) * most))
             yield pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score, pa.float64())], fields=list(kind))
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +39,8 @@ BUCKET = 50_000
 CACHE = 150_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: With a number that spreads equal pieces over buckets.
+NUMBERED = f"{PIECES}, nr long"
 
 
 def tokenizer_path() -> str:
@@ -101,11 +104,12 @@ def encoder(path: str) -> Encoder:
 
 
 def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces of each document's ids with the end token: columns of PIECES."""
+    """The pieces of each document's ids with the end token: columns of NUMBERED. To be stored: numbers are a task's own."""
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(path), np.array([END], "<u4").tobytes()
+        nr = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         for b in batches:
             rows = []
             names = b.column(0).to_pylist()
@@ -114,12 +118,13 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
                     ids = (enc.ids(t) if t else b"") + end
                     for k in range(0, len(ids), 4 * capacity):
                         piece = ids[k : k + 4 * capacity]
-                        rows.append((i, k // (4 * capacity), k // 4, len(piece) // 4, zlib.crc32(piece)))
+                        rows.append((i, k // (4 * capacity), k // 4, len(piece) // 4, zlib.crc32(piece), nr))
+                        nr += 1
             if rows:
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in NUMBERED.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run), PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run), NUMBERED)
 
 
 def fullest(lengths: list[tuple[int, int]], room: int) -> dict[int, int]:
@@ -180,15 +185,15 @@ def _ranges(bins: list[tuple[int, dict[int, int]]]) -> np.ndarray:
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """pieces (columns of PIECES, stored) with sequence_id and offset."""
+    """pieces (columns of NUMBERED, stored) with sequence_id and offset."""
     spark = pieces.sparkSession
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
     at = spark.sparkContext.broadcast(_ranges(plan(histogram, capacity)))
     salts = max(64, -(-sum(histogram.values()) // BUCKET))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("nr"), F.lit(salts)).cast("int"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
+    own = Window.partitionBy("length", "salt").orderBy("nr")
     ranked = salted.withColumn("own", F.row_number().over(own)).join(base, ["length", "salt"]).withColumn("rank", F.col("base") + F.col("own") - 1)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +219,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces and their places in sequences."""
+    """The documents' pieces and their places in sequences. Defined cases: as above; other columns, whatever their names, go."""
     return pack_documents(docs.select("doc_id", "text"))
 
 

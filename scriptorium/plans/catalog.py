@@ -316,7 +316,20 @@ def field_stats(spark, d):
     return metrics.field_stats(_pairs(spark, d, "479"), _edits(spark, d))
 
 
-@query()
+#: difflib's matching blocks of texts (a, b): the longest common run of a part of both (the earliest in a, then in b), then what is left and right of it.
+_RUN = "len(list_filter(range(1, least(ah - i, bh - j) + 1), lambda n: substr(a, i + 1, n) = substr(b, j + 1, n)))"
+_LONGEST = f"coalesce(list_max(flatten(list_transform(range(al, ah), lambda i: list_transform(range(bl, bh), lambda j: {_RUN} * 1000000 + (999 - i) * 1000 + (999 - j))))), 0)"
+_PARTS = f"""parts AS (SELECT a, b, al, ah, bl, bh, {_LONGEST} AS x FROM (SELECT a, b, 0::BIGINT AS al, length(a) AS ah, 0::BIGINT AS bl, length(b) AS bh FROM texts)
+    UNION ALL SELECT a, b, al, ah, bl, bh, {_LONGEST} AS x FROM (SELECT a, b, al, 999 - x // 1000 % 1000 AS ah, bl, 999 - x % 1000 AS bh FROM parts WHERE x >= 1000000
+        UNION ALL SELECT a, b, 999 - x // 1000 % 1000 + x // 1000000, ah, 999 - x % 1000 + x // 1000000, bh FROM parts WHERE x >= 1000000) WHERE al < ah AND bl < bh)"""
+_BLOCK_OPS = f"""WITH RECURSIVE texts AS (SELECT field, gt AS a, ext AS b, count(*) AS n FROM {_PAIRS.format('eoa')} GROUP BY ALL), {_PARTS},
+blocks AS (SELECT DISTINCT a, b, 999 - x // 1000 % 1000 AS i, 999 - x % 1000 AS j, x // 1000000 AS k FROM parts WHERE x >= 1000000 UNION ALL SELECT DISTINCT a, b, length(a), length(b), 0 FROM texts),
+gaps AS (SELECT a, b, i - coalesce(lag(i + k) OVER w, 0) AS di, j - coalesce(lag(j + k) OVER w, 0) AS dj FROM blocks WINDOW w AS (PARTITION BY a, b ORDER BY i, j)),
+ops AS (SELECT a, b, sum(least(di, dj)) AS substitution, sum(greatest(di - dj, 0)) AS deletion, sum(greatest(dj - di, 0)) AS insertion FROM gaps GROUP BY a, b)
+SELECT field, op, CAST(sum(n * m) AS BIGINT) AS n FROM texts JOIN (UNPIVOT ops ON substitution, deletion, insertion INTO NAME op VALUE m) USING (a, b) GROUP BY field, op HAVING sum(n * m) > 0"""
+
+
+@query(_BLOCK_OPS)
 def block_edit_ops(spark, d):
     """The alternative alignment by matching blocks: counts of its edits."""
     return metrics.edit_rows(_pairs(spark, d, "eoa"), mode="blocks").groupBy("field", "op").agg(F.count(F.lit(1)).alias("n"))
@@ -403,13 +416,8 @@ _R = "CASE WHEN greatest(length({0}), length({1})) = 0 THEN 1.0::DOUBLE ELSE 1 -
 _RECORDS = f"""g AS (SELECT p_brand, p_size, p_partkey AS seq, {_N.format('p_name')} AS h, {_N.format('p_type')} AS p, {_N.format("p_type || ' ' || p_name")} AS t FROM part),
 e AS (SELECT p_brand, p_size, p_partkey AS seq, {_N.format(_EXT)} AS h, {_N.format('p_type')} AS p, {_N.format("p_type || ' ' || " + _EXT)} AS t FROM part WHERE p_partkey % 7 <> 0)"""
 _EDIT_SCORES = f"s AS (SELECT p_brand, p_size, g.seq AS g_seq, e.seq AS e_seq, {_R.format('g.h', 'e.h')} AS head_score, {_R.format('g.p', 'e.p')} AS pos_score, {_R.format('g.t', 'e.t')} AS def_score FROM g JOIN e USING (p_brand, p_size))"
-#: difflib's ratio: the longest common block of a part of both texts (the earliest in a, then in b), then what is left and right of it.
-_RUN = "len(list_filter(range(1, least(ah - i, bh - j) + 1), lambda n: substr(a, i + 1, n) = substr(b, j + 1, n)))"
-_LONGEST = f"coalesce(list_max(flatten(list_transform(range(al, ah), lambda i: list_transform(range(bl, bh), lambda j: {_RUN} * 1000000 + (999 - i) * 1000 + (999 - j))))), 0)"
 _BLOCK_SCORES = f"""texts(a, b) AS (SELECT DISTINCT unnest([g.h, g.p, g.t]), unnest([e.h, e.p, e.t]) FROM g JOIN e USING (p_brand, p_size)),
-parts AS (SELECT a, b, al, ah, bl, bh, {_LONGEST} AS x FROM (SELECT a, b, 0::BIGINT AS al, length(a) AS ah, 0::BIGINT AS bl, length(b) AS bh FROM texts)
-    UNION ALL SELECT a, b, al, ah, bl, bh, {_LONGEST} AS x FROM (SELECT a, b, al, 999 - x // 1000 % 1000 AS ah, bl, 999 - x % 1000 AS bh FROM parts WHERE x >= 1000000
-        UNION ALL SELECT a, b, 999 - x // 1000 % 1000 + x // 1000000, ah, 999 - x % 1000 + x // 1000000, bh FROM parts WHERE x >= 1000000) WHERE al < ah AND bl < bh),
+{_PARTS},
 ratios AS (SELECT a, b, CASE WHEN length(a) + length(b) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * sum(x // 1000000) / (length(a) + length(b)) END AS r FROM parts GROUP BY a, b),
 s AS (SELECT p_brand, p_size, g.seq AS g_seq, e.seq AS e_seq, h.r AS head_score, p.r AS pos_score, t.r AS def_score FROM g JOIN e USING (p_brand, p_size)
     JOIN ratios h ON h.a = g.h AND h.b = e.h JOIN ratios p ON p.a = g.p AND p.b = e.p JOIN ratios t ON t.a = g.t AND t.b = e.t)"""

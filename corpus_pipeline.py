@@ -1,4 +1,14 @@
-"""The corpus pipeline: five stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
+
+Toxic documents go; one document of each near-duplicate group stays; repeated passages are cut out of all but their first
+document; contaminated documents go; the rest is tokenised and packed.
+
+Defined cases: a null or empty text passes the filters and is packed as the end token alone. Rows without doc_id, or with
+one that others share, are documents of their own, each judged by its own text; of equal or near texts the one with the
+least doc_id stays, and without any one of them. Ties and repeated rows are near-duplicates like others. Texts of any
+length are read whole. An empty table gives an empty result. All stages but the last keep every column of documents,
+whatever its name; the last gives pieces and their places.
+"""
 
 from __future__ import annotations
 
@@ -11,8 +21,7 @@ from scriptorium.llm.packing import stage_packing
 from scriptorium.llm.substring_dedup import stage_substring_dedup
 from scriptorium.llm.toxicity import stage_toxicity
 
-#: Toxic documents go; one document of each near-duplicate group stays; repeated passages are cut out of all but
-#: their first document; contaminated documents go; the rest is tokenised and packed.
+#: Each takes (spark, docs, sf_dir) and returns what it keeps.
 STAGES = [
     ("toxicity", stage_toxicity),
     ("jaccard_join", stage_jaccard_join),

@@ -470,24 +470,27 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int = 5, percent: int = 80) -> DataFrame:
     """Keeps one document of each group, that of least doc_id (null last), with all its columns, whatever the names.
     Defined cases: as above, but rows with null or repeated doc_id are documents of their own; rows without words stay."""
+    # columns go by position, so that any names do
+    names = docs.columns
+    docs = docs.toDF(*(c if c in ("doc_id", "text") else f"_{i}" for i, c in enumerate(names)))
     own = F.col("doc_id").cast("long")
     again = stored(docs.groupBy(own.alias("doc_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").select("doc_id"), "repeated-ids")
     if again.isEmpty():
         found = jaccard_components(docs.select("doc_id", "text"), words, percent)
-        gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "copies")
-        return docs.join(gone, own == F.col("__gone"), "left_anti")
+        gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "copies")
+        return docs.join(gone, own == F.col("gone"), "left_anti").toDF(*names)
     # such rows are numbered and stored, as a number must not change when a task is repeated
-    shared = again.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "__again")
-    loose = docs.join(shared, own == F.col("__again"), "left_semi").unionByName(docs.where("doc_id IS NULL"))
-    loose = stored(loose.withColumn("__row", F.xxhash64(F.lit("row"), F.monotonically_increasing_id())), "loose")
-    rows = docs.where("doc_id IS NOT NULL").join(shared, own == F.col("__again"), "left_anti").withColumn("__row", own).unionByName(loose)
-    found = jaccard_components(rows.select(F.col("__row").alias("doc_id"), "text"), words, percent).select(F.col("doc_id").alias("__row"), "component_id")
-    real = loose.select("__row", own.alias("_id"), F.lit(True).alias("_loose"))
-    found = found.join(real, "__row", "left").select("__row", "component_id", F.when(F.col("_loose"), F.col("_id")).otherwise(F.col("__row")).alias("_id"))
+    shared = again.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "again")
+    loose = docs.join(shared, own == F.col("again"), "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    loose = stored(loose.withColumn("row", F.xxhash64(F.lit("row"), F.monotonically_increasing_id())), "loose")
+    rows = docs.where("doc_id IS NOT NULL").join(shared, own == F.col("again"), "left_anti").withColumn("row", own).unionByName(loose)
+    found = jaccard_components(rows.select(F.col("row").alias("doc_id"), "text"), words, percent).select(F.col("doc_id").alias("row"), "component_id")
+    real = loose.select("row", own.alias("id"), F.lit(True).alias("loose"))
+    found = found.join(real, "row", "left").select("row", "component_id", F.when(F.col("loose"), F.col("id")).otherwise(F.col("row")).alias("id"))
     found = stored(found, "groups")
-    best = found.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "__row")).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    gone = stored(found.join(best.select("component_id", F.col("best.__row").alias("_kept")), "component_id").where("__row <> _kept").select("__row"), "copies")
-    return rows.join(gone, "__row", "left_anti").drop("__row")
+    best = found.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    gone = stored(found.join(best.select("component_id", F.col("best.row").alias("kept")), "component_id").where("row <> kept").select(F.col("row").alias("gone")), "copies")
+    return rows.join(gone, F.col("row") == F.col("gone"), "left_anti").drop("row").toDF(*names)
 
 
 QUERIES = {"op4_jaccard_join": op4_jaccard_join}

@@ -183,16 +183,15 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
                     if not at or t[at : x["start"]].strip():
                         rest.append(t[at : x["start"]].rstrip(b" "))
                     at = max(at, x["stop"])
-                out.append(t if t is None else b"".join(rest) + t[at:] if not rest else b" ".join([*rest, t[at:].lstrip(b" ")]).strip())
-            yield pa.array([None if t is None else t.decode() for t in out], pa.string())
+                out.append(b" ".join([*rest, t[at:].lstrip(b" ")]).strip().decode() if rest else None)  # null: no span is of this text
+            yield pa.array(out, pa.string())
 
     run.__annotations__ = {"batches": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
-    touched = F.col("cut").isNotNull()
-    # Only edited texts cross to Python, and once: the optimizer may not repeat what isn't deterministic.
+    # Only texts that may be edited cross to Python, and once: the optimizer may not repeat what isn't deterministic.
     edited = F.arrow_udf(run, "string").asNondeterministic()
-    here = here.withColumn("new", edited(F.when(touched, text), "cut")).where(~touched | F.col("new").rlike(r"[^\x20\x09-\x0D]"))
+    here = here.withColumn("new", edited(F.when(F.col("cut").isNotNull(), text), "cut")).where(F.col("new").isNull() | F.col("new").rlike(r"[^\x20\x09-\x0D]"))
     new = {"text": F.col("new"), "n_chars": F.length("new").cast(dict(docs.dtypes).get("n_chars", "long"))}
-    return here.select(*(F.when(touched, new[c]).otherwise(F.col(k)).alias(c) if c in new else F.col(k).alias(c) for c, k in own.items()))
+    return here.select(*(F.when(F.col("new").isNotNull(), new[c]).otherwise(F.col(k)).alias(c) if c in new else F.col(k).alias(c) for c, k in own.items()))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

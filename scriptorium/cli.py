@@ -1,4 +1,4 @@
-"""Commands: evaluate, extract, segment, layout, annotate, to-tsv, preprocess, compare."""
+"""Commands: evaluate, extract, ocr, layout-ocr, segment, layout, annotate, to-tsv, preprocess, compare."""
 
 from __future__ import annotations
 
@@ -8,9 +8,10 @@ import sys
 from pyspark.sql import functions as F
 
 from .operators import experiments, images, layout, segment
+from .operators.storage import stored
 from .plans import reports
 from .session import local_session, shipped
-from .sources import extract, readers, writers
+from .sources import extract, readers, recognise, writers
 
 
 def _read(spark, path: str):
@@ -36,7 +37,7 @@ def _extract(spark, a) -> None:
     model, steps = extract.model(a.model), extract.PREPROCESS[a.preprocess]
     found = {
         "image": lambda: extract.extract_image(spark, a.image, model, a.document, a.page, steps),
-        "crops": lambda: extract.extract_crops(spark, a.crops_dir, model, a.page, steps),
+        "crops": lambda: extract.extract_crops(spark, a.crops_dir, model, a.page),  # crops are taken as they are
         "layout": lambda: extract.extract_layout(spark, a.layout_json, model, a.page, a.layout_image, steps),
     }[mode]()
     entries = extract.to_entries(found)
@@ -53,6 +54,23 @@ def _segment(spark, a) -> None:
     writers.write_json_array(found.orderBy("path", "column", "entry_no"), a.output)
 
 
+def _ocr(spark, a) -> None:
+    """Pages to lines, columns and entries: entries.json and a crop of each entry. Finished recognition is used again."""
+    images = recognise.preprocessed_pages(readers.read_images(spark, a.image), extract.PREPROCESS[a.preprocess])
+    found = recognise.reused(spark, f"{a.output}/lines", lambda: recognise.recognised_lines(images, recognise.engine(a.engine)))
+    entries = stored(recognise.page_entries(found, a.confidence, a.gap_multiplier, a.padding), "entries")
+    writers.write_json_array(entries.orderBy("path", "place"), f"{a.output}/entries.json")
+    writers.write_files(recognise.entry_crops(entries, images), f"{a.output}/entry_crops")
+
+
+def _layout_ocr(spark, a) -> None:
+    """Pages to layouts: layouts.json, and a crop and a text of each text block. Finished recognition is used again."""
+    images = readers.read_images(spark, a.image).select("path", "content")
+    found = recognise.reused(spark, f"{a.output}/layouts", lambda: recognise.recognised_layouts(images, recognise.engine(a.engine))).where("error IS NULL").drop("error")
+    writers.write_json_array(found.orderBy("input_path"), f"{a.output}/layouts.json")
+    writers.write_files(recognise.block_crops(found, images), f"{a.output}/crops")
+
+
 def _layout(spark, a) -> None:
     writers.write_json_array(layout.annotations(layout.layout_blocks(readers.read_layouts(spark, a.input), text_only=False)), a.output)
 
@@ -100,6 +118,8 @@ def parser() -> argparse.ArgumentParser:
     out = (("-o", "--output"), {"required": True})
     command("evaluate", _evaluate, (("-e", "--extracted"), {"required": True}), (("-g", "--gold"), {"required": True}), (("-o", "--output"), {}), (("-t", "--threshold"), {"type": float, "default": 0.85}), (("--no-char-analysis",), {"action": "store_true"}))
     command("extract", _extract, (("-i", "--image"), {}), (("--crops-dir",), {}), (("--layout-json",), {}), out, (("-d", "--document"), {}), (("-m", "--model"), {"default": "pattern"}), (("--preprocess",), {"choices": list(extract.PREPROCESS), "default": "none"}), (("--layout-image",), {}), (("-p", "--page"), {"type": int, "default": 1}), (("-a", "--append"), {"action": "store_true"}), (("--json",), {"action": "store_true"}))
+    command("ocr", _ocr, (("-i", "--image"), {"required": True}), out, (("-e", "--engine"), {"required": True}), (("--preprocess",), {"choices": list(extract.PREPROCESS), "default": "none"}), (("--padding",), {"type": int, "default": 20}), (("--confidence",), {"type": float, "default": 0.5}), (("--gap-multiplier",), {"type": float, "default": 2.0}))
+    command("layout-ocr", _layout_ocr, (("-i", "--image"), {"required": True}), out, (("-e", "--engine"), {"required": True}))
     command("segment", _segment, (("-i", "--input"), {"required": True}), out, (("--width",), {"type": float, "required": True}), (("--height",), {"type": float, "default": 1e9}), (("--padding",), {"type": int, "default": 20}), (("--confidence",), {"type": float, "default": 0.5}), (("--gap-multiplier",), {"type": float, "default": 2.0}))
     command("layout", _layout, (("-i", "--input"), {"required": True}), out)
     command("annotate", _annotate, (("-i", "--image"), {"required": True}), (("-j", "--json"), {"required": True}), out, (("--thickness",), {"type": int, "default": 3}))

@@ -42,9 +42,9 @@ class Replay:
 
 @dataclass
 class Pattern:
-    """Lines such as `headword (pos.) translation`."""
+    """Lines such as `headword (pos.) translation`, `headword - translation` or `headword`."""
 
-    line: str = r"^\s*(?P<headword_phrase>[^()]+?)\s*(?:\((?P<pos>[^()]*)\))?\s*[-–—:]?\s*(?P<translation_ru>[^()]*)$"
+    line: str = r"^\s*(?P<headword_phrase>[^()]+?)(?:\s*\((?P<pos>[^()]*)\))?(?:(?:\s*[-–—:]\s+|(?<=\))\s*)(?P<translation_ru>[^()]*))?\s*$"
 
     def extract(self, image: bytes | None, text: str | None, page: int) -> str:
         found = (m.groupdict() for x in (text or "").split("\n") if (m := re.match(self.line, x)))

@@ -49,7 +49,7 @@ def write_text(spark: SparkSession, path: str, parts: Iterable[str], append: boo
     return there
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
@@ -73,7 +73,7 @@ def write_tsv(records: DataFrame, path: str, append: bool = False) -> None:
     For exchange; the rows go through the driver a partition at a time, the text piece by piece. write_tsv_parts is the
     distributed form."""
     spark = records.sparkSession
-    header = not (append and _exists(spark, path))
+    header = not (append and exists(spark, path))
     rows = (r.asDict() for r in records.orderBy("seq").select(*TSV_FIELDS).toLocalIterator())
     write_text(spark, path, tsv_lines(rows, header), append)
 

@@ -13,7 +13,7 @@ from scriptorium import cli
 from scriptorium.operators import images
 from scriptorium.operators.numbering import numbered_in_order
 from scriptorium.schemas import TSV_FIELDS
-from scriptorium.sources import extract, readers, writers
+from scriptorium.sources import extract, readers, recognise, writers
 from scriptorium.streaming import entries
 
 
@@ -116,6 +116,39 @@ def test_extract_command(spark, tmp_path):
     assert [cli._folder(x) for x in ("e.tsv", "/e.tsv", "a/e.tsv", "s3://b/a/e.tsv")] == [".", "/", "a", "s3://b/a"]
 
 
+def test_recognition_commands(spark, tmp_path):
+    page = np.arange(3_000, dtype=np.uint32).reshape(50, 60).astype(np.uint8)
+    (tmp_path / "p.png").write_bytes(images.encode(page))
+    (tmp_path / "q.png").write_bytes(b"broken")
+    box = lambda x0, y0, x1, y1: [[x0, y0], [x1, y0], [x1, y1], [x0, y1]]
+    lines = [(box(35, 2, 55, 6), "right", 0.9), (box(2, 2, 20, 6), "one", 0.9), (box(2, 8, 20, 12), "two", 0.9), (box(2, 30, 20, 34), "three", 0.9), (box(2, 14, 20, 18), "weak", 0.2)]
+    (tmp_path / "lines.json").write_text(json.dumps({"p.png": lines}))
+    run = ["ocr", "-i", f"{tmp_path}/*.png", "-o", f"{tmp_path}/out", "--padding", "1", "-e"]
+    cli.main([*run, f"stored:{tmp_path}/lines.json"])
+    entries = json.loads((tmp_path / "out" / "entries.json").read_text())
+    assert [e["entry_id"] for e in entries][-1] == "R000" and [e["place"] for e in entries] == list(range(len(entries)))
+    assert [x["text"] for e in entries for x in e["lines"]] == ["one", "two", "three", "right"]
+    got = images.decode((tmp_path / "out" / "entry_crops" / "p_R000.png").read_bytes())
+    assert got.tolist() == page[1:7, 34:56].tolist()
+    bad = spark.read.parquet(f"{tmp_path}/out/lines").where("error IS NOT NULL").collect()
+    assert [r.path.rsplit("/", 1)[1] for r in bad] == ["q.png"] and "ValueError" in bad[0].error
+    cli.main([*run, "tests.test_sources:NoEngine"])  # what is finished isn't asked for again
+    block = {"block_label": "text", "block_content": "words", "block_bbox": [1, 2, 9, 8], "block_id": 4, "block_order": 1, "group_id": 0}
+    (tmp_path / "layouts.json").write_text(json.dumps({"p.png": {"width": 60, "height": 50, "parsing_res_list": [block, block | {"block_label": "image", "block_id": 5}]}}))
+    cli.main(["layout-ocr", "-i", f"{tmp_path}/p.png", "-o", f"{tmp_path}/vl", "-e", f"stored:{tmp_path}/layouts.json"])
+    assert sorted(x.name for x in (tmp_path / "vl" / "crops").iterdir()) == ["block_004_text.md", "block_004_text.png"]
+    assert images.decode((tmp_path / "vl" / "crops" / "block_004_text.png").read_bytes()).shape == (6, 8) and (tmp_path / "vl" / "crops" / "block_004_text.md").read_text() == "words"
+    assert extract.extract_crops(spark, f"{tmp_path}/vl/crops", extract.Pattern()).first().headword_phrase == "words"
+    assert len(json.loads((tmp_path / "vl" / "layouts.json").read_text())[0]["parsing_res_list"]) == 2
+    with pytest.raises(ValueError, match="unknown engine"):
+        recognise.engine("x")
+
+
+class NoEngine:
+    def lines(self, image, name):
+        raise AssertionError("asked again")
+
+
 class Bright:
     """An extractor that looks at the image."""
 

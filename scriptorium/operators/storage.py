@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; on a local master without one, a temporary folder is set."""
+    """The folder that all executors see: spark.checkpoint.dir. Unset on a local master, a temporary one is set."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -22,11 +22,27 @@ def shared_dir(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet and read again, so that a lost executor costs no more than a read. Gone with the JVM."""
+def stored(df: DataFrame, name: str = "stage") -> DataFrame:
+    """df written as Parquet in the shared folder and read again: cuts the lineage and outlives lost executors.
+
+    The files go when the session's JVM ends, or by discard()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, at = _files(spark, path)
+    fs.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored = path
+    return out
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for df in tables:
+        fs, at = _files(df.sparkSession, df._stored)
+        fs.delete(at, True)

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 from functools import wraps
 
@@ -14,6 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.storage import discard, shared_dir, stored  # noqa: F401  for the operators
+
 #: Bytes of text that the vectorised kernels look at together.
 SLICE_BYTES = 1 << 20
 
@@ -38,46 +38,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir. Unset on a local master, a temporary one is set."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if not there:
-        got = spark.sparkContext._jsc.sc().getCheckpointDir()
-        there = got.get() if got.isDefined() else None
-    if not there:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        there = tempfile.mkdtemp(prefix="scriptorium-")
-        spark.sparkContext.setCheckpointDir(there)
-    return there.rstrip("/")
-
-
-def stored(df: DataFrame, name: str = "stage") -> DataFrame:
-    """df written as Parquet in the shared folder and read again: cuts the lineage and outlives lost executors.
-
-    The files go when the session's JVM ends, or by discard()."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    fs, at = _files(spark, path)
-    fs.deleteOnExit(at)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored = path
-    return out
-
-
-def _files(spark: SparkSession, path: str):
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes stored tables that nothing reads any more."""
-    for df in tables:
-        fs, at = _files(df.sparkSession, df._stored)
-        fs.delete(at, True)
-
-
 def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """The UTF-8 bytes of a string column."""
     return column.cast(pa.large_binary()).to_pylist()

@@ -1,7 +1,7 @@
 """Image kernels in numpy over images as binary columns: decode, grey, deskew, denoise, contrast, sharpen, crop, boxes.
 
 Each image is a row; steps run inside one Arrow UDF, so a page crosses to Python once however many steps it takes.
-PNG (grey, RGB, with alpha or a palette, of 1 to 16 bits, not interlaced) and binary PGM/PPM are read; 8-bit PNG is written."""
+PNG (grey, RGB, with alpha or a palette, of 1 to 16 bits, not interlaced), baseline JPEG and binary PGM/PPM are read; 8-bit PNG is written."""
 
 from __future__ import annotations
 
@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .jpeg import decode_jpeg
+
 STEPS = ("grayscale", "deskew", "denoise", "contrast", "sharpen")
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
@@ -28,8 +30,10 @@ def decode(data: bytes) -> np.ndarray:
         pixels = np.frombuffer(data, np.uint8, width * height * depth, len(data) - width * height * depth)
         assert int(rest) == 255
         return pixels.reshape((height, width, 3) if depth == 3 else (height, width))
+    if data[:3] == b"\xff\xd8\xff":
+        return decode_jpeg(data)
     if data[:8] != _SIGNATURE:
-        raise ValueError("neither PNG nor PGM/PPM")
+        raise ValueError("neither PNG nor JPEG nor PGM/PPM")
     at, body, palette, width, height, depth, bits, colour = 8, b"", None, 0, 0, 1, 8, 0
     while at < len(data):
         size, kind = struct.unpack(">I4s", data[at : at + 8])

@@ -12,7 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.storage import discard, shared_dir, stored  # noqa: F401  for the operators
+from ..operators import storage
+from ..operators.storage import discard, shared_dir  # noqa: F401  for the operators
 
 #: Bytes of text that the vectorised kernels look at together.
 SLICE_BYTES = 1 << 20
@@ -38,6 +39,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(df: DataFrame, name: str = "stage") -> DataFrame:
+    """df in the shared folder, read again."""
+    small_batches(df.sparkSession)
+    return storage.stored(df, name)
+
+
 def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """The UTF-8 bytes of a string column."""
     return column.cast(pa.large_binary()).to_pylist()

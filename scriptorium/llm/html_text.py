@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import table
+
 #: The widest indent of a line, and the widest padding of a column.
 INDENT, WIDEST = 200, 500
 _NAME = re.compile(r"[^\s/>]+")
@@ -538,7 +540,7 @@ def extract_text(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"))
+    out = extract_text(table(spark, sf_dir, "pages").select("page_id", "html"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 

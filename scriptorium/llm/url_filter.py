@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import table
 from .url_vocabulary import LIMIT, vocabulary
 
 #: Forms of a vocabulary that is read from a table, at most: it is held by every task.
@@ -114,8 +115,7 @@ def judge_urls(pages: DataFrame, url: str = "url", terms: Mapping[str, tuple[str
 
 
 def op6_url_filter(spark, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    return judge_urls(pages).drop("url")
+    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
 
 def _sql() -> str:

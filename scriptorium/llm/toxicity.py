@@ -180,9 +180,10 @@ def _threatening(rows: DataFrame) -> dict[bool, int]:
 
 
 def _threat_weight(toxic: int, n_toxic: int, clean: int, n_clean: int) -> float:
-    """The log ratio of how common threats are in toxic and clean texts, from ASSUMED texts of either kind with a ratio of THREAT_WEIGHT on."""
-    usual = 0.01
-    return max(0.0, math.log((toxic + ASSUMED * usual * math.exp(THREAT_WEIGHT)) / (n_toxic + ASSUMED)) - math.log((clean + ASSUMED * usual) / (n_clean + ASSUMED)))
+    """How much likelier toxic a text with a threat is than any text, as a logarithm of odds. Starts from ASSUMED texts for which it is THREAT_WEIGHT."""
+    prior = math.log((n_toxic + 0.5) / (n_clean + 0.5))
+    innocent = ASSUMED / (1 + math.exp(THREAT_WEIGHT + prior))
+    return max(0.0, math.log((toxic + ASSUMED - innocent) / (clean + innocent)) - prior)
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:

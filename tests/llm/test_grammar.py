@@ -86,7 +86,8 @@ def test_threat_weight():
     """Labels move the weight of threats from where it starts."""
     start = toxicity._threat_weight(0, 0, 0, 0)
     assert start == pytest.approx(toxicity.THREAT_WEIGHT)
-    assert toxicity._threat_weight(0, 400, 0, 4_000) != start and toxicity._threat_weight(200, 400, 0, 4_000) > start > toxicity._threat_weight(4, 400, 400, 4_000)
+    assert toxicity._threat_weight(0, 400, 0, 4_000) == pytest.approx(start)  # nothing seen, nothing learned
+    assert toxicity._threat_weight(200, 400, 0, 4_000) > start > toxicity._threat_weight(4, 400, 400, 4_000)
     assert toxicity._threat_weight(0, 400, 900, 4_000) == 0 and math.isfinite(toxicity._threat_weight(400, 400, 0, 10**7))
 
 

@@ -303,9 +303,17 @@ def confusion_share(spark, d):
     return metrics.confusions(_edits(spark, d), top=None)
 
 
-@query(f"SELECT op, gt, ext, count(*) AS n, md5(string_agg(gold_raw || '>' || ext_raw, ';' ORDER BY pair_seq, field_no, pos)) AS digest FROM {_EDITS} GROUP BY op, gt, ext")
+@query(f"SELECT op, gt, ext, e.pair_seq, e.field_no, e.gold_raw, e.ext_raw, r.n, CAST(r.rank AS INTEGER) AS rank FROM {_EDITS} e JOIN ({_RANKED}) r USING (op, gt, ext) WHERE r.rank <= 30")
 def confusion_examples(spark, d):
-    listed = metrics.confusion_examples(_edits(spark, d))
+    """A row for each example of the confusions that are shown."""
+    edits = _edits(spark, d)
+    return metrics.example_rows(edits, metrics.confusions(edits)).select("op", "gt", "ext", "pair_seq", "field_no", "gold_raw", "ext_raw", "n", "rank")
+
+
+@query(f"SELECT op, gt, ext, len(x) AS n, md5(array_to_string(x, ';')) AS digest FROM (SELECT op, gt, ext, list(gold_raw || '>' || ext_raw ORDER BY pair_seq, field_no, pos)[:20] AS x FROM {_EDITS} GROUP BY op, gt, ext)")
+def first_examples(spark, d):
+    """The first 20 examples of each confusion, in order."""
+    listed = metrics.confusion_examples(_edits(spark, d), most=20)
     return listed.select("op", "gt", "ext", F.size("examples").cast("long").alias("n"), F.md5(F.array_join(F.transform("examples", lambda s: F.concat(s["gold"], F.lit(">"), s["extracted"])), ";")).alias("digest"))
 
 

@@ -26,6 +26,8 @@ WINDOW = 10
 LISTS = 2
 #: Bytes of test terms (each with ROW more) up to which they are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_BYTES, ROW = 32_000_000, 32
+#: Stands for a null doc_id.
+NO_ID = -(2**63)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words, before A-Z are folded.
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -42,7 +44,7 @@ def _az(text: Column) -> Column:
 
 def _id() -> Column:
     """doc_id to join by: a value stands for null, as the result depends on the text alone."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id")
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id")
 
 
 def _n_words(words: Column) -> Column:
@@ -165,8 +167,8 @@ def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Drops contaminated documents. Defined cases: a row is judged by its own text, so a contaminated one without doc_id
     goes, and a clean one that shares its doc_id stays; all columns are kept as they are, whatever their names."""
     bad = hit_texts(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))  # stored: Spark sees its size and picks the join
-    bad = bad.select(F.col("doc_id").alias("__hit_id"), F.col("h").alias("__hit_h"))
-    return docs.join(bad, (_id() == F.col("__hit_id")) & (F.xxhash64("text") == F.col("__hit_h")), "left_anti")
+    own = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID))
+    return docs.join(bad, (own == bad["doc_id"]) & (F.xxhash64(docs["text"]) == bad["h"]), "left_anti")
 
 
 _SQL = rf"""

@@ -10,7 +10,7 @@ from scriptorium.llm import packing
 from scriptorium.llm.common import stored, table
 
 #: Names that the stages use themselves, or that need quoting.
-CLASH = ["_cut", "_new", "cut", "new", "of", "toxic_score", "toxic_clauses", "_t", "h", "__row", "__gone", "_again", "score", "a.b", "n", "k1", "token", "doc id", "component_id", "_0", "nr"]
+CLASH = ["_cut", "_new", "cut", "new", "of", "toxic_score", "toxic_clauses", "_t", "h", "__row", "__gone", "_again", "score", "a.b", "n", "k1", "token", "doc id", "component_id", "_0", "nr", "__hit_h", "gone", "row"]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` long" for c in CLASH)
 FILTERS = corpus_pipeline.STAGES[:4]
 

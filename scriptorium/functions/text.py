@@ -32,8 +32,12 @@ def strip(x: Column | str) -> Column:
 
 def normalize_text(x: Column | str, pairs=LOOKALIKES) -> Column:
     """Null to '', look-alikes unified, stripped, lower case, commas to semicolons: in this order."""
-    mapped = F.translate(F.coalesce(_c(x), F.lit("")), "".join(a for a, _ in pairs), "".join(b for _, b in pairs))
-    return F.translate(F.lower(strip(mapped)), ",", ";")
+    c = F.coalesce(_c(x), F.lit(""))
+    if {a for a, _ in pairs} & {b for _, b in pairs}:  # all at once, or one replacement would meet the next
+        c = F.translate(c, "".join(a for a, _ in pairs), "".join(b for _, b in pairs))
+    else:  # searching bytes is quicker than looking up each letter
+        c = reduce(lambda t, ab: F.replace(t, F.lit(ab[0]), F.lit(ab[1])), pairs, c)
+    return F.replace(F.lower(strip(c)), F.lit(","), F.lit(";"))
 
 
 def tokens(x: Column | str) -> Column:

@@ -54,7 +54,7 @@ def similar_heads(gold: DataFrame, extracted: DataFrame, keys: Sequence[str] = (
 def candidate_pairs(gold: DataFrame, extracted: DataFrame, keys: Sequence[str] = (), threshold: float = HEAD, similarity: Similarity = ratio) -> DataFrame:
     """All pairs of records with similar headwords: keys, g_seq, e_seq, head_score, pos_score, def_score, overall."""
     g, e = prepared(gold, keys, "g"), prepared(extracted, keys, "e")
-    heads = stored(similar_heads(g, e, keys, threshold, similarity), "heads")
+    heads = similar_heads(g, e, keys, threshold, similarity)
     pairs = heads.join(g, [*keys, "g_head"]).join(e, [*keys, "e_head"])
     scored = pairs.withColumn("pos_score", similarity("g_pos", "e_pos")).withColumn("def_score", similarity("g_def", "e_def"))
     overall = F.lit(WEIGHTS[0]) * F.col("head_score") + F.lit(WEIGHTS[1]) * F.col("pos_score") + F.lit(WEIGHTS[2]) * F.col("def_score")

@@ -236,11 +236,16 @@ def cer_rollup(spark, d):
     return metrics.error_totals(_pairs(spark, d, "eoa"), ["field"], rollup=True)
 
 
-@query()
+#: Normalised turns in letters of one byte each, as the engine of the SQL counts bytes.
+_ONE_BYTE = "translate(" + _NORM + ", 'врәóéñèíüçêäöß', '@pQ' || chr(1) || chr(2) || chr(3) || chr(4) || chr(5) || chr(6) || chr(7) || chr(8) || chr(14) || chr(15) || chr(16))"
+
+
+@query(f"""SELECT role, CAST(sum(length(gt)) AS BIGINT) AS total_chars, CAST(sum(levenshtein(gt, ext)) AS BIGINT) AS char_errors, CAST(sum(w) AS BIGINT) AS total_words, CAST(sum(levenshtein(gt, ext)) AS DOUBLE) / CAST(sum(length(gt)) AS DOUBLE) AS cer FROM
+(SELECT role, len(list_filter(regexp_split_to_array({_NORM.format('text')}, '\\s+'), lambda t: t <> '')) AS w, {_ONE_BYTE.format('text')} AS gt, {_ONE_BYTE.format("replace(translate(text, 'ae', 'ea'), ',', '')")} AS ext FROM conversations) GROUP BY role""")
 def cer_conversations(spark, d):
     """Whole turns against a copy with swapped vowels and lost commas, by role."""
     rows = _t(spark, d, "conversations").select("role", text.normalize_text("text").alias("gt"), text.normalize_text(F.regexp_replace(F.translate("text", "ae", "ea"), ",", "")).alias("ext"))
-    return metrics.error_totals(rows, ["role"])
+    return metrics.error_totals(rows, ["role"]).select("role", "total_chars", "char_errors", "total_words", "cer")
 
 
 _WORD_ERRORS = f"""SELECT field, CAST(sum(len(a)) AS BIGINT) AS total_words, CAST(sum(n) AS BIGINT) AS word_substitutions, CAST(0 AS BIGINT) AS word_deletions, CAST(0 AS BIGINT) AS word_insertions, CAST(sum(n) AS DOUBLE) / CAST(sum(len(a)) AS DOUBLE) AS wer FROM

@@ -111,15 +111,23 @@ def words_of(docs: list[bytes], space: np.ndarray = SPACE) -> tuple[np.ndarray,
     return buf, starts, ends, first
 
 
+#: Bytes of words that are hashed together: what is held for each is some thirty times as much.
+HASHED = 1 << 18
+
+
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word's bytes, the same everywhere."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
     lens = ends - starts
-    begin = np.cumsum(lens) - lens
-    pos = np.arange(int(lens.sum())) - np.repeat(begin, lens)
-    bytes_ = buf[pos + np.repeat(starts, lens)]
-    return mixed(np.add.reduceat(_BYTE[bytes_] * _powers(int(lens.max()))[pos], begin) + lens.astype(np.uint64))
+    out, total, a = np.empty(len(starts), np.uint64), np.cumsum(lens), 0
+    while a < len(starts):
+        z = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + HASHED, side="right")))
+        part = lens[a:z]
+        begin = np.cumsum(part) - part
+        pos = np.arange(int(part.sum())) - np.repeat(begin, part)
+        bytes_ = buf[pos + np.repeat(starts[a:z], part)]
+        out[a:z] = mixed(np.add.reduceat(_BYTE[bytes_] * _powers(int(part.max()))[pos], begin) + part.astype(np.uint64))
+        a = z
+    return out
 
 
 def windows(h: np.ndarray, k: int) -> np.ndarray:

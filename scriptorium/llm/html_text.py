@@ -115,17 +115,22 @@ class _Open:
 
     def last(self, tags: Iterable[str]) -> int:
         """Where the innermost open element of these is; 0 for none."""
-        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+        found, at = 0, self.at
+        for t in tags:
+            if (places := at.get(t)) and places[-1] > found:
+                found = places[-1]
+        return found
 
     def close(self, tags: frozenset[str], bounds: frozenset[str]) -> None:
         """The outermost open element of tags inside the bounds ends, with all in it."""
-        bound, found = self.last(bounds), len(self.nodes)
-        for t in tags:
-            if places := self.at.get(t):
+        open_ = [places for t in tags if (places := self.at.get(t))]
+        if open_:
+            bound, found = self.last(bounds), len(self.nodes)
+            for places in open_:
                 k = bisect_right(places, bound)
                 if k < len(places):
                     found = min(found, places[k])
-        self.cut(found)
+            self.cut(found)
 
 
 _CELL_PARTS = frozenset("table tr tbody thead tfoot body td th".split())

@@ -4,21 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .scan import scanned_by_parts
 
 
 def numbered_in_order(df: DataFrame, by: Sequence[str], keys: Sequence[str], name: str) -> DataFrame:
-    """df with each row's place (from 0) among the rows of equal keys, in order of by.
-
-    Rows are sorted by ranges and stored; a part's numbers begin where those of the parts before end. Windows see one
-    row for each key and part."""
-    own = Window.partitionBy("_part", *keys).orderBy(*by)
-    parts = df.repartitionByRange(*keys, *by).withColumn("_part", F.spark_partition_id())
-    parts = stored(parts.withColumn("_own", F.row_number().over(own)), "numbered")
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = parts.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return parts.join(sizes, ["_part", *keys]).withColumn(name, F.col("_before") + F.col("_own") - 1).select(*df.columns, name)
+    """df with each row's place (from 0) among the rows of equal keys, in order of by; see operators.scan."""
+    return scanned_by_parts(df, keys, by, {name: F.lit(1)}).withColumn(name, F.col(name) - 1)

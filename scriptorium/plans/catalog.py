@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, text
 from ..functions.similarity import edit_ratio, ratio
-from ..operators import experiments, layout, matching, metrics, segment
+from ..operators import experiments, layout, matching, metrics, scan, segment
 from ..operators.storage import shared_dir, stored
 from ..sources import readers, writers
 from ..schemas import FIELDS
@@ -376,7 +376,7 @@ def segment_columns(spark, d):
 
 @query(f'SELECT user_id, col AS "column", seq, CAST(row_number() OVER ({_W}) - 1 AS INTEGER) AS "order", gap FROM {_GAPS}')
 def reading_order(spark, d):
-    return segment.reading_order(segment.with_gaps(_lines(spark, d), _KEYS), _KEYS).select(*_KEYS, "seq", "order", "gap")
+    return segment.reading_order(_lines(spark, d), _KEYS).select(*_KEYS, "seq", "order", "gap")
 
 
 @query(f'SELECT user_id, col AS "column", median_gap, mad_gap, left_margin, round(indent_q1, 6) AS indent_q1, n_lines, median_gap + 2.0 * mad_gap AS "limit" FROM {_STATS}')
@@ -398,6 +398,41 @@ def page_order(spark, d):
     return segment.in_page_order(segment.segment_entries(_lines(spark, d), ["user_id"]), ["user_id"]).select("user_id", "entry_id", "place")
 
 
+# One page of all events: no task sees it whole.
+
+def _keyless(sql: str) -> str:
+    """The SQL of the whole table as one page of one column: the same, without keys."""
+    for old, new in (("PARTITION BY user_id, col ", ""), (" GROUP BY user_id, col", ""), ("SELECT user_id, col, ", "SELECT "), (" USING (user_id, col)", " ON true")):
+        sql = sql.replace(old, new)
+    return sql
+
+
+@query(f'SELECT median_gap, mad_gap, left_margin, round(indent_q1, 6) AS indent_q1, n_lines, median_gap + 2.0 * mad_gap AS "limit" FROM {_keyless(_STATS)}')
+def gap_stats_whole(spark, d):
+    """Exact medians and a quartile of the whole table."""
+    return segment.gap_stats(_lines(spark, d), []).withColumn("indent_q1", F.round("indent_q1", 6)).select("median_gap", "mad_gap", "left_margin", "indent_q1", "n_lines", "limit")
+
+
+@query(f'SELECT seq, CAST(row_number() OVER ({_keyless(_W)}) - 1 AS INTEGER) AS "order", gap, entry_no FROM {_keyless(_NUMBERED)}')
+def entry_numbers_whole(spark, d):
+    return segment.entry_numbers(_lines(spark, d), []).select("seq", "order", "gap", "entry_no")
+
+
+@query(f'SELECT user_id, col AS "column", seq, CAST(row_number() OVER ({_W}) - 1 AS INTEGER) AS "order", gap, entry_no FROM {_NUMBERED}')
+def entry_numbers_heavy(spark, d):
+    """Keys of more than 5 lines are scanned in parts, the others by windows."""
+    return segment.entry_numbers(_lines(spark, d), _KEYS, rows=5).select(*_KEYS, "seq", "order", "gap", "entry_no")
+
+
+@query("SELECT l_returnflag, median(l_extendedprice) AS mid, quantile_cont(l_quantity, 0.25) AS low, round(quantile_cont(l_extendedprice, 0.9), 4) AS high FROM lineitem GROUP BY l_returnflag")
+def quantiles_of_few_keys(spark, d):
+    """Three keys that hold everything, by ranks."""
+    rows = _t(spark, d, "lineitem").select("l_returnflag", *(F.col(c).cast("double").alias(c) for c in ("l_extendedprice", "l_quantity")))
+    heavy = scan.heavy_keys(rows, ["l_returnflag"], 1_000)
+    got = scan.quantiles(rows, ["l_returnflag"], {"mid": ("l_extendedprice", 0.5), "low": ("l_quantity", 0.25), "high": ("l_extendedprice", 0.9)}, heavy)
+    return got.withColumn("high", F.round("high", 4))
+
+
 @query("SELECT user_id, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events WHERE event_id % 10 / 10.0 >= 0.5 GROUP BY user_id")
 def confidence_filter(spark, d):
     rows = _t(spark, d, "events").groupBy("user_id").agg(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,9 +34,32 @@ def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     fs.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored = path
+    for kept in _open:
+        kept.append(out)
     return out
 
 
+#: Of each call of a settled function that is running: the tables stored meanwhile.
+_open: list[list[DataFrame]] = []
+
+
+def settled(f):
+    """f (giving a table), its result stored; all tables stored on the way go as soon as it is."""
+
+    @wraps(f)
+    def run(*args, **kwargs):
+        _open.append([])
+        try:
+            out = f(*args, **kwargs)
+        finally:
+            made = _open.pop()
+        out = stored(out, f.__name__)
+        discard(*made)
+        return out
+
+    return run
+
+
 def _files(spark: SparkSession, path: str):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at

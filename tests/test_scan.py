@@ -91,7 +91,11 @@ def test_rows_of_a_key_are_scanned_in_parts(spark, monkeypatch):
     """What a window sees of the one key: a part of its rows, and a row for each part."""
     kept = []
     monkeypatch.setattr(scan, "stored", lambda df, name: kept.append(out := stored(df, name)) or out)
-    got = scan.scanned(spark.range(20_000).select(F.col("id").alias("i")), [], ["i"], "place")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = scan.scanned(spark.range(20_000).select(F.col("id").alias("i")), [], ["i"], "place")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert got.where("i <> place").isEmpty()
     part = next(c for c in kept[0].columns if c.startswith("part_"))
     sizes = [r["count"] for r in kept[0].groupBy(part).count().collect()]

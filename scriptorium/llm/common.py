@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import storage
-from ..operators.storage import discard, shared_dir  # noqa: F401  for the operators
+from ..operators.storage import discard, settled, shared_dir  # noqa: F401  for the operators
 
 #: Bytes of text that the vectorised kernels look at together.
 SLICE_BYTES = 1 << 20

@@ -33,7 +33,7 @@ from ..operators.scan import heavy_keys, scanned
 from .common import released, settled, stored, table
 
 #: Levels of a band, and paths through a node beyond which it is a heavy one: what a shard holds at most.
-BAND, HEAVY = 64, 1024
+BAND, HEAVY = 64, 128
 #: Turns that a task gathers before it builds a trie, about.
 FOREST = 1 << 17
 #: Members of a path whose ids are joined by one aggregate; ids in a part of a longer stream.

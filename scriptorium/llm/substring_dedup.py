@@ -3,16 +3,18 @@
 Method: a gear hash rolls over the words (64 bits, 4 a word, hence of the last 16 words). A passage of MIN_WORDS words has
 the least hash in it as its anchor; consecutive passages with one anchor form a chunk. As the anchor depends on nothing
 but the passage, a passage that stands in two documents has the same anchor in both, wherever it begins. Each chunk
-(anchor and digest of all its words) is grouped over the corpus, and its place of least doc_id is its source. Where one
+(anchor and digest of all its words) is grouped over the corpus, and its place of least document is its source. Where one
 anchor has different chunks, as at both ends of a repeat, all passages of the chunks' first holders are compared one by
 one. Passages and chunks that follow each other both in the document and in its source merge into a span: a piece of the
 document that stands in source_doc_id word for word. So every passage of at least MIN_WORDS words that an earlier document
 has is found, to the word, and nothing else.
 
 Defined cases: a null text or one of fewer than MIN_WORDS words has no passage. White space between words doesn't count.
-Rows without doc_id come after all others and count as one document. Repeats inside one document, and rows that share a
-doc_id, are no duplicates of each other. Exact copies are reported whole but in the document of least id. Spans of one document overlap where its parts
-have different sources; the stage cuts their union. An empty table gives an empty result. A text of any length is read
+A document is a pair of doc_id and text: rows that share a doc_id but not the text are documents of their own, as are rows
+without doc_id, which come after all others; of equal doc_ids the least hash of the text comes first. Rows that are equal
+in both are one document. Repeats inside one document are no duplicates. Exact copies under several ids are reported whole
+but in the document of least id. Spans of one document overlap where its parts have different sources; the stage cuts their
+union. An empty table gives an empty result. A text of any length is read
 whole. Other columns are ignored by the operator and kept by the stage, whatever their names.
 """
 
@@ -22,11 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, _powers, mixed, released, slices, stored, table, texts, word_hashes, words_of
+from .common import _powers, mixed, released, settled, slices, stored, table, texts, word_hashes, words_of
 
 #: Words that a passage has at least (over 50), and words that the rolling hash sees.
 MIN_WORDS, SEEN = 51, 16
@@ -76,7 +77,7 @@ def _batch(m: np.ndarray, d: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in arrays], [x.split()[0] for x in PLACE.split(", ")])
 
 
-def _placed(part: list[bytes], ids: np.ndarray, size: int, wanted: list | None = None) -> Iterator[pa.RecordBatch]:
+def _placed(part: list[bytes], ids: np.ndarray, h: np.ndarray, size: int, wanted: list | None = None) -> Iterator[pa.RecordBatch]:
     """The chunks of some texts (n passages each), or by themselves (n = 1) the passages of those that are wanted."""
     buf, starts, ends, first = words_of(part)
     if len(starts) < size:
@@ -93,19 +94,22 @@ def _placed(part: list[bytes], ids: np.ndarray, size: int, wanted: list | None =
             at.append(cut[:-1])
             n.append(np.diff(cut))
         else:
-            own = xxhash.xxh3_64_intdigest(part[k])
-            runs = [np.arange(a + w["pos"], a + w["pos"] + w["n"]) for w in wanted[k] or () if w["h"] % 2**64 == own]
+            runs = [np.arange(a + w["pos"], a + w["pos"] + w["n"]) for w in wanted[k] or ()]
             at.append(np.concatenate(runs) if runs else np.zeros(0, np.int64))
             n.append(np.ones(len(at[-1]), np.int64))
         of.append(np.full(len(at[-1]), k))
     if at:
         at, n, of = np.concatenate(at), np.concatenate(n), np.concatenate(of)
-        h = np.array([xxhash.xxh3_64_intdigest(t) for t in part], np.uint64).view(np.int64)
         yield _batch(m[at], digests.of(at, n + size - 1), ids[of], h[of], at - first[of], n, starts[at] - base[of], ends[at + n + size - 2] - base[of])
 
 
-def _id() -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id")
+def _id(doc_id: str = "doc_id") -> Column:
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id")
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """doc_id and h name a document."""
+    return docs.where("text IS NOT NULL").select(_id(), F.xxhash64("text").alias("h"), "text")
 
 
 def chunk_rows(docs: DataFrame, size: int = MIN_WORDS) -> DataFrame:
@@ -113,30 +117,34 @@ def chunk_rows(docs: DataFrame, size: int = MIN_WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for at, part in slices(batch.column(1)):
-                yield from _placed(part, ids[at : at + len(part)], size)
+            ids, h = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+            for at, part in slices(batch.column(2)):
+                yield from _placed(part, ids[at : at + len(part)], h[at : at + len(part)], size)
 
-    return docs.where("text IS NOT NULL").select(_id(), "text").mapInArrow(released(run), PLACE)
+    return _named(docs).mapInArrow(released(run), PLACE)
 
 
 def passage_rows(docs: DataFrame, wanted: DataFrame, size: int = MIN_WORDS) -> DataFrame:
     """As chunk_rows, for each passage by itself of the chunks in wanted (doc_id, h, pos, n)."""
-    asked = wanted.groupBy("doc_id").agg(F.collect_set(F.struct("h", "pos", "n")).alias("wanted"))
-    here = docs.where("text IS NOT NULL").select(_id(), "text").join(asked, "doc_id").select("doc_id", "text", "wanted")
+    asked = wanted.groupBy("doc_id", "h").agg(F.collect_set(F.struct("pos", "n")).alias("wanted"))
+    here = _named(docs).join(asked, ["doc_id", "h"]).select("doc_id", "h", "text", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for at, part in slices(batch.column(1)):
-                yield from _placed(part, ids[at : at + len(part)], size, batch.column(2).slice(at, len(part)).to_pylist())
+            ids, h = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+            for at, part in slices(batch.column(2)):
+                yield from _placed(part, ids[at : at + len(part)], h[at : at + len(part)], size, batch.column(3).slice(at, len(part)).to_pylist())
 
     return here.mapInArrow(released(run), PLACE)
 
 
 def _sources(rows: DataFrame) -> DataFrame:
-    """For each m and d, the place of least doc_id (kept) and the greatest doc_id (other)."""
-    return rows.groupBy("m", "d").agg(F.min(F.struct("doc_id", "h", "pos")).alias("kept"), F.max("doc_id").alias("other"))
+    """For each m and d, the place in the least document (kept) and the greatest document (other)."""
+    return rows.groupBy("m", "d").agg(F.min(F.struct("doc_id", "h", "pos")).alias("kept"), F.max(F.struct("doc_id", "h")).alias("other"))
+
+
+#: The document of the source, of a row, and of what else has it.
+_KEPT, _OWN = "struct(kept.doc_id, kept.h)", "struct(doc_id, h)"
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -147,20 +155,20 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     made = stored(chunk_rows(docs, min_words), "chunks")
     first = stored(_sources(made), "sources")
     # anchors with different chunks in different documents
-    open_ = first.groupBy("m").agg(F.min("kept.doc_id").alias("lo"), F.max("kept.doc_id").alias("hi")).where("lo < hi").select("m", F.lit(True).alias("open"))
-    shared = first.join(stored(open_, "open"), "m", "left").where("open OR kept.doc_id < other").drop("other")
+    open_ = first.groupBy("m").agg(F.min(F.expr(_KEPT)).alias("lo"), F.max(F.expr(_KEPT)).alias("hi")).where("lo < hi").select("m", F.lit(True).alias("open"))
+    shared = first.join(stored(open_, "open"), "m", "left").where(f"open OR {_KEPT} < other").drop("other")
     # as stored tables these are shuffled for the join by themselves, which lets adaptive execution split a hot partition
-    met = stored(made.join(stored(shared, "shared"), ["m", "d"]).where("doc_id > kept.doc_id OR open AND doc_id = kept.doc_id"), "met").drop("m", "d")
-    alone = stored(passage_rows(docs, met.where("doc_id = kept.doc_id").select("doc_id", "h", "pos", "n"), min_words), "passages")
-    repeated = stored(_sources(alone).where("kept.doc_id < other").drop("other"), "repeated")
-    single = alone.join(repeated, ["m", "d"]).where("doc_id > kept.doc_id").drop("m", "d")
-    places = met.where("doc_id > kept.doc_id").drop("open").unionByName(single).withColumn("diagonal", F.col("pos") - F.col("kept.pos"))
+    met = stored(made.join(stored(shared, "shared"), ["m", "d"]).where(f"{_OWN} > {_KEPT} OR open AND {_OWN} = {_KEPT}"), "met").drop("m", "d")
+    alone = stored(passage_rows(docs, met.where(f"{_OWN} = {_KEPT}").select("doc_id", "h", "pos", "n"), min_words), "passages")
+    repeated = stored(_sources(alone).where(f"{_KEPT} < other").drop("other"), "repeated")
+    single = alone.join(repeated, ["m", "d"]).where(f"{_OWN} > {_KEPT}").drop("m", "d")
+    places = met.where(f"{_OWN} > {_KEPT}").drop("open").unionByName(single).withColumn("diagonal", F.col("pos") - F.col("kept.pos"))
     key = ["doc_id", "h", "source_doc_id", "source_h", "diagonal"]
     places = places.select("*", F.col("kept.doc_id").alias("source_doc_id"), F.col("kept.h").alias("source_h")).drop("kept").distinct()
     order = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     runs = places.withColumn("g", F.col("pos") + F.col("n") - F.sum("n").over(order))
     out = runs.groupBy(*key, "g").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), (F.sum("n") + min_words - 1).alias("n_words"), F.count(F.lit(1)).alias("n_chunks"))
-    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "h", "start", "stop", "n_words", "n_chunks", "source_doc_id")
+    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "h", "start", "stop", "n_words", "n_chunks", F.nullif("source_doc_id", F.lit(NO_ID)).alias("source_doc_id"))
 
 
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -168,22 +176,21 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     # columns go by position, so that any names do
     names = docs.columns
     own = {names[i]: f"_{i}" for i in range(len(names))}
-    cut = spans.groupBy(_id().alias("of")).agg(F.collect_set(F.struct("h", "start", "stop")).alias("cut"))
+    cut = spans.groupBy(_id().alias("of"), F.col("h").alias("of_h")).agg(F.collect_set(F.struct("start", "stop")).alias("cut"))
     here = docs.toDF(*own.values())
     text = F.col(own["text"])
-    here = here.join(cut, F.coalesce(F.col(own["doc_id"]).cast("long"), F.lit(NO_ID)) == F.col("of"), "left")
+    here = here.join(cut, (_id(own["doc_id"]) == F.col("of")) & (F.xxhash64(text) == F.col("of_h")), "left")
 
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for text, cuts in batches:
             out = []
             for t, c in zip(texts(text), cuts.to_pylist(), strict=True):
-                own = xxhash.xxh3_64_intdigest(t or b"")
                 at, rest = 0, []
-                for x in sorted((x for x in c or () if x["h"] % 2**64 == own), key=lambda x: x["start"]):
+                for x in sorted(c or (), key=lambda x: x["start"]):
                     if not at or t[at : x["start"]].strip():
                         rest.append(t[at : x["start"]].rstrip(b" "))
                     at = max(at, x["stop"])
-                out.append(b" ".join([*rest, t[at:].lstrip(b" ")]).strip().decode() if rest else None)  # null: no span is of this text
+                out.append(b" ".join([*rest, t[at:].lstrip(b" ")]).strip().decode() if rest else None)  # null: no span
             yield pa.array(out, pa.string())
 
     run.__annotations__ = {"batches": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
@@ -195,13 +202,13 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("h")
+    return settled(repeated_spans)(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("h")
 
 
 def stage_substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated spans out of all documents but the first that has them. Defined cases: as above; a text that is left
     without a word goes, with its row; a text without a repeated span, a null one too, stays as it is."""
-    return without_spans(docs, stored(repeated_spans(docs.select("doc_id", "text")), "spans"))
+    return without_spans(docs, settled(repeated_spans)(docs.select("doc_id", "text")))
 
 
 QUERIES = {"op5_substring_dedup": op5_substring_dedup}

@@ -96,3 +96,51 @@ def test_stage_by_brute_force(spark):
     gone, left = _repeated_words(rows), {r.doc_id: r.text for r in substring_dedup.stage_substring_dedup(spark, df, "").collect()}
     want = {i: [w for k, w in enumerate(t.split()) if k not in gone[i]] for i, t in rows}
     assert gone and {i: (t or "").split() for i, t in left.items()} == {i: w for i, w in want.items() if w or not gone[i]}
+
+
+def _documents(spark, rows):
+    """Rows in the operator's order of documents, numbered."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(rows, "doc_id long, text string").distinct()
+    found = df.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    return sorted(found, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.h))
+
+
+def test_rows_without_or_with_shared_ids_are_documents_of_their_own(spark):
+    rng = np.random.default_rng(8)
+    pool = [_run(rng, int(rng.integers(51, 90))) for _ in range(10)]
+    ids = [None, None, None, 7, 7, 8, *range(20, 60)]
+    rows = [(ids[int(rng.integers(0, len(ids)))], f"{_run(rng, 20)} {pool[int(rng.integers(0, 10))]} {_run(rng, 20)} {pool[int(rng.integers(0, 10))]}") for _ in range(90)]
+    rows += [(None, f"{_run(rng, 9)} {pool[0]}"), (7, f"{_run(rng, 9)} {pool[0]}"), (7, rows[0][1]), rows[0], rows[0]]
+    docs = _documents(spark, rows)
+    want = _repeated_words([(k, r.text) for k, r in enumerate(docs)])
+    at = {(r.doc_id, r.h): k for k, r in enumerate(docs)}
+    got = defaultdict(set)
+    for r in substring_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        raw = docs[at[r.doc_id, r.h]].text.encode()
+        first = len(raw[: r.start].split())
+        got[at[r.doc_id, r.h]] |= set(range(first, first + r.n_words))
+    assert got == want and sum(docs[k].doc_id is None for k in got) > 5 and sum(docs[k].doc_id == 7 for k in got) > 2
+    left = substring_dedup.stage_substring_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    words = [[w for k, w in enumerate(r.text.split()) if k not in want[at[r.doc_id, r.h]]] for r in docs]
+    # rows that are equal are one document: each is cut alike
+    times = defaultdict(int)
+    for r in rows:
+        times[r] += 1
+    expected = [(r.doc_id, w) for r, w in zip(docs, words, strict=True) for _ in range(times[r.doc_id, r.text]) if w]
+    assert sorted(((r.doc_id, r.text.split()) for r in left), key=repr) == sorted(expected, key=repr)
+
+
+def test_many_rows_without_ids_take_time_in_proportion(spark):
+    import time
+
+    rng = np.random.default_rng(9)
+    passage, took = _run(rng, 60), []
+    for n in (500, 2_000, 20_000):
+        df = spark.createDataFrame([(None, f"w{k} x{k} {passage} y{k}") for k in range(n)], "doc_id long, text string")
+        began = time.time()
+        left = substring_dedup.stage_substring_dedup(spark, df, "").select("text").collect()
+        took.append(time.time() - began)
+        assert sum(passage in r.text for r in left) == 1 and len(left) == n
+    assert took[2] < 10 * max(took[0], took[1])  # 40 times the rows of the first

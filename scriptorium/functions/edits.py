@@ -1,98 +1,119 @@
 """Edit distances and scripts.
 
 Totals use the built-in distance. Scripts (which characters or words were replaced, dropped, added) come from an Arrow
-UDF that aligns from the end, preferring deletion to match or substitution to insertion. Long texts keep some rows of
-the alignment table and make the others again, so memory grows with a text's length to the power of 1.5."""
+UDF that aligns from the end, preferring deletion to match or substitution to insertion. A row of the alignment table is
+a pair of whole numbers whose bits are the differences between neighbouring cells, so a step takes all columns at once.
+Long texts keep some rows and make the others again, so memory grows with a text's length to the power of 1.5, in bits."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schemas import EDIT
+from .blocks import gaps
 from .text import tokens
 
-#: Cells of an alignment table that is held whole.
-CELLS = 4_096
-
-
-def _next_row(above: np.ndarray, x: int, b: np.ndarray, i: int, index: np.ndarray) -> np.ndarray:
-    row = above + 1
-    row[1:] = np.minimum(row[1:], above[:-1] + (b != x))
-    row[0] = i
-    return np.minimum.accumulate(row - index) + index  # insertions, from left to right
-
-
-def _table(a: Sequence, b: Sequence) -> Callable[[int], Sequence[int]]:
-    """The rows of the alignment table, by number; asked for from the last to the first."""
-    if (len(a) + 1) * (len(b) + 1) <= CELLS:
-        rows = [list(range(len(b) + 1))]
-        for i, x in enumerate(a, 1):
-            above, row = rows[-1], [i]
-            for j, y in enumerate(b, 1):
-                row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
-            rows.append(row)
-        return rows.__getitem__
-    names: dict = {}
-    ca, cb = ([names.setdefault(x, len(names)) for x in t] for t in (a, b))
-    cb, index = np.array(cb), np.arange(len(b) + 1)
-    step = math.isqrt(len(a)) + 1
-    kept, row = {0: index}, index
-    for i, x in enumerate(ca, 1):
-        row = _next_row(row, x, cb, i, index)
+#: Bits of an alignment table that is held whole.
+HELD = 1 << 24
+
+
+class _Rows:
+    """The alignment table of a (rows) against b (columns), by the differences of its cells."""
+
+    def __init__(self, a: Sequence, b: Sequence) -> None:
+        self.a, self.width = a, len(b)
+        self.mask = (1 << len(b)) - 1
+        self.places: dict = {}
+        bit = 1
+        for x in b:
+            self.places[x] = self.places.get(x, 0) | bit
+            bit <<= 1
+
+    def steps(self, first: int, last: int, up: int, down: int) -> Iterator[tuple[int, int, int, int]]:
+        """For each row from first + 1 to last: the columns where it is one more and one less than the row before, where it
+        equals its upper left neighbour, and (as up and down) where it rises and falls from left to right."""
+        get, mask = self.places.get, self.mask
+        for x in self.a[first:last]:
+            same = get(x, 0)
+            level = (((same & up) + up) ^ up | same | down) & mask
+            more, less = down | mask & ~(level | up), level & up
+            shifted = more << 1 | 1
+            down = level & shifted & mask
+            up = (less << 1 | ~(level | shifted)) & mask
+            yield more, level, up, down
+
+    def distance(self) -> int:
+        if not self.width:
+            return len(self.a)
+        top, total, up, down = 1 << (self.width - 1), self.width, self.mask, 0
+        for more, level, up_, down in self.steps(0, len(self.a), up, down):
+            # less stands where the row before rose and the level is kept
+            total += 1 if more & top else -1 if level & up & top else 0
+            up = up_
+        return total
+
+
+def _backwards(rows: _Rows) -> Iterator[tuple[int, int]]:
+    """(more, level) of each row, from the last to the first."""
+    n = len(rows.a)
+    if 2 * n * rows.width <= HELD:
+        yield from reversed([(more, level) for more, level, _, _ in rows.steps(0, n, rows.mask, 0)])
+        return
+    step = math.isqrt(n) + 1
+    kept = [(rows.mask, 0)]
+    for i, (_, _, up, down) in enumerate(rows.steps(0, n, rows.mask, 0), 1):
         if i % step == 0:
-            kept[i // step] = row
-    made: dict = {}
+            kept.append((up, down))
+    for at in range((n - 1) // step, -1, -1):
+        yield from reversed([(more, level) for more, level, _, _ in rows.steps(at * step, min((at + 1) * step, n), *kept[at])])
 
-    def get(i: int) -> np.ndarray:
-        at = i // step
-        if made.get("at") != at:
-            rows = [kept[at]]
-            for k in range(at * step, min((at + 1) * step - 1, len(ca))):
-                rows.append(_next_row(rows[-1], ca[k], cb, k + 1, index))
-            made.update(at=at, rows=rows)
-        return made["rows"][i - at * step]
 
-    return get
+def _common_ends(gold: Sequence, extracted: Sequence) -> tuple[int, int]:
+    """How many elements both have in common at the beginning, and of the rest at the end."""
+    least = min(len(gold), len(extracted))
+    lead = next((k for k in range(least) if gold[k] != extracted[k]), least)
+    return lead, next((k for k in range(least - lead) if gold[-1 - k] != extracted[-1 - k]), least - lead)
 
 
 def edit_script(gold: Sequence, extracted: Sequence) -> list[tuple[str, str, str, int]]:
     """(op, gold character, extracted character, position) from left to right; of words, if these are lists of words."""
-    lead = 0
-    while lead < min(len(gold), len(extracted)) and gold[lead] == extracted[lead]:
-        lead += 1
-    tail = 0
-    while tail < min(len(gold), len(extracted)) - lead and gold[-1 - tail] == extracted[-1 - tail]:
-        tail += 1
+    lead, tail = _common_ends(gold, extracted)
     a, b = gold[lead : len(gold) - tail], extracted[lead : len(extracted) - tail]
-    row = _table(a, b)
-    i, j, out = len(a), len(b), []
-    while i or j:
-        here = row(i)[j]
-        if i and row(i - 1)[j] + 1 == here:
-            i -= 1
-            out.append(("deletion", a[i], "", lead + i))
-        elif i and j and row(i - 1)[j - 1] + (a[i - 1] != b[j - 1]) == here:
-            i, j = i - 1, j - 1
-            if a[i] != b[j]:
-                out.append(("substitution", a[i], b[j], lead + i))
-        else:
+    j, out = len(b), []
+    for i, (more, level) in zip(range(len(a) - 1, -1, -1), _backwards(_Rows(a, b)) if b else ((0, 0) for _ in a), strict=True):
+        x = a[i]
+        while True:
+            if not j or more >> (j - 1) & 1:
+                out.append(("deletion", x, "", lead + i))
+                break
+            if x == b[j - 1]:
+                j -= 1
+                break
+            if not level >> (j - 1) & 1:
+                j -= 1
+                out.append(("substitution", x, b[j], lead + i))
+                break
             j -= 1
             out.append(("insertion", "", b[j], lead + j))
+    out += [("insertion", "", b[k], lead + k) for k in range(j - 1, -1, -1)]
     return out[::-1]
 
 
-def block_script(gold: str, extracted: str) -> list[tuple[str, str, str, int]]:
-    """The script of difflib's matching blocks: replaced stretches are paired from the left. Not the shortest one."""
-    from difflib import SequenceMatcher
+def edit_distance(gold: Sequence, extracted: Sequence) -> int:
+    """The number of edits; of words, if these are lists of words."""
+    lead, tail = _common_ends(gold, extracted)
+    return _Rows(gold[lead : len(gold) - tail], extracted[lead : len(extracted) - tail]).distance()
+
 
+def block_script(gold: str, extracted: str) -> list[tuple[str, str, str, int]]:
+    """The script of matching blocks: replaced stretches are paired from the left. Not the shortest one."""
     out = []
-    for _, i, i2, j, j2 in (x for x in SequenceMatcher(None, gold, extracted).get_opcodes() if x[0] != "equal"):
+    for i, i2, j, j2 in gaps(gold, extracted):
         both = min(i2 - i, j2 - j)
         out += [("substitution", gold[i + k], extracted[j + k], i + k) for k in range(both)]
         out += [("deletion", gold[k], "", k) for k in range(i + both, i2)]
@@ -115,22 +136,14 @@ def edit_ops(gold: Column | str, extracted: Column | str, mode: str = "shortest"
 
 
 def word_distance(gold: Column | str, extracted: Column | str) -> Column:
-    """The edit distance of two texts by words: each distinct word of the pair becomes a character, then the built-in counts."""
+    """The edit distance of two texts by words."""
 
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        kind = pa.struct([("a", pa.string()), ("b", pa.string())])
         for x, y in batches:
-            rows = []
-            for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True):
-                letters: dict[str, str] = {}
-                # past the surrogates: room for over a million distinct words
-                a, b = ("".join(letters.setdefault(w, chr((n := len(letters) + 33) + (2048 if n >= 0xD800 else 0))) for w in t or ()) for t in (p, q))
-                rows.append({"a": a, "b": b})
-            yield pa.array(rows, kind)
+            yield pa.array([edit_distance(p or [], q or []) for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.int32())
 
     run.__annotations__ = {"batches": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
-    coded = F.arrow_udf(run, "a string, b string")(tokens(gold), tokens(extracted))
-    return F.levenshtein(coded["a"], coded["b"])
+    return F.arrow_udf(run, "int")(tokens(gold), tokens(extracted))
 
 
 WORD_OPS = ("substitutions", "deletions", "insertions")
@@ -141,12 +154,10 @@ def _counted_ops(gold: list[str], extracted: list[str], mode: str) -> tuple[int,
     if mode == "shortest":
         ops = [o[0] for o in edit_script(gold, extracted)]
         return ops.count("substitution"), ops.count("deletion"), ops.count("insertion")
-    from difflib import SequenceMatcher
-
-    n = {"replace": 0, "delete": 0, "insert": 0, "equal": 0}
-    for tag, i, i2, j, j2 in SequenceMatcher(None, gold, extracted).get_opcodes():
-        n[tag] += max(i2 - i, j2 - j)
-    return n["replace"], n["delete"], n["insert"]
+    n = [0, 0, 0]
+    for i, i2, j, j2 in gaps(gold, extracted):
+        n[0 if i < i2 and j < j2 else 1 if i < i2 else 2] += max(i2 - i, j2 - j)
+    return tuple(n)
 
 
 def word_ops(gold: Column | str, extracted: Column | str, mode: str = "shortest") -> Column:

@@ -1,30 +1,25 @@
 """Similarity of two texts.
 
-The default is the matching-block ratio of Python's difflib (not symmetric; gold comes first), as an Arrow UDF; the
-edit ratio is JVM-side. Both have the same sound bound: the multiset of shared characters."""
+The default is the matching-block ratio as Python's difflib defines it (not symmetric; gold comes first), as an Arrow UDF;
+the edit ratio is JVM-side. Both have the same sound bound: the multiset of shared characters."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def similarity(a: str, b: str) -> float:
-    """1 for two empty texts, 0 if one is, else difflib's ratio."""
-    if not a or not b:
-        return float(a == b)
-    return SequenceMatcher(None, a, b).ratio()
+from .blocks import Places, similarity
 
 
 def ratio(a: Column | str, b: Column | str) -> Column:
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        known = lru_cache(maxsize=100_000)(similarity)
+        places = lru_cache(maxsize=1_000)(Places)
+        known = lru_cache(maxsize=100_000)(lambda p, q: similarity(p, places(q)))
         for x, y in batches:
             yield pa.array([known(p or "", q or "") for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)], pa.float64())
 

@@ -342,6 +342,33 @@ ops AS (SELECT a, b, sum(least(di, dj)) AS substitution, sum(greatest(di - dj, 0
 SELECT field, op, CAST(sum(n * m) AS BIGINT) AS n FROM texts JOIN (UNPIVOT ops ON substitution, deletion, insertion INTO NAME op VALUE m) USING (a, b) GROUP BY field, op HAVING sum(n * m) > 0"""
 
 
+#: The same for long texts: a run is a piece of a diagonal, cut to the part; popular letters of a long b begin none but prolong it (f, to).
+_LEADING = "len(list_filter(range(1, least(ah - al, bh - bl) + 1), lambda n: substr(a, al + 1, n) = substr(b, bl + 1, n)))"
+_CUT = "list_max(list_transform(runs, lambda r: {'n': least(r.s + r.n, ah, bh + r.d) - greatest(r.s, al, bl + r.d), 'i': -greatest(r.s, al, bl + r.d), 'j': r.d - greatest(r.s, al, bl + r.d), 'f': r.f, 'e': r.e}))"
+_BOX = f"""SELECT k, al, ah, bl, bh, CASE WHEN x.n > 0 THEN greatest(x.f, al, bl + x.j - x.i) ELSE al END AS lo, CASE WHEN x.n > 0 THEN x.j - x.i ELSE al - bl END AS d,
+    CASE WHEN x.n > 0 THEN least(x.e, ah, bh + x.j - x.i) ELSE al + {_LEADING} END AS hi FROM (SELECT *, {_CUT} AS x FROM (GIVEN) JOIN lists USING (k))"""
+_LONG_RATIO = f"""WITH RECURSIVE texts AS (SELECT row_number() OVER () AS k, a, substr(c, length(c) // 3 + 1) || substr(c, 1, length(c) // 3) AS b FROM (SELECT a, replace(a, 'th', 'd') AS c FROM (SELECT DISTINCT coalesce(text, '') AS a FROM conversations))),
+ca AS (SELECT k, i - 1 AS i, substr(a, i, 1) AS c FROM (SELECT k, a, unnest(range(1, length(a) + 1)) AS i FROM texts)),
+cb AS (SELECT k, j - 1 AS j, substr(b, j, 1) AS c, n, count(*) OVER (PARTITION BY k, substr(b, j, 1)) AS m FROM (SELECT k, b, length(b) AS n, unnest(range(1, length(b) + 1)) AS j FROM texts)),
+cells AS (SELECT k, i, i - j AS d, n < 200 OR m <= n // 100 + 1 AS core FROM ca JOIN cb USING (k, c)),
+whole AS (SELECT k, d, min(i) AS f, max(i) + 1 AS e FROM (SELECT *, i - row_number() OVER (PARTITION BY k, d ORDER BY i) AS g FROM cells) GROUP BY k, d, g),
+cores AS (SELECT k, d, min(i) AS s, count(*) AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY k, d ORDER BY i) AS g FROM cells WHERE core) GROUP BY k, d, g),
+lists AS (SELECT k, a, b, coalesce(runs, []) AS runs FROM texts LEFT JOIN (SELECT k, list({{'s': s, 'n': n, 'd': d, 'f': f, 'e': e}}) AS runs FROM cores c JOIN whole w USING (k, d) WHERE f <= s AND s < e GROUP BY k) USING (k)),
+parts AS ({_BOX.replace("GIVEN", "SELECT k, 0::BIGINT AS al, length(a) AS ah, 0::BIGINT AS bl, length(b) AS bh FROM texts WHERE a <> ''")}
+    UNION ALL {_BOX.replace("GIVEN", "SELECT * FROM (SELECT k, al, lo AS ah, bl, lo - d AS bh FROM parts WHERE hi > lo UNION ALL SELECT k, hi, ah, hi - d, bh FROM parts WHERE hi > lo) WHERE al < ah AND bl < bh")}),
+ratios AS (SELECT a, CASE WHEN a = '' THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * total / (length(a) + length(b)) END AS r FROM texts LEFT JOIN (SELECT k, sum(hi - lo) AS total FROM parts GROUP BY k) USING (k))
+SELECT conv_id, turn, round(r, 9) AS ratio FROM conversations JOIN ratios ON a = coalesce(text, '')"""
+
+
+@query(_LONG_RATIO)
+def block_ratio_of_turns(spark, d):
+    """Whole turns, most of them of more than 200 letters, against a copy that is turned round and has fewer letters."""
+    changed = F.replace(F.coalesce("text", F.lit("")), F.lit("th"), F.lit("d"))
+    third = F.floor(F.length("c") / 3).cast("int")
+    rows = _t(spark, d, "conversations").withColumn("c", changed).withColumn("b", F.concat(F.substring("c", third + 1, F.length("c")), F.substring("c", F.lit(1), third)))
+    return rows.select("conv_id", "turn", F.round(ratio("text", "b"), 9).alias("ratio"))
+
+
 @query(_BLOCK_OPS)
 def block_edit_ops(spark, d):
     """The alternative alignment by matching blocks: counts of its edits."""

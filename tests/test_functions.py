@@ -105,7 +105,7 @@ def test_long_scripts(monkeypatch):
         a, b = ("".join(rng.choices("abc ", k=rng.randint(0, 90))) for _ in range(2))
         want = edits.edit_script(a, b)
         with monkeypatch.context() as m:
-            m.setattr(edits, "CELLS", 0)
+            m.setattr(edits, "HELD", 0)
             assert edits.edit_script(a, b) == want
             assert edits.edit_script(a.split(), b.split()) == edits.edit_script(a.split(), b.split())
     assert len(edits.edit_script("a" * 9_000, "b" * 8_000)) == 9_000

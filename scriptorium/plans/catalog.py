@@ -14,8 +14,8 @@ from ..functions import geometry, text
 from ..functions.similarity import edit_ratio, ratio
 from ..operators import experiments, layout, matching, metrics, scan, segment
 from ..operators.storage import shared_dir, stored
-from ..sources import readers, writers
-from ..schemas import FIELDS
+from ..schemas import FIELDS, JSON_RECORD, LAYOUT
+from ..sources import parts, readers, writers
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -610,11 +610,12 @@ def _folder(spark) -> str:
 
 @query(f"SELECT row_number() OVER (ORDER BY a.seq) - 1 AS place, * EXCLUDE (seq) FROM ({_ARTICLES}) a")
 def tsv_file(spark, d):
-    """Written as one tab-separated file, the last part appended, and read again."""
-    path, rows = f"{_folder(spark)}/a.tsv", _articles(spark, d)
-    writers.write_tsv(rows.where("seq <= 50"), path)
-    writers.write_tsv(rows.where("seq > 50"), path, append=True)
-    return readers.read_tsv(spark, path).select(F.col("seq").cast("long").alias("place"), *FIELDS.values())
+    """Written as tab-separated parts in order, the last ones appended, and read again with places; a batch that comes twice counts once."""
+    path, rows = f"{_folder(spark)}/a", _articles(spark, d)
+    parts.write_tsv(rows.where("seq <= 50"), path, ["seq"], drop=["seq"])
+    for _ in range(2):
+        parts.write_tsv(rows.where("seq > 50"), path, ["seq"], append=True, batch="rest", drop=["seq"])
+    return parts.read_tsv(spark, path).select("place", *FIELDS.values())
 
 
 @query(f"SELECT * EXCLUDE (seq) FROM ({_ARTICLES})")
@@ -627,19 +628,18 @@ def tsv_parts(spark, d):
 
 @query(f"SELECT row_number() OVER (ORDER BY a.seq) - 1 AS place, * EXCLUDE (seq) FROM ({_ARTICLES}) a")
 def json_file(spark, d):
-    """Written as one JSON array and read again."""
-    path = f"{_folder(spark)}/a.json"
-    named = _articles(spark, d)
-    writers.write_json_array(named.select("seq", *(F.col(v).alias(k) for k, v in FIELDS.items())), path)
-    return readers.read_records_json(spark, path).select(F.col("seq").cast("long").alias("place"), *FIELDS.values())
+    """Written as JSON arrays in order and read again with places."""
+    path = f"{_folder(spark)}/a"
+    parts.write_json(_articles(spark, d).select("seq", *(F.col(v).alias(k) for k, v in FIELDS.items())), path, ["seq"], drop=["seq"])
+    return parts.read_json(spark, path, JSON_RECORD).select("place", *(F.col(k).alias(v) for k, v in FIELDS.items()))
 
 
 @query(f"SELECT input_path, count(*) AS n, CAST(sum(n) AS BIGINT) AS orders FROM {_BLOCKS} WHERE label = 'text' AND content <> '' GROUP BY input_path")
 def layout_files(spark, d):
     """Layouts written as JSON and read again."""
-    path = f"{_folder(spark)}/l.json"
-    writers.write_json_array(_layouts(spark, d), path)
-    return layout.layout_blocks(readers.read_layouts(spark, path)).groupBy("input_path").agg(F.count(F.lit(1)).alias("n"), F.sum("block_order").alias("orders"))
+    path = f"{_folder(spark)}/l"
+    parts.write_json(_layouts(spark, d), path)
+    return layout.layout_blocks(parts.read_json(spark, path, LAYOUT)).groupBy("input_path").agg(F.count(F.lit(1)).alias("n"), F.sum("block_order").alias("orders"))
 
 
 @query("SELECT n_nationkey || '.png' AS name, CASE WHEN n_nationkey % 3 = 0 THEN 'md ' || n_name ELSE 'txt ' || n_name END AS text FROM nation WHERE n_nationkey % 3 <> 2 OR n_nationkey % 2 = 0 ORDER BY name")
@@ -649,7 +649,7 @@ def sidecar_files(spark, d):
     file = lambda ending, kind: F.struct(F.concat(F.col("n_nationkey").cast("string"), F.lit(ending)).alias("name"), F.concat(F.lit(kind), "n_name").cast("binary").alias("content"))
     n = F.col("n_nationkey")
     each = F.array(file(".png", "image "), F.when(n % 3 == 0, file(".md", "md ")), F.when((n % 3 != 2) | (n % 2 == 0), file(".txt", "txt ")))
-    writers.write_files(rows.select(F.explode(F.array_compact(each)).alias("f")).select("f.*"), folder)
+    parts.write_files(rows.select(F.explode(F.array_compact(each)).alias("f")).select("f.*"), folder)
     texts = readers.read_texts(spark, f"{folder}/*.{{md,txt}}").withColumn("kind", F.regexp_extract("path", r"\.([^.]*)$", 1))
     found = layout.with_sidecar(readers.read_images(spark, folder, "*.png"), texts.where("kind = 'md'"), texts.where("kind = 'txt'"))
     return found.orderBy("name").select("name", "text")

@@ -54,21 +54,40 @@ def _segment(spark, a) -> None:
     writers.write_json_array(found.orderBy("path", "column", "entry_no"), a.output)
 
 
-def _ocr(spark, a) -> None:
+def _failed(found, key: str, output: str) -> int:
+    """Failures beside the output; the exit code."""
+    failed = stored(recognise.failures(found, key), "failures")
+    writers.write_json_array(failed.orderBy("item"), f"{output}/failures.json")
+    for r in failed.orderBy("item").limit(20).collect():
+        print(f"{r.item}: {r.error}", file=sys.stderr)
+    return 0 if failed.isEmpty() else 1
+
+
+def _engine(a):
+    options = dict(x.partition("=")[::2] for x in a.option or ())
+    return recognise.engine(a.engine, options), f"{a.engine} {sorted(options.items())}"
+
+
+def _ocr(spark, a) -> int:
     """Pages to lines, columns and entries: entries.json and a crop of each entry. Finished recognition is used again."""
     images = recognise.preprocessed_pages(readers.read_images(spark, a.image), extract.PREPROCESS[a.preprocess])
-    found = recognise.reused(spark, f"{a.output}/lines", lambda: recognise.recognised_lines(images, recognise.engine(a.engine)))
+    engine, settings = _engine(a)
+    found = recognise.reused(images, f"{a.output}/lines", f"{settings} {a.preprocess}", lambda todo: recognise.recognised_lines(todo, engine))
     entries = stored(recognise.page_entries(found, a.confidence, a.gap_multiplier, a.padding), "entries")
     writers.write_json_array(entries.orderBy("path", "place"), f"{a.output}/entries.json")
     writers.write_files(recognise.entry_crops(entries, images), f"{a.output}/entry_crops")
+    return _failed(found, "path", a.output)
 
 
-def _layout_ocr(spark, a) -> None:
+def _layout_ocr(spark, a) -> int:
     """Pages to layouts: layouts.json, and a crop and a text of each text block. Finished recognition is used again."""
     images = readers.read_images(spark, a.image).select("path", "content")
-    found = recognise.reused(spark, f"{a.output}/layouts", lambda: recognise.recognised_layouts(images, recognise.engine(a.engine))).where("error IS NULL").drop("error")
+    engine, settings = _engine(a)
+    all_ = recognise.reused(images, f"{a.output}/layouts", settings, lambda todo: recognise.recognised_layouts(todo, engine), "input_path")
+    found = all_.where("error IS NULL").drop("error")
     writers.write_json_array(found.orderBy("input_path"), f"{a.output}/layouts.json")
     writers.write_files(recognise.block_crops(found, images), f"{a.output}/crops")
+    return _failed(all_, "input_path", a.output)
 
 
 def _layout(spark, a) -> None:
@@ -118,8 +137,8 @@ def parser() -> argparse.ArgumentParser:
     out = (("-o", "--output"), {"required": True})
     command("evaluate", _evaluate, (("-e", "--extracted"), {"required": True}), (("-g", "--gold"), {"required": True}), (("-o", "--output"), {}), (("-t", "--threshold"), {"type": float, "default": 0.85}), (("--no-char-analysis",), {"action": "store_true"}))
     command("extract", _extract, (("-i", "--image"), {}), (("--crops-dir",), {}), (("--layout-json",), {}), out, (("-d", "--document"), {}), (("-m", "--model"), {"default": "pattern"}), (("--preprocess",), {"choices": list(extract.PREPROCESS), "default": "none"}), (("--layout-image",), {}), (("-p", "--page"), {"type": int, "default": 1}), (("-a", "--append"), {"action": "store_true"}), (("--json",), {"action": "store_true"}))
-    command("ocr", _ocr, (("-i", "--image"), {"required": True}), out, (("-e", "--engine"), {"required": True}), (("--preprocess",), {"choices": list(extract.PREPROCESS), "default": "none"}), (("--padding",), {"type": int, "default": 20}), (("--confidence",), {"type": float, "default": 0.5}), (("--gap-multiplier",), {"type": float, "default": 2.0}))
-    command("layout-ocr", _layout_ocr, (("-i", "--image"), {"required": True}), out, (("-e", "--engine"), {"required": True}))
+    command("ocr", _ocr, (("-i", "--image"), {"required": True}), out, (("-e", "--engine"), {"required": True}), (("--option",), {"action": "append", "metavar": "KEY=VALUE", "help": "for the engine, as often as needed"}), (("--preprocess",), {"choices": list(extract.PREPROCESS), "default": "none"}), (("--padding",), {"type": int, "default": 20}), (("--confidence",), {"type": float, "default": 0.5}), (("--gap-multiplier",), {"type": float, "default": 2.0}))
+    command("layout-ocr", _layout_ocr, (("-i", "--image"), {"required": True}), out, (("-e", "--engine"), {"required": True}), (("--option",), {"action": "append", "metavar": "KEY=VALUE", "help": "for the engine, as often as needed"}))
     command("segment", _segment, (("-i", "--input"), {"required": True}), out, (("--width",), {"type": float, "required": True}), (("--height",), {"type": float, "default": 1e9}), (("--padding",), {"type": int, "default": 20}), (("--confidence",), {"type": float, "default": 0.5}), (("--gap-multiplier",), {"type": float, "default": 2.0}))
     command("layout", _layout, (("-i", "--input"), {"required": True}), out)
     command("annotate", _annotate, (("-i", "--image"), {"required": True}), (("-j", "--json"), {"required": True}), out, (("--thickness",), {"type": int, "default": 3}))
@@ -131,8 +150,7 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
-    args.run(shipped(local_session()), args)
-    return 0
+    return args.run(shipped(local_session()), args) or 0
 
 
 if __name__ == "__main__":

@@ -59,8 +59,25 @@ def strip_code_fence(x: Column | str) -> Column:
 
 
 def parse_records(x: Column | str, schema: str) -> Column:
-    """JSON text to an array of records: an array, an object with "entries", or one object. Null if it is no JSON."""
-    c = strip_code_fence(x)
+    """JSON text to an array of records: an array, an object with "entries", or one object. Null if it is no JSON.
+
+    The text is parsed once. Elements that are no objects are left out; a field's value is its text, that of a nested
+    one its JSON. Only what the built-in parser of variants can't take (a name twice in an object) is parsed by a schema."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    fields = lambda v: F.struct(*(F.try_variant_get(v, f"$.{n}", "string").alias(n) for n in names))
+    is_object = lambda v: F.schema_of_variant(v).startswith("OBJECT")
+
+    def records(v: Column) -> Column:
+        listed = F.coalesce(F.try_variant_get(v, "$.entries", "array<variant>"), F.try_variant_get(v, "$", "array<variant>"), F.when(is_object(v), F.array(v)))
+        return F.transform(F.filter(listed, lambda e: e.isNotNull() & is_object(e)), fields)
+
+    text = strip_code_fence(x)
+    # as the element of an array the variant has a name, and is made once
+    found = F.element_at(F.transform(F.array(F.try_parse_json(text)), lambda v: records(v)), 1)
+    return F.coalesce(found, _parsed_by_schema(text, schema))
+
+
+def _parsed_by_schema(c: Column, schema: str) -> Column:
     listed, one = f"array<struct<{schema.replace(' string', ': string')}>>", f"struct<{schema.replace(' string', ': string')}>"
     wrapped = F.from_json(c, f"struct<entries: {listed}>")["entries"]
     return F.when(c.startswith("["), F.from_json(c, listed)).otherwise(F.coalesce(wrapped, F.when(c.startswith("{"), F.array(F.from_json(c, one)))))

@@ -3,8 +3,9 @@
 All functions take key columns (a run, a page, ...): records only match within equal keys, so many runs are one job.
 Candidates come from an equi-join on keys of several rare characters of the headwords (sound for the threshold), never
 from a cross join. The greedy assignment, gold records in order, each to its best free candidate, is one pass over the
-pairs of a key in order; keys with more than AT_ONCE pairs are first brought down by rounds that settle, all at once,
-the pairs which nothing that comes earlier can touch. Either way the result is exactly the sequential one."""
+pairs of a key in order; in keys with more than AT_ONCE pairs, ROUNDS rounds first settle, all at once, the pairs which
+nothing that comes earlier can touch, and what is left is taken in order by connected components of the graph of pairs.
+Either way the result is exactly the sequential one."""
 
 from __future__ import annotations
 
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import TOGETHER, bag, may_reach, ratio, with_keys
 from ..functions.text import normalize_text
+from .components import components
+from .scan import same_keys
 from .storage import stored
 
 HEAD = 0.7
@@ -26,6 +29,8 @@ PARTIAL = 0.85
 PAGE = 300
 #: Candidate pairs of one key that one task takes in order, at most.
 AT_ONCE = 1_000_000
+#: Rounds of a large key before its pairs are split by components.
+ROUNDS = 3
 Similarity = Callable[[Column | str, Column | str], Column]
 #: Field names of a record as matched.
 HEADWORD, POS, TRANSLATION = "Headword_Phrase", "POS", "Translation_RU"
@@ -90,19 +95,37 @@ def _settled(left: DataFrame, keys: Sequence[str]) -> DataFrame:
     return best.join(first, [*keys, "g_seq", "e_seq"])
 
 
+def _by_components(left: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The sequential assignment of each connected component by itself: no pair of one touches a pair of another.
+
+    Records are named by hashes; two of one name would only make a component larger."""
+    ends = [F.xxhash64(F.lit(s), *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys), F.col(f"{s}_seq")) for s in ("g", "e")]
+    edges = stored(left.select("*", ends[0].alias("u"), ends[1].alias("v")), "named-pairs")
+    roots = components(edges.select("u", "v")).withColumnRenamed("node", "u").withColumnRenamed("root", "component")
+    return _in_order(edges.join(roots, "u").drop("u", "v"), [*keys, "component"]).drop("component")
+
+
 def greedy_match(pairs: DataFrame, keys: Sequence[str] = (), at_once: int = AT_ONCE) -> DataFrame:
     """Of candidate pairs, those that the sequential greedy assignment takes. pairs should be stored: it is read several times."""
-    left, found = pairs.where("overall > 0"), None
-    while True:
-        large = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > at_once)
+    left, found = pairs.where("overall > 0"), []
+    for k in range(ROUNDS + 1):
+        large = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > at_once).drop("n")
         if large.isEmpty():
-            rest = _in_order(left, keys)
-            return rest if found is None else rest.unionByName(found)
+            found.append(_in_order(left, keys))
+            break
+        if k == ROUNDS:
+            large = stored(large, "large-keys") if keys else large
+            found += [_in_order(same_keys(left, large, keys, "left_anti"), keys)] if keys else []
+            found.append(_by_components(same_keys(left, large, keys, "left_semi") if keys else left, keys))
+            break
         done = stored(_settled(left, keys), "settled")
-        taken = left.join(done, [*keys, "g_seq", "e_seq"]).select(pairs.columns)
-        found = taken if found is None else found.unionByName(taken)
+        found.append(left.join(done, [*keys, "g_seq", "e_seq"]).select(pairs.columns))
         left = left.join(done.select(*keys, "g_seq"), [*keys, "g_seq"], "left_anti").join(done.select(*keys, "e_seq"), [*keys, "e_seq"], "left_anti")
         left = stored(left.select(pairs.columns), "left")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def classify(head: Column | str = "head_score", pos: Column | str = "pos_score", definition: Column | str = "def_score", overall: Column | str = "overall", partial: float = PARTIAL) -> Column:

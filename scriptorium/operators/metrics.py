@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from ..functions.edits import WORD_OPS, edit_ops, word_distance, word_ops
 from ..functions.text import normalize_text, ratio_or_zero, strip, tokens
 from ..schemas import COMPARED
+from .scan import same_keys, scanned_by_parts
+from .storage import stored
 
 OPS = ("substitution", "deletion", "insertion")
+#: Parts that the confusions of an op are dealt to for their ranks.
+SALTS = 64
 
 
 def _grouped(df: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFrame:
@@ -92,10 +96,18 @@ def _first() -> Column:
 def confusions(edits: DataFrame, keys: Sequence[str] = (), top: int | None = 30) -> DataFrame:
     """Counts of (op, gold character, extracted character), their share of the op, and their rank: by count, then by
     first appearance. top: ranks kept of each op; shares are of all."""
-    counts = edits.groupBy(*keys, "op", "gt", "ext").agg(F.count(F.lit(1)).alias("n"), _first())
-    own = Window.partitionBy(*keys, "op")
-    ranked = counts.withColumn("share", F.col("n") / F.sum("n").over(own)).withColumn("rank", F.row_number().over(own.orderBy(F.desc("n"), "first")))
-    return (ranked.where(F.col("rank") <= top) if top is not None else ranked).drop("first")
+    counts = stored(edits.groupBy(*keys, "op", "gt", "ext").agg(F.count(F.lit(1)).alias("n"), _first()), "confusions")
+    own = [*keys, "op"]
+    totals = counts.groupBy(*own).agg(F.sum("n").alias("total"))
+    if top is None:  # all ranks: by a distributed scan, as no task may see all confusions of an op
+        ranked = scanned_by_parts(counts.withColumn("_less", -F.col("n")), own, ["_less", "first"], {"rank": F.lit(1)}).drop("_less")
+    else:  # the best of each salt first
+        order = (F.desc("n"), "first")
+        salted = counts.withColumn("_salt", F.pmod(F.xxhash64("gt", "ext"), F.lit(SALTS)))
+        best = salted.withColumn("rank", F.row_number().over(Window.partitionBy(*own, "_salt").orderBy(*order))).where(F.col("rank") <= top)
+        ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy(*own).orderBy(*order))).where(F.col("rank") <= top).drop("_salt")
+    shared = same_keys(ranked, totals, own, "inner")
+    return shared.select(*own, "gt", "ext", "n", (F.col("n") / F.col("total")).alias("share"), F.col("rank").cast("int").alias("rank"))
 
 
 def confusion_examples(edits: DataFrame, keys: Sequence[str] = (), most: int | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from ..functions.similarity import edit_ratio, ratio
 from ..operators import experiments, layout, matching, metrics, scan, segment
 from ..operators.storage import shared_dir, stored
 from ..schemas import FIELDS, JSON_RECORD, LAYOUT
-from ..sources import parts, readers, writers
+from ..sources import incremental, parts, readers, table_functions, writers
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -655,6 +655,39 @@ def sidecar_files(spark, d):
     return found.orderBy("name").select("name", "text")
 
 
+_SHAPES = """CASE p_partkey % 4 WHEN 0 THEN '[{"headword_phrase": "' || p_name || '", "pos": 5, "grammar_notes": {"a": [1, "x"]}}, "text", null, 7, {"headword_phrase": ""}, {"headword_phrase": "second", "entry_type": null}]'
+WHEN 1 THEN '{"entries": [{"headword_phrase": "' || p_name || '", "literal_meaning": true}, []]}' WHEN 2 THEN '{"headword_phrase": "' || p_name || '", "entries": 3}' ELSE 'sorry, ' || p_name END"""
+
+
+@query("""SELECT p_partkey, CAST(0 AS BIGINT) AS seq, p_name AS headword_phrase, 'word' AS entry_type, CASE WHEN p_partkey % 4 = 0 THEN '5' ELSE '' END AS pos, CASE WHEN p_partkey % 4 = 1 THEN 'true' ELSE '' END AS literal_meaning,
+CASE WHEN p_partkey % 4 = 0 THEN '{"a":[1,"x"]}' ELSE '' END AS grammar_notes FROM part WHERE p_partkey % 4 < 3 UNION ALL SELECT p_partkey, 2, 'second', 'word', '', '', '' FROM part WHERE p_partkey % 4 = 0""")
+def mixed_answers(spark, d):
+    """Arrays that mix records with texts, nulls and numbers, values of any kind, and answers that are no JSON."""
+    rows = readers.records_of_answers(_t(spark, d, "part").select("p_partkey", F.expr(_SHAPES).alias("answer")), strict=False)
+    return rows.select("p_partkey", F.col("seq").cast("long").alias("seq"), "headword_phrase", "entry_type", "pos", "literal_meaning", "grammar_notes")
+
+
+@query("""SELECT p_brand, p_partkey, CASE WHEN error IS NULL THEN row_number() OVER (PARTITION BY p_brand, error IS NULL ORDER BY p_partkey, seq) - 1 END AS "no", seq, headword_phrase, pos, error FROM
+(SELECT p_brand, p_partkey, 0::BIGINT AS seq, p_name AS headword_phrase, CASE WHEN p_partkey % 4 = 0 THEN '5' ELSE '' END AS pos, NULL AS error FROM part WHERE p_partkey % 4 < 3
+UNION ALL SELECT p_brand, p_partkey, 1, 'second', '', NULL FROM part WHERE p_partkey % 4 = 0
+UNION ALL SELECT p_brand, p_partkey, NULL, NULL, NULL, 'JSONDecodeError: Expecting value: line 1 column 1 (char 0)' FROM part WHERE p_partkey % 4 = 3)""")
+def extract_in_sql(spark, d):
+    """Records of answers by a table function, numbered within a brand in the order of its parts; an item that fails is a row with its error."""
+    table_functions.register(spark)
+    _t(spark, d, "part").select("p_brand", "p_partkey", F.expr(_SHAPES).alias("text")).createOrReplaceTempView("scriptorium_items")
+    return spark.sql("SELECT p_brand, p_partkey, no, seq, headword_phrase, pos, error FROM extract_records(TABLE(scriptorium_items) PARTITION BY p_brand ORDER BY (p_partkey), 'given')")
+
+
+@query("SELECT conv_id, turn, length(text) + CASE WHEN conv_id % 5 = 0 THEN 1 ELSE 0 END AS n, CASE WHEN conv_id % 5 = 0 OR conv_id % 2 = 1 THEN 2 ELSE 1 END AS delivery FROM conversations WHERE text IS NOT NULL")
+def two_deliveries(spark, d):
+    """Lengths of turns that are kept: the second delivery adds conversations and changes others, the rest isn't worked on again."""
+    folder, rows = _folder(spark), _t(spark, d, "conversations").where("text IS NOT NULL").select("conv_id", "turn", "text")
+    later = rows.withColumn("text", F.when(F.col("conv_id") % 5 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")))
+    for k, given in enumerate((rows.where("conv_id % 2 = 0"), later), 1):
+        found = incremental.kept(given.withColumn("fingerprint", F.md5("text")), ["conv_id", "turn"], folder, lambda todo, k=k: todo.select("conv_id", "turn", F.length("text").cast("long").alias("n"), F.lit(k).alias("delivery")))
+    return found
+
+
 # --- runs, unions, projections ----------------------------------------------------------------------------------
 
 _RUNS = [("none", "Clean copy", ""), ("a", "One vowel", "a"), ("ae", "Two vowels", "ae"), ("aeo", "Three vowels", "aeo")]

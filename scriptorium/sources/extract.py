@@ -2,7 +2,7 @@
 
 Models (recognisers, language models) are outside this library. An extractor is any picklable object with `extract`;
 Replay gives stored answers and Pattern reads plain lines, so that pipelines run and can be tested offline. `model`
-finds one by a name: pattern, replay:FILE, or MODULE:ATTRIBUTE of a plug-in."""
+finds one by a name: pattern, given, replay:FILE, or MODULE:ATTRIBUTE of a plug-in."""
 
 from __future__ import annotations
 
@@ -51,13 +51,21 @@ class Pattern:
         return json.dumps([{k: v or "" for k, v in r.items()} for r in found], ensure_ascii=False)
 
 
+@dataclass
+class Given:
+    """The text itself is the answer."""
+
+    def extract(self, image: bytes | None, text: str | None, page: int) -> str | None:
+        return text
+
+
 def model(name: str = "pattern") -> Extractor:
-    """pattern; replay:FILE, a JSON object of answers by text; or MODULE:ATTRIBUTE, which is called if it is no extractor itself."""
+    """pattern; given; replay:FILE, a JSON object of answers by text; or MODULE:ATTRIBUTE, which is called if it is no extractor itself."""
     kind, _, rest = name.partition(":")
-    if name == "pattern":
-        return Pattern()
+    if name in ("pattern", "given"):
+        return Pattern() if name == "pattern" else Given()
     if not rest:
-        raise ValueError(f"unknown model {name}: give pattern, replay:FILE or MODULE:ATTRIBUTE")
+        raise ValueError(f"unknown model {name}: give pattern, given, replay:FILE or MODULE:ATTRIBUTE")
     if kind == "replay":
         with open(rest, encoding="utf-8") as f:
             return Replay(json.load(f))

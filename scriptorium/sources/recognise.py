@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import name as file_name
@@ -19,7 +19,7 @@ from ..operators import images as kernels
 from ..operators import segment
 from ..operators.layout import block_files, layout_blocks
 from ..schemas import ENGINE_RESULT, LAYOUT
-from .writers import exists
+from . import incremental
 
 
 class LineEngine(Protocol):
@@ -45,8 +45,8 @@ class Stored:
         return self.results[name]
 
 
-def engine(name: str):
-    """stored:FILE, a JSON object of results by file name, or MODULE:ATTRIBUTE, which is called if it is no engine itself."""
+def engine(name: str, options: dict[str, str] | None = None):
+    """stored:FILE, a JSON object of results by file name, or MODULE:ATTRIBUTE, which is called with the options if it is no engine itself."""
     import importlib
 
     kind, _, rest = name.partition(":")
@@ -56,7 +56,7 @@ def engine(name: str):
         with open(rest, encoding="utf-8") as f:
             return Stored(json.load(f))
     found = getattr(importlib.import_module(kind), rest)
-    return found() if isinstance(found, type) or not (hasattr(found, "lines") or hasattr(found, "layout")) else found
+    return found(**options or {}) if isinstance(found, type) or not (hasattr(found, "lines") or hasattr(found, "layout")) else found
 
 
 def _asked(images: DataFrame, schema: str, ask: Callable[[bytes, str], dict]) -> DataFrame:
@@ -116,16 +116,24 @@ def block_crops(layouts: DataFrame, images: DataFrame) -> DataFrame:
     return crops.select(F.concat("name", F.lit(".png")).alias("name"), "content").unionByName(texts)
 
 
-def reused(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The finished table at path, made first if there is none. An unfinished one is made anew."""
-    if not exists(spark, f"{path}/_SUCCESS"):
-        make().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+def reused(images: DataFrame, path: str, settings: str, make: Callable[[DataFrame], DataFrame], key: str = "path") -> DataFrame:
+    """What make gives for images, kept at path: images that are new or changed, other settings and failed ones are worked on again.
+
+    key: what make calls the column path."""
+    named = images.select(F.col("path").alias(key), F.md5("content").alias("fingerprint"))
+    given = lambda todo: make(images.join(todo.select(F.col(key).alias("path")), "path", "left_semi"))
+    return incremental.kept(named, [key], path, given, settings, failed="error IS NOT NULL")
 
 
 def preprocessed_pages(images: DataFrame, steps: Sequence[str]) -> DataFrame:
-    """images (path, content), preprocessed; those that can't be read are left out."""
+    """images (path, content), preprocessed; those that can't be read stay as they are, and fail where they are recognised."""
     if not steps:
         return images.select("path", "content")
     made = kernels.preprocessed(images.select(F.col("path").alias("name"), "content"), [("steps", steps)])
-    return made.where("error IS NULL").select(F.regexp_replace("name", "^preprocessed_", "").alias("path"), "content")
+    made = made.where("error IS NULL").select(F.regexp_replace("name", "^preprocessed_", "").alias("path"), F.col("content").alias("made"))
+    return images.select("path", "content").join(made, "path", "left").select("path", F.coalesce("made", "content").alias("content"))
+
+
+def failures(found: DataFrame, key: str = "path") -> DataFrame:
+    """The items that failed, and why."""
+    return found.where("error IS NOT NULL").select(F.col(key).alias("item"), "error")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import FIELDS, TSV_FIELDS
+from . import parts
 
 
 #: Bytes that the driver holds of a file it writes, about.
@@ -41,14 +42,29 @@ def write_text(spark: SparkSession, path: str, parts: Iterable[str], append: boo
             if size >= PIECE or part is None and held:
                 out.write(bytearray(b"".join(held)))
                 held, size = [], 0
-    finally:
+    except BaseException:
         out.close()
-    fs.delete(at, False)
-    if not fs.rename(made, at):
-        raise OSError(f"{path} can't be written")
+        fs.delete(made, False)
+        raise
+    out.close()
+    _moved(spark, fs, made, at)
     return there
 
 
+def _moved(spark: SparkSession, fs, made, at) -> None:
+    """made takes the place of at in one step where the file system can; else the old file goes just before."""
+    fs_ = spark.sparkContext._jvm.org.apache.hadoop.fs
+    kind = getattr(fs_, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(kind, 1)
+    options[0] = kind.OVERWRITE
+    try:
+        fs_.FileContext.getFileContext(at.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(made, at, options)
+    except Exception:  # a file system without this step
+        fs.delete(at, False)
+        if not fs.rename(made, at):
+            raise
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
@@ -113,18 +129,5 @@ def preview(records: DataFrame, n: int = 5) -> DataFrame:
 
 
 def write_files(files: DataFrame, folder: str) -> None:
-    """Binary files (name, content) into a folder, from the executors. It must be one that all executors mount at this
-    path: Spark has no sink of binary files, and so other file systems are an error."""
-    scheme, found, rest = folder.partition("://")
-    if found and scheme != "file":
-        raise ValueError(f"{folder} isn't a folder that is mounted: write (name, content) as a table instead")
-    target = rest if found else folder.removeprefix("file:")
-
-    def run(rows) -> None:
-        from pathlib import Path
-
-        Path(target).mkdir(parents=True, exist_ok=True)
-        for r in rows:
-            (Path(target) / r.name).write_bytes(bytes(r.content))
-
-    files.select("name", "content").foreachPartition(run)
+    """Binary files (name, content) into a folder of any file system, from the executors."""
+    parts.write_files(files, folder)

@@ -130,9 +130,14 @@ def test_recognition_commands(spark, tmp_path):
     assert [x["text"] for e in entries for x in e["lines"]] == ["one", "two", "three", "right"]
     got = images.decode((tmp_path / "out" / "entry_crops" / "p_R000.png").read_bytes())
     assert got.tolist() == page[1:7, 34:56].tolist()
-    bad = spark.read.parquet(f"{tmp_path}/out/lines").where("error IS NOT NULL").collect()
-    assert [r.path.rsplit("/", 1)[1] for r in bad] == ["q.png"] and "ValueError" in bad[0].error
-    cli.main([*run, "tests.test_sources:NoEngine"])  # what is finished isn't asked for again
+    (bad,) = json.loads((tmp_path / "out" / "failures.json").read_text())
+    assert bad["item"].rsplit("/", 1)[1] == "q.png" and "ValueError" in bad["error"]
+    (tmp_path / "lines.json").write_text("{}")
+    (tmp_path / "q.png").unlink()
+    assert cli.main([*run, f"stored:{tmp_path}/lines.json"]) == 0  # what is finished isn't asked for again
+    assert len(json.loads((tmp_path / "out" / "entries.json").read_text())) == len(entries)
+    assert cli.main([*run, "tests.test_sources:NoEngine"]) == 1  # another engine is
+    assert [x["item"].rsplit("/", 1)[1] for x in json.loads((tmp_path / "out" / "failures.json").read_text())] == ["p.png"]
     block = {"block_label": "text", "block_content": "words", "block_bbox": [1, 2, 9, 8], "block_id": 4, "block_order": 1, "group_id": 0}
     (tmp_path / "layouts.json").write_text(json.dumps({"p.png": {"width": 60, "height": 50, "parsing_res_list": [block, block | {"block_label": "image", "block_id": 5}]}}))
     cli.main(["layout-ocr", "-i", f"{tmp_path}/p.png", "-o", f"{tmp_path}/vl", "-e", f"stored:{tmp_path}/layouts.json"])

@@ -1,18 +1,22 @@
-"""Toxicity: a weighted finite-state pattern grammar over sentences.
-
-Method: a lexical transducer maps the words of a sentence to insult, threat, target, negation and reported-speech
-symbols with weights; the composed transducers of the grammar (see grammar.py) read them, once from the right and once
-from the left, and give each weight its factor. A text is judged by its strongest stretch of sentences: the sum of their
-weights less RATE for each word, as so many hits are to be expected. A longer text has more stretches that chance could
-favour, so the logarithm of its length in texts of USUAL words is taken off. The score is the logistic function of the
-prior log odds plus what is left, if anything. Insult stems and their weights are learned from at most SAMPLE labelled
-texts (those with the least hashes): word beginnings that toxic texts have and clean ones lack, more surely than CHANCE
-would have it for any of the candidates, picked by greedy multiple cover so that copies of one toxic text do not vouch
-for its other words. The weight of a threat against a target starts from THREAT_WEIGHT and follows the same sample.
+"""Toxicity: a weighted finite-state pattern grammar over clauses.
+
+Method: a lexical transducer maps the words of a sentence to insult, threat, target, object, negation, reported-speech and
+clause symbols with weights; the composed transducers of the grammar (see grammar.py) read them, once from the right and
+once from the left, and give each weight its factor. An insult has its full weight where it is bound to a target in its
+clause or is an address; a loose one stays by LOOSE under the cut, so that it takes several to reject a text. A threat weighs by
+the object it is against. A text is judged by its strongest stretch of sentences: the sum of their weights less RATE for
+each word, as so much is to be expected. A longer text has more stretches that chance could favour, so the
+logarithm of its length in texts of USUAL words is taken off. The score is the logistic function of the prior log odds plus
+what is left, if anything. Insult stems and their weights are learned from at most SAMPLE labelled texts (those with the
+least hashes): word beginnings that toxic texts have and clean ones lack, more surely than CHANCE would have it for
+any of the candidates, picked by greedy multiple cover so that copies of one toxic text do not vouch for its other
+words. Candidates are counted and judged in the cluster; the driver sees those that pass, and in which texts of the sample
+they are. The weight of a threat against the reader starts from THREAT_WEIGHT and follows the same sample.
 
 Defined cases: null, empty or wordless texts have no sentence and get the prior's score. Texts are read whole at any
-length. Repeated rows get equal scores. Null labels are not learned from; without any toxic label only the fixed
-threat patterns remain. An empty table gives an empty result. Other columns are ignored.
+length. Repeated rows and ties get equal scores; of equally good stems the longer one that sorts last is picked. Null labels are not learned
+from; of several labels of a document the greatest counts; without any toxic label only the fixed threat patterns remain. An empty
+table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import released, slices, stored, table
-from .grammar import SENTENCE, THREAT, TOKEN, factors, lexical
+from .grammar import SENTENCE, THREATS, TOKEN, factors, lexical
 
 #: Labelled texts that the lexicon is learned from, at most.
 SAMPLE = 20_000
@@ -41,10 +45,10 @@ SUPPORT, COVERS = 4, 4
 CERTAIN, LIKELIER, UNCERTAIN = 0.02, 2.5, 2.4
 #: How likely it may be that any candidate at all would be in as many toxic texts if it were as common in clean ones.
 CHANCE = 0.05
-#: Hits a word in toxic texts; and words of a usual text, which the prior is for.
-RATE, USUAL = 0.02, 350
-#: Candidate stems kept between the passes, and of each toxic text in the cover, at most.
-CANDIDATES, PER_TEXT = 50_000, 200
+#: What a loose insult lacks to the cut at least, as log odds: alone it doesn't reach it, two do.
+LOOSE = 0.3
+#: Weight a word that is to be expected in toxic texts; and words of a usual text, which the prior is for.
+RATE, USUAL = 0.01, 350
 #: What a threat against the reader weighs before any label is seen, and the texts that this counts as.
 THREAT_WEIGHT, ASSUMED = 4.0, 20
 CUT = 0.7
@@ -67,9 +71,10 @@ class Scorer:
         import ahocorasick
 
         self.stems, self.prior, self.threat = stems, prior, threat
+        self.loose = max(math.log(CUT / (1 - CUT)) - prior - LOOSE, 0.0)
         self.longest = sorted({len(s.rstrip("$")) for s in stems}, reverse=True)
         self.machine = ahocorasick.Automaton()
-        for s in {x.rstrip("$") for x in stems} | THREAT:
+        for s in {x.rstrip("$") for x in stems} | THREATS:
             self.machine.add_word(s, len(s))
         self.machine.make_automaton()
 
@@ -80,13 +85,13 @@ class Scorer:
             if n <= len(token) and (w := self.stems.get(token[:n])) is not None:
                 return "insult", w
         s = lexical(token)
-        return s, self.threat if s == "threat" else 0.0
+        return s, self.threat if s in ("threat", "struck", "clitic") else 0.0
 
     def sentence(self, tokens: list[str]) -> float:
         found = [self.symbol(t) for t in tokens]
         if not any(w for _, w in found):
             return 0.0
-        return sum(w * f for (_, w), f in zip(found, factors([s for s, _ in found]), strict=True))
+        return sum((min(w, self.loose) if loose else w) * f for (_, w), (f, loose) in zip(found, factors([s for s, _ in found]), strict=True))
 
     def score(self, text: str | None) -> tuple[float, int]:
         """The score, and the number of sentences with weight."""
@@ -112,21 +117,20 @@ def _features(text: str | None) -> set[str]:
     return out
 
 
-def _counted(df: DataFrame, among: frozenset[str] | None = None) -> DataFrame:
-    """In how many texts each feature is; among: only these."""
+def _counted(df: DataFrame, name: str) -> DataFrame:
+    """In how many texts each feature is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
         for b in batches:
             for t in b.column(0).to_pylist():
-                f = _features(t)
-                seen.update(f if among is None else f & among)
-            if len(seen) > 300_000:
-                yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["feature", "n"])
-                seen.clear()
+                seen.update(_features(t))
+                if len(seen) > 300_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["feature", "n"])
+                    seen.clear()
         yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["feature", "n"])
 
-    return df.select("text").mapInArrow(released(run), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    return df.select("text").mapInArrow(released(run), "feature string, n long").groupBy("feature").agg(F.sum("n").alias(name))
 
 
 def _by_chance(n: int, of: int, share: float) -> float:
@@ -203,24 +207,29 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
         return Lexicon({}, prior)
     threats = _threatening(rows)
     threat = _threat_weight(threats.get(True, 0), n_bad, threats.get(False, 0), n_good)
-    top = _counted(bad).where(F.col("n") >= SUPPORT).orderBy(F.desc("n"), "feature").limit(CANDIDATES).collect()
-    n_toxic = {r.feature: r.n for r in top}
-    n_clean = {r.feature: r.n for r in _counted(good, frozenset(n_toxic)).collect()}
-    weight = lambda f: math.log((n_toxic[f] + 0.5) / (n_bad + 1) / ((n_clean.get(f, 0) + 3) / (n_good + 1)))
-    certain = lambda f: n_clean.get(f, 0) <= CERTAIN * n_toxic[f]
-    share = (n_bad + 0.5) / (n_bad + n_good + 1)
-    pure = {f: k for k, (f, n) in enumerate(n_toxic.items()) if (certain(f) or weight(f) >= LIKELIER) and _by_chance(n, n + n_clean.get(f, 0), share) * len(n_toxic) < CHANCE}
+    often = _counted(bad, "toxic").where(F.col("toxic") >= SUPPORT)
+    found = stored(often.join(_counted(good, "clean"), "feature", "left").select("feature", "toxic", F.coalesce("clean", F.lit(0)).alias("clean")), "features")
+    tried, share = found.count(), (n_bad + 0.5) / (n_bad + n_good + 1)
+    weigh = lambda n, m: math.log((n + 0.5) / (n_bad + 1) / ((m + 3) / (n_good + 1)))
+    certain = lambda n, m: m <= CERTAIN * n
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts = zip(b.column("toxic").to_pylist(), b.column("clean").to_pylist(), strict=True)
+            yield b.filter(pa.array([(certain(n, m) or weigh(n, m) >= LIKELIER) and _by_chance(n, n + m, share) * tried < CHANCE for n, m in counts], pa.bool_()))
+
+    counts = {r.feature: (r.toxic, r.clean) for r in found.mapInArrow(judged, found.schema).collect()}
+    name = sorted(counts)
+    pure = {f: k for k, f in enumerate(name)}
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [sorted(pure[f] for f in _features(t) if f in pure)[:PER_TEXT] for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], ["features"])
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(pure[f] for f in _features(t) if f in pure) for t in b.column(0).to_pylist()], pa.list_(pa.int32()))], ["features"])
 
-    name = list(n_toxic)
-    # at most SAMPLE rows of PER_TEXT numbers
+    # at most SAMPLE rows
     lists = [[name[k] for k in r.features] for r in bad.select("text").mapInArrow(kept, "features array<int>").collect()]
     stems = _covering(sorted(lists), COVERS, SUPPORT)
-    return Lexicon({f: w if certain(f) else min(w, UNCERTAIN) for f in stems if (w := weight(f)) > 0.5}, prior, threat)
+    return Lexicon({f: w if certain(*counts[f]) else min(w, UNCERTAIN) for f in stems if (w := weigh(*counts[f])) > 0.5}, prior, threat)
 
 
 def scores(text: Column, stems: dict[str, float], prior: float, threat: float = THREAT_WEIGHT) -> Column:

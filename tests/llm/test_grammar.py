@@ -15,9 +15,9 @@ SCORER = toxicity.Scorer({"idiot": 5.0, "loser": 2.4}, -2.2)
 @pytest.mark.parametrize(
     "text",
     [
-        "you idiot", "an idiot", "You idiot said nothing.", "He is not clever, an idiot.", "You, my friend, are an idiot.", "IDIOT!",
-        "I will kill you", "he threatens: kill you", "you will be murdered", "You, he thinks, should be killed.", "We strangled you.",
-        "ich werde dich töten", "dich erschlägt er", "je vais te tuer", "te voy a matar", "tu seras étranglé, toi qu'on tue",
+        "you idiot", "idiot", "You idiot said nothing.", "He is not clever, an idiot.", "You, my friend, are an idiot.", "IDIOT!", "an idiot and another idiot",
+        "I will kill you", "he threatens: kill you", "you will be murdered", "You, he thinks, should be killed.", "We strangled you.", "I will kill all of you",
+        "ich werde dich töten", "dich erschlägt er", "du wirst getötet", "je vais te tuer", "te voy a matar", "voy a matarte", "tu seras étranglé, toi qu'on tue",
     ],
 )
 def test_toxic_sentences(text):
@@ -29,7 +29,9 @@ def test_toxic_sentences(text):
     [
         "not an idiot", "you aren't an idiot", "You aren’t an idiot.", "tu n'es pas un idiot", "du bist kein Idiot", "no eres un idiota",
         "he said: \"you idiot\"", "he said you idiot", "\"You idiot\", he said.", "„Du Idiot“, sagte er.", "They claimed, in short, that you are an idiot.",
-        "kill the lights", "destroy all copies before the meeting", "she killed him", "I won't kill you", "nobody kills you", "the loser went home", "your lights", "", "...",
+        "an idiot", "the novel The Idiot by Dostoevsky is long", "The idiot left and you stayed.",
+        "kill the lights", "destroy all copies before the meeting", "she killed him", "I shot him", "I won't kill you", "nobody kills you", "the loser went home", "your lights", "", "...",
+        "kill the process and you win", "this kills bacteria for you", "killing time with you", "we will destroy your stains", "you will kill bacteria", "you are killing time", "du wirst sie töten",
     ],
 )
 def test_clean_sentences(text):
@@ -43,13 +45,38 @@ def test_orders():
     assert score("He reports. You idiot.") == pytest.approx(score("You idiot."), abs=0.01)  # a sentence's end ends all
 
 
-def _by_rules(symbols: list[str]) -> list[float]:
+def _resumed_at(symbols):
+    """For each place the target that an insertion or apposition passes on to it."""
+    who = {"you": 2, "object": 2, "your": 2, "person": 1, "them": 1}
+    out, state, kept, left = [], "clause", 0, 0
+    for s in symbols:
+        got = 0
+        if s == "mark":
+            if state == "clause":
+                state, left = ("apart", grammar.INSERTED) if kept else ("clause", 0)
+            else:
+                state, left = "closed", 0
+        elif state == "clause":
+            kept = 0 if s == "conjunction" else max(kept, who.get(s, 0))
+        elif s in ("be", "modal") or s == "article" and (state == "closed" or left == grammar.INSERTED):
+            got, state = kept, "clause"
+        elif state == "apart" and left:
+            left -= 1
+        else:
+            state, kept = "clause", who.get(s, 0)
+        out.append(got)
+    return out
+
+
+def _by_rules(symbols: list[str]) -> list[tuple[float, bool]]:
     """The factors, looked up from each place."""
-    out = []
+    out, resumed = [], _resumed_at(symbols)
+    who = {"you": 2, "object": 2, "your": 2, "person": 1, "them": 1}
+    ends = ("mark", "conjunction")
     word = [s != "mark" for s in symbols]
     for i, s in enumerate(symbols):
-        if s not in ("insult", "threat"):
-            out.append(1.0)
+        if s not in grammar.HOSTILE:
+            out.append((1.0, False))
             continue
         f, k, left = 1.0, i - 1, grammar.NEGATED
         while k >= 0 and left and symbols[k] != "mark":
@@ -60,26 +87,114 @@ def _by_rules(symbols: list[str]) -> list[float]:
         later = any(symbols[m] == "mark" and any(symbols[m + 1 + d] == "reported" and all(word[m + 1 : m + 1 + d]) for d in range(grammar.SPOKEN) if m + 1 + d < len(symbols)) for m in range(i + 1, len(symbols)))
         if later or "reported" in symbols[:i]:
             f *= grammar.REPORTED_FACTOR
-        who = 0
-        for near, reach in ((symbols[:i][::-1], grammar.BEFORE), (symbols[i + 1 :], grammar.AFTER)):
-            near = [x for x in near if x != "mark"][:reach]
-            who = max(who, 2 if "you" in near else 1 if "person" in near else 0)
-        f *= (grammar.BOUND if who else 1.0) if s == "insult" else (0.0, grammar.OTHERS, 1.0)[who]
-        out.append(f)
+        first = next((k + 1 for k in range(i - 1, -1, -1) if symbols[k] in ends), 0)
+        last = next((k for k in range(i + 1, len(symbols)) if symbols[k] in ends), len(symbols))
+        if s == "insult":
+            # the reader hides others while in reach; a resumed target counts from where it is resumed, and hides what was before
+            state = (0, 0)
+            for k in range(first, i):
+                w = who.get(symbols[k], 0)
+                state = (w, grammar.BEFORE) if w and w >= state[0] else (state[0], state[1] - 1) if state[1] > 1 else (0, 0)
+                state = (resumed[k], grammar.BEFORE) if resumed[k] else state
+            ahead = (0, 0)
+            for k in range(last - 1, i, -1):
+                w = who.get(symbols[k], 0)
+                ahead = (w, grammar.AFTER) if w and w >= ahead[0] else (ahead[0], ahead[1] - 1) if ahead[1] > 1 else (0, 0)
+            if max(state[0], ahead[0]):
+                out.append((f * grammar.BOUND, False))
+            else:
+                out.append((f, not all(x == "insult" for x in symbols[first:last])))
+            continue
+        k = i + 1
+        while k < len(symbols) and symbols[k] in ("filler", "article"):
+            k += 1
+        against = {"you": 2, "object": 2, "them": 1}.get(symbols[k], 0) if k < len(symbols) else 0
+        near = symbols[max(first, i - grammar.TO_VERB) : i]
+        for d, x in enumerate(reversed(near)):
+            if x == "preposition":
+                break
+            if x in ("object", "them"):
+                against = max(against, 2 if x == "object" else 1)
+                break
+        if s == "struck":
+            be = [k for k in range(max(first, i - grammar.TO_PARTICIPLE), i) if symbols[k] == "be"]
+            for k in reversed(be):
+                subject = max([0, *({"you": 2, "person": 1}.get(x, 0) for x in symbols[first : k + 1]), *resumed[first : k + 1]])
+                if subject:
+                    against = max(against, subject)
+                    break
+        if s == "clitic":
+            against = 2
+        out.append((f * (0.0, grammar.OTHERS, 1.0)[against], False))
     return out
 
 
 def test_composition():
     """The composed transducers give what each rule gives by itself."""
     rng = random.Random(3)
-    for _ in range(3_000):
-        symbols = rng.choices(grammar.SYMBOLS, weights=[3, 3, 1, 1, 1, 1, 2, 6], k=rng.randint(0, 14))
-        assert grammar.factors(symbols) == pytest.approx(_by_rules(symbols)), symbols
+    heavy = {"insult": 3, "threat": 2, "struck": 3, "you": 2, "mark": 3, "be": 2, "other": 3}
+    for _ in range(6_000):
+        symbols = rng.choices(grammar.SYMBOLS, weights=[heavy.get(s, 1) for s in grammar.SYMBOLS], k=rng.randint(0, 14))
+        got, want = grammar.factors(symbols), _by_rules(symbols)
+        assert [x for _, x in got] == [x for _, x in want] and [x for x, _ in got] == pytest.approx([x for x, _ in want]), symbols
+
+
+def test_score_by_the_strongest_stretch():
+    """Against all stretches of sentences."""
+    rng = random.Random(4)
+    words = ["idiot", "loser", "you", "kill", "not", "tree", "house", "said", "and", ","]
+    for _ in range(300):
+        sentences = [[rng.choice(words) for _ in range(rng.randint(1, 9))] for _ in range(rng.randint(1, 9))]
+        text = ". ".join(" ".join(s) for s in sentences)
+        weights = [SCORER.sentence(s) for s in sentences]
+        sizes = [sum(w != "," for w in s) for s in sentences]
+        best = max(0.0, *(sum(weights[i:j]) - toxicity.RATE * sum(sizes[i:j]) for i in range(len(sentences)) for j in range(i + 1, len(sentences) + 1)))
+        total = SCORER.prior + max(best - math.log(max(sum(sizes) / toxicity.USUAL, 1.0)), 0.0)
+        assert SCORER.score(text)[0] == pytest.approx(1 / (1 + math.exp(-total))), text
+
+
+def test_learned_stems_by_brute_force(spark):
+    """Counts, chance, cover and weights, straight from their definitions; more features than any cap there was."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(300):
+        toxic = i % 3 == 0
+        words = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 9))) for _ in range(rng.choice([30, 400]))]
+        words += rng.sample(["grunkel", "grunkels", "plofter", "snarf"], 2) if toxic and rng.random() < 0.8 else ["snarf"] if rng.random() < 0.2 else []
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = toxicity.learn(docs, docs)
+    features = [(toxicity._features(t), bad) for _, t, bad in rows]
+    n_bad, n_good = 100, 200
+    toxic: dict = {}
+    clean: dict = {}
+    for f, bad in features:
+        for x in f:
+            side = toxic if bad else clean
+            side[x] = side.get(x, 0) + 1
+    tried = {x: n for x, n in toxic.items() if n >= toxicity.SUPPORT}
+    weight = lambda x: math.log((toxic[x] + 0.5) / (n_bad + 1) / ((clean.get(x, 0) + 3) / (n_good + 1)))
+    certain = lambda x: clean.get(x, 0) <= toxicity.CERTAIN * toxic[x]
+    share = (n_bad + 0.5) / (n_bad + n_good + 1)
+    chance = lambda n, of: sum(math.comb(of, k) * share**k * (1 - share) ** (of - k) for k in range(n, of + 1)) if n > of * share else 1.0
+    pure = {x for x, n in tried.items() if (certain(x) or weight(x) >= toxicity.LIKELIER) and chance(n, n + clean.get(x, 0)) * len(tried) < toxicity.CHANCE}
+    texts, need, picked = [f & pure for f, bad in features if bad], [toxicity.COVERS] * n_bad, []
+    while True:
+        gain = {x: sum(x in t and k > 0 for t, k in zip(texts, need, strict=True)) for x in pure if x not in picked and not any(x.startswith(p) for p in picked if not p.endswith("$"))}
+        gain = {x: g for x, g in gain.items() if g >= toxicity.SUPPORT}
+        if not gain:
+            break
+        x = max(gain, key=lambda x: (gain[x], -len(x), x))
+        picked.append(x)
+        need = [k - (x in t) for t, k in zip(texts, need, strict=True)]
+    want = {x: weight(x) if certain(x) else min(weight(x), toxicity.UNCERTAIN) for x in picked if weight(x) > 0.5}
+    assert got.stems == pytest.approx(want) and len(want) >= 2
 
 
 def test_forms():
-    assert {"kill", "killed", "killing", "töten", "tuer", "matar", "strangled"} <= grammar.THREAT and not grammar.THREAT & (grammar.YOU | grammar.PERSON | grammar.NEGATION)
-    assert [grammar.lexical(t) for t in grammar.TOKEN.findall("you don't say: n'est, word")] == ["you", "negation", "reported", "mark", "negation", "other", "mark", "other"]
+    assert {"kill", "killed", "killing", "töten", "tuer", "matar", "strangled", "shot"} <= grammar.THREATS and not grammar.THREATS & (grammar.YOU | grammar.PERSON | grammar.NEGATION)
+    assert [grammar.lexical(t) for t in grammar.TOKEN.findall("you don't say: n'est, word")] == ["you", "negation", "reported", "mark", "negation", "be", "mark", "other"]
 
 
 def test_threat_weight():

@@ -4,8 +4,8 @@ Toxic documents go; one document of each near-duplicate group stays; repeated pa
 document; contaminated documents go; the rest is tokenised and packed.
 
 Defined cases: a null or empty text passes the filters and is packed as the end token alone. Rows without doc_id, or with
-one that others share, are documents of their own, each judged by its own text; of equal or near texts the one with the
-least doc_id stays, and without any one of them. Ties and repeated rows are near-duplicates like others. Texts of any
+one that others share, are documents of their own, each judged by its own text and cut where another one has its passages;
+of equal or near texts the one with the least doc_id stays, and without any one of them. Ties and repeated rows are near-duplicates like others. Texts of any
 length are read whole. An empty table gives an empty result. All stages but the last keep every column of documents,
 whatever its name; the last gives pieces and their places.
 """
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm.common import stored, table
+from scriptorium.llm.common import discard, settled, table
 from scriptorium.llm.decontaminate import stage_decontaminate
 from scriptorium.llm.jaccard_join import stage_jaccard_join
 from scriptorium.llm.packing import stage_packing
@@ -32,9 +32,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"after-{name}")
+    """Each stage's result is stored, and what it has stored on the way goes, as does the result before it."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES:
+        docs = settled(stage)(spark, docs, sf_dir)
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import TOGETHER, bag, may_reach, ratio, with_keys
+from ..functions.similarity import TOGETHER, bag, edit_ratio, may_reach, ratio, segment_keys, with_keys
 from ..functions.text import normalize_text
 from .components import components
 from .scan import same_keys
@@ -25,7 +25,7 @@ HEAD = 0.7
 #: Weights of headword, part of speech and translation.
 WEIGHTS = (0.5, 0.15, 0.35)
 PARTIAL = 0.85
-#: Gold records of a key up to which candidates have one rare character in common, beyond several: a matter of the plan.
+#: Headwords of a key up to which candidates have one rare character in common, beyond several or a piece: a matter of the plan.
 PAGE = 300
 #: Candidate pairs of one key that one task takes in order, at most.
 AT_ONCE = 1_000_000
@@ -42,16 +42,19 @@ def prepared(records: DataFrame, keys: Sequence[str], side: str) -> DataFrame:
     return records.select(*keys, F.col("seq").alias(f"{side}_seq"), *named)
 
 
-def similar_heads(gold: DataFrame, extracted: DataFrame, keys: Sequence[str] = (), threshold: float = HEAD, similarity: Similarity = ratio) -> DataFrame:
-    """Pairs of distinct headwords (g_head, e_head) with head_score of at least threshold."""
-    # a single character tells enough apart on a page; among more records it would be a hot key
-    most = gold.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    together = TOGETHER if most > PAGE else ()
-    sides = []
-    for df, s in ((gold, "g"), (extracted, "e")):
-        heads = df.select(*keys, f"{s}_head").distinct().withColumn(f"{s}_bag", bag(f"{s}_head"))
-        sides.append(with_keys(heads, f"{s}_bag", threshold, together))
-    met = sides[0].join(sides[1], [*keys, "token"]).where(may_reach("g_bag", "e_bag", threshold)).select(*keys, "g_head", "e_head").distinct()
+def similar_heads(gold: DataFrame, extracted: DataFrame, keys: Sequence[str] = (), threshold: float = HEAD, similarity: Similarity = ratio, page: int = PAGE) -> DataFrame:
+    """Pairs of distinct headwords (g_head, e_head) with head_score of at least threshold.
+
+    A single character tells enough apart on a page. Among more headwords it would be a hot key: then keys hold several, or for
+    the edit ratio are pieces of the text with their places."""
+    heads = [stored(df.select(*keys, f"{s}_head").distinct(), f"{s}-heads") for df, s in ((gold, "g"), (extracted, "e"))]
+    large = not heads[0].groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > page).isEmpty()
+    if large and similarity is edit_ratio:
+        sides = [segment_keys(df, f"{s}_head", threshold, s == "g") for df, s in zip(heads, "ge", strict=True)]
+        met = sides[0].join(sides[1], [*keys, "token"]).select(*keys, "g_head", "e_head").distinct()
+    else:
+        sides = [with_keys(df.withColumn(f"{s}_bag", bag(f"{s}_head")), f"{s}_bag", threshold, TOGETHER if large else ()) for df, s in zip(heads, "ge", strict=True)]
+        met = sides[0].join(sides[1], [*keys, "token"]).where(may_reach("g_bag", "e_bag", threshold)).select(*keys, "g_head", "e_head").distinct()
     met = stored(met, "met")  # or the similarity would be computed for every key that two headwords have in common
     return met.withColumn("head_score", similarity("g_head", "e_head")).where(F.col("head_score") >= threshold)
 

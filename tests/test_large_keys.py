@@ -95,3 +95,28 @@ def test_table_function(spark):
     for bad, message in (("TABLE(SELECT 1 AS x), 'pattern'", "column text"), ("TABLE(some_items), 'nothing'", "unknown model")):
         with pytest.raises(Exception, match=message):
             spark.sql(f"SELECT * FROM extract_records({bad})")
+
+
+def _ratio(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return 1 - row[-1] / max(len(a), len(b)) if a or b else 1.0
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.7, 0.9])
+def test_pieces_lose_no_pair(spark, threshold):
+    from scriptorium.functions.similarity import edit_ratio
+
+    rng = random.Random(int(threshold * 10))
+    word = lambda: "".join(rng.choices("abcé", k=rng.randint(0, 12)))
+    gold = [(rng.choice("xy"), word()) for _ in range(150)] + [("x", ""), ("y", "")]
+    other = [(k, "".join(c if rng.random() > 0.15 else rng.choice(["", "b", "ca"]) for c in w)) for k, w in gold] + [("x", "")]
+    sides = spark.createDataFrame(gold, "k string, g_head string"), spark.createDataFrame(other, "k string, e_head string")
+    for keys in (["k"], []):
+        got = {(*(r[k] for k in keys), r.g_head, r.e_head) for r in matching.similar_heads(*sides, keys, threshold, edit_ratio, page=0).collect()}
+        want = {(*([k] if keys else []), g, e) for k, g in gold for k2, e in other if (k == k2 or not keys) and _ratio(g, e) >= threshold - 1e-12}
+        assert got == want

@@ -1,7 +1,8 @@
 """URL filter: allow and block rules by host and path, then a weighted vocabulary found by Aho-Corasick.
 
 Method: one automaton holds all forms of strict, soft and weak terms (see url_vocabulary.py; any other vocabulary is a
-parameter or a table). A hit counts if no ASCII letter or digit touches it on either side. The weights of the distinct
+parameter or a table, of at most FORMS forms, as every task holds it; more are an error). A hit counts if no ASCII letter or
+digit touches it on either side and no equals sign follows it: the names of a query's values say nothing. The weights of the distinct
 terms that are hit are added up, and LIMIT rejects: one strict term, or several distinct softer ones. A rule that fits
 decides before the vocabulary.
 
@@ -71,7 +72,7 @@ class UrlJudge:
         text, strict, found = url.translate(_LOWER), 0, {}
         for end, (size, term, weight) in self.machine.iter(text):
             start = end - size + 1
-            if (start and text[start - 1] in _WORD) or (end + 1 < len(text) and text[end + 1] in _WORD):
+            if (start and text[start - 1] in _WORD) or (end + 1 < len(text) and (text[end + 1] in _WORD or text[end + 1] == "=")):
                 continue
             strict += weight >= self.limit
             found[term] = weight
@@ -129,7 +130,7 @@ WITH v(form, term, weight) AS (VALUES {values}),
 u AS (SELECT row_number() OVER () AS k, page_id, translate(coalesce(url, ''), '{upper}', '{lower}') AS low,
     CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
 s AS (SELECT k, page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{upper}', '{lower}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
-t AS (SELECT k, unnest(regexp_split_to_array(low, '[^a-z0-9]+')) AS form FROM u),
+t AS (SELECT k, unnest(regexp_split_to_array(regexp_replace(low, '[a-z0-9]+=', '=', 'g'), '[^a-z0-9]+')) AS form FROM u),
 f AS (SELECT k, term, weight, count(*) AS n FROM t JOIN v USING (form) GROUP BY k, term, weight),
 h AS (SELECT s.*, CAST(coalesce(n_strict, 0) AS BIGINT) AS n_strict, CAST(coalesce(n_soft, 0) AS BIGINT) AS n_soft, CAST(coalesce(weight, 0) AS BIGINT) AS weight FROM s LEFT JOIN
     (SELECT k, sum(CASE WHEN weight >= {LIMIT} THEN n ELSE 0 END) AS n_strict, count(*) FILTER (WHERE weight < {LIMIT}) AS n_soft, sum(weight) AS weight FROM f GROUP BY k) USING (k))

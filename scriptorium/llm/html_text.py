@@ -1,11 +1,13 @@
 """HTML extraction by layout-aware rendering.
 
 Method: a tokenizer and a tree builder with implied tags (paragraphs, list items, table parts and options close by
-themselves; misplaced end tags are ignored; a body is implied) feed a renderer. Hidden content (scripts, styles, the
-head, templates, closed details and dialogs, the hidden attribute, display:none, visibility:hidden) is left out.
-Block elements stand on lines of their own, with a blank line where browsers put a margin; white space collapses but
-in preformatted text; lists get markers and indents; table cells are padded to the width of their column, with
-column and row spans.
+themselves; misplaced end tags are ignored, but that of a paragraph makes an empty one, and that of a formatting element ends
+no block; a body is implied) feed a renderer. Hidden content (scripts, styles, the head, templates, closed details
+and dialogs, the hidden attribute, display:none, visibility:hidden but for what is visible in it) is left out, by attributes and by
+the rules of style sheets for tags, classes and ids (the last rule counts; other selectors and @-rules are not read). Elements stand on
+lines of their own if they are blocks, by their tag or their display, with a blank line where browsers put a margin;
+white space collapses but in preformatted text; lists get markers (numbers, letters, Roman numerals, in either direction) and indents;
+table cells are padded to the width of their column, with column and row spans.
 
 Tokenizer and tree builder take time in proportion to the page, at any depth, and so does the renderer but for tables
 in tables, whose lines are padded at each level. Nothing recurses.
@@ -42,7 +44,7 @@ _GAP = re.compile(r"[ \t\n\r\f]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style title template noscript datalist iframe noembed noframes object audio video canvas svg math meta link base area param source track col colgroup".split())
+HIDDEN = frozenset("head script style title template noscript datalist iframe noembed noframes object audio video canvas desc metadata defs annotation annotation-xml meta link base area param source track col colgroup".split())
 BLOCK = frozenset("html body address article aside div dl dt dd fieldset footer form header hgroup legend main nav section summary details dialog center li figcaption caption optgroup option".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dir blockquote pre listing xmp figure table hr".split())
 #: What the start of an element closes, if it is open, up to the elements that bound the search.
@@ -57,6 +59,7 @@ CLOSES = {
     "body": (frozenset({"head"}), frozenset({"html"})),
 }
 CLOSES["thead"] = CLOSES["tfoot"] = CLOSES["tbody"]
+FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 _P, _P_BOUNDS = frozenset({"p"}), frozenset({"table", "td", "th", "button", "body"})
 
 
@@ -175,6 +178,11 @@ def parse(html: str) -> Node:
             if tag == "br":
                 stack[-1].children.append(Node("br", {}))
             found = open_.last((tag,))
+            if tag in FORMATTING and found and found < open_.last(_P_ENDS):
+                continue
+            if tag == "p" and found <= open_.last(_P_BOUNDS):
+                stack[-1].children.append(Node("p", {}))
+                continue
             if found and (tag in _CELL_PARTS or found > open_.last(("td", "th", "table"))):  # an end tag doesn't reach out of a table cell
                 open_.cut(found)
             continue
@@ -207,17 +215,88 @@ def parse(html: str) -> Node:
     return root
 
 
+_RULE = re.compile(r"([^{}@;]+)\{([^{}]*)\}")
+_SIMPLE = re.compile(r"([a-z][a-z0-9]*)?([.#][^\s.#:\[>+~*]+)?")
+
+
+def declared(style: str) -> dict[str, str]:
+    """display and visibility of a style's declarations; the last ones count."""
+    out = {}
+    for d in style.lower().split(";"):
+        name, _, value = d.partition(":")
+        if (name := name.strip()) in ("display", "visibility"):
+            out[name] = value.replace("!important", "").strip()
+    return out
+
+
+def _sheet(css: str) -> list[tuple[str, str, dict[str, str]]]:
+    """(tag, .class or #id, declarations) of the rules with simple selectors outside of @-rules."""
+    css = re.sub(r"/\*.*?(?:\*/|$)", " ", css, flags=re.S)
+    depth, begun, top = 0, 0, []
+    for m in re.finditer(r"[{}]", css):  # blocks in blocks belong to an @-rule
+        depth += 1 if m[0] == "{" else -1
+        if depth <= 0:
+            top.append(css[begun : m.end()])
+            depth, begun = 0, m.end()
+    out = []
+    for block in top:
+        if (m := _RULE.fullmatch(block.strip())) and (found := declared(m[2])):
+            out += [(x[1] or "", x[2] or "", found) for sel in m[1].split(",") if (x := _SIMPLE.fullmatch(sel.strip())) and x[0]]
+    return out
+
+
+def _styled(root: Node) -> None:
+    """Puts what style sheets say of display and visibility into the elements' own styles, before what stands there."""
+    nodes, todo, css = [], [root], []
+    while todo:
+        x = todo.pop()
+        nodes.append(x)
+        if x.tag == "style":
+            css += [c for c in x.children if isinstance(c, str)]
+        todo += [c for c in reversed(x.children) if isinstance(c, Node)]
+    by: dict[str, list] = {}
+    for k, (tag, name, found) in enumerate(_sheet("\n".join(css))):
+        by.setdefault(name or tag, []).append((bool(name), k, tag, found))
+    if not by:
+        return
+    for x in nodes:
+        keys = [x.tag, *(f".{c}" for c in x.attrs.get("class", "").split()), f"#{x.attrs.get('id', '')}"]
+        hits = sorted((r for key in keys for r in by.get(key, ()) if r[2] in ("", x.tag)), key=lambda r: r[:2])
+        if hits:
+            x.attrs["style"] = "".join(f"{n}:{v};" for *_, found in hits for n, v in found.items()) + x.attrs.get("style", "")
+
+
+def style_of(node: Node) -> dict[str, str]:
+    return declared(style) if node.attrs and (style := node.attrs.get("style")) else {}
+
+
 def visible(node: Node) -> bool:
+    """Whether the element is there at all; see also unseen."""
     if node.tag in HIDDEN:
         return False
     if not (a := node.attrs):
         return node.tag != "dialog"
     if "hidden" in a or (node.tag == "dialog" and "open" not in a) or (node.tag == "input" and a.get("type", "").lower() not in ("submit", "button", "reset")):
         return False
-    if style := a.get("style"):
-        rules = "".join(style.lower().split())
-        return not re.search(r"(?:^|;)(?:display:none|visibility:(?:hidden|collapse))", rules)
-    return True
+    return style_of(node).get("display") != "none"
+
+
+def unseen(node: Node) -> bool:
+    """Whether the element takes its place unseen; what is visible in it shows."""
+    return style_of(node).get("visibility") in ("hidden", "collapse")
+
+
+def _shown(node: Node) -> list[Node]:
+    """The outermost elements in an unseen one that are visible."""
+    out, todo = [], list(reversed(node.children))
+    while todo:
+        x = todo.pop()
+        if isinstance(x, Node) and visible(x):
+            if style_of(x).get("visibility") == "visible":
+                out.append(x)
+            else:
+                todo += reversed(x.children)
+    return out
 
 
 class Flow:
@@ -430,15 +509,37 @@ def table_lines(grid: list[dict[int, Cell]]) -> list[str]:
     return out
 
 
+def _numeral(n: int, kind: str) -> str:
+    """A number as a list of this type writes it: a, A, i, I, or else in digits."""
+    if kind in ("a", "A") and n > 0:
+        out = ""
+        while n:
+            n, k = divmod(n - 1, 26)
+            out = chr(ord(kind) + k) + out
+        return out
+    if kind in ("i", "I") and 0 < n < 4000:
+        out = ""
+        for value, sign in ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
+            out += sign * (n // value)
+            n %= value
+        return out.upper() if kind == "I" else out
+    return str(n)
+
+
 def _items(node: Node) -> Iterator:
     """A list's items with their marks; None, for a break, and the node for what is no item."""
-    number = _number(node.attrs.get("start"), 0, 10**9, 1)
+    back = node.tag == "ol" and "reversed" in node.attrs
+    own = sum(isinstance(c, Node) and c.tag == "li" and visible(c) for c in node.children) if back else 1
+    number, kind = _number(node.attrs.get("start"), 0, 10**9, own), node.attrs.get("type", "")
     for c in node.children:
         if isinstance(c, Node) and c.tag == "li":
             if visible(c):
                 number = _number(c.attrs.get("value"), 0, 10**9, number)
-                yield Item(f"{number}. " if node.tag == "ol" else "- ", c)
-                number += 1
+                if unseen(c):
+                    yield from _shown(c)
+                else:
+                    yield Item(f"{_numeral(number, kind)}. " if node.tag == "ol" else "- ", c)
+                number += -1 if back else 1
         else:
             yield None
             yield c
@@ -462,6 +563,9 @@ def rendered(nodes: list) -> list[str]:
             elif isinstance(x, Cell):
                 frames.append((iter(x.children), False, x.flow, x.flow.done))
                 break
+            elif visible(x) and unseen(x):
+                frames.append((iter(_shown(x)), pre, flow, None))
+                break
             elif visible(x) and (frame := _begun(x, pre, flow)):
                 frames += frame
                 break
@@ -475,6 +579,12 @@ def rendered(nodes: list) -> list[str]:
 def _begun(x: Node, pre: bool, flow: Flow) -> list[tuple] | None:
     """Frames for an element's content, the last first."""
     tag = x.tag
+    display = style_of(x).get("display", "")
+    if display.startswith("inline") and (tag in BLOCK or tag in SPACED and tag not in ("ul", "ol", "menu", "dir", "table")):
+        return [(iter(x.children), pre, flow, None)]
+    if display in ("block", "flex", "grid", "list-item", "table", "flow-root") and tag not in BLOCK and tag not in SPACED and tag not in ("br", "input", "dd", "details", "textarea"):
+        flow.break_()
+        return [(iter(x.children), pre, flow, flow.break_)]
     if tag == "br":
         flow.break_(keep=True)
     elif tag == "input":
@@ -529,7 +639,12 @@ def _begun(x: Node, pre: bool, flow: Flow) -> list[tuple] | None:
 
 def render(html: str | None) -> str:
     """The visible text of a page."""
-    return "\n".join(rendered(parse(html).children)) if html else ""
+    if not html:
+        return ""
+    root = parse(html)
+    if "<style" in html or "<STYLE" in html or "<Style" in html:
+        _styled(root)
+    return "\n".join(rendered(root.children))
 
 
 def extract_text(pages: DataFrame, html: str = "html") -> DataFrame:

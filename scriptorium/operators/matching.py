@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import TOGETHER, bag, edit_ratio, may_reach, ratio, segment_keys, with_keys
+from ..functions.similarity import TOGETHER, bag, edit_ratio, may_reach, ratio, segment_keys, with_keys, within_edits
 from ..functions.text import normalize_text
 from .components import components
 from .scan import same_keys
@@ -50,11 +50,14 @@ def similar_heads(gold: DataFrame, extracted: DataFrame, keys: Sequence[str] = (
     heads = [stored(df.select(*keys, f"{s}_head").distinct(), f"{s}-heads") for df, s in ((gold, "g"), (extracted, "e"))]
     large = not heads[0].groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > page).isEmpty()
     if large and similarity is edit_ratio:
-        sides = [segment_keys(df, f"{s}_head", threshold, s == "g") for df, s in zip(heads, "ge", strict=True)]
-        met = sides[0].join(sides[1], [*keys, "token"]).select(*keys, "g_head", "e_head").distinct()
+        lengths = [F.broadcast(df.agg(F.collect_set(F.length(f"{s}_head")).alias("_lengths"))) for df, s in zip(heads, "ge", strict=True)]
+        sides = [segment_keys(df.crossJoin(other), f"{s}_head", threshold, s == "g", "_lengths").drop("_lengths") for df, s, other in zip(heads, "ge", lengths[::-1], strict=True)]
+        fits = within_edits("g_head", "e_head", threshold)
     else:
         sides = [with_keys(df.withColumn(f"{s}_bag", bag(f"{s}_head")), f"{s}_bag", threshold, TOGETHER if large else ()) for df, s in zip(heads, "ge", strict=True)]
-        met = sides[0].join(sides[1], [*keys, "token"]).where(may_reach("g_bag", "e_bag", threshold)).select(*keys, "g_head", "e_head").distinct()
+        fits = may_reach("g_bag", "e_bag", threshold)
+    # Spark takes the keys for as small as the headwords, and would broadcast them
+    met = sides[0].hint("merge").join(sides[1], [*keys, "token"]).where(fits).select(*keys, "g_head", "e_head").distinct()
     met = stored(met, "met")  # or the similarity would be computed for every key that two headwords have in common
     return met.withColumn("head_score", similarity("g_head", "e_head")).where(F.col("head_score") >= threshold)
 

@@ -16,6 +16,8 @@ from .storage import stored
 OPS = ("substitution", "deletion", "insertion")
 #: Parts that the confusions of an op are dealt to for their ranks.
 SALTS = 64
+#: Confusions that are broadcast, at most.
+FEW = 10_000
 
 
 def _grouped(df: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFrame:
@@ -78,7 +80,8 @@ def word_errors(pairs: DataFrame, by: Sequence[str] = (), mode: str = "shortest"
 def edit_rows(pairs: DataFrame, keys: Sequence[str] = (), mode: str = "shortest") -> DataFrame:
     """A row for each edit of pairs: keys, pair_seq, field_no, field, gold_raw, ext_raw, op_no, op, gt, ext, pos."""
     where = [*keys, "pair_seq", "field_no", "field", "gold_raw", "ext_raw"]
-    return pairs.select(*where, F.posexplode(edit_ops("gt", "ext", mode)).alias("op_no", "x")).select(*where, "op_no", "x.*")
+    dealt = pairs.repartition(*keys, "pair_seq", "field_no")  # a small file is one task's, whatever its edits
+    return dealt.select(*where, F.posexplode(edit_ops("gt", "ext", mode)).alias("op_no", "x")).select(*where, "op_no", "x.*")
 
 
 def op_rates(edits: DataFrame, totals: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -124,7 +127,11 @@ def confusion_examples(edits: DataFrame, keys: Sequence[str] = (), most: int | N
 
 def example_rows(edits: DataFrame, confusions: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """confusions (of confusions()) with a row for each edit: n, share, rank, gold_raw and ext_raw, and the edit's place."""
-    return edits.select(*keys, "op", "gt", "ext", "pair_seq", "field_no", "op_no", "gold_raw", "ext_raw").join(confusions, [*keys, "op", "gt", "ext"])
+    shown, own = stored(confusions, "shown"), [*keys, "op", "gt", "ext"]
+    rows = edits.select(*own, "pair_seq", "field_no", "op_no", "gold_raw", "ext_raw")
+    if shown.limit(FEW + 1).count() <= FEW:
+        return rows.join(F.broadcast(shown), own)
+    return rows.hint("merge").join(shown, own)  # Spark takes edits for as small as the texts, and would broadcast them
 
 
 def field_stats(pairs: DataFrame, edits: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

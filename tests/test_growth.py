@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.edits import edit_distance
 from scriptorium.functions.similarity import edit_ratio
-from scriptorium.operators import matching
+from scriptorium.operators import matching, metrics
 
 
 def _plan(df) -> str:
@@ -26,3 +26,21 @@ def test_keys_of_headwords_are_not_broadcast(spark, monkeypatch):
     got = {(r.g_head, r.e_head) for r in matching.similar_heads(*sides, similarity=edit_ratio).collect()}
     assert got == {(a, b) for a in g for b in e if 1 - edit_distance(a, b) / max(len(a), len(b)) >= 0.7}
     assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "BroadcastHashJoin" not in plans[0]
+
+
+def test_edits_are_not_broadcast(spark):
+    """Edits are many for each text, but Spark takes them for as small as the texts."""
+    rows = spark.range(300).select(F.col("id").alias("pair_seq"), F.lit(0).alias("field_no"), F.lit("f").alias("field"), F.lit("abc").alias("gt"), F.lit("xyz").alias("ext"), F.lit("abc").alias("gold_raw"), F.lit("xyz").alias("ext_raw"))
+    edits = metrics.edit_rows(rows)
+    got = metrics.example_rows(edits, metrics.confusions(edits))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    join = next(x for x in plan.split("\n") if "Join Inner" in x)
+    assert "rightHint=(strategy=broadcast)" in join and "leftHint=(strategy=broadcast)" not in join and got.count() == 900
+
+
+def test_many_confusions_are_not_broadcast_either(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "FEW", 2)
+    rows = spark.createDataFrame([(k, 0, "f", "abc", "xyz", "abc", "xyz") for k in range(20)], "pair_seq long, field_no int, field string, gt string, ext string, gold_raw string, ext_raw string")
+    edits = metrics.edit_rows(rows)
+    got = metrics.example_rows(edits, metrics.confusions(edits))
+    assert "BroadcastHashJoin" not in _plan(got) and got.count() == 60

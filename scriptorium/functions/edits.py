@@ -8,7 +8,7 @@ Long texts keep some rows and make the others again, so memory grows with a text
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -20,6 +20,8 @@ from .text import tokens
 
 #: Bits of an alignment table that is held whole.
 HELD = 1 << 24
+#: Edits that are handed over together, about.
+AT_A_TIME = 100_000
 
 
 class _Rows:
@@ -126,15 +128,33 @@ def edit_ops(gold: Column | str, extracted: Column | str, mode: str = "shortest"
     script = {"shortest": edit_script, "blocks": block_script}[mode]
 
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([("op", pa.string()), ("gt", pa.string()), ("ext", pa.string()), ("pos", pa.int32())]))
         for x, y in batches:
-            rows = [script(p or "", q or "") for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True)]
-            yield pa.array([[dict(zip(("op", "gt", "ext", "pos"), o, strict=True)) for o in r] for r in rows], kind)
+            yield from _listed(script(p.as_py() or "", q.as_py() or "") for p, q in zip(x, y, strict=True))
 
     run.__annotations__ = {"batches": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, EDIT)(gold, extracted)
 
 
+def _listed(scripts: Iterable[list[tuple[str, str, str, int]]]) -> Iterator[pa.Array]:
+    """Scripts as columns, a piece whenever it has AT_A_TIME edits, so that no batch of rows is held as edits."""
+    fields = (("op", pa.string()), ("gt", pa.string()), ("ext", pa.string()), ("pos", pa.int32()))
+    columns, ends = ([], [], [], []), [0]
+
+    def made() -> pa.Array:
+        parts = pa.StructArray.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), parts)
+
+    for edits in scripts:
+        for c, values in zip(columns, zip(*edits, strict=True), strict=False):
+            c.extend(values)
+        ends.append(len(columns[0]))
+        if ends[-1] >= AT_A_TIME:
+            yield made()
+            columns, ends = ([], [], [], []), [0]
+    if len(ends) > 1:
+        yield made()
+
+
 def word_distance(gold: Column | str, extracted: Column | str) -> Column:
     """The edit distance of two texts by words."""
 

@@ -6,6 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from scriptorium.functions import edits as edits_module
 from scriptorium.functions.edits import edit_distance
 from scriptorium.functions.similarity import edit_ratio
 from scriptorium.operators import matching, metrics
@@ -44,3 +45,11 @@ def test_many_confusions_are_not_broadcast_either(spark, monkeypatch):
     edits = metrics.edit_rows(rows)
     got = metrics.example_rows(edits, metrics.confusions(edits))
     assert "BroadcastHashJoin" not in _plan(got) and got.count() == 60
+
+
+def test_edits_are_handed_over_in_pieces(monkeypatch):
+    monkeypatch.setattr(edits_module, "AT_A_TIME", 10)
+    scripts = [edits_module.edit_script("abcdefg"[:k], "xyzuvwr"[: 7 - k]) for k in [7, 0, 3, 7, 7, 2] * 5]
+    pieces = list(edits_module._listed(iter(scripts)))
+    assert max(len(p.flatten()) for p in pieces) < 10 + 7 and len(pieces) > 10
+    assert [[tuple(x.values()) for x in r] for p in pieces for r in p.to_pylist()] == scripts and not list(edits_module._listed([]))

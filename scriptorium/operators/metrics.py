@@ -118,9 +118,11 @@ def confusion_examples(edits: DataFrame, keys: Sequence[str] = (), most: int | N
 
     Without most a list grows with the edits: for reports of any size, example_rows has a row for each."""
     rows = edits
-    if most is not None:  # ranked first, so that no list grows beyond it
-        order = Window.partitionBy(*keys, "op", "gt", "ext").orderBy("pair_seq", "field_no", "op_no")
-        rows = edits.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most)
+    if most is not None:  # ranked first, so that no list grows beyond it; by salts, so that no task sorts all of a confusion
+        own, order = [*keys, "op", "gt", "ext"], ("pair_seq", "field_no", "op_no")
+        salted = edits.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS))).repartition(*own, "_salt")  # before it is sorted
+        best = salted.withColumn("k", F.row_number().over(Window.partitionBy(*own, "_salt").orderBy(*order))).where(F.col("k") <= most)
+        rows = best.withColumn("k", F.row_number().over(Window.partitionBy(*own).orderBy(*order))).where(F.col("k") <= most)
     listed = rows.groupBy(*keys, "op", "gt", "ext").agg(F.array_sort(F.collect_list(F.struct("pair_seq", "field_no", "op_no", "gold_raw", "ext_raw"))).alias("x"))
     return listed.select(*keys, "op", "gt", "ext", F.transform("x", lambda s: F.struct(s["gold_raw"].alias("gold"), s["ext_raw"].alias("extracted"))).alias("examples"))
 

@@ -53,3 +53,16 @@ def test_edits_are_handed_over_in_pieces(monkeypatch):
     pieces = list(edits_module._listed(iter(scripts)))
     assert max(len(p.flatten()) for p in pieces) < 10 + 7 and len(pieces) > 10
     assert [[tuple(x.values()) for x in r] for p in pieces for r in p.to_pylist()] == scripts and not list(edits_module._listed([]))
+
+
+def test_first_examples_are_ranked_by_salts(spark):
+    """No task sorts all edits of a confusion, and the first ones are the same."""
+    rng = random.Random(8)
+    rows = [(rng.randrange(1_000), k % 3, "f", "ab" * 2, "xb" * 2, f"g{k}", f"e{k}") for k in range(900)]
+    rows = list({r[:2]: r for r in rows}.values())
+    found = metrics.edit_rows(spark.createDataFrame(rows, "pair_seq long, field_no int, field string, gt string, ext string, gold_raw string, ext_raw string"))
+    listed = metrics.confusion_examples(found, most=5)
+    plan = _plan(listed)
+    assert plan.rindex("_salt", 0, plan.rindex("ArrowEvalPython")) and "WindowGroupLimit" not in plan[plan.rindex("Exchange hashpartitioning(op") :]
+    want = [(r[5], r[6]) for r in sorted(rows) for _ in range(2)][:5]
+    assert [tuple(x) for x in listed.first().examples] == want

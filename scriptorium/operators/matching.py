@@ -2,13 +2,16 @@
 
 All functions take key columns (a run, a page, ...): records only match within equal keys, so many runs are one job.
 Candidates come from an equi-join on keys of several rare characters of the headwords (sound for the threshold), never
-from a cross join. The greedy assignment, gold records in order, each to its best free candidate, is one pass over the
-pairs of a key in order; in keys with more than AT_ONCE pairs, ROUNDS rounds first settle, all at once, the pairs which
-nothing that comes earlier can touch, and what is left is taken in order by connected components of the graph of pairs.
-Either way the result is exactly the sequential one."""
+from a cross join. Records of a key with equal fields are one class: classes are compared and scored, and records stand
+in for them only where pairs of records are asked for. The greedy assignment, gold records in order, each to its best free
+candidate, is one pass over a key's records in order, with the pairs of its classes beside; a key of more than AT_ONCE such
+rows is split by connected components of its classes or, where classes hold next to no more than one record, taken by pairs:
+ROUNDS rounds first settle, all at once, the pairs which nothing that comes earlier can touch, and what is left is taken in
+order by connected components of the graph of pairs. Either way the result is exactly the sequential one."""
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -27,13 +30,18 @@ WEIGHTS = (0.5, 0.15, 0.35)
 PARTIAL = 0.85
 #: Headwords of a key up to which candidates have one rare character in common, beyond several or a piece: a matter of the plan.
 PAGE = 300
-#: Candidate pairs of one key that one task takes in order, at most.
+#: Rows (candidate pairs, or records and pairs of classes) of one key that one task takes in order, at most.
 AT_ONCE = 1_000_000
+#: Records of a class that are expanded together, about, and pairs that a task makes, about: a matter of the plan.
+TOGETHER_AT_MOST, PAIRS_OF_A_TASK = 256, 1_000_000
+#: Pairs of records to a pair of classes up to which a large key is taken by pairs.
+SPARSE = 4
 #: Rounds of a large key before its pairs are split by components.
 ROUNDS = 3
 Similarity = Callable[[Column | str, Column | str], Column]
 #: Field names of a record as matched.
 HEADWORD, POS, TRANSLATION = "Headword_Phrase", "POS", "Translation_RU"
+SCORES = ("head_score", "pos_score", "def_score", "overall")
 
 
 def prepared(records: DataFrame, keys: Sequence[str], side: str) -> DataFrame:
@@ -59,17 +67,52 @@ def similar_heads(gold: DataFrame, extracted: DataFrame, keys: Sequence[str] = (
     # Spark takes the keys for as small as the headwords, and would broadcast them
     met = sides[0].hint("merge").join(sides[1], [*keys, "token"]).where(fits).select(*keys, "g_head", "e_head").distinct()
     met = stored(met, "met")  # or the similarity would be computed for every key that two headwords have in common
-    return met.withColumn("head_score", similarity("g_head", "e_head")).where(F.col("head_score") >= threshold)
+    return _scored(met, "head", similarity).where(F.col("head_score") >= threshold)
 
 
-def candidate_pairs(gold: DataFrame, extracted: DataFrame, keys: Sequence[str] = (), threshold: float = HEAD, similarity: Similarity = ratio) -> DataFrame:
-    """All pairs of records with similar headwords: keys, g_seq, e_seq, head_score, pos_score, def_score, overall."""
-    g, e = prepared(gold, keys, "g"), prepared(extracted, keys, "e")
-    heads = similar_heads(g, e, keys, threshold, similarity)
+def _scored(pairs: DataFrame, name: str, similarity: Similarity) -> DataFrame:
+    """pairs with the similarity of g_{name} and e_{name}; other than the built-in one, once for each two texts."""
+    g, e, score = f"g_{name}", f"e_{name}", f"{name}_score"
+    if similarity is edit_ratio:
+        return pairs.withColumn(score, similarity(g, e))
+    texts = stored(pairs.select(g, e).distinct(), "texts")
+    return pairs.join(stored(texts.withColumn(score, similarity(g, e)), "scores"), [g, e])
+
+
+def _classes(records: DataFrame, keys: Sequence[str], side: str) -> tuple[DataFrame, DataFrame]:
+    """Of prepared records the classes with their numbers ({side}_id) and sizes ({side}_n), and the records by them: keys, {side}_seq, {side}_id, {side}_n."""
+    own = [*keys, *(f"{side}_{n}" for n in ("head", "pos", "def"))]
+    classes = stored(records.groupBy(*own).agg(F.count(F.lit(1)).alias(f"{side}_n")).withColumn(f"{side}_id", F.monotonically_increasing_id()), "classes")
+    return classes, stored(records.join(classes, own).select(*keys, f"{side}_seq", f"{side}_id", f"{side}_n"), "members")
+
+
+def _class_pairs(gold: DataFrame, extracted: DataFrame, keys: Sequence[str], threshold: float, similarity: Similarity) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs of classes with similar headwords (keys, g_id, e_id, g_n, e_n and scores), and the records of both sides."""
+    (g, gold_members), (e, extracted_members) = (_classes(prepared(df, keys, s), keys, s) for df, s in ((gold, "g"), (extracted, "e")))
+    heads = stored(similar_heads(g, e, keys, threshold, similarity), "heads")
     pairs = heads.join(g, [*keys, "g_head"]).join(e, [*keys, "e_head"])
-    scored = pairs.withColumn("pos_score", similarity("g_pos", "e_pos")).withColumn("def_score", similarity("g_def", "e_def"))
+    if similarity is not edit_ratio:
+        pairs = stored(pairs, "met-classes")
+    pairs = _scored(_scored(pairs, "pos", similarity), "def", similarity)
     overall = F.lit(WEIGHTS[0]) * F.col("head_score") + F.lit(WEIGHTS[1]) * F.col("pos_score") + F.lit(WEIGHTS[2]) * F.col("def_score")
-    return scored.select(*keys, "g_seq", "e_seq", "head_score", "pos_score", "def_score", overall.alias("overall"))
+    return stored(pairs.select(*keys, "g_id", "e_id", "g_n", "e_n", *SCORES[:3], overall.alias("overall")), "class-pairs"), gold_members, extracted_members
+
+
+def _expanded(pairs: DataFrame, gold_members: DataFrame, extracted_members: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Pairs of classes as pairs of records. Members come in lists of bounded length, dealt so that each task makes about as many pairs."""
+    total = pairs.agg(F.sum(F.col("g_n") * F.col("e_n"))).first()[0] or 0
+    for df, s in ((gold_members, "g"), (extracted_members, "e")):
+        part = F.pmod(F.xxhash64(f"{s}_seq"), F.ceil(F.col(f"{s}_n") / TOGETHER_AT_MOST)).alias(f"{s}_part")
+        lists = stored(df.groupBy(f"{s}_id", part).agg(F.collect_list(f"{s}_seq").alias(f"{s}_seqs")), "lists")
+        pairs = pairs.join(lists, f"{s}_id")
+    dealt = pairs.repartition(total // PAIRS_OF_A_TASK + 1, "g_id", "e_id", "g_part", "e_part")
+    each = dealt.select(*keys, F.explode("g_seqs").alias("g_seq"), "e_seqs", *SCORES)
+    return each.select(*keys, "g_seq", F.explode("e_seqs").alias("e_seq"), *SCORES)
+
+
+def candidate_pairs(gold: DataFrame, extracted: DataFrame, keys: Sequence[str] = (), threshold: float = HEAD, similarity: Similarity = ratio) -> DataFrame:
+    """All pairs of records with similar headwords: keys, g_seq, e_seq, head_score, pos_score, def_score, overall."""
+    return _expanded(*_class_pairs(gold, extracted, keys, threshold, similarity), keys)
 
 
 def _in_order(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -134,6 +177,120 @@ def greedy_match(pairs: DataFrame, keys: Sequence[str] = (), at_once: int = AT_O
     return out
 
 
+def _records_in_order(pairs: DataFrame, gold_members: DataFrame, extracted_members: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The sequential assignment by classes: keys, g_seq, e_seq and scores.
+
+    A key's rows come to one task as its extracted records in order, its pairs of classes, best first, and its gold records in
+    order, which take what is free. The task holds the numbers of the extracted records and the pairs of classes."""
+    none = [F.lit(None).cast("double").alias(c) for c in SCORES]
+    records = lambda df, s, kind: df.select(*keys, F.lit(kind).alias("kind"), F.col(f"{s}_seq").cast("long").alias("place"), F.col(f"{s}_id").alias("own"), F.lit(None).cast("long").alias("other"), *none)
+    between = pairs.where("overall > 0").select(*keys, F.lit(1).alias("kind"), F.col("g_id").alias("place"), F.col("g_id").alias("own"), F.col("e_id").alias("other"), *SCORES)
+    rows = records(extracted_members, "e", 0).unionByName(between).unionByName(records(gold_members, "g", 2))
+    kinds = [F.col(f"{s}_seq").cast(df.schema[f"{s}_seq"].dataType) for df, s in ((gold_members, "g"), (extracted_members, "e"))]
+    out = rows.select(*keys, F.col("place").alias("g_seq"), F.col("place").alias("e_seq"), *SCORES).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, taken = None, set()
+        free: dict = {}  # of each extracted class its records' numbers, and how many of them are gone for certain
+        after: dict = {}  # of each gold class its pairs: the other class and four scores for each
+        gone: dict = {}  # of each gold class the pairs at its head whose class has no free record
+        record, best = None, None
+
+        def first(e) -> int | None:
+            if (got := free.get(e)) is None:
+                return None
+            numbers, k = got
+            while k < len(numbers) and numbers[k] in taken:
+                k += 1
+            got[1] = k
+            return numbers[k] if k < len(numbers) else None
+
+        def choice(g) -> tuple | None:
+            """The best free candidate: (-overall, number, class, place among the pairs)."""
+            if (listed := after.get(g)) is None:
+                return None
+            others, scores = listed
+            k, found = gone.get(g, 0), None
+            while k < len(others) and first(others[k]) is None:
+                k += 1
+            gone[g] = k
+            overall = scores[4 * k + 3] if k < len(others) else None
+            while k < len(others) and scores[4 * k + 3] == overall:
+                if (e := first(others[k])) is not None and (found is None or e < found[1]):
+                    found = (-overall, e, g, k)
+                k += 1
+            return found
+
+        made: list = []
+
+        def settle() -> None:
+            if best is not None:
+                taken.add(best[1])
+                k = 4 * best[3]
+                made.append((*now, record, best[1], *after[best[2]][1][k : k + 4]))
+
+        for b in batches:
+            own_keys = list(zip(*(b.column(k).to_pylist() for k in keys), strict=True)) if keys else [()] * b.num_rows
+            columns = [b.column(c).to_pylist() for c in ("kind", "place", "own", "other", *SCORES)]
+            for key, kind, place, own, other, *scores in zip(own_keys, *columns, strict=True):
+                if key != now:
+                    settle()
+                    now, taken, free, after, gone, record, best = key, set(), {}, {}, {}, None, None
+                if kind == 0:
+                    free.setdefault(own, [array("q"), 0])[0].append(place)
+                elif kind == 1:
+                    listed = after.setdefault(own, (array("q"), array("d")))
+                    listed[0].append(other)
+                    listed[1].extend(scores)
+                else:
+                    if place != record:
+                        settle()
+                        record, best = place, None
+                    if (found := choice(own)) is not None and (best is None or found[:2] < best[:2]):
+                        best = found
+            kind_of_keys = [b.schema.field(k) for k in keys]
+            if made:
+                done, made = made, []
+                yield batch(done, kind_of_keys)
+        settle()
+        if made:
+            yield batch(made, kind_of_keys)
+
+    def batch(done: list, kind_of_keys: list[pa.Field]) -> pa.RecordBatch:
+        kinds = pa.schema([*kind_of_keys, ("g_seq", pa.int64()), ("e_seq", pa.int64()), *((c, pa.float64()) for c in SCORES)])
+        return pa.RecordBatch.from_pydict(dict(zip(kinds.names, map(list, zip(*done, strict=True)), strict=True)), kinds)
+
+    dealt = rows.repartition(*keys) if keys else rows.repartition(1)
+    got = dealt.sortWithinPartitions(*keys, "kind", "place", F.desc("overall")).mapInArrow(run, out)
+    return got.select(*keys, kinds[0], kinds[1], *SCORES)
+
+
+def _greedy_by_classes(pairs: DataFrame, gold_members: DataFrame, extracted_members: DataFrame, keys: Sequence[str], at_once: int = AT_ONCE) -> DataFrame:
+    """The sequential assignment of records by stored pairs of their classes: keys, g_seq, e_seq and scores."""
+    n = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("g_n") * F.col("e_n")).alias("pairs"))
+    counts = [n] + [df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.lit(0).alias("pairs")) for df in (gold_members, extracted_members)]
+    sums = counts[0].union(counts[1]).union(counts[2]).groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("pairs").alias("pairs"))
+    large = stored(sums.where(F.col("n") > at_once).withColumn("sparse", F.col("pairs") <= SPARSE * F.col("n")).drop("n", "pairs"), "large-keys")
+    if large.isEmpty():
+        return _records_in_order(pairs, gold_members, extracted_members, keys)
+    tables, found = (pairs, gold_members, extracted_members), []
+    if keys:
+        found.append(_records_in_order(*(same_keys(df, large, keys, "left_anti") for df in tables), keys))
+    of = lambda which: [same_keys(df, large.where(which).drop("sparse"), keys, "left_semi") for df in tables] if keys else tables
+    if not large.where("sparse").isEmpty():
+        found.append(greedy_match(stored(_expanded(*of("sparse"), keys), "pairs"), keys, at_once))
+    if not large.where("NOT sparse").isEmpty():
+        own, gold_own, extracted_own = of("NOT sparse")
+        roots = stored(components(own.where("overall > 0").select((F.col("g_id") * 2).alias("u"), (F.col("e_id") * 2 + 1).alias("v"))).withColumnRenamed("root", "component"), "roots")
+        named = lambda df, s, k: df.join(roots.select(F.col("node").alias("_node"), "component"), F.col(f"{s}_id") * 2 + k == F.col("_node")).drop("_node")
+        split = _records_in_order(named(own, "g", 0), named(gold_own, "g", 0), named(extracted_own, "e", 1), [*keys, "component"])
+        found.append(split.drop("component"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def classify(head: Column | str = "head_score", pos: Column | str = "pos_score", definition: Column | str = "def_score", overall: Column | str = "overall", partial: float = PARTIAL) -> Column:
     h, p, d, o = (F.col(x) if isinstance(x, str) else x for x in (head, pos, definition, overall))
     return F.when((h == 1.0) & (p >= 0.9) & (d >= 0.9), "exact").when(o >= partial, "partial").otherwise("below")
@@ -141,8 +298,8 @@ def classify(head: Column | str = "head_score", pos: Column | str = "pos_score",
 
 def match_records(gold: DataFrame, extracted: DataFrame, keys: Sequence[str] = (), partial: float = PARTIAL, similarity: Similarity = ratio) -> DataFrame:
     """The matched pairs with their scores and class."""
-    pairs = stored(candidate_pairs(gold, extracted, keys, HEAD, similarity), "pairs")
-    return greedy_match(pairs, keys).withColumn("match_class", classify(partial=partial))
+    found = _greedy_by_classes(*_class_pairs(gold, extracted, keys, HEAD, similarity), keys)
+    return found.withColumn("match_class", classify(partial=partial))
 
 
 def missing(gold: DataFrame, matches: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import edits as edits_module
 from scriptorium.functions.edits import edit_distance
+from scriptorium.functions.blocks import similarity
 from scriptorium.functions.similarity import edit_ratio
 from scriptorium.operators import matching, metrics
 
@@ -66,3 +68,52 @@ def test_first_examples_are_ranked_by_salts(spark):
     assert plan.rindex("_salt", 0, plan.rindex("ArrowEvalPython")) and "WindowGroupLimit" not in plan[plan.rindex("Exchange hashpartitioning(op") :]
     want = [(r[5], r[6]) for r in sorted(rows) for _ in range(2)][:5]
     assert [tuple(x) for x in listed.first().examples] == want
+
+
+def _copies(n: int, other: bool) -> list[tuple]:
+    """Few headwords and kinds, so that classes have many records, under two pages."""
+    rng = random.Random(11 + other)
+    heads = ["old bolt", "cold bolt", "bold ring", "old ring", "gold ring", ""]
+    return [(rng.choice("pq"), 1_000 * other + k, rng.choice(heads), rng.choice(["n", "v"]), rng.choice(["ring", "bolts", "rings"])) for k in range(n)]
+
+
+def _in_turn(gold, other, similarity) -> set[tuple]:
+    out, used = set(), set()
+    for page, seq, *g in sorted(gold):
+        best = None
+        for page_, e_seq, *e in other:
+            if page_ == page and (page, e_seq) not in used and (h := similarity(g[0], e[0])) >= 0.7:
+                s = 0.5 * h + 0.15 * similarity(g[1], e[1]) + 0.35 * similarity(g[2], e[2])
+                if s > 0 and (best is None or (-s, e_seq) < best):
+                    best = (-s, e_seq)
+        if best:
+            used.add((page, best[1]))
+            out.add((page, seq, best[1], round(-best[0], 9)))
+    return out
+
+
+@pytest.mark.parametrize("at_once,sparse", [(1_000_000, 4), (1, 0), (1, 1_000_000)])
+@pytest.mark.parametrize("named", ["edit", "blocks"])
+def test_records_of_equal_fields_are_assigned_by_classes(spark, monkeypatch, at_once, sparse, named):
+    monkeypatch.setattr(matching, "SPARSE", sparse)
+    gold, other = _copies(70, False), _copies(60, True)
+    sides = [spark.createDataFrame(x, "page string, seq int, Headword_Phrase string, POS string, Translation_RU string") for x in (gold, other)]
+    measure = {"edit": edit_ratio, "blocks": matching.ratio}[named]
+    by_hand = {"edit": lambda a, b: 1 - edit_distance(a, b) / max(len(a), len(b)) if a or b else 1.0, "blocks": similarity}[named]
+    pairs, *members = matching._class_pairs(*sides, ["page"], matching.HEAD, measure)
+    got = matching._greedy_by_classes(pairs, *members, ["page"], at_once)
+    assert got.schema["g_seq"].dataType.simpleString() == "int"
+    assert {(r.page, r.g_seq, r.e_seq, round(r.overall, 9)) for r in got.collect()} == _in_turn(gold, other, by_hand)
+    if at_once > 1:
+        monkeypatch.setattr(matching, "TOGETHER_AT_MOST", 2)
+        all_pairs = matching._expanded(pairs, *members, ["page"]).select("page", "g_seq", "e_seq").collect()
+        assert sorted(map(tuple, all_pairs)) == sorted((p, g, e) for p, g, *a in gold for q, e, *b in other if p == q and by_hand(a[0], b[0]) >= 0.7)
+
+
+def test_pairs_of_classes_do_not_grow_with_their_records(spark):
+    head = [F.lit(x).alias(c) for c, x in (("Headword_Phrase", "bolt"), ("POS", "n"), ("Translation_RU", "ring"))]
+    side = spark.range(20_000).select(F.col("id").alias("seq"), *head)
+    pairs, *members = matching._class_pairs(side, side, [], matching.HEAD, edit_ratio)
+    assert pairs.count() == 1
+    got = matching.match_records(side, side, similarity=edit_ratio)
+    assert got.where("g_seq = e_seq").count() == got.count() == 20_000

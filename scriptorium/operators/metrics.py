@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.edits import WORD_OPS, edit_ops, word_distance, word_ops
+from ..functions.edits import WORD_OPS, char_distance, edit_ops, word_distance, word_ops
 from ..functions.text import normalize_text, ratio_or_zero, strip, tokens
 from ..schemas import COMPARED
 from .scan import same_keys, scanned_by_parts
@@ -59,11 +59,11 @@ def field_pairs(records: DataFrame, keys: Sequence[str] = (), fields: Sequence[s
 
 
 def error_totals(pairs: DataFrame, by: Sequence[str] = (), rollup: bool = False) -> DataFrame:
-    """Character and word totals and rates of pairs (gt, ext), micro-averaged. Built-in distances only.
+    """Character and word totals and rates of pairs (gt, ext), micro-averaged.
 
     rollup: with subtotals over by (null), else one row per group."""
     rows = pairs.select(
-        *by, F.length("gt").alias("c"), F.levenshtein("gt", "ext").alias("ce"), F.size(tokens("gt")).alias("w"), word_distance("gt", "ext").alias("we")
+        *by, F.length("gt").alias("c"), char_distance("gt", "ext").alias("ce"), F.size(tokens("gt")).alias("w"), word_distance("gt", "ext").alias("we")
     )
     grouped = rows.rollup(*by) if rollup else rows.groupBy(*by)
     sums = grouped.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(n) for c, n in (("c", "total_chars"), ("ce", "char_errors"), ("w", "total_words"), ("we", "word_errors"))))

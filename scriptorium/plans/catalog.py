@@ -244,7 +244,7 @@ _ONE_BYTE = "translate(" + _NORM + ", 'врәóéñèíüçêäöß', '@pQ' || c
 (SELECT role, len(list_filter(regexp_split_to_array({_NORM.format('text')}, '\\s+'), lambda t: t <> '')) AS w, {_ONE_BYTE.format('text')} AS gt, {_ONE_BYTE.format("replace(translate(text, 'ae', 'ea'), ',', '')")} AS ext FROM conversations) GROUP BY role""")
 def cer_conversations(spark, d):
     """Whole turns against a copy with swapped vowels and lost commas, by role."""
-    rows = _t(spark, d, "conversations").select("role", text.normalize_text("text").alias("gt"), text.normalize_text(F.regexp_replace(F.translate("text", "ae", "ea"), ",", "")).alias("ext"))
+    rows = _t(spark, d, "conversations").repartition("conv_id", "turn").select("role", text.normalize_text("text").alias("gt"), text.normalize_text(F.regexp_replace(F.translate("text", "ae", "ea"), ",", "")).alias("ext"))
     return metrics.error_totals(rows, ["role"]).select("role", "total_chars", "char_errors", "total_words", "cer")
 
 

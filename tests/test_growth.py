@@ -117,3 +117,11 @@ def test_pairs_of_classes_do_not_grow_with_their_records(spark):
     assert pairs.count() == 1
     got = matching.match_records(side, side, similarity=edit_ratio)
     assert got.where("g_seq = e_seq").count() == got.count() == 20_000
+
+
+def test_distances_of_long_texts(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abcé😀 ", k=rng.choice([0, 5, 64, 65, 300]))) for _ in range(40)]
+    rows = [(a, b) for a, b in zip(texts, texts[1:] + texts[:1], strict=True)] + [(None, "a" * 70), ("a" * 70, None), (None, None)]
+    got = spark.createDataFrame(rows, "gt string, ext string").select(edits_module.char_distance("gt", "ext").alias("ours"), F.levenshtein("gt", "ext").alias("built_in")).collect()
+    assert all(r.ours == r.built_in for r in got)

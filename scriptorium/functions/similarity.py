@@ -104,35 +104,6 @@ def within_edits(a: str, b: str, threshold: float) -> Column:
     return F.call_function("levenshtein", F.col(a), F.col(b), _edits(F.greatest(F.length(a), F.length(b)), threshold)) >= 0
 
 
-def segment_keys(df: DataFrame, column: str, threshold: float, first: bool, lengths: str | None = None, name: str = "token") -> DataFrame:
-    """A row for each key of a text: two texts whose edit ratio reaches the threshold have one in common.
-
-    The longer text of a pair allows a number of edits by its length, and is cut into one piece more than that: one
-    piece at least stands in the shorter one unchanged, and not far from its place. So a key is a length, the number of a
-    piece and its letters, by their hash; a text has its own pieces, and for each length that a longer partner may have the pieces that
-    may match. first: the side of the join, as either may be the longer one. lengths: a column with the lengths that
-    texts of the other side have, if known."""
-    x, n = F.col(column), F.length(column)
-    edits = lambda m: _edits(m, threshold)
-    at = lambda k, m: F.floor(k * m / (edits(m) + 1)).cast("int")
-    letters = lambda start, size: F.substring(x, start + 1, size)
-    key = lambda side, m, k, piece: F.xxhash64(F.lit(side), m, k, piece)
-    longer, shorter = ("a", "b") if first else ("b", "a")
-    own = F.transform(F.sequence(F.lit(0), edits(n)), lambda k: key(longer, n, k, letters(at(k, n), at(k + 1, n) - at(k, n))))
-
-    def matching(m: Column, k: Column) -> Column:
-        start, size, moved, rest = at(k, m), at(k + 1, m) - at(k, m), n - m, edits(m) - k
-        lo = F.greatest(F.lit(0), start - k, start + moved - rest)
-        hi = F.least(n - size, start + k, start + moved + rest)
-        return F.when(hi >= lo, F.transform(F.sequence(lo, hi), lambda q: key(shorter, m, k, letters(q, size)))).otherwise(F.array().cast("array<bigint>"))
-
-    partners = F.sequence(n, F.floor(n / F.lit(threshold) + 1e-9).cast("int"))
-    if lengths:
-        partners = F.array_intersect(partners, F.col(lengths))
-    others = F.flatten(F.transform(partners, lambda m: F.flatten(F.transform(F.sequence(F.lit(0), edits(m)), lambda k: matching(m, k)))))
-    return df.withColumn(name, F.explode(F.when(n == 0, F.array(F.lit(0).cast("long"))).otherwise(F.array_distinct(F.concat(own, others)))))
-
-
 def may_reach(a: Column | str, b: Column | str, threshold: float) -> Column:
     """Whether two bags allow the threshold."""
     total = F.size(a) + F.size(b)

@@ -14,11 +14,14 @@ from __future__ import annotations
 from array import array
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import TOGETHER, bag, edit_ratio, may_reach, ratio, segment_keys, with_keys, within_edits
+from ..functions import pieces
+from ..functions.similarity import TOGETHER, bag, edit_ratio, may_reach, ratio, with_keys, within_edits
 from ..functions.text import normalize_text
 from .components import components
 from .scan import same_keys
@@ -34,6 +37,9 @@ PAGE = 300
 AT_ONCE = 1_000_000
 #: Records of a class that are expanded together, about, and pairs that a task makes, about: a matter of the plan.
 TOGETHER_AT_MOST, PAIRS_OF_A_TASK = 256, 1_000_000
+#: Headwords whose keys a task makes, about, and bytes of keys that it makes at once; headwords of a key that are compared together, at most, and
+#: pairs that a task compares, about: a matter of the plan.
+HEADS_OF_A_TASK, KEYS_BYTES, TOGETHER_IN_BLOCK, COMPARED_BY_A_TASK = 50_000, 4 << 20, 4_096, 50_000_000
 #: Pairs of records to a pair of classes up to which a large key is taken by pairs.
 SPARSE = 4
 #: Rounds of a large key before its pairs are split by components.
@@ -58,18 +64,85 @@ def similar_heads(gold: DataFrame, extracted: DataFrame, keys: Sequence[str] = (
     heads = [stored(df.select(*keys, f"{s}_head").distinct(), f"{s}-heads") for df, s in ((gold, "g"), (extracted, "e"))]
     large = not heads[0].groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > page).isEmpty()
     if large and similarity is edit_ratio:
-        lengths = [F.broadcast(df.agg(F.collect_set(F.length(f"{s}_head")).alias("_lengths"))) for df, s in zip(heads, "ge", strict=True)]
-        sides = [segment_keys(df.crossJoin(other), f"{s}_head", threshold, s == "g", "_lengths").drop("_lengths") for df, s, other in zip(heads, "ge", lengths[::-1], strict=True)]
-        fits = within_edits("g_head", "e_head", threshold)
+        met = _near_heads(*heads, keys, threshold).where(within_edits("g_head", "e_head", threshold))
     else:
         sides = [with_keys(df.withColumn(f"{s}_bag", bag(f"{s}_head")), f"{s}_bag", threshold, TOGETHER if large else ()) for df, s in zip(heads, "ge", strict=True)]
-        fits = may_reach("g_bag", "e_bag", threshold)
-    # Spark takes the keys for as small as the headwords, and would broadcast them
-    met = sides[0].hint("merge").join(sides[1], [*keys, "token"]).where(fits).select(*keys, "g_head", "e_head").distinct()
-    met = stored(met, "met")  # or the similarity would be computed for every key that two headwords have in common
+        # Spark takes the keys for as small as the headwords, and would broadcast them
+        met = sides[0].hint("merge").join(sides[1], [*keys, "token"]).where(may_reach("g_bag", "e_bag", threshold)).select(*keys, "g_head", "e_head")
+    met = stored(met.distinct(), "met")  # or the similarity would be computed for every key that two headwords have in common
     return _scored(met, "head", similarity).where(F.col("head_score") >= threshold)
 
 
+def _piece_keys(heads: DataFrame, keys: Sequence[str], side: str, asked: Callable[[int], list]) -> DataFrame:
+    """A row for each key (token) of a headword. asked: the keys of a text by its length."""
+    head = f"{side}_head"
+    out = heads.select(*keys, F.lit(0).cast("long").alias("token"), head).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
+        for b in batches:
+            lengths = pc.utf8_length(b.column(head)).to_numpy(zero_copy_only=False)
+            for n in map(int, np.unique(lengths)):
+                of = known[n] if n in known else known.setdefault(n, asked(n))
+                at, most = np.flatnonzero(lengths == n), max(KEYS_BYTES // (n + 16), 1)
+                step = max(most // max(len(of), 1), 1)
+                for k in range(0, len(at) if of else 0, step):
+                    own = b.take(pa.array(at[k : k + step]))
+                    codes, together = pieces.letters(own.column(head), n), max(most // own.num_rows, 1)
+                    for j in range(0, len(of), together):
+                        tokens = list(pieces.keys_of(codes, of[j : j + together]))
+                        each = own.take(pa.array(np.tile(np.arange(own.num_rows), len(tokens))))
+                        yield pa.RecordBatch.from_arrays([*(each.column(c) for c in keys), pa.array(np.concatenate(tokens)), each.column(head)], names=out.names)
+
+    return heads.repartition(heads.count() // HEADS_OF_A_TASK + 1, *keys, head).mapInArrow(run, out)
+
+
+def _blocks(keyed: DataFrame, keys: Sequence[str], side: str) -> DataFrame:
+    """Headwords with a key in common as lists of bounded length ({side}_heads), with their size and a number that tells most blocks of a key apart."""
+    columns = [F.array(f"{side}_head").alias(f"{side}_heads"), F.lit(0).cast("long").alias(f"{side}_size"), F.lit(0).cast("long").alias(f"{side}_at")]
+    out = keyed.select(*keys, "token", *columns).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, b in enumerate(batches):
+            if b.num_rows:
+                other = np.ones(b.num_rows, bool)
+                differ = [pc.fill_null(pc.not_equal(b.column(c).slice(1), b.column(c).slice(0, b.num_rows - 1)), True).to_numpy(zero_copy_only=False) for c in (*keys, "token")]
+                other[1:] = np.logical_or.reduce(differ)
+                first = np.maximum.accumulate(np.where(other, np.arange(b.num_rows), 0))
+                starts = np.flatnonzero((np.arange(b.num_rows) - first) % TOGETHER_IN_BLOCK == 0)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(starts, b.num_rows), pa.int32()), b.column(f"{side}_head"))
+                own = b.select([*keys, "token"]).take(pa.array(starts))
+                yield pa.RecordBatch.from_arrays([*own.columns, lists, pa.array(np.diff(starts, append=b.num_rows)), pa.array(starts + k * b.num_rows)], names=out.names)
+
+    return keyed.repartition(*keys, "token").sortWithinPartitions(*keys, "token").mapInArrow(run, out)
+
+
+def _near_heads(gold: DataFrame, extracted: DataFrame, keys: Sequence[str], threshold: float) -> DataFrame:
+    """Pairs of headwords (keys, g_head, e_head) with a piece in common whose letters allow the threshold of the edit ratio; the same pair may come again.
+
+    Extracted headwords are cut. Those with a key in common meet as blocks, and a task compares about as many pairs as any other."""
+    gold, extracted = (df.dropna(subset=[*keys, f"{s}_head"]) for df, s in ((gold, "g"), (extracted, "e")))
+    g_lengths, e_lengths = ([n for n, in df.select(F.length(f"{s}_head")).distinct().collect()] for df, s in ((gold, "g"), (extracted, "e")))
+    keyed = (
+        _piece_keys(gold, keys, "g", lambda n: pieces.asked_keys(n, e_lengths, g_lengths, threshold)),
+        _piece_keys(extracted, keys, "e", lambda n: pieces.own_keys(n, g_lengths, threshold)),
+    )
+    g, e = (stored(_blocks(df, keys, s), f"{s}-blocks") for df, s in zip(keyed, "ge", strict=True))
+    by = [*keys, "token"]
+    total = g.select(*by, "g_size").hint("merge").join(e.select(*by, "e_size"), by).agg(F.sum(F.col("g_size") * F.col("e_size"))).first()[0] or 0
+    out = gold.select(*keys, "g_head").join(extracted.select("e_head")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [b.column(f"{s}_heads").flatten() for s in "ge"]
+            for rows, p, q in pieces.near_pairs(b.column("g_heads"), b.column("e_heads"), threshold):
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(rows)) for c in keys), texts[0].take(pa.array(p)), texts[1].take(pa.array(q))], names=out.names)
+
+    # Spark takes the blocks for small, and would broadcast them
+    met = g.hint("merge").join(e, by).repartition(total // COMPARED_BY_A_TASK + 1, "token", "g_at", "e_at")
+    return met.select(*keys, "g_heads", "e_heads").mapInArrow(run, out)
+
+
 def _scored(pairs: DataFrame, name: str, similarity: Similarity) -> DataFrame:
     """pairs with the similarity of g_{name} and e_{name}; other than the built-in one, once for each two texts."""
     g, e, score = f"g_{name}", f"e_{name}", f"{name}_score"

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import edits as edits_module
+from scriptorium.functions import pieces
 from scriptorium.functions.edits import edit_distance
 from scriptorium.functions.blocks import similarity
 from scriptorium.functions.similarity import edit_ratio
@@ -125,3 +128,65 @@ def test_distances_of_long_texts(spark):
     rows = [(a, b) for a, b in zip(texts, texts[1:] + texts[:1], strict=True)] + [(None, "a" * 70), ("a" * 70, None), (None, None)]
     got = spark.createDataFrame(rows, "gt string, ext string").select(edits_module.char_distance("gt", "ext").alias("ours"), F.levenshtein("gt", "ext").alias("built_in")).collect()
     assert all(r.ours == r.built_in for r in got)
+
+
+def _names(n: int, start: int = 0) -> tuple[list[str], list[str]]:
+    """Random names and their changed copies, as in similar_heads_whole."""
+    g = [hashlib.md5(str(k).encode()).hexdigest()[: 16 + k % 4] for k in range(start, start + n)]
+    return g, [x[:4] + x[5:10] + "xy" + x[11:] for x in g]
+
+
+def test_few_pairs_of_headwords_reach_the_distance(spark, monkeypatch):
+    """Pairs that have a piece in common grow with the square of the headwords; those whose distance is computed don't."""
+    g, e = _names(2_000)
+    sides = [spark.createDataFrame([(w,) for w in ws], f"{s}_head string") for ws, s in ((g, "g"), (e, "e"))]
+    compared, kept = [], matching.stored
+    monkeypatch.setattr(matching, "within_edits", lambda *a: F.lit(True))
+    monkeypatch.setattr(matching, "stored", lambda df, name: compared.append(kept(df, name)) or compared[-1] if name == "met" else kept(df, name))
+    got = {(r.g_head, r.e_head) for r in matching.similar_heads(*sides, similarity=edit_ratio).collect()}
+    assert got >= set(zip(g, e, strict=True)) and compared[0].count() < 1.5 * len(got)
+
+
+@pytest.mark.parametrize("keys", [["page"], []])
+def test_headwords_of_a_hot_key_are_compared_in_blocks(spark, monkeypatch, keys):
+    """All headwords begin alike: their key is dealt to many blocks and tasks, and no pair is lost."""
+    monkeypatch.setattr(matching, "TOGETHER_IN_BLOCK", 7)
+    monkeypatch.setattr(matching, "COMPARED_BY_A_TASK", 500)
+    rng, sizes, kept = random.Random(6), [], matching.stored
+    word = lambda: "abcd" + "".join(rng.choices("abé😀", k=rng.randint(0, 5)))
+    sides = [{(rng.choice("pq"), word()) for _ in range(120)} | {("p", ""), (None, "abcd")} for _ in "ge"]
+    frames = [spark.createDataFrame(sorted(x, key=str), f"page string, {s}_head string") for x, s in zip(sides, "ge", strict=True)]
+
+    def stored(df, name):
+        out = kept(df, name)
+        if name.endswith("blocks"):
+            sizes.append(max(len(r[0]) for r in out.select(f"{name[0]}_heads").collect()))
+        return out
+
+    monkeypatch.setattr(matching, "stored", stored)
+    got = {tuple(r)[:-1] for r in matching.similar_heads(*frames, keys, similarity=edit_ratio, page=0).collect()}
+    fits = lambda a, b: 1 - edit_distance(a, b) / max(len(a), len(b)) >= 0.7 if a or b else True
+    assert got == {(*([p] if keys else []), a, b) for p, a in sides[0] for q, b in sides[1] if (p == q is not None or not keys) and fits(a, b)}
+    assert sizes == [7, 7]
+
+
+@pytest.mark.parametrize("table", [1, 10**9])
+@pytest.mark.parametrize("threshold", [0.3, 0.7, 0.85])
+def test_pieces_and_bounds_are_sound(monkeypatch, threshold, table):
+    """Two texts that reach the threshold have a key in common and are compared, in tables and pair by pair."""
+    monkeypatch.setattr(pieces, "TABLE", table)
+    monkeypatch.setattr(pieces, "AT_ONCE", 60)
+    rng = random.Random(9)
+    for letters in ("ab", "0123456789abcdef", "abcdé😀" + "".join(map(chr, range(0x400, 0x430)))):
+        g = sorted({"".join(rng.choices(letters, k=rng.randint(0, 20))) for _ in range(60)})
+        e = sorted({"".join(rng.choice(["", "x", c + rng.choice(letters)]) if rng.random() < 0.2 else c for c in w) for w in g})
+        near = {(a, b) for a in g for b in e if (1 - edit_distance(a, b) / max(len(a), len(b)) if a or b else 1.0) >= threshold}
+        g_lengths, e_lengths = ({len(x) for x in side} for side in (g, e))
+        keys = lambda x, asked: {int(k[0]) for k in pieces.keys_of(pieces.letters(pa.array([x]), len(x)), asked)}
+        asked = {x: keys(x, pieces.asked_keys(len(x), e_lengths, g_lengths, threshold)) for x in g}
+        own = {x: keys(x, pieces.own_keys(len(x), g_lengths, threshold)) for x in e}
+        assert all(asked[a] & own[b] for a, b in near)
+        lists = pa.array([g, [], g[:9]]), pa.array([e, e[:3], e])
+        flat = [x.flatten().to_pylist() for x in lists]
+        found = {(int(r), flat[0][p], flat[1][q]) for rows, ps, qs in pieces.near_pairs(*lists, threshold) for r, p, q in zip(rows, ps, qs, strict=True)}
+        assert found >= {(0, *x) for x in near} | {(2, *x) for x in near if x[0] in g[:9]} and not any(r == 1 for r, *_ in found)
